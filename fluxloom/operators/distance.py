@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from fluxloom.functions.vectors import row_blocks, to_matrix
+from fluxloom.functions.vectors import row_blocks, to_lists, to_matrix
 from fluxloom.session import BROADCAST_BYTES, TooLarge, bounded_rows, settle
 
 MAX_CENTRES = 100_000
@@ -140,3 +140,16 @@ def nearest_in_blocks(df: DataFrame, key: str, v_col: str, centres: DataFrame, i
         spread.join(packed, "_block").select(key, find(v_col, "_centres").alias("_near"))
         .groupBy(key).agg(F.min("_near").alias("_near")).select(key, F.col("_near.id").alias(out), "_near.d2")
     )
+
+
+def distances(df: DataFrame, v_col: str, centres: Centres, keys: list[str], out: str = "centre") -> DataFrame:
+    """Distance of each row to every centre of a bounded model, long: (keys, centre, distance)."""
+    matrix = centres.matrix
+
+    @F.arrow_udf("array<double>")
+    def measure(v: pa.Array) -> pa.Array:
+        return to_lists(np.sqrt(squared_distances(to_matrix(v, matrix.shape[1]), matrix)))
+
+    names = F.array(*[F.lit(i) for i in centres.ids])
+    return df.select(*keys, F.explode(F.arrays_zip(names.alias("c"), measure(v_col).alias("d"))).alias("p")).select(
+        *keys, F.col("p.c").alias(out), F.col("p.d").alias("distance"))
