@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("harmonise", "joins", "aggregates", "sampling", "scalars")
+MODULES = ("harmonise", "joins", "aggregates", "sampling", "scalars", "scans")
 
 
 def registry() -> tuple[dict, dict]:
