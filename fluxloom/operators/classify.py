@@ -2,11 +2,20 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
+from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxloom.operators.cluster import fitting_input
 from fluxloom.operators.distance import Centres, nearest
 from fluxloom.operators.harmonise import ROW_KEY
+from fluxloom.operators.moments import group_sums
+from fluxloom.session import bounded_rows
+
+MAX_CLASSES = 100_000
 
 
 def centroids_long(flux: DataFrame, group: str) -> DataFrame:
@@ -18,8 +27,6 @@ def centroids_long(flux: DataFrame, group: str) -> DataFrame:
 
 def centroids(rows: DataFrame, group: str, v: str = "v") -> DataFrame:
     """Mean vector of each group of dense rows: partial sums per task, then one vector per group."""
-    from fluxloom.operators.moments import group_sums
-
     return group_sums(rows, group, v).select(
         group, F.transform("total", lambda x: x / F.col("n")).alias("v"), "n")
 
@@ -28,3 +35,50 @@ def nearest_centroid(train: DataFrame, test: DataFrame, group: str, v: str = "v"
     """Predict the group of the nearest training mean; ties go to the least group."""
     model = Centres.collect(centroids(train, group, v), group, "v")
     return nearest(test, v, model, out)
+
+
+def _indexed(train: DataFrame, group: str, v: str):
+    """Training rows with class numbers, and the sorted classes."""
+    classes = sorted(r[0] for r in bounded_rows(train.select(group).distinct(), MAX_CLASSES, "list of classes"))
+    number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(group)) - 1
+    return train.select(number.cast("double").alias("y"), v), classes
+
+
+def _predict(model, rows: DataFrame, classes: list[str], v: str, out: str) -> DataFrame:
+    found = model.transform(rows.withColumn("features", array_to_vector(F.col(v))))
+    names = F.array(*[F.lit(c) for c in classes])
+    drop = [c for c in ("features", "rawPrediction", "probability", "prediction") if c not in rows.columns]
+    return found.withColumn(out, F.get(names, F.col("prediction").cast("int"))).drop(*drop)
+
+
+def random_forest(train: DataFrame, test: DataFrame, group: str = "label", max_depth: int = 2, seed: int = 0,
+                  v: str = "v", out: str = "pred", trees: int = 100) -> DataFrame:
+    """Random forest of shallow trees."""
+    rows, classes = _indexed(train, group, v)
+    with fitting_input(rows, "y", v=v) as vectors:
+        model = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=max_depth, seed=seed).fit(vectors)
+    return _predict(model, test, classes, v, out)
+
+
+def mlp_classifier(train: DataFrame, test: DataFrame, group: str = "label", hidden: int = 100, seed: int = 0,
+                   v: str = "v", out: str = "pred", max_iter: int = 200) -> DataFrame:
+    """Perceptron with one hidden layer."""
+    rows, classes = _indexed(train, group, v)
+    width = rows.select(F.size(v)).first()[0]
+    with fitting_input(rows, "y", v=v) as vectors:
+        model = MultilayerPerceptronClassifier(
+            labelCol="y", layers=[width, hidden, len(classes)], maxIter=max_iter, seed=seed).fit(vectors)
+    return _predict(model, test, classes, v, out)
+
+
+def repeated(classifiers: dict, train: DataFrame, test: DataFrame, n: int, group: str = "label") -> DataFrame:
+    """Predictions of every classifier, fitted n times with other seeds: (rep, classifier, row_id, label, pred).
+
+    ``classifiers``: name -> function (train, test, seed) that adds ``pred``.
+    """
+    runs = [
+        fn(train, test, rep).select(F.lit(rep).cast("bigint").alias("rep"), F.lit(name).alias("classifier"),
+                                    "row_id", group, "pred")
+        for name, fn in classifiers.items() for rep in range(n)
+    ]
+    return reduce(DataFrame.union, runs)

@@ -3,7 +3,10 @@
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -12,6 +15,8 @@ from fluxloom.session import bounded_rows, settle
 
 MAX_CLUSTERINGS = 10_000
 MAX_PAIRS = 100_000
+# Counts that a task holds before it passes them on.
+HELD_COUNTS = 1_000_000
 # Contingency rows that the greedy match reads into one process; larger tables are matched in rounds.
 GREEDY_ROWS = 200_000
 
@@ -31,28 +36,63 @@ def pair_counts(clusterings: DataFrame, pairs: list[tuple]) -> DataFrame:
     """Contingency of every named pair of clusterings in one job.
 
     ``clusterings``: (set_name, rep, row_id, cluster); ``pairs``: ((set, rep), (set, rep)). The labels of
-    a row are brought together by one shuffle on the row id. A row then yields one label pair per named
-    pair of clusterings (never of rows), and these are counted before the second shuffle.
+    a row are brought together by one shuffle on the row id. Each task then counts label pairs for every
+    named pair of clusterings (never pairs of rows), so only counts are shuffled after that.
     """
     if len(pairs) > MAX_PAIRS:
         raise ValueError(f"more than {MAX_PAIRS} pairs of clusterings; score them in turns")
-    rows = clusterings.groupBy("row_id").agg(
-        F.map_from_entries(F.collect_list(F.struct(clustering_id("set_name", "rep"), "cluster"))).alias("m"))
+    used = sorted({c for pair in pairs for c in pair})
+    at = {c: i for i, c in enumerate(used)}
+    place = F.array_position(
+        F.array(*[clustering_id(F.lit(s), F.lit(int(r))) for s, r in used]), clustering_id("set_name", "rep")) - 1
+    rows = (
+        clusterings.select("row_id", place.cast("int").alias("at"), F.col("cluster").cast("string").alias("cluster"))
+        .filter(F.col("at") >= 0).groupBy("row_id").agg(F.collect_list(F.struct("at", "cluster")).alias("c"))
+        .select(F.col("c.at").alias("at"), F.col("c.cluster").alias("cluster"))
+    )
+    places = np.array([(at[a], at[b]) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
+    counted = rows.mapInArrow(_count_pairs(places, len(used)), "p int, a string, b string, n bigint").groupBy(
+        "p", "a", "b").agg(F.sum("n").alias("n"))
     named = F.array(*[F.struct(F.lit(a[0]).alias("set_a"), F.lit(int(a[1])).cast("bigint").alias("rep_a"),
                                F.lit(b[0]).alias("set_b"), F.lit(int(b[1])).cast("bigint").alias("rep_b"))
                       for a, b in pairs])
-
-    def labels(p):
-        return F.struct(p["set_a"].alias("set_a"), p["rep_a"].alias("rep_a"), p["set_b"].alias("set_b"),
-                        p["rep_b"].alias("rep_b"),
-                        F.try_element_at("m", clustering_id(p["set_a"], p["rep_a"])).alias("a"),
-                        F.try_element_at("m", clustering_id(p["set_b"], p["rep_b"])).alias("b"))
-
-    return (
-        rows.select(F.explode(F.transform(named, labels)).alias("p")).select("p.*")
-        .filter(F.col("a").isNotNull() & F.col("b").isNotNull())
-        .groupBy("set_a", "rep_a", "set_b", "rep_b", "a", "b").agg(F.count(F.lit(1)).alias("n"))
-    )
+    return counted.select(F.get(named, "p").alias("q"), "a", "b", "n").select("q.*", "a", "b", "n")
+
+
+def _count_pairs(places: np.ndarray, width: int):
+    """Counts per (pair, label, label) of a task's rows; held counts are passed on when they grow too many."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes: dict[str, int] = {}
+        held: dict[tuple[int, int, int], int] = {}
+
+        def flush():
+            names = pa.array(list(codes), pa.string())
+            keys = np.array(list(held), dtype=np.int64).reshape(-1, 3)
+            out = pa.RecordBatch.from_arrays(
+                [pa.array(keys[:, 0].astype(np.int32)), names.take(pa.array(keys[:, 1])),
+                 names.take(pa.array(keys[:, 2])), pa.array(list(held.values()), pa.int64())], ["p", "a", "b", "n"])
+            held.clear()
+            return out
+
+        for batch in batches:
+            at, cluster = batch.column("at"), batch.column("cluster").flatten().dictionary_encode()
+            lookup = np.array([codes.setdefault(c, len(codes)) for c in cluster.dictionary.to_pylist()], dtype=np.int64)
+            rows = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
+            labels = np.full((len(at), width), -1, dtype=np.int64)
+            labels[rows, at.flatten().to_numpy()] = lookup[cluster.indices.to_numpy(zero_copy_only=False)]
+            base = len(codes)
+            for p, (i, j) in enumerate(places):
+                both = (labels[:, i] >= 0) & (labels[:, j] >= 0)
+                seen, n = np.unique(labels[both, i] * base + labels[both, j], return_counts=True)
+                for code, count in zip(seen.tolist(), n.tolist()):
+                    key = (p, code // base, code % base)
+                    held[key] = held.get(key, 0) + count
+            if len(held) > HELD_COUNTS:
+                yield flush()
+        if held:
+            yield flush()
+
+    return run
 
 
 def clustering_id(set_name, rep):

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("harmonise", "joins", "aggregates", "sampling", "scalars", "scans")
+MODULES = ("harmonise", "joins", "aggregates", "sampling", "scalars", "scans", "models", "scoring")
 
 
 def registry() -> tuple[dict, dict]:
