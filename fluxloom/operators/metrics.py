@@ -19,6 +19,7 @@ MAX_PAIRS = 100_000
 HELD_COUNTS = 1_000_000
 # Contingency rows that the greedy match reads into one process; larger tables are matched in rounds.
 GREEDY_ROWS = 200_000
+PAIR = ["set_a", "rep_a", "set_b", "rep_b"]
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -53,10 +54,11 @@ def pair_counts(clusterings: DataFrame, pairs: list[tuple]) -> DataFrame:
     places = np.array([(at[a], at[b]) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
     counted = rows.mapInArrow(_count_pairs(places, len(used)), "p int, a string, b string, n bigint").groupBy(
         "p", "a", "b").agg(F.sum("n").alias("n"))
-    named = F.array(*[F.struct(F.lit(a[0]).alias("set_a"), F.lit(int(a[1])).cast("bigint").alias("rep_a"),
-                               F.lit(b[0]).alias("set_b"), F.lit(int(b[1])).cast("bigint").alias("rep_b"))
-                      for a, b in pairs])
-    return counted.select(F.get(named, "p").alias("q"), "a", "b", "n").select("q.*", "a", "b", "n")
+    # A local relation of known size: Catalyst broadcasts it.
+    named = clusterings.sparkSession.createDataFrame(
+        [(p, a[0], int(a[1]), b[0], int(b[1])) for p, (a, b) in enumerate(pairs)],
+        "p int, set_a string, rep_a bigint, set_b string, rep_b bigint")
+    return counted.join(named, "p").select(*PAIR, "a", "b", "n")
 
 
 def _count_pairs(places: np.ndarray, width: int):
@@ -99,9 +101,6 @@ def clustering_id(set_name, rep):
     return F.concat_ws("#", set_name, rep)
 
 
-PAIR = ["set_a", "rep_a", "set_b", "rep_b"]
-
-
 def ari_from_counts(counts: DataFrame, pair: list[str] = PAIR) -> DataFrame:
     """Adjusted Rand index per pair from contingency rows (pair..., a, b, n). A zero denominator gives 1."""
 

@@ -3,9 +3,12 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from functools import wraps
 
 from pyspark.sql import functions as F
 
+from fluxloom.session import ship_package
+
 QUERIES: dict[str, Callable] = {}
 ORACLES: dict[str, str] = {}
 
@@ -16,7 +19,13 @@ def query(name: str, sql: str | None = None):
     def wrap(fn):
         if name in QUERIES:
             raise KeyError(f"{name} is registered twice")
-        QUERIES[name] = fn
+
+        @wraps(fn)
+        def run(spark, sf_dir):
+            ship_package(spark)
+            return fn(spark, sf_dir)
+
+        QUERIES[name] = run
         if sql is not None:
             ORACLES[name] = sql.strip()
         return fn
