@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.functions.vectors import to_lists, to_matrix
 from fluxloom.operators.distance import Centres, nearest, nearest_of_each
+from fluxloom.operators.lloyd import fit_many
 from fluxloom.operators.moments import group_sums
 
 
@@ -50,14 +51,11 @@ def kmeans_cluster(rows: DataFrame, k: int | None = None, seed: int = 0, out: st
 def kmeans_repeats(rows: DataFrame, set_name: str, n: int, k: int | None = None, seed: int = 0) -> DataFrame:
     """``n`` independent clusterings, long: (set_name, rep, row_id, cluster).
 
-    The rows are kept once for all fits, and one pass assigns them under every fit.
+    All fits advance together, and one pass assigns the rows under every fit.
     """
     k = k or n_labels(rows)
-    models = []
-    with fitting_input(rows) as vectors:
-        for rep in range(n):
-            centres, _ = kmeans_fit(vectors, k, seed + rep)
-            models.append(Centres(list(range(len(centres))), centres, name=(set_name, rep)))
+    fits = fit_many(rows, [(k, seed + rep) for rep in range(n)], "row_id")
+    models = [Centres(list(range(k)), f.centres, name=(set_name, rep)) for rep, f in enumerate(fits)]
     return nearest_of_each(rows.select("row_id", "v"), "v", models).drop("seed_label")
 
 
@@ -67,25 +65,16 @@ def wcss_curve(stages: DataFrame, max_k: int, n: int = 1, seed: int = 0) -> Data
     names = sorted(r["stage"] for r in stages.select("stage").distinct().collect())  # at most three stages
     for stage in names:
         rows = stages.filter(F.col("stage") == stage)
-        with fitting_input(rows) as vectors:
-            count = vectors.count()
-            for k in range(1, max_k + 1):
-                if k == 1:  # the fit needs two clusters; one cluster is the mean
-                    costs = [total_squares(rows)]
-                else:
-                    costs = [kmeans_fit(vectors, k, seed + rep)[1] for rep in range(n)]
-                scaled = np.array(costs) / count
-                found.append((stage, k, float(scaled.mean()), float(scaled.std())))
+        count = rows.count()
+        # One cluster is the mean, whatever the seed.
+        specs = [(1, seed)] + [(k, seed + rep) for k in range(2, max_k + 1) for rep in range(n)]
+        fits = fit_many(rows, specs, "row_id")
+        for k in range(1, max_k + 1):
+            scaled = np.array([f.cost for f in fits if f.k == k]) / count
+            found.append((stage, k, float(scaled.mean()), float(scaled.std())))
     return stages.sparkSession.createDataFrame(found, "stage string, k bigint, wcss double, wcss_std double")
 
 
-def total_squares(rows: DataFrame, v: str = "v") -> float:
-    """Sum of squared distances to the mean."""
-    total = group_sums(rows.withColumn("_all", F.lit("all")), "_all", v).first()
-    centre = Centres([0], np.array([total["total"]]) / total["n"])
-    return float(nearest(rows, v, centre, "c", d2="d2").agg(F.sum("d2")).first()[0])
-
-
 def kmeans_assign(rows: DataFrame, centres: Centres, out: str = "cluster") -> DataFrame:
     """Nearest of given centres with the squared distance; the sum of it is the WCSS."""
     return nearest(rows, "v", centres, out, d2="d2")

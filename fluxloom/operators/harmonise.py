@@ -45,10 +45,11 @@ def add_source_columns(flux: DataFrame) -> DataFrame:
 
 def reaction_sets(flux: DataFrame) -> DataFrame:
     """Union of all reactions with the number of files that carry each; core = carried by every file."""
-    files = flux.agg(F.count_distinct("file_name")).scalar()
+    # Both uses of the distinct pairs share one shuffle.
+    carried = flux.select("reaction", "file_name").distinct()
+    files = carried.agg(F.count_distinct("file_name")).scalar()
     return (
-        flux.select("reaction", "file_name").distinct()
-        .groupBy("reaction").agg(F.count(F.lit(1)).alias("n_files"))
+        carried.groupBy("reaction").agg(F.count(F.lit(1)).alias("n_files"))
         .withColumn("is_core", F.col("n_files") == files)
     )
 

@@ -19,7 +19,7 @@ stats as (select reaction, n_samples, mu, case when var = 0 then 1.0::double els
 with {fx.FLUX}, {STATS_SQL}
 select reaction, n_samples, {R6('mu')} as mu, {R6('sd')} as sd from stats""")
 def flux_stats(spark, sf):
-    return stats.flux_stats(fx.flux(spark, sf)).select("reaction", "n_samples", r6(F.col("mu")).alias("mu"),
+    return stats.flux_stats(fx.flux_table(spark, sf)).select("reaction", "n_samples", r6(F.col("mu")).alias("mu"),
                                                        r6(F.col("sd")).alias("sd"))
 
 
@@ -30,7 +30,7 @@ select pos, reaction, {R6('mu')} as mu, {R6('sd')} as sd from stats join asked u
 def flux_stats_subset(spark, sf):
     asked = fx.table(spark, sf, "part").filter("p_size <= 5").groupBy(
         F.concat_ws("/", "p_brand", "p_type").alias("reaction")).agg(F.min("p_partkey").alias("pos"))
-    found = stats.flux_stats(fx.flux(spark, sf)).join(asked, "reaction")
+    found = stats.flux_stats(fx.flux_table(spark, sf)).join(asked, "reaction")
     return found.select("pos", "reaction", r6(F.col("mu")).alias("mu"), r6(F.col("sd")).alias("sd")).orderBy("pos")
 
 
@@ -49,7 +49,7 @@ with {fx.FLUX}, n as (select label, count(*) as n_rows from (select distinct lab
                       group by 1)
 select label, reaction, {R6('sum(flux) / n_rows')} as mean from flux join n using (label) group by label, reaction, n_rows""")
 def group_centroids(spark, sf):
-    centroids = classify.centroids_long(fx.flux(spark, sf), "label")
+    centroids = classify.centroids_long(fx.flux_table(spark, sf), "label")
     return centroids.select("label", "reaction", r6(F.col("mean")).alias("mean"))
 
 
@@ -244,7 +244,7 @@ wide as (select reaction, case when lo = hi then lo - 0.5 else lo end as lo,
 select reaction, label, cast(least(floor((x - lo) / (hi - lo) * 40), 39) as bigint) as bin, count(*) as n
 from dense join wide using (reaction) group by 1, 2, 3""")
 def histogram_query(spark, sf):
-    return histogram.histogram(fx.flux(spark, sf), 40)
+    return histogram.histogram(fx.flux_table(spark, sf), 40)
 
 
 @query("global_bounds", f"""

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxloom.operators.ranking import rank_in_buckets
+from fluxloom.session import settle
 
 
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
@@ -44,6 +45,11 @@ def flux(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+def flux_table(spark: SparkSession, sf: str) -> DataFrame:
+    """The same rows, written once: for queries that read them more than once."""
+    return settle(flux(spark, sf), "flux")
+
+
 # --- models ---------------------------------------------------------------------------------------
 
 MODEL_STOICH = """model_stoich as (

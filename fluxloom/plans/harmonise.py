@@ -55,7 +55,7 @@ with {fx.FLUX}, {NAMES}
 select file_name, label, sample_n, coalesce(new_name, reaction) as reaction, flux
 from flux left join names using (label, reaction)""")
 def rename_reactions(spark, sf):
-    flux = fx.flux(spark, sf)
+    flux = fx.flux_table(spark, sf)
     renamed = H.rename_reactions(flux, names(flux))
     return renamed.select("file_name", "label", "sample_n", "reaction", "flux")
 
@@ -65,7 +65,7 @@ with {fx.FLUX}, {NAMES}
 select file_name, label, sample_n, coalesce(new_name, reaction) as reaction, sum(flux) as flux
 from flux left join names using (label, reaction) group by 1, 2, 3, 4""")
 def collapse_duplicates(spark, sf):
-    flux = fx.flux(spark, sf)
+    flux = fx.flux_table(spark, sf)
     return H.collapse_duplicates(H.rename_reactions(flux, names(flux)))
 
 
@@ -80,7 +80,7 @@ def rename_collision_check(spark, sf):
 with {fx.FLUX}
 select label, dense_rank() over (order by file_name) - 1 as file_n, sample_n, file_name, reaction, flux from flux""")
 def add_source_columns(spark, sf):
-    bare = fx.flux(spark, sf).drop("label")
+    bare = fx.flux_table(spark, sf).drop("label")
     return H.add_source_columns(bare).select(*H.SOURCE_COLUMNS, "reaction", "flux")
 
 
@@ -109,7 +109,7 @@ SETS_SQL = """sets as (
 with {fx.FLUX}, {SETS_SQL}
 select 'inner' as kind, reaction from sets where is_core union all select 'outer', reaction from sets""")
 def select_reaction_set(spark, sf):
-    sets = H.reaction_sets(fx.flux(spark, sf))
+    sets = H.reaction_sets(fx.flux_table(spark, sf))
     return H.select_reaction_set(sets, "inner").select(F.lit("inner").alias("kind"), "reaction").union(
         H.select_reaction_set(sets, "outer").select(F.lit("outer"), "reaction"))
 
@@ -123,7 +123,7 @@ drawn as (select 'drawn' as choice, reaction from (select distinct reaction from
 select choice, file_name, label, sample_n, reaction, flux
 from flux join (select * from named union all select * from drawn) r using (reaction)""")
 def extract_fluxes(spark, sf):
-    flux, part = fx.flux(spark, sf), fx.table(spark, sf, "part")
+    flux, part = fx.flux_table(spark, sf), fx.table(spark, sf, "part")
     named = part.filter("p_retailprice > 1500").select(F.concat_ws("/", "p_brand", "p_type").alias("reaction")).union(
         part.select(F.concat_ws("/", F.lit("unknown"), "p_type")))
     columns = ["file_name", "label", "sample_n", "reaction", "flux"]
@@ -176,7 +176,7 @@ select file_name, sample_n, (select count(*) from target) + 1 as n,
        coalesce(sum(flux * pos), 0) as ordered_sum
 from flux left join target using (reaction) group by 1, 2""")
 def convert_reactions(spark, sf):
-    flux = fx.flux(spark, sf)
+    flux = fx.flux_table(spark, sf)
     dim = settle(stats.reaction_dim(flux), "dictionary")
     source = stats.Dictionary.collect(dim)
     core = stats.Dictionary.collect(dim.filter("is_core")).reactions
@@ -218,7 +218,7 @@ train as (select reaction, row_number() over (order by reaction) as pos
 select file_name, sample_n, (select count(*) from train) as n, coalesce(sum(flux * pos), 0) as ordered_sum
 from flux join files using (file_name) left join train using (reaction) where rn > 6 group by 1, 2""")
 def align_test_to_train(spark, sf):
-    flux = fx.flux(spark, sf)
+    flux = fx.flux_table(spark, sf)
     splits = nested_train_test(flux, [6])
     tagged = flux.join(splits, "file_name")
     train, test = tagged.filter("split = 'train_0'"), tagged.filter("split = 'test'")

@@ -39,7 +39,7 @@ def outer_concat_runs(spark, sf):
 
 @query("reaction_sets", f"with {fx.FLUX}, {SETS_SQL} select reaction, n_files, is_core from sets")
 def reaction_sets(spark, sf):
-    return H.reaction_sets(fx.flux(spark, sf))
+    return H.reaction_sets(fx.flux_table(spark, sf))
 
 
 @query("combine_samples", f"""
@@ -50,7 +50,7 @@ select 'U' as action, file_name, reaction, n_cells, total from live
 union all
 select 'I', file_name, reaction, n_cells, total from live where reaction in (select reaction from sets where is_core)""")
 def combine_samples(spark, sf):
-    flux = fx.flux(spark, sf)
+    flux = fx.flux_table(spark, sf)
 
     def summary(action):
         return H.combine_samples(flux, action).groupBy(
@@ -127,7 +127,7 @@ with {fx.FLUX}
 select file_name, sample_n, sum(flux) as total, max(case when flux > 0 then flux end) as top
 from flux group by 1, 2""")
 def row_align_join(spark, sf):
-    flux = fx.flux(spark, sf)
+    flux = fx.flux_table(spark, sf)
     totals = flux.groupBy(*H.ROW_KEY).agg(F.sum("flux").alias("total"))
     tops = flux.filter("flux > 0").groupBy(*H.ROW_KEY).agg(F.max("flux").alias("top"))
     return totals.join(tops, H.ROW_KEY, "left")
@@ -164,7 +164,7 @@ from part where p_brand || '/' || p_type not in (select reaction from sets where
 def missing_model_reactions(spark, sf):
     model = fx.table(spark, sf, "part").select(
         (F.col("p_partkey") % 4).alias("model"), F.concat_ws("/", "p_brand", "p_type").alias("reaction")).distinct()
-    core = H.select_reaction_set(H.reaction_sets(fx.flux(spark, sf)), "inner")
+    core = H.select_reaction_set(H.reaction_sets(fx.flux_table(spark, sf)), "inner")
     return H.unknown_reactions_by(model, core, "model")
 
 

@@ -9,6 +9,7 @@ from fluxloom.operators.harmonise import ROW_KEY
 from fluxloom.plans import fixtures as fx
 from fluxloom.plans.joins import RUNS
 from fluxloom.plans.register import R6, query, r6
+from fluxloom.session import settle
 
 SAMPLES = f"""{fx.FLUX},
 samples as (select distinct file_name, sample_n from flux)"""
@@ -25,7 +26,8 @@ ranked as (select file_name, sample_n, md5('{seed}|' || file_name || '|' || cast
 
 
 def samples(spark, sf):
-    return sampling.sample_rows(fx.flux(spark, sf))
+    """The sample keys, written once: ranking reads them for sizes, for bucket counts and for rows."""
+    return settle(sampling.sample_rows(fx.flux(spark, sf)), "samples")
 
 
 @query("ema_smooth", f"""

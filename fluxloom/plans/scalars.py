@@ -27,7 +27,7 @@ def dictionary(flux, ddof=0):
 with {fx.FLUX}, {STATS_SQL}, {DENSE}
 select file_name, sample_n, reaction, {R6('(x - mu) / sd')} as z from dense""")
 def zscore(spark, sf):
-    flux = fx.flux(spark, sf)
+    flux = fx.flux_table(spark, sf)
     layout = dictionary(flux)
     scaled = stats.dense_samples(flux, layout, ROW_KEY, scaled=True)
     return stats.explode_vectors(scaled, layout, ROW_KEY, out="z").withColumn("z", r6(F.col("z")))
@@ -39,7 +39,7 @@ select file_name, sample_n, count(*) as n, {R6('sum(x)')} as total, {R6('sum(x *
 group by 1, 2""")
 def zscore_inverse(spark, sf):
     """Scaling and its inverse give the dense samples back."""
-    flux = fx.flux(spark, sf)
+    flux = fx.flux_table(spark, sf)
     layout = dictionary(flux)
     scaled = stats.dense_samples(flux, layout, ROW_KEY, scaled=True)
     back = scaled.withColumn("v", stats.affine(F.col("v"), layout.mu, layout.sd, inverse=True))
@@ -63,7 +63,7 @@ select file_name, sample_n, {R6('min((x - mu) / sd)')} as least, {R6('max((x - m
        {R6('sum((x - mu) / sd)')} as total
 from dense group by 1, 2""")
 def zscore_sample_std(spark, sf):
-    flux = fx.flux(spark, sf)
+    flux = fx.flux_table(spark, sf)
     scaled = stats.dense_samples(flux, dictionary(flux, ddof=1), ROW_KEY, scaled=True)
     return scaled.select("file_name", "sample_n", r6(F.array_min("v")).alias("least"),
                          r6(F.array_max("v")).alias("most"), r6(total("v")).alias("total"))

@@ -11,13 +11,13 @@ from fluxloom.plans import fixtures as fx
 from fluxloom.plans.joins import FILES, files
 from fluxloom.plans.register import R6, query, r6
 from fluxloom.plans.sampling import SAMPLES, ranked
-from fluxloom.session import scratch_path
+from fluxloom.session import scratch_path, settle
 from fluxloom.sources import flux_csv, sbml, tables
 
 
 def written_csv(spark, sf):
     path = scratch_path(spark, "flux-csv")
-    flux_csv.write(fx.flux(spark, sf), path, rows_per_part=128)
+    flux_csv.write(fx.flux_table(spark, sf), path, rows_per_part=128)
     return path
 
 
@@ -66,7 +66,7 @@ first as (select file_name, sample_n from samples
           qualify row_number() over (partition by file_name order by sample_n) <= 25)
 select file_name, label, sample_n, reaction, flux from flux join first using (file_name, sample_n)""")
 def scan_head_n(spark, sf):
-    return flux_csv.head(fx.flux(spark, sf), 25).select("file_name", "label", "sample_n", "reaction", "flux")
+    return flux_csv.head(fx.flux_table(spark, sf), 25).select("file_name", "label", "sample_n", "reaction", "flux")
 
 
 SPECIES = """species as (
@@ -146,8 +146,8 @@ mixed as (select file_name, sample_n, 7 - ntile(7) over (partition by file_name
 select mix, file_name, count(*) as n_cells, sum(flux) as total from mixed join flux using (file_name, sample_n)
 group by 1, 2""")
 def write_mixes(spark, sf):
-    flux, path = fx.flux(spark, sf), scratch_path(spark, "mixes")
-    mixes = sampling.mix_split(sampling.sample_rows(flux), 7, seed=6)
+    flux, path = fx.flux_table(spark, sf), scratch_path(spark, "mixes")
+    mixes = sampling.mix_split(settle(sampling.sample_rows(flux), "samples"), 7, seed=6)
     tables.write_mixes(flux.join(mixes, ["file_name", "sample_n"]), path)
     return spark.read.parquet(path).groupBy(F.col("mix").cast("bigint").alias("mix"), "file_name").agg(
         F.count(F.lit(1)).alias("n_cells"), F.sum("flux").alias("total"))
