@@ -35,7 +35,7 @@ class Centres:
 
     def __post_init__(self):
         if self.matrix.nbytes > BROADCAST_BYTES:
-            raise TooLarge(f"{self.matrix.nbytes} bytes of centres; use nearest_in_blocks")
+            raise TooLarge(f"{self.matrix.nbytes} bytes of centres; use nearest_in_turns")
 
     @classmethod
     def from_rows(cls, rows, id_col, v_col, extra=None, name=()):
@@ -109,37 +109,27 @@ def nearest_of_each(df: DataFrame, v_col: str, models: list[Centres]) -> DataFra
         F.col("p.c.cluster").alias("cluster"), F.col("p.c.seed_label").alias("seed_label"))
 
 
-def nearest_in_blocks(df: DataFrame, key: str, v_col: str, centres: DataFrame, id_col: str, c_col: str,
-                      block_rows: int = 2_000, out: str = "cluster") -> DataFrame:
-    """Nearest centre when the centres exceed the broadcast bound.
+def nearest_in_turns(df: DataFrame, v_col: str, centres: DataFrame, id_col: str, c_col: str,
+                     out: str = "cluster", turn_rows: int | None = None) -> DataFrame:
+    """Nearest centre when the centres together exceed the broadcast bound.
 
-    Centres are cut into blocks of about ``block_rows``; each row meets each block once, and the least
-    ``(distance, id)`` over blocks is kept by a partial + final aggregate.
+    The centres are cut into parts that each fit; the rows are scored against one part at a time and the
+    least ``(distance, id)`` so far is written with them. Rows are never shuffled or multiplied.
     """
     stored = settle(centres.select(F.col(id_col).alias("id"), F.col(c_col).alias("c")), "centres")
-    blocks = max(1, -(-stored.count() // block_rows))
-    packed = (
-        stored.withColumn("_block", F.pmod(F.xxhash64("id"), F.lit(blocks)))
-        .groupBy("_block").agg(F.sort_array(F.collect_list(F.struct("id", "c"))).alias("_centres"))
-    )
-    kind = dict(stored.dtypes)["id"]
-
-    @F.arrow_udf(f"struct<d2 double, id {kind}>")
-    def find(v: pa.Array, packs: pa.Array) -> pa.Array:
-        ids, dist = [], []
-        rows = to_matrix(v)
-        for row, pack in zip(rows, packs):
-            block = to_matrix(pack.values.field("c"), rows.shape[1])
-            d2 = squared_distances(block, row[None, :])[:, 0]
-            ids.append(pack.values.field("id")[int(d2.argmin())].as_py())
-            dist.append(float(d2.min()))
-        return pa.StructArray.from_arrays([pa.array(dist), pa.array(ids)], ["d2", "id"])
-
-    spread = df.select(key, v_col, F.explode(F.sequence(F.lit(0), F.lit(blocks - 1))).cast("bigint").alias("_block"))
-    return (
-        spread.join(packed, "_block").select(key, find(v_col, "_centres").alias("_near"))
-        .groupBy(key).agg(F.min("_near").alias("_near")).select(key, F.col("_near.id").alias(out), "_near.d2")
-    )
+    size = stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.size("c")).alias("d")).first()
+    # Parts are cut by hash, so they are aimed at half of the bound.
+    per_turn = turn_rows or max(1, min(MAX_CENTRES, BROADCAST_BYTES // (8 * (size["d"] or 1))) // 2)
+    turns = max(1, -(-size["n"] // per_turn))
+    best = df.withColumn("_best", F.lit(None).cast(f"struct<d2 double, id {dict(stored.dtypes)['id']}>"))
+    for turn in range(turns):
+        part = stored.filter(F.pmod(F.xxhash64("id"), F.lit(turns)) == turn)
+        if part.isEmpty():
+            continue
+        scored = nearest(best, v_col, Centres.collect(part, "id", "c"), "_id", d2="_d2")
+        found = F.struct(F.col("_d2").alias("d2"), F.col("_id").alias("id"))
+        best = settle(scored.withColumn("_best", F.least("_best", found)).drop("_d2", "_id"), "nearest")
+    return best.withColumn(out, F.col("_best.id")).drop("_best")
 
 
 def distances(df: DataFrame, v_col: str, centres: Centres, keys: list[str], out: str = "centre") -> DataFrame:

@@ -32,8 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 
 
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path under the shared folder."""
-    return f"{shared_dir(spark)}/fluxloom/{tag}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder."""
+    return f"{shared_dir(spark)}/fluxloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
 
 
 def settle(df: DataFrame, tag: str = "settled", partition_by: list[str] | None = None) -> DataFrame:
