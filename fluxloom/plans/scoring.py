@@ -67,7 +67,8 @@ def exploded(df, column, out="x"):
         "row_id", F.col("i").cast("bigint").alias("i"), r6(F.col(out)).alias(out))
 
 
-KEY = row_key(0, "row_id")
+def key():
+    return row_key(0, "row_id")
 
 
 @query("vae_encode", f"""
@@ -76,8 +77,8 @@ select row_id, i, {R6('mu')} as mu, {R6('mu + exp(0.5 * lv)')} as sampled from m
 def vae_encode(spark, sf):
     rows = fx.emb(spark, sf)
     # Unit noise makes the sampled form repeatable in SQL; the default noise is normal, by row key.
-    means = exploded(rows.withColumn("z", scorer().encode("v", KEY)), "z", "mu")
-    drawn = exploded(rows.withColumn("z", scorer(sample=True, eps="ones").encode("v", KEY)), "z", "sampled")
+    means = exploded(rows.withColumn("z", scorer().encode("v", key())), "z", "mu")
+    drawn = exploded(rows.withColumn("z", scorer(sample=True, eps="ones").encode("v", key())), "z", "sampled")
     return means.join(drawn, ["row_id", "i"])
 
 
@@ -85,7 +86,7 @@ def vae_encode(spark, sf):
 with {fx.EMB}, {sql_model()} select row_id, i, {R6('x')} as x from m0_out""")
 def vae_decode(spark, sf):
     s = scorer()
-    coded = fx.emb(spark, sf).withColumn("z", s.encode("v", KEY))
+    coded = fx.emb(spark, sf).withColumn("z", s.encode("v", key()))
     return exploded(coded.withColumn("r", s.decode("z", "v")), "r")
 
 
@@ -121,7 +122,7 @@ losses as (select row_id, rec + div + s as loss, rec as reconstruction_loss, div
 
 def row_losses(spark, sf):
     s = scorer(eps="ones", coefficients=SparseRows.collect(coefficients(spark, sf), NAMES), beta_s=BETA_S)
-    return fx.emb(spark, sf).withColumn("l", s.row_losses("v", KEY)).select("row_id", "label", "split", "l.*")
+    return fx.emb(spark, sf).withColumn("l", s.row_losses("v", key())).select("row_id", "label", "split", "l.*")
 
 
 PARTS = ["loss", "reconstruction_loss", "divergence_loss", "stoicheometry_loss"]
@@ -164,7 +165,7 @@ def save_load_model(spark, sf):
         store.save(spark, model(shift), folder, epoch)
     store.save(spark, model(1), folder, 9, test_min=True)
     loaded = Scorer(store.load(spark, folder), NAMES)
-    return exploded(fx.emb(spark, sf).withColumn("z", loaded.encode("v", KEY)), "z", "mu")
+    return exploded(fx.emb(spark, sf).withColumn("z", loaded.encode("v", key())), "z", "mu")
 
 
 @query("vae_fit")
