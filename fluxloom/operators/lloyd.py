@@ -21,6 +21,8 @@ from fluxloom.session import BROADCAST_BYTES, TooLarge
 
 # Rows that the starting centres are chosen from; all rows take part in every iteration.
 START_ROWS = 4_000
+# Rows of partial sums that the driver adds up itself.
+DIRECT_ROWS = 2_000
 
 
 @dataclass
@@ -46,42 +48,55 @@ def start_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
 
 def fit_many(rows: DataFrame, specs: list[tuple[int, int]], key: str, v: str = "v", max_iter: int = 100,
              tol: float = 1e-4) -> list[Fit]:
-    """One fit per (k, seed). Stops a fit when no centre moves by more than ``tol``."""
+    """One fit per (k, seed).
+
+    A fit stops when the squared moves of its centres add up to at most ``tol`` times the mean variance
+    of a column.
+    """
     sample = sample_cap(rows.select(key, v), START_ROWS, seed=0, keys=[key]).select(key, v).collect()  # START_ROWS at most
     start = np.array([r[v] for r in sorted(sample, key=lambda r: r[key])], dtype=np.float64)
     fits = [Fit(k, seed, start_centres(start, k, seed)) for k, seed in specs]
+    still = tol * float(start.var(axis=0).mean())
     if sum(f.centres.nbytes for f in fits) > BROADCAST_BYTES:
         raise TooLarge("the centres of all fits are above the broadcast bound; fit them in turns")
     kept = rows.select(v).persist(StorageLevel.MEMORY_AND_DISK)
+    tasks = kept.rdd.getNumPartitions()
     try:
         for _ in range(max_iter):
             open_fits = [f for f in fits if not f.done]
             if not open_fits:
                 break
-            advance(kept, open_fits, v, tol)
-        advance(kept, fits, v, None)  # the cost of the final centres
+            advance(kept, tasks, open_fits, v, still)
+        advance(kept, tasks, fits, v, None)  # the cost of the final centres
     finally:
         kept.unpersist()
     return fits
 
 
-def advance(rows: DataFrame, fits: list[Fit], v: str, tol: float | None) -> None:
-    """Assign all rows under every fit, then move the centres (or only take the cost, if tol is None)."""
+def advance(rows: DataFrame, tasks: int, fits: list[Fit], v: str, still: float | None) -> None:
+    """Assign all rows under every fit, then move the centres (or only take the cost, if still is None)."""
     matrices = [f.centres for f in fits]
     partial = rows.mapInArrow(_assign(matrices, v), "fit int, cluster int, n bigint, cost double, total array<double>")
-    # Tasks emit one row per (fit, cluster); these meet by key, and the driver receives the size of the models.
-    spread = max(1, min(200, sum(len(m) for m in matrices) // 64))
-    summed = partial.repartition(spread, "fit", "cluster").mapInArrow(_add, partial.schema).collect()
+    # Tasks emit one row per (fit, cluster). Rows of many tasks meet by key first, so the driver receives
+    # no more than the size of the models; those of a few tasks come to it as they are.
+    clusters = sum(len(m) for m in matrices)
+    if tasks * clusters > DIRECT_ROWS:
+        partial = partial.repartition(max(1, min(200, clusters // 64)), "fit", "cluster").mapInArrow(
+            _add, partial.schema)
     costs = np.zeros(len(fits))
-    moved = [f.centres.copy() for f in fits]
-    for r in summed:
+    sizes = [np.zeros(len(m)) for m in matrices]
+    totals = [np.zeros(m.shape) for m in matrices]
+    for r in partial.collect():
         costs[r["fit"]] += r["cost"]
-        if r["n"]:
-            moved[r["fit"]][r["cluster"]] = np.array(r["total"]) / r["n"]
+        sizes[r["fit"]][r["cluster"]] += r["n"]
+        totals[r["fit"]][r["cluster"]] += np.array(r["total"])
+    # A cluster without rows keeps its centre.
+    moved = [np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], f.centres)
+             for n, total, f in zip(sizes, totals, fits)]
     for i, f in enumerate(fits):
         f.cost = float(costs[i])
-        if tol is not None:
-            f.done = float(((moved[i] - f.centres) ** 2).sum(axis=1).max()) <= tol * tol
+        if still is not None:
+            f.done = float(((moved[i] - f.centres) ** 2).sum()) <= still
             f.centres = moved[i]
 
 

@@ -16,6 +16,8 @@ from fluxloom.session import settle
 
 # Fixed value: a chunk below this share of the intended size is dropped.
 MIN_CHUNK_SHARE = 0.8
+# Chunk numbers that are listed at a time.
+CHUNK_BLOCK = 256
 
 
 def sample_rows(flux: DataFrame) -> DataFrame:
@@ -69,13 +71,21 @@ def epoch_rotation(chunks: DataFrame, epochs: int, seed: int) -> DataFrame:
 
     ``chunks``: output of ``chunk_table``. The order within a cycle is by draw of (file, cycle, chunk).
     """
+    chunks = chunks.filter("n_chunks > 0")
     turns = chunks.select("file_name", "n_chunks", F.explode(F.sequence(F.lit(0), F.lit(epochs - 1))).alias("epoch"))
     n = F.col("n_chunks")
     turns = turns.withColumn("cycle", F.floor(F.col("epoch") / n)).withColumn("rn", F.col("epoch") % n + 1)
     cycles = chunks.select(
         "file_name", "n_chunks",
         F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor(F.lit(epochs - 1) / n))).alias("cycle"))
-    numbered = cycles.select("file_name", "cycle", F.explode(F.sequence(F.lit(0).cast("bigint"), n - 1)).alias("chunk"))
+    # Chunk numbers in two steps, so that a file of very many chunks never makes one large array.
+    block = F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((n - 1) / CHUNK_BLOCK)))
+    inside = F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(CHUNK_BLOCK - 1).cast("bigint")))
+    numbered = (
+        cycles.withColumn("_block", block).withColumn("_at", inside)
+        .withColumn("chunk", F.col("_block") * CHUNK_BLOCK + F.col("_at")).filter(F.col("chunk") < n)
+        .select("file_name", "cycle", "chunk")
+    )
     order = rank_by_draw(numbered, ["file_name", "cycle"], draw(seed, "file_name", "cycle", "chunk"),
                          at_most=epochs).drop("n_rows")
     return turns.join(order, ["file_name", "cycle", "rn"]).select(

@@ -6,7 +6,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.functions.vectors import row_blocks, to_lists, to_matrix
@@ -64,6 +64,10 @@ class Dictionary:
         rows = sorted(bounded_rows(dim.select("reaction", "mu", "sd"), MAX_REACTIONS, "the reaction dictionary"))
         return cls([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
 
+    def table(self, spark: SparkSession) -> DataFrame:
+        """The layout as a table (reaction, at). Its size is known, so Catalyst broadcasts it only if small."""
+        return spark.createDataFrame([(r, i) for i, r in enumerate(self.reactions)], "reaction string, at int")
+
     def subset(self, reactions: list[str]) -> Dictionary:
         """Chosen reactions, in the given order; unknown ones are left out."""
         keep = [r for r in reactions if r in self.index]
@@ -75,31 +79,32 @@ def dense_samples(flux: DataFrame, dictionary: Dictionary, keys: list[str] | Non
                   scaled: bool = False, out: str = "v") -> DataFrame:
     """One row per sample with its dense vector; absent cells are 0 before scaling.
 
-    One shuffle on the sample key carries (name, value) pairs; the scatter into vectors is per batch.
-    Reactions outside the dictionary are left out, but their samples stay.
+    Long reaction names are swapped for positions first, so the one shuffle on the sample key carries
+    (position, value) pairs; the scatter into vectors is per batch. Reactions outside the dictionary are
+    left out, but their samples stay.
     """
     keys = keys or ["file_name", "label", "sample_n"]
-    cells = flux.groupBy(*keys).agg(
-        F.collect_list("reaction").alias("_names"), F.collect_list(F.coalesce("flux", F.lit(0.0))).alias("_values"))
-    return cells.withColumn(out, scatter(dictionary, scaled)("_names", "_values")).drop("_names", "_values")
+    cells = (
+        flux.join(dictionary.table(flux.sparkSession), "reaction", "left")
+        .groupBy(*keys).agg(F.collect_list(F.when(F.col("at").isNotNull(), F.struct(
+            "at", F.coalesce("flux", F.lit(0.0)).alias("flux")))).alias("_cells"))
+    )
+    return cells.withColumn(out, scatter(dictionary, scaled)("_cells.at", "_cells.flux")).drop("_cells")
 
 
 def scatter(dictionary: Dictionary, scaled: bool = False):
-    """UDF (names, values) -> dense vector in dictionary order; repeated names add up."""
-    names = pa.array(dictionary.reactions, pa.string())
+    """UDF (positions, values) -> dense vector; values at the same position add up."""
     mu, sd, width = dictionary.mu, dictionary.sd, len(dictionary.reactions)
 
     @F.arrow_udf("array<double>")
-    def build(keys: pa.Array, values: pa.Array) -> pa.Array:
+    def build(at: pa.Array, values: pa.Array) -> pa.Array:
         parts = []
-        for part in row_blocks(len(keys), width):
-            k, v = keys.slice(part.start, part.stop - part.start), values.slice(part.start, part.stop - part.start)
+        for part in row_blocks(len(at), width):
+            k, v = (c.slice(part.start, part.stop - part.start) for c in (at, values))
             rows = np.repeat(np.arange(len(k)), k.value_lengths().to_numpy(zero_copy_only=False))
-            at = pa.compute.index_in(k.flatten(), value_set=names)
-            known = at.is_valid().to_numpy(zero_copy_only=False)
-            dense = np.zeros((len(k), width))
-            np.add.at(dense, (rows[known], at.drop_null().to_numpy()),
-                      v.flatten().to_numpy(zero_copy_only=False)[known])
+            flat = rows * width + k.flatten().to_numpy(zero_copy_only=False)
+            dense = np.bincount(flat, v.flatten().to_numpy(zero_copy_only=False), minlength=len(k) * width)
+            dense = dense.reshape(len(k), width)
             parts.append(to_lists((dense - mu) / sd if scaled else dense))
         return pa.concat_arrays(parts) if parts else pa.array([], pa.list_(pa.float64()))
 
@@ -136,11 +141,5 @@ def convert(v: Column, source: Dictionary, target: list[str]) -> Column:
 def explode_vectors(samples: DataFrame, dictionary: Dictionary, keys: list[str], v: str = "v",
                     out: str = "flux") -> DataFrame:
     """Dense vectors back to long rows, zeros included."""
-    names = pa.array(dictionary.reactions, pa.string())
-
-    @F.arrow_udf("string")
-    def name_of(at: pa.Array) -> pa.Array:
-        return names.take(at)
-
-    return samples.select(*keys, F.posexplode(v).alias("_at", out)).select(
-        *keys, name_of("_at").alias("reaction"), out)
+    cells = samples.select(*keys, F.posexplode(v).alias("at", out))
+    return cells.join(dictionary.table(samples.sparkSession), "at").select(*keys, "reaction", out)
