@@ -10,15 +10,21 @@ from pyspark.sql import functions as F
 
 from fluxloom.functions.text import model_name
 from fluxloom.operators.ranking import dense_index
+from fluxloom.session import settle
 
 ROW_KEY = ["file_name", "sample_n"]
 SOURCE_COLUMNS = ["label", "file_n", "sample_n", "file_name"]
 
 
 def rename_reactions(flux: DataFrame, names: DataFrame) -> DataFrame:
-    """Give each reaction its canonical name; unknown ids keep theirs. ``names``: (label, reaction, new_name)."""
+    """Give each reaction its canonical name; unknown ids keep theirs. ``names``: (label, reaction, new_name).
+
+    The names are settled, here as in the other operators that match cells with a table derived from
+    them: while that table is small the cells are not shuffled for the match.
+    """
+    known = settle(names.select("label", "reaction", "new_name"), "names")
     return (
-        flux.join(names.select("label", "reaction", "new_name"), ["label", "reaction"], "left")
+        flux.join(known, ["label", "reaction"], "left")
         .withColumn("reaction", F.coalesce("new_name", "reaction"))
         .drop("new_name")
     )
@@ -64,10 +70,15 @@ def select_reaction_set(sets: DataFrame, join: str) -> DataFrame:
 def project_fluxes(flux: DataFrame, reactions: list[str] | DataFrame) -> DataFrame:
     """Keep the named reactions. A list becomes a filter that reaches the scan; a table is a semi join."""
     if isinstance(reactions, DataFrame):
-        return flux.join(reactions.select("reaction").distinct(), "reaction", "left_semi")
+        return flux.join(listed(reactions), "reaction", "left_semi")
     return flux.filter(F.col("reaction").isin(reactions))
 
 
+def listed(reactions: DataFrame) -> DataFrame:
+    """Distinct reactions of a table, written once."""
+    return settle(reactions.select("reaction").distinct(), "reactions")
+
+
 def unknown_reactions(requested: DataFrame, flux: DataFrame) -> DataFrame:
     """Requested reactions that the data does not have."""
     return unknown_in(requested.select("reaction"), flux)
@@ -120,12 +131,14 @@ def combine_samples(flux: DataFrame, action: str) -> DataFrame:
     if action not in ("U", "I"):
         raise ValueError(f"action is 'U' or 'I', not {action!r}")
     # One pass finds both facts per (file, reaction): that the file carries it, and whether it is ever non-zero.
-    carried = flux.groupBy("file_name", "reaction").agg(F.bool_or(F.col("flux") != 0).alias("non_zero"))
+    carried = settle(
+        flux.groupBy("file_name", "reaction").agg(F.bool_or(F.col("flux") != 0).alias("non_zero")), "carried")
     if action == "I":
         files = carried.agg(F.count_distinct("file_name")).scalar()
         core = carried.groupBy("reaction").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") == files)
         carried = carried.join(core, "reaction", "left_semi")
-    return flux.join(carried.filter("non_zero"), ["file_name", "reaction"], "left_semi")
+    kept = settle(carried.filter("non_zero").select("file_name", "reaction"), "kept")
+    return flux.join(kept, ["file_name", "reaction"], "left_semi")
 
 
 def files_to_models(files: DataFrame, models: DataFrame) -> DataFrame:
@@ -137,12 +150,12 @@ def files_to_models(files: DataFrame, models: DataFrame) -> DataFrame:
 
 def align_to(test: DataFrame, train_reactions: DataFrame) -> DataFrame:
     """Test cells limited to the reactions of the training set; its missing ones are 0, so need no rows."""
-    return test.join(train_reactions.select("reaction").distinct(), "reaction", "left_semi")
+    return test.join(listed(train_reactions), "reaction", "left_semi")
 
 
 def passthrough(flux: DataFrame, model_reactions: DataFrame) -> DataFrame:
     """Cells of reactions that a model does not cover; they bypass it unchanged."""
-    return flux.join(model_reactions.select("reaction").distinct(), "reaction", "left_anti")
+    return flux.join(listed(model_reactions), "reaction", "left_anti")
 
 
 def extract_fluxes(flux: DataFrame, requested: DataFrame | None = None, n: int = 0, seed: int = 0) -> DataFrame:

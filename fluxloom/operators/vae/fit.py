@@ -146,7 +146,8 @@ def fit(train: DataFrame, vae: Vae, epochs: int, batch_size: int, lr: float, see
     tester = Scorer(vae, reactions, sample=True, eps=eps, coefficients=test_coefficients or coefficients,
                     beta_s=beta_s if test_beta_s is None else test_beta_s)
     keyed = shuffled_batches(train.select(*keys, "v"), batch_size, seed, keys)
-    stored = settle(keyed.repartition("batch"), "batches", ["batch"])
+    # AQE cuts large batches into files of its target size; each file is a task of the batch's step.
+    stored = settle(keyed.hint("rebalance", F.col("batch")), "batches", ["batch"])
     n_batches = stored.agg(F.max("batch")).first()[0] + 1
     held_out = None if test is None else settle(test.select(*keys, "v"), "test")
     adam, log, step, least = Adam(lr, vae.weight_decay), [], 0, np.inf

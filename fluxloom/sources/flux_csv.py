@@ -7,7 +7,7 @@ column per reaction.
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from fluxloom.functions.text import model_name
@@ -116,8 +116,12 @@ def write(flux: DataFrame, path: str, rows_per_part: int = 10_000) -> None:
     Each part starts with the header of its file, and a file is cut into as many parts as its rows
     need. A reaction that a sample lacks but its file has is written as 0.
     """
-    names = settle(flux.groupBy("file_name").agg(
-        F.sort_array(F.collect_set("reaction")).alias("names"), F.count_distinct("sample_n").alias("n_rows")), "names")
+    # Distinct first: a file then brings its reactions and samples to one task once, not once per task.
+    columns = flux.select("file_name", "reaction").distinct().groupBy("file_name").agg(
+        F.sort_array(F.collect_list("reaction")).alias("names"))
+    sizes = flux.select("file_name", "sample_n").distinct().groupBy("file_name").agg(
+        F.count(F.lit(1)).alias("n_rows"))
+    names = settle(columns.join(sizes, "file_name"), "names")
     parts = F.ceil(F.col("n_rows") / rows_per_part).cast("bigint")
     sample = flux.groupBy("file_name", "sample_n").agg(
         F.collect_list(F.struct("reaction", "flux")).alias("cells")).join(names, "file_name")
@@ -141,12 +145,11 @@ def write(flux: DataFrame, path: str, rows_per_part: int = 10_000) -> None:
 
 def head(flux: DataFrame, n: int) -> DataFrame:
     """Cells of the first n samples of each file."""
-    from pyspark.sql import Window
-
     order = Window.partitionBy("file_name").orderBy("sample_n")
     # Spark keeps n samples per file and task before the shuffle of this rank.
     first = (
         flux.select("file_name", "sample_n").distinct()
         .withColumn("rn", F.row_number().over(order)).filter(F.col("rn") <= n).drop("rn")
     )
+    first = settle(first, "first")
     return flux.join(first, ["file_name", "sample_n"], "left_semi")

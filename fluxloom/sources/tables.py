@@ -40,6 +40,5 @@ def append_log(evaluations: DataFrame, path: str) -> None:
 
 
 def write_mixes(cells: DataFrame, path: str) -> None:
-    """One folder per mix. Rows are spread by mix and sample first, so a mix is written by many tasks."""
-    salted = cells.withColumn("_salt", F.pmod(F.xxhash64("file_name", "sample_n"), F.lit(16)))
-    salted.repartition("mix", "_salt").drop("_salt").write.partitionBy("mix").parquet(path)
+    """One folder per mix. AQE cuts a mix into tasks of its target size, so none is written by one task."""
+    cells.hint("rebalance", F.col("mix")).write.partitionBy("mix").parquet(path)
