@@ -51,3 +51,19 @@ def parse_boolean(text: Column) -> Column:
         .when(low == "false", F.lit(False))
         .otherwise(F.raise_error(F.concat(F.lit("not a boolean: "), F.coalesce(text, F.lit("null")))))
     )
+
+
+def leading_label(file_name: Column) -> Column:
+    """Label from the small letters (and blanks, commas, hyphens, underscores) that open a file name."""
+    return F.regexp_extract(file_name, r"^[a-z ,\-_]*[a-z]", 0)
+
+
+def short_reaction_name(parts: Column) -> Column:
+    """Older reaction text: ``<name>(<compartment>)[<stoich>]`` by metabolite name.
+
+    ``parts``: array of (name, compartment, stoich text).
+    """
+    ordered = F.array_sort(parts)
+    texts = F.transform(ordered, lambda p: F.concat(p["name"], F.lit("("), p["compartment"], F.lit(")["), p["stoich"],
+                                                    F.lit("]")))
+    return F.replace(F.concat_ws("", texts), F.lit(","), F.lit("."))

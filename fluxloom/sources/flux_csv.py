@@ -6,6 +6,8 @@ column per reaction.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.errors import AnalysisException
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -105,6 +107,12 @@ def read(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
+def read_datasets(spark: SparkSession, paths: dict[str, str]) -> DataFrame:
+    """Several datasets in one table, told apart by the column ``dataset``."""
+    tagged = [read(spark, path).withColumn("dataset", F.lit(name)) for name, path in paths.items()]
+    return reduce(DataFrame.unionByName, tagged)
+
+
 def quote(name: Column) -> Column:
     doubled = F.concat(F.lit('"'), F.replace(name, F.lit('"'), F.lit('""')), F.lit('"'))
     return F.when(name.rlike('[",]'), doubled).otherwise(name)
