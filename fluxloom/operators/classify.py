@@ -5,6 +5,7 @@ from __future__ import annotations
 from functools import reduce
 
 from pyspark.ml.classification import MultilayerPerceptronClassifier, RandomForestClassifier
+from pyspark.ml.feature import IndexToString, StringIndexer
 from pyspark.ml.functions import array_to_vector
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -13,9 +14,7 @@ from fluxloom.operators.cluster import fitting_input
 from fluxloom.operators.distance import Centres, nearest
 from fluxloom.operators.harmonise import ROW_KEY
 from fluxloom.operators.moments import group_sums
-from fluxloom.session import bounded_rows
 
-MAX_CLASSES = 100_000
 
 
 def centroids_long(flux: DataFrame, group: str) -> DataFrame:
@@ -37,38 +36,32 @@ def nearest_centroid(train: DataFrame, test: DataFrame, group: str, v: str = "v"
     return nearest(test, v, model, out)
 
 
-def _indexed(train: DataFrame, group: str, v: str):
-    """Training rows with class numbers, and the sorted classes."""
-    classes = sorted(r[0] for r in bounded_rows(train.select(group).distinct(), MAX_CLASSES, "list of classes"))
-    number = F.array_position(F.array(*[F.lit(c) for c in classes]), F.col(group)) - 1
-    return train.select(number.cast("double").alias("y"), v), classes
-
-
-def _predict(model, rows: DataFrame, classes: list[str], v: str, out: str) -> DataFrame:
-    found = model.transform(rows.withColumn("features", array_to_vector(F.col(v))))
-    names = F.array(*[F.lit(c) for c in classes])
-    drop = [c for c in ("features", "rawPrediction", "probability", "prediction") if c not in rows.columns]
-    return found.withColumn(out, F.get(names, F.col("prediction").cast("int"))).drop(*drop)
+def _fit_and_predict(classifier, train: DataFrame, test: DataFrame, group: str, v: str, out: str) -> DataFrame:
+    """Fit on the training rows with classes numbered in sorted order, and name the predicted classes."""
+    index = StringIndexer(inputCol=group, outputCol="y", stringOrderType="alphabetAsc").fit(train)
+    with fitting_input(index.transform(train), "y", v=v) as vectors:
+        model = classifier(len(index.labels)).fit(vectors)
+    found = model.transform(test.withColumn("features", array_to_vector(F.col(v))))
+    names = IndexToString(inputCol="prediction", outputCol=out, labels=index.labels)
+    return names.transform(found).drop("features", "rawPrediction", "probability", "prediction")
 
 
 def random_forest(train: DataFrame, test: DataFrame, group: str = "label", max_depth: int = 2, seed: int = 0,
                   v: str = "v", out: str = "pred", trees: int = 100) -> DataFrame:
     """Random forest of shallow trees."""
-    rows, classes = _indexed(train, group, v)
-    with fitting_input(rows, "y", v=v) as vectors:
-        model = RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=max_depth, seed=seed).fit(vectors)
-    return _predict(model, test, classes, v, out)
+    return _fit_and_predict(
+        lambda _: RandomForestClassifier(labelCol="y", numTrees=trees, maxDepth=max_depth, seed=seed),
+        train, test, group, v, out)
 
 
 def mlp_classifier(train: DataFrame, test: DataFrame, group: str = "label", hidden: int = 100, seed: int = 0,
                    v: str = "v", out: str = "pred", max_iter: int = 200) -> DataFrame:
     """Perceptron with one hidden layer."""
-    rows, classes = _indexed(train, group, v)
-    width = rows.select(F.size(v)).first()[0]
-    with fitting_input(rows, "y", v=v) as vectors:
-        model = MultilayerPerceptronClassifier(
-            labelCol="y", layers=[width, hidden, len(classes)], maxIter=max_iter, seed=seed).fit(vectors)
-    return _predict(model, test, classes, v, out)
+    width = train.select(F.size(v)).first()[0]
+    return _fit_and_predict(
+        lambda classes: MultilayerPerceptronClassifier(
+            labelCol="y", layers=[width, hidden, classes], maxIter=max_iter, seed=seed),
+        train, test, group, v, out)
 
 
 def repeated(classifiers: dict, train: DataFrame, test: DataFrame, n: int, group: str = "label") -> DataFrame:

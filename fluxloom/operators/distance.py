@@ -134,12 +134,15 @@ def nearest_in_turns(df: DataFrame, v_col: str, centres: DataFrame, id_col: str,
 
 def distances(df: DataFrame, v_col: str, centres: Centres, keys: list[str], out: str = "centre") -> DataFrame:
     """Distance of each row to every centre of a bounded model, long: (keys, centre, distance)."""
-    matrix = centres.matrix
+    ids, matrix = pa.array(centres.ids), centres.matrix
+    kind = "bigint" if pa.types.is_integer(ids.type) else "string"
 
-    @F.arrow_udf("array<double>")
+    @F.arrow_udf(f"array<struct<id {kind}, distance double>>")
     def measure(v: pa.Array) -> pa.Array:
-        return to_lists(np.sqrt(squared_distances(to_matrix(v, matrix.shape[1]), matrix)))
+        found = to_lists(np.sqrt(squared_distances(to_matrix(v, matrix.shape[1]), matrix)))
+        named = pa.StructArray.from_arrays(
+            [ids.take(pa.array(np.tile(np.arange(len(ids)), len(v)))), found.values], ["id", "distance"])
+        return pa.ListArray.from_arrays(found.offsets, named)
 
-    names = F.array(*[F.lit(i) for i in centres.ids])
-    return df.select(*keys, F.explode(F.arrays_zip(names.alias("c"), measure(v_col).alias("d"))).alias("p")).select(
-        *keys, F.col("p.c").alias(out), F.col("p.d").alias("distance"))
+    return df.select(*keys, F.explode(measure(v_col)).alias("p")).select(
+        *keys, F.col("p.id").alias(out), F.col("p.distance").alias("distance"))

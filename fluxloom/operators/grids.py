@@ -11,7 +11,7 @@ from fluxloom.functions.text import format_param, param_flag
 from fluxloom.session import bounded_rows
 
 # Values of one hyperparameter; the grid itself has no bound.
-MAX_VALUES = 100_000
+MAX_VALUES = 10_000
 
 
 def value_lists(table: DataFrame, names: list[str]) -> dict[str, list]:

@@ -16,15 +16,16 @@ def histogram(flux: DataFrame, bins: int = 40) -> DataFrame:
     """
     samples = flux.select("label", *ROW_KEY).distinct()
     per_label = samples.groupBy("label").agg(F.count(F.lit(1)).alias("n_rows"))
-    labels = per_label.agg(F.collect_list(F.struct("label", "n_rows"))).scalar()
-    total = samples.agg(F.count(F.lit(1))).scalar()
+    # One small row: the labels with their sample counts, and the count of all.
+    known = per_label.agg(F.struct(
+        F.collect_list(F.struct("label", "n_rows")).alias("labels"), F.sum("n_rows").alias("n_all"))).scalar()
     bounds = flux.groupBy("reaction").agg(
         F.min("flux").alias("lo"), F.max("flux").alias("hi"), F.count(F.lit(1)).alias("n_cells"))
     absent = F.col("n_cells") < F.col("n_all")
     lo = F.when(absent, F.least("lo", F.lit(0.0))).otherwise(F.col("lo"))
     hi = F.when(absent, F.greatest("hi", F.lit(0.0))).otherwise(F.col("hi"))
     bounds = (
-        bounds.withColumn("n_all", total).select("reaction", lo.alias("lo"), hi.alias("hi"))
+        bounds.withColumn("n_all", known["n_all"]).select("reaction", lo.alias("lo"), hi.alias("hi"))
         .filter((F.col("lo") != 0) | (F.col("hi") != 0))
     )
     flat = F.col("lo") == F.col("hi")
@@ -37,7 +38,7 @@ def histogram(flux: DataFrame, bins: int = 40) -> DataFrame:
     present = flux.join(bounds, "reaction").groupBy("reaction", "label", bin_of(F.col("flux")).alias("bin")).agg(
         F.count(F.lit(1)).alias("n"))
     cells = flux.groupBy("reaction", "label").agg(F.count(F.lit(1)).alias("n_cells"))
-    grid = bounds.withColumn("l", F.explode(labels)).select(
+    grid = bounds.withColumn("l", F.explode(known["labels"])).select(
         "reaction", "l.label", "l.n_rows", bin_of(F.lit(0.0)).alias("bin"))
     zeros = (
         grid.join(cells, ["reaction", "label"], "left")

@@ -11,10 +11,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxloom.functions.draws import draw, draw_int
-from fluxloom.session import bounded_rows, settle
+from fluxloom.session import TooLarge, bounded_rows, settle
 
 MAX_CLUSTERINGS = 10_000
 MAX_PAIRS = 100_000
+MAX_COLUMNS = 2_000
 # Counts that a task holds before it passes them on.
 HELD_COUNTS = 1_000_000
 # Contingency rows that the greedy match reads into one process; larger tables are matched in rounds.
@@ -250,7 +251,12 @@ def purity(assigned: DataFrame) -> DataFrame:
 
 
 def prediction_matrix(predicted: DataFrame, truth: str, pred: str, classes: list[str], prefix: str = "") -> DataFrame:
-    """Per true group, the share of its rows predicted as each class; classes never predicted are 0."""
+    """Per true group, the share of its rows predicted as each class; classes never predicted are 0.
+
+    One column per class, so their number is bounded; ``contingency`` has no bound.
+    """
+    if len(classes) > MAX_COLUMNS:
+        raise TooLarge(f"{len(classes)} classes are too many columns; use contingency")
     return predicted.groupBy(truth).agg(
         *[F.avg((F.col(pred) == F.lit(c)).cast("double")).alias(f"{prefix}{c}") for c in classes])
 

@@ -10,41 +10,57 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.functions.vectors import row_blocks, to_lists, to_matrix
-from fluxloom.operators.harmonise import ROW_KEY, reaction_sets
+from fluxloom.operators.harmonise import ROW_KEY
 from fluxloom.session import bounded_rows
 
 # A dense vector must fit a row, so its dictionary is bounded; the long form has no such bound.
 MAX_REACTIONS = 1_000_000
 
 
-def sample_count(flux: DataFrame):
-    """Number of samples of all files, as a scalar for use in an expression."""
-    return flux.select(*ROW_KEY).distinct().agg(F.count(F.lit(1))).scalar()
+def totals(flux: DataFrame):
+    """Number of files and of samples, as a scalar struct for use in an expression; reads the keys only."""
+    return flux.select(*ROW_KEY).distinct().agg(F.struct(
+        F.count_distinct("file_name").alias("n_files"), F.count(F.lit(1)).alias("n_samples"))).scalar()
+
+
+def mean_and_spread(n, s, ss, ddof: int = 0):
+    """Mean and spread columns from count, sum and sum of squares; a spread of 0 is given as 1."""
+    mean = s / n
+    variance = F.greatest(ss / n - mean * mean, F.lit(0.0))
+    if ddof:
+        variance = F.greatest(F.try_divide(ss - n * mean * mean, n - ddof), F.lit(0.0))
+    return mean, F.when(F.coalesce(variance, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.sqrt(variance))
 
 
 def flux_stats(flux: DataFrame, ddof: int = 0) -> DataFrame:
     """Mean and spread per reaction over the samples of all files.
 
-    A sample without the cell counts as 0, so N is the sample count and not the cell count. A spread
-    of 0 is given as 1. ``ddof=1`` gives the sample spread.
+    A sample without the cell counts as 0, so N is the sample count and not the cell count.
+    ``ddof=1`` gives the sample spread.
     """
-    n = F.col("n_samples")
-    mean = F.col("s") / n
-    variance = F.greatest(F.col("ss") / n - mean * mean, F.lit(0.0))
-    if ddof:
-        variance = F.greatest(F.try_divide(F.col("ss") - n * mean * mean, n - ddof), F.lit(0.0))
+    mean, spread = mean_and_spread(F.col("n_samples"), F.col("s"), F.col("ss"), ddof)
     return (
-        flux.groupBy("reaction")
-        .agg(F.sum("flux").alias("s"), F.sum(F.col("flux") * F.col("flux")).alias("ss"))
-        .withColumn("n_samples", sample_count(flux))
-        .select("reaction", "n_samples", mean.alias("mu"),
-                F.when(F.coalesce(variance, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.sqrt(variance)).alias("sd"))
+        flux.groupBy("reaction").agg(*flux_sums()).withColumn("n_samples", totals(flux)["n_samples"])
+        .select("reaction", "n_samples", mean.alias("mu"), spread.alias("sd"))
     )
 
 
+def flux_sums():
+    return F.sum("flux").alias("s"), F.sum(F.col("flux") * F.col("flux")).alias("ss")
+
+
 def reaction_dim(flux: DataFrame) -> DataFrame:
-    """The dictionary: reaction, number of files, core flag, mean, spread."""
-    return reaction_sets(flux).join(flux_stats(flux), "reaction")
+    """The dictionary: reaction, number of files, core flag, mean, spread.
+
+    Sums and the count of files come from one pass over the cells, the totals from one over the keys.
+    """
+    mean, spread = mean_and_spread(F.col("n_samples"), F.col("s"), F.col("ss"))
+    return (
+        flux.groupBy("reaction").agg(F.count_distinct("file_name").alias("n_files"), *flux_sums())
+        .withColumn("t", totals(flux)).withColumn("n_samples", F.col("t.n_samples"))
+        .select("reaction", "n_files", (F.col("n_files") == F.col("t.n_files")).alias("is_core"), "n_samples",
+                mean.alias("mu"), spread.alias("sd"))
+    )
 
 
 @dataclass

@@ -30,19 +30,17 @@ def flux(spark: SparkSession, sf: str) -> DataFrame:
     lines = table(spark, sf, "lineitem").select("l_suppkey", "l_partkey", "l_orderkey", "l_returnflag", "l_quantity")
     suppliers = table(spark, sf, "supplier").select("s_suppkey", "s_nationkey")
     parts = table(spark, sf, "part").select("p_partkey", F.concat_ws("/", "p_brand", "p_type").alias("reaction"))
-    name = F.concat(F.lit("model"), F.col("s_nationkey").cast("string"))
-    return (
+    flux = F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity"))
+    # Keys are short numbers until the sums are done; the names of file and model follow from the nation.
+    cells = (
         lines.join(suppliers, lines.l_suppkey == suppliers.s_suppkey)
         .join(parts, lines.l_partkey == parts.p_partkey)
-        .groupBy(
-            F.concat(name, F.lit("_100")).alias("file_name"),
-            name.alias("label"),
-            (F.col("l_orderkey") % 200).alias("sample_n"),
-            "reaction",
-        )
-        .agg(F.sum(F.when(F.col("l_returnflag") == "R", -F.col("l_quantity")).otherwise(F.col("l_quantity")))
-             .alias("flux"))
+        .groupBy("s_nationkey", (F.col("l_orderkey") % 200).alias("sample_n"), "reaction")
+        .agg(F.sum(flux).alias("flux"))
     )
+    name = F.concat(F.lit("model"), F.col("s_nationkey").cast("string"))
+    return cells.select(F.concat(name, F.lit("_100")).alias("file_name"), name.alias("label"), "sample_n", "reaction",
+                        "flux")
 
 
 def flux_table(spark: SparkSession, sf: str) -> DataFrame:

@@ -16,7 +16,7 @@ from fluxloom.operators import classify, cluster, gmm, harmonise, logs, metrics,
 from fluxloom.operators.vae.fit import fit
 from fluxloom.operators.vae.model import Vae
 from fluxloom.operators.vae.scoring import EMB, PRE, STAGES, Scorer, SparseRows, row_key, stage_view
-from fluxloom.session import settle
+from fluxloom.session import bounded_rows, settle
 from fluxloom.sources import flux_csv, sbml, tables
 
 KEYS = ["file_name", "sample_n"]
@@ -170,7 +170,7 @@ def nearest_centroid_score(train_set: Dataset, test_set: Dataset, vae: Vae | Non
                            join: str = "inner", group: str = "label", rows: int = DEFAULT_ROWS, seed: int = 0) -> DataFrame:
     """Per test group, the share of rows predicted as each training group."""
     fitted, tested = _train_test_views(train_set, test_set, vae, stage, join, rows, seed)
-    classes = sorted(r[0] for r in fitted.select(group).distinct().limit(classify.MAX_CLASSES).collect())
+    classes = sorted(r[0] for r in bounded_rows(fitted.select(group).distinct(), metrics.MAX_COLUMNS, "classes"))
     return _matrix(classify.nearest_centroid(fitted, tested, group), classes, group)
 
 
