@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.functions.vectors import to_matrix
-from fluxloom.operators.distance import squared_distances
+from fluxloom.operators.distance import within
 from fluxloom.operators.ranking import dense_index
 from fluxloom.session import settle
 
@@ -113,7 +113,7 @@ def _count_neighbours(eps: float):
     def run(table: pa.Table) -> pa.Table:
         pid, matrix, a, b, same = _sides(table)
         w = table.column("w").to_numpy()
-        close = squared_distances(matrix[a], matrix[b]) <= eps * eps
+        close = within(matrix[a], matrix[b], eps)
         ids, n = [pid[a]], [close @ w[b]]
         if not same:
             ids.append(pid[b])
@@ -128,7 +128,7 @@ def _links(eps: float):
     def run(table: pa.Table) -> pa.Table:
         pid, matrix, a, b, same = _sides(table)
         core = table.column("core").to_numpy()
-        close = squared_distances(matrix[a], matrix[b]) <= eps * eps
+        close = within(matrix[a], matrix[b], eps)
         left, right, border = [], [], []
         # A border point has fewer than min_samples neighbours, so these stay few.
         for x, y, hit in ((a, b, close), *(() if same else ((b, a, close.T),))):

@@ -24,6 +24,46 @@ def squared_distances(rows: np.ndarray, centres: np.ndarray) -> np.ndarray:
     return out
 
 
+# Distances by matrix product are off by far less than this share of the squared norms.
+SLACK = 1e-9
+
+
+def by_product(rows: np.ndarray, others: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Squared distances by one matrix product, and the error bound of each row."""
+    a, b = np.einsum("ij,ij->i", rows, rows), np.einsum("ij,ij->i", others, others)
+    return a[:, None] + b[None, :] - 2.0 * (rows @ others.T), SLACK * (a + b.max(initial=0.0))
+
+
+def nearest_rows(rows: np.ndarray, centres: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Position of the nearest centre (least on ties) and the squared distance to it, exact as by differences.
+
+    The product names the nearest; rows where others come within its error are settled by differences.
+    """
+    best, least = np.empty(len(rows), dtype=np.int64), np.empty(len(rows))
+    for part in row_blocks(len(rows), len(centres) + rows.shape[1]):
+        x = rows[part]
+        rough, error = by_product(x, centres)
+        found = rough.argmin(axis=1)
+        near = rough <= (rough.min(axis=1) + 2.0 * error)[:, None]
+        for i in np.flatnonzero(near.sum(axis=1) > 1):
+            rivals = np.flatnonzero(near[i])
+            found[i] = rivals[((centres[rivals] - x[i]) ** 2).sum(axis=1).argmin()]
+        diff = x - centres[found]
+        best[part], least[part] = found, np.einsum("ij,ij->i", diff, diff)
+    return best, least
+
+
+def within(rows: np.ndarray, others: np.ndarray, radius: float) -> np.ndarray:
+    """Which rows are within the radius of which others; close calls are settled by differences."""
+    rough, error = by_product(rows, others)
+    limit = radius * radius
+    close = rough <= limit
+    i, j = np.nonzero(np.abs(rough - limit) <= error[:, None])
+    diff = rows[i] - others[j]
+    close[i, j] = np.einsum("ij,ij->i", diff, diff) <= limit
+    return close
+
+
 @dataclass
 class Centres:
     """A bounded model: sorted ids and one vector each. Sent to executors inside the function."""
@@ -68,12 +108,7 @@ def nearest(df: DataFrame, v_col: str, centres: Centres, out: str = "cluster", d
 
     @F.arrow_udf(f"struct<id {kind}, d2 double>")
     def find(v: pa.Array) -> pa.Array:
-        rows = to_matrix(v, matrix.shape[1])
-        best, least = np.empty(len(rows), dtype=np.int64), np.empty(len(rows))
-        for part in row_blocks(len(rows), len(matrix) + matrix.shape[1]):
-            dist = squared_distances(rows[part], matrix)
-            best[part] = dist.argmin(axis=1)
-            least[part] = dist.min(axis=1)
+        best, least = nearest_rows(to_matrix(v, matrix.shape[1]), matrix)
         return pa.StructArray.from_arrays([ids.take(pa.array(best)), pa.array(least)], ["id", "d2"])
 
     found = df.withColumn("_near", find(v_col)).withColumn(out, F.col("_near.id"))
@@ -92,7 +127,7 @@ def nearest_of_each(df: DataFrame, v_col: str, models: list[Centres]) -> DataFra
     @F.arrow_udf("array<struct<cluster string, seed_label string>>")
     def find(v: pa.Array) -> pa.Array:
         rows = to_matrix(v, matrices[0].shape[1])
-        best = [pa.array(squared_distances(rows, m).argmin(axis=1)) for m in matrices]
+        best = [pa.array(nearest_rows(rows, m)[0]) for m in matrices]
         # Row-major order: all models of row 0, then of row 1, ...
         order = pa.array((np.arange(n)[None, :] * len(rows) + np.arange(len(rows))[:, None]).ravel())
         clusters = pa.concat_arrays([i.take(b) for i, b in zip(ids, best)]).take(order)

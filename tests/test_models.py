@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators import classify, cluster, gmm, lloyd, metrics
 from fluxloom.operators.dbscan import dbscan
-from fluxloom.operators.distance import Centres, nearest, nearest_in_turns
+from fluxloom.operators.distance import Centres, nearest, nearest_in_turns, nearest_rows, within
 from fluxloom.operators.moments import group_products, group_sums
 from fluxloom.plans import fixtures as fx
 from fluxloom.session import TooLarge
@@ -158,6 +158,17 @@ def test_nearest_in_turns_equals_broadcast(spark, rows):
     assert sorted(plain.collect()) == sorted(turns.collect())
 
 
+@pytest.mark.parametrize("offset", [0.0, 1e6])
+def test_products_agree_with_differences(offset):
+    rng = np.random.default_rng(7)
+    x, c = rng.integers(0, 3, size=(80, 3)) + offset, rng.integers(0, 3, size=(9, 3)) + offset  # many ties
+    exact = ((x[:, None, :] - c[None]) ** 2).sum(axis=2)
+    best, least = nearest_rows(x, c)
+    assert np.array_equal(best, exact.argmin(axis=1)) and np.array_equal(least, exact.min(axis=1))
+    for radius in (1.0, np.sqrt(2.0), 2.5):
+        assert np.array_equal(within(x, c, radius), exact <= radius * radius)
+
+
 def test_too_many_centres_are_refused():
     with pytest.raises(TooLarge):
         Centres([0], np.zeros((1, 9_000_000)))
