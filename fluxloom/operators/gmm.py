@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.ml.clustering import GaussianMixture
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -60,9 +61,11 @@ class Densities:
         d = len(means[labels[0]])
         if len(labels) * d * d * 8 > BROADCAST_BYTES:
             raise TooLarge("covariances of all labels are above the broadcast bound; reduce the vectors first")
-        full, at = np.zeros((len(labels), d, d)), {n: k for k, n in enumerate(labels)}
-        for r in cov.collect():  # labels x d x d / 2 numbers, checked above
-            full[at[r[group]], r["i"], r["j"]] = full[at[r[group]], r["j"], r["i"]] = r["cov"]
+        table = cov.toArrow()  # labels x d x d / 2 numbers, checked above
+        at = pc.index_in(table[group], value_set=pa.array(labels, pa.string())).to_numpy()
+        i, j = table["i"].to_numpy(), table["j"].to_numpy()
+        full = np.zeros((len(labels), d, d))
+        full[at, i, j] = full[at, j, i] = table["cov"].to_numpy()
         return cls(labels, np.array([means[n] for n in labels]), full)
 
     def log_density(self, rows: np.ndarray) -> np.ndarray:

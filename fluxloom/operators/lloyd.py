@@ -86,10 +86,12 @@ def advance(rows: DataFrame, tasks: int, fits: list[Fit], v: str, still: float |
     costs = np.zeros(len(fits))
     sizes = [np.zeros(len(m)) for m in matrices]
     totals = [np.zeros(m.shape) for m in matrices]
-    for r in partial.collect():
-        costs[r["fit"]] += r["cost"]
-        sizes[r["fit"]][r["cluster"]] += r["n"]
-        totals[r["fit"]][r["cluster"]] += np.array(r["total"])
+    table = partial.toArrow().combine_chunks()
+    vectors = to_matrix(table["total"].combine_chunks(), matrices[0].shape[1])
+    for i, j, n, cost, total in zip(*(table[c].to_pylist() for c in ("fit", "cluster", "n", "cost")), vectors):
+        costs[i] += cost
+        sizes[i][j] += n
+        totals[i][j] += total
     # A cluster without rows keeps its centre.
     moved = [np.where(n[:, None] > 0, total / np.maximum(n, 1)[:, None], f.centres)
              for n, total, f in zip(sizes, totals, fits)]

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.functions.vectors import row_blocks, to_lists, to_matrix
 from fluxloom.operators.harmonise import ROW_KEY
-from fluxloom.session import bounded_rows
+from fluxloom.session import bounded_table
 
 # A dense vector must fit a row, so its dictionary is bounded; the long form has no such bound.
 MAX_REACTIONS = 1_000_000
@@ -77,8 +77,9 @@ class Dictionary:
 
     @classmethod
     def collect(cls, dim: DataFrame) -> Dictionary:
-        rows = sorted(bounded_rows(dim.select("reaction", "mu", "sd"), MAX_REACTIONS, "the reaction dictionary"))
-        return cls([r[0] for r in rows], np.array([r[1] for r in rows]), np.array([r[2] for r in rows]))
+        table = bounded_table(dim.select("reaction", "mu", "sd"), MAX_REACTIONS, "the reaction dictionary")
+        table = table.sort_by("reaction")
+        return cls(table["reaction"].to_pylist(), table["mu"].to_numpy(), table["sd"].to_numpy())
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The layout as a table (reaction, at). Its size is known, so Catalyst broadcasts it only if small."""

@@ -82,8 +82,8 @@ def sum_over_batch(batch: DataFrame, scorer: Scorer, seed: int, step: int) -> np
     schema = "slot int, sums array<double>"
     size = sum(p.size for p in scorer.vae.params())
     sums = batch.mapInArrow(local, schema).repartition(max(1, min(200, -(-size // SLOT))), "slot")
-    rows = sums.mapInArrow(add, schema).collect()  # one row per slot: the size of the model
-    return np.concatenate([np.array(r["sums"]) for r in sorted(rows, key=lambda r: r["slot"])])
+    table = sums.mapInArrow(add, schema).toArrow().sort_by("slot")  # one row per slot: the size of the model
+    return table["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False).copy()
 
 
 @dataclass

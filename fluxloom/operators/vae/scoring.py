@@ -6,6 +6,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -13,11 +14,11 @@ from fluxloom.functions.vectors import row_blocks, to_lists, to_matrix
 from fluxloom.operators.harmonise import restrict_rows
 from fluxloom.operators.vae.model import Vae
 from fluxloom.operators.vae.network import normals
-from fluxloom.session import bounded_rows
+from fluxloom.session import bounded_table
 
 PRE, EMB, REC = "pre", "emb", "rec"
 STAGES = (PRE, EMB, REC)
-MAX_COEFFICIENTS = 50_000_000
+MAX_COEFFICIENTS = 5_000_000
 
 
 @dataclass
@@ -36,12 +37,12 @@ class SparseRows:
     @classmethod
     def collect(cls, stoich: DataFrame, reactions: list[str]) -> SparseRows:
         """From (metabolite, reaction, stoich); reactions outside the layout are left out."""
-        at = {r: i for i, r in enumerate(reactions)}
-        rows = [r for r in bounded_rows(stoich.select("metabolite", "reaction", "stoich"), MAX_COEFFICIENTS,
-                                        "coefficient table") if r["reaction"] in at]
-        names = {m: i for i, m in enumerate(sorted({r["metabolite"] for r in rows}))}
-        return cls(np.array([names[r["metabolite"]] for r in rows], dtype=int),
-                   np.array([at[r["reaction"]] for r in rows], dtype=int), np.array([r["stoich"] for r in rows], float))
+        table = bounded_table(stoich.select("metabolite", "reaction", "stoich"), MAX_COEFFICIENTS, "coefficient table")
+        at = pc.index_in(table["reaction"], value_set=pa.array(reactions, pa.string()))
+        table = table.append_column("at", at).filter(pc.is_valid(at))
+        names = pc.unique(table["metabolite"]).sort() if table.num_rows else pa.array([], pa.string())
+        row = pc.index_in(table["metabolite"], value_set=names)
+        return cls(row.to_numpy().astype(int), table["at"].to_numpy().astype(int), table["stoich"].to_numpy())
 
     def times(self, v: np.ndarray) -> np.ndarray:
         """Net production: rows x metabolites that have a coefficient."""
