@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from fluxloom.llm import languages, mixing
+from fluxloom.llm import languages, mixing, quality, risk_rules
 from fluxloom.llm.common import held_out, single_threaded, table
 from fluxloom.session import ship_package
 
@@ -33,6 +33,66 @@ def query(name: str, sql: str | None = None):
     return wrap
 
 
+def _rules_sql() -> str:
+    """The chosen cutoff of every rule as a column, null where none is safe, and the verdict."""
+    risk = risk_rules.Risk()
+    each, tests = risk.total_risk / len(risk.rules), len(risk.rules)
+    fails, picks, verdicts = [], [], []
+    for r, rule in enumerate(risk.rules):
+        ratio = f"(case when {rule.bottom} > 0 then {rule.top}::double / {rule.bottom} else 0 end)"
+        sign = ">" if rule.sign > 0 else "<"
+        for c, cutoff in enumerate(rule.grid):
+            fails.append(f"count(*) filter (where {ratio} {sign} {cutoff}) as k{r}_{c}")
+        tail = "list_sum(list_transform(range(0, k{0} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) " \
+            f"- lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each}))))"
+        picks.append("coalesce(" + ", ".join(
+            f"case when {tail.format(f'{r}_{c}')} <= {risk.delta} / (strata * {tests}) then {cutoff} end"
+            for c, cutoff in enumerate(rule.grid)) + f")::double as cutoff{r}")
+        verdicts.append(f"coalesce({ratio} {sign} cutoff{r}, false)")
+    return f"""
+judged as (
+    select lang, count(*) as n, {', '.join(fails)} from facts join labels using (doc_id)
+    where quality = 1 and not base_failed group by lang),
+chosen as (
+    select lang, {', '.join(picks)} from (select *, count(*) over () as strata from judged))
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
+    not (base_failed or {' or '.join(verdicts)}) as kept
+from facts f left join chosen c on c.lang is not distinct from f.lang
+"""
+
+
+@query("op1_quality_rules", f"""
+with texts as (
+    select row_number() over () as rid, doc_id, lang, coalesce(text, '') as text,
+        regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as words from documents),
+windows as (
+    select rid, i, words[i] || ' ' || words[i + 1] || ' ' || words[i + 2] as w
+    from (select rid, words, unnest(range(1, len(words) - 1)) as i from texts)),
+repeated as (select rid, i from windows qualify count(*) over (partition by rid, w) > 1),
+covered as (
+    select rid, count(distinct p) as n from (select rid, unnest([i, i + 1, i + 2]) as p from repeated) group by rid),
+lines as (
+    select rid, count(*) as n, count(*) - count(distinct line) as dup
+    from (select rid, unnest(string_split(text, chr(10))) as line from texts)
+    where regexp_matches(line, '[^\\x20\\x09-\\x0D]') group by rid),
+counted as (
+    select doc_id, lang, len(words)::bigint as n_words, length(array_to_string(words, ''))::bigint as word_chars,
+        (length(text) - length(translate(text, '#*$%&|<>', '')))::bigint as n_symbols,
+        (length(text) - length(translate(text, '!', '')))::bigint as n_marks,
+        coalesce(lines.n, 0)::bigint as n_lines, coalesce(lines.dup, 0)::bigint as n_dup_lines,
+        coalesce(covered.n, 0)::bigint as n_repeat_words
+    from texts left join lines using (rid) left join covered using (rid)),
+facts as (select *, n_words < 50 or 100 * n_repeat_words > 50 * n_words as base_failed from counted),
+{_rules_sql()}
+""")
+def op1(spark, sf_dir):
+    """Facts and verdict of every document; good labels choose the cutoffs."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    found = risk_rules.judge(docs, table(spark, sf_dir, "labels").select("doc_id", "quality"))
+    return found.select(F.col("key").alias("doc_id"), "n_words", "word_chars", "n_symbols", "n_dup_lines",
+                        "n_repeat_words", "base_failed", "kept")
+
+
 def _closing(given: str, out: str) -> str:
     """One more document per source: the largest that fits into what its target leaves."""
     return f"""
@@ -90,6 +150,15 @@ def op8(spark, sf_dir):
                        (F.col("size") * F.size("shards")).alias("taken"))
 
 
+@query("op5_quality_classifier")
+def op5(spark, sf_dir):
+    """Trees learned from the labelled rows that are not held out, and the score of every row."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 1, 3))
+    labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
+    found = quality.classify(docs, labels, learn_from="not held_out")
+    return found.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 @query("op10_languages")
 def op10(spark, sf_dir):
     """Profiles learned from the rows that are not held out, and the language of every row."""
