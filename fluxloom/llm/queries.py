@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from fluxloom.llm import languages, mixing, quality, risk_rules
+from fluxloom.llm import languages, mixing, pii, quality, risk_rules
 from fluxloom.llm.common import held_out, single_threaded, table
 from fluxloom.session import ship_package
 
@@ -150,6 +150,21 @@ def op8(spark, sf_dir):
                        (F.col("size") * F.size("shards")).alias("taken"))
 
 
+def _span_text(spans: str):
+    return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
+
+
+@query("op4_pii")
+def op4(spark, sf_dir):
+    """Spans of the patterns and of the trained field; counts and digest are those of the patterns."""
+    found = pii.detect(table(spark, sf_dir, "documents").select("doc_id", "text")).drop("redacted")
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [(F.size(kinds) - F.size(F.array_remove(kinds, kind))).cast("bigint").alias(f"n_{kind}")
+              for kind in pii.KINDS]
+    return found.select("row.doc_id", *counts, F.sha2(_span_text("base"), 256).alias("base_sha256"),
+                        _span_text("spans").alias("spans"))
+
+
 @query("op5_quality_classifier")
 def op5(spark, sf_dir):
     """Trees learned from the labelled rows that are not held out, and the score of every row."""
