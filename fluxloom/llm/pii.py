@@ -62,7 +62,7 @@ def patterns(text: str) -> list[Span]:
     if not _digit.search(text):
         return found
     for m in _ip.finditer(text):
-        if m[1] and all(len(part.lstrip("0")) <= 3 and int(part) <= 255 for part in m[0].split(".")):
+        if m[1] and all(len(part) <= 3 and int(part or 0) <= 255 for part in (p.lstrip("0") for p in m[0].split("."))):
             found.append(("ip", m.start(), m.end()))
     for m in _card.finditer(text):
         if 16 <= m.end() - m.start():
