@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from fluxloom.llm import html, languages, mixing, pii, quality, risk_rules
+from fluxloom.llm import languages, main_text, mixing, pii, quality, risk_rules
 from fluxloom.llm.common import held_out, single_threaded, table
 from fluxloom.session import ship_package
 
@@ -153,7 +153,7 @@ def op8(spark, sf_dir):
 @query("op2_html")
 def op2(spark, sf_dir):
     """The main text of every page."""
-    found = html.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
+    found = main_text.extract(table(spark, sf_dir, "pages").select("page_id", "url", "html"))
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
