@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from fluxloom.llm import languages, main_text, mixing, pii, quality, risk_rules
+from fluxloom.llm import bpe, languages, main_text, mixing, pii, quality, risk_rules
 from fluxloom.llm.common import held_out, single_threaded, table
 from fluxloom.session import ship_package
 
@@ -108,6 +108,16 @@ def _closing(given: str, out: str) -> str:
     from {given} w left join {out}_fit f on f.source is not distinct from w.source and f.draw = w.draw),"""
 
 
+@query("op6_byte_bpe")
+def op6(spark, sf_dir):
+    """Ids of every document and what they decode to, as digests."""
+    vocab = bpe.public_vocabulary()
+    found = bpe.decode(bpe.encode(table(spark, sf_dir, "documents").select("doc_id", "text"), vocab), vocab)
+    return found.select("row.doc_id", F.size("ids").cast("bigint").alias("n_tokens"),
+                        F.sha2(F.array_join(F.col("ids").cast("array<string>"), ","), 256).alias("ids_sha256"),
+                        F.sha2("bytes", 256).alias("decoded_sha256"))
+
+
 @query("op8_mixing", """
 with sized as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
