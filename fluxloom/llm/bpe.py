@@ -1,6 +1,7 @@
 """Byte-level BPE with one global shuffle of distinct words.
 
-Rows are dealt once into blocks of about ``block_bytes`` of text by a hash of key and text. A block lists its distinct
+Texts are cut into pre-tokens once and packed. Rows are dealt once into blocks of about ``block_bytes`` of text by a
+hash of key and text. A block lists its distinct
 pre-tokens, cut into parts by a hash of the word; the same part of all blocks meets in one task, which encodes every
 distinct word once. The ids go back to their blocks, where every document is put together from its pre-tokens'
 positions. Only the blocks' distinct words and their ids travel, as compressed lists: a word that is everywhere is a
@@ -30,10 +31,12 @@ from pyspark.sql import types as T
 
 from fluxloom.llm.common import slices, texts_of
 
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 6 << 20
 # Words of a block that share a part, about.
 PART_WORDS = 4096
 MAX_RANKS = 1 << 20
+# Documents decoded at a time.
+DECODE_ROWS = 256
 
 
 class Vocabulary:
@@ -76,17 +79,17 @@ def vocabulary(path: str, pattern: str) -> Vocabulary:
     return Vocabulary(ranks, pattern)
 
 
-def _pack(*arrays: bytes) -> bytes:
-    sizes = np.array([len(arrays), *map(len, arrays)], np.uint64).tobytes()
-    return zstandard.compress(sizes + b"".join(arrays), 3)
+def _pack_text(pieces: list[str], text: str) -> bytes:
+    """Pieces of a text joined by a character that the text has not, which stands first."""
+    mark = next(c for c in map(chr, range(0x110000)) if c not in text)
+    return zstandard.compress((mark + mark.join(pieces)).encode("utf-8", "surrogatepass"), 3) if pieces else b""
 
 
-def _unpack(packed: bytes) -> list[bytes]:
-    raw = zstandard.decompress(packed)
-    n = int(np.frombuffer(raw, np.uint64, 1)[0])
-    sizes = np.frombuffer(raw, np.uint64, n, 8).astype(np.int64)
-    ends = 8 * (n + 1) + np.cumsum(sizes)
-    return [raw[end - size : end] for end, size in zip(ends, sizes, strict=True)]
+def _pieces(packed: bytes) -> list[str]:
+    if not packed:
+        return []
+    text = zstandard.decompress(packed).decode("utf-8", "surrogatepass")
+    return text[1:].split(text[0])
 
 
 def _by_part(words, parts: int) -> dict[int, list[str]]:
@@ -105,7 +108,8 @@ def _ids_of(words: list[str], vocab: Vocabulary, known: dict[str, list[int]]) ->
             found = known[word] = vocab.encode_word(word)
         ids.append(found)
     flat = np.array([i for own in ids for i in own], np.uint32)
-    return _pack(np.array([len(own) for own in ids], np.uint32).tobytes(), flat.tobytes())
+    counts = np.array([len(ids), *map(len, ids)], np.uint32)
+    return zstandard.compress(np.concatenate((counts, flat)).tobytes(), 3)
 
 
 def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str = "text",
@@ -118,46 +122,52 @@ def encode(docs: DataFrame, vocab: Vocabulary, key: str = "doc_id", text: str =
     parts = max(16, ceil(total / (PART_WORDS * 256)))
     shared = spark.sparkContext.broadcast(vocab)
     others = [c for c in docs.columns if c != text]
-    dealt = docs.select(
+    rows = docs.select(
         F.pmod(F.xxhash64(F.col(key), F.col(text)), F.lit(blocks)).cast("int").alias("block"),
-        F.struct(*others).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"),
-    ).repartition(blocks, "block")
+        F.struct(*others).alias("row"), F.coalesce(F.col(text), F.lit("")).alias("text"))
 
-    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocab, held = shared.value, {}
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocab = shared.value
         for batch in batches:
             for part in slices(batch, "text"):
-                for block, words in zip(texts_of(part, "block"), texts_of(part), strict=True):
-                    held.setdefault(block, set()).update(vocab.words.findall(words))
+                packed = [_pack_text(vocab.words.findall(t), t) for t in texts_of(part)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(packed, pa.binary())],
+                                                 ["block", "row", "pieces"])
+
+    schema = T.StructType([rows.schema["block"], rows.schema["row"], T.StructField("pieces", T.BinaryType())])
+    dealt = rows.mapInArrow(cut, schema).repartition(blocks, "block")
+
+    def list_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, set[str]] = {}
+        for batch in batches:
+            for block, packed in zip(batch.column(0), batch.column(2), strict=True):
+                held.setdefault(block.as_py(), set()).update(_pieces(packed.as_py()))
         for block in sorted(held):
             rows = _by_part(held.pop(block), parts)
             yield pa.record_batch({
                 "part": pa.array(list(rows), pa.int32()), "block": pa.array([block] * len(rows), pa.int32()),
-                "words": pa.array([_pack(*(w.encode("utf-8", "surrogatepass") for w in words))
-                                   for words in rows.values()], pa.binary())})
+                "words": pa.array([_pack_text(words, "".join(words)) for words in rows.values()], pa.binary())})
 
     def encode_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vocab, at, known = shared.value, None, {}
         for batch in batches:
-            rows = batch.to_pylist()
             out = []
-            for row in rows:
-                if row["part"] != at:  # rows are sorted by part
-                    at, known = row["part"], {}
-                words = [w.decode("utf-8", "surrogatepass") for w in _unpack(row["words"])]
-                out.append(_ids_of(words, vocab, known))
+            for part, packed in zip(batch.column(0).to_pylist(), batch.column(2), strict=True):
+                if part != at:  # rows are sorted by part
+                    at, known = part, {}
+                out.append(_ids_of(_pieces(packed.as_py()), vocab, known))
             yield pa.record_batch({"part": batch.column(0), "block": batch.column(1), "ids": pa.array(out, pa.binary())})
 
     def put_together(docs: pa.Table, found: pa.Table) -> pa.Table:
-        vocab, places = shared.value, {}
-        rows = []
-        for words in docs.column("text").to_pylist():
-            rows.append(np.array([places.setdefault(w, len(places)) for w in vocab.words.findall(words)], np.int64))
+        places: dict[str, int] = {}
+        rows = [np.array([places.setdefault(w, len(places)) for w in _pieces(packed.as_py())], np.int32)
+                for packed in docs.column("pieces")]
         counts, starts = np.zeros(len(places), np.int64), np.zeros(len(places), np.int64)
         packed = dict(zip(found.column("part").to_pylist(), found.column("ids").to_pylist(), strict=True))
         flat, total = [], 0
         for part, words in _by_part(places, parts).items():
-            own, ids = (np.frombuffer(x, np.uint32) for x in _unpack(packed[part]))
+            numbers = np.frombuffer(zstandard.decompress(packed[part]), np.uint32)
+            own, ids = numbers[1 : numbers[0] + 1], numbers[numbers[0] + 1 :]
             at = np.array([places[w] for w in words])
             counts[at], starts[at] = own, total + np.cumsum(own) - own
             flat.append(ids)
@@ -183,9 +193,11 @@ def decode(coded: DataFrame, vocab: Vocabulary) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         tokens = shared.value.tokens
         for batch in batches:
-            column = batch.column(1)
-            out = [b"".join([tokens[i] for i in ids.as_py() or ()]) if ids.is_valid else None for ids in column]
-            yield pa.RecordBatch.from_arrays([batch.column(0), column, pa.array(out, pa.binary())], ["row", "ids", "bytes"])
+            for start in range(0, batch.num_rows, DECODE_ROWS):
+                part = batch.slice(start, DECODE_ROWS)
+                out = [b"".join([tokens[i] for i in ids.as_py()]) if ids.is_valid else None for ids in part.column(1)]
+                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())],
+                                                 ["row", "ids", "bytes"])
 
     schema = T.StructType([coded.schema["row"], coded.schema["ids"], T.StructField("bytes", T.BinaryType())])
     return coded.select("row", "ids").mapInArrow(run, schema)
