@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from fluxloom.llm import bpe, languages, main_text, mixing, pii, quality, risk_rules
+from fluxloom.llm import bpe, fingerprints, languages, main_text, mixing, pii, quality, risk_rules
 from fluxloom.llm.common import held_out, single_threaded, table
 from fluxloom.session import ship_package
 
@@ -191,6 +191,13 @@ def op5(spark, sf_dir):
     return found.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
+@query("op9_fingerprints")
+def op9(spark, sf_dir):
+    """Fingerprints of every text and its edited text, and their likeness."""
+    found = fingerprints.compare(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("key", "doc_id")
+
+
 @query("op10_languages")
 def op10(spark, sf_dir):
     """Profiles learned from the rows that are not held out, and the language of every row."""
