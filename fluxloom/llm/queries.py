@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from fluxloom.llm import bpe, fingerprints, languages, main_text, mixing, pii, quality, risk_rules
+from fluxloom.llm import bpe, fingerprints, languages, main_text, mixing, near_duplicates, pii, quality, risk_rules
 from fluxloom.llm.common import held_out, single_threaded, table
 from fluxloom.session import ship_package
 
@@ -118,6 +118,13 @@ def op6(spark, sf_dir):
                         F.sha2("bytes", 256).alias("decoded_sha256"))
 
 
+@query("op7_near_duplicates")
+def op7(spark, sf_dir):
+    """The class of every document, named by its least id."""
+    found = near_duplicates.classify(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    return found.withColumnRenamed("id", "doc_id")
+
+
 @query("op8_mixing", """
 with sized as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
