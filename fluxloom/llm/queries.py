@@ -7,7 +7,7 @@ from functools import wraps
 
 from pyspark.sql import functions as F
 
-from fluxloom.llm import bpe, fingerprints, languages, main_text, mixing, near_duplicates, pii, quality, risk_rules
+from fluxloom.llm import bpe, fingerprints, kneser_ney, languages, main_text, mixing, near_duplicates, pii, quality, risk_rules
 from fluxloom.llm.common import held_out, single_threaded, table
 from fluxloom.session import ship_package
 
@@ -174,6 +174,16 @@ def op2(spark, sf_dir):
     return found.select("row.page_id", "row.url", "text", F.length("text").cast("bigint").alias("n_chars"))
 
 
+@query("op3_kneser_ney")
+def op3(spark, sf_dir):
+    """Scores of all texts by a model of those that are not held out."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 2, 7))
+    model = kneser_ney.train(docs.filter("not held_out"))
+    found = kneser_ney.score(docs, model)
+    return found.select("row.doc_id", "row.held_out", "n_tokens", "n_known",
+                        F.lit(model.n_tokens).cast("bigint").alias("train_tokens"), "base_score", "score")
+
+
 def _span_text(spans: str):
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"], s["end"])), ",")
 
