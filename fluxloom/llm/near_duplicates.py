@@ -124,7 +124,8 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
 
 
 def classes(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, node, class_id) of every row, once per different (id, node). ``node`` is null where the text is."""
+    """(id, node, root, class_id) of every row, once per different (id, node): its text, a text that stands for its class,
+    and the class's least id. Node and root are null where the text is."""
     signed = sign(docs, sketch, key, text)
     first = settle(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"),
                                               F.first("bands").alias("bands")), "nodes")
@@ -151,10 +152,11 @@ def classes(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", tex
 
     named = first.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("id").alias("class_id"))
-    named = named.join(names, "root").select("node", "class_id")
-    found = signed.select("id", "node").distinct().join(named, "node").select("id", "node", "class_id")
+    named = named.join(names, "root").select("node", "root", "class_id")
+    found = signed.select("id", "node").distinct().join(named, "node").select("id", "node", "root", "class_id")
     alone = docs.filter(F.col(text).isNull()).select(F.col(key).alias("id")).distinct()
-    return found.unionByName(alone.select("id", F.lit(None).cast("string").alias("node"), F.col("id").alias("class_id")))
+    none = F.lit(None).cast("string")
+    return found.unionByName(alone.select("id", none.alias("node"), none.alias("root"), F.col("id").alias("class_id")))
 
 
 def classify(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -166,12 +168,12 @@ def classify(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", te
 
 
 def representatives(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """One row of every class with all its columns: the one with the class's name; one of those that repeat id and text."""
+    """One row of every class with all its columns: that with the least id, then text; one of those that repeat both."""
     found = settle(classes(docs, sketch, key, text), "classes")
-    # A class is named by its least id; several of its texts may carry that id.
-    chosen = found.filter(F.col("id").eqNullSafe(F.col("class_id"))).groupBy("id").agg(F.min("node").alias("node"))
-    nulls = found.filter("node is null").select("id", "node")
-    chosen = chosen.filter("node is not null").unionByName(nulls).select(F.col("id").alias("i"), F.col("node").alias("n"))
+    least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("least")
+    chosen = found.filter("node is not null").groupBy("root").agg(least).select("least.id", "least.node")
+    chosen = chosen.unionByName(found.filter("node is null").select("id", "node"))
+    chosen = chosen.select(F.col("id").alias("i"), F.col("node").alias("n"))
     repeated = docs.groupBy(F.col(key).alias("id"), F.md5(F.col(text).cast("binary")).alias("node")).count().filter("count > 1")
     rows = docs.select(F.struct("*").alias("row"), F.col(key).alias("id"), F.md5(F.col(text).cast("binary")).alias("node"))
     kept = rows.join(chosen, F.col("id").eqNullSafe(F.col("i")) & F.col("node").eqNullSafe(F.col("n"))).drop("i", "n")

@@ -202,8 +202,6 @@ def score(measured: DataFrame, forest: Forest) -> DataFrame:
 
 def classify(docs: DataFrame, labels: DataFrame, learn_from: str = "true", key: str = "doc_id", text: str = "text",
              label: str = "quality", max_rows: int = MAX_ROWS) -> DataFrame:
-    """Measures all rows, learns from those for which the condition ``learn_from`` holds, scores all of them."""
+    """Measures all rows, learns from those for which the condition ``learn_from`` on ``row`` holds, scores all."""
     measured = settle(measure(docs, text), "statistics")
-    forest = fit(measured.select("row", "statistics", "row.*").filter(learn_from).select("row", "statistics"), labels,
-                 key, label, max_rows)
-    return score(measured, forest)
+    return score(measured, fit(measured.filter(learn_from), labels, key, label, max_rows))

@@ -204,7 +204,7 @@ def op5(spark, sf_dir):
     """Trees learned from the labelled rows that are not held out, and the score of every row."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text").withColumn("held_out", held_out("doc_id", 1, 3))
     labels = table(spark, sf_dir, "labels").select("doc_id", "quality")
-    found = quality.classify(docs, labels, learn_from="not held_out")
+    found = quality.classify(docs, labels, learn_from="not row.held_out")
     return found.select("row.doc_id", "row.held_out", "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
 
 
