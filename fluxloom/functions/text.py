@@ -15,11 +15,14 @@ def model_name(file_name: Column) -> Column:
 
 
 def metabolite_name(name: Column, formula: Column, charge: Column, compartment: Column) -> Column:
-    """Canonical metabolite text; equal in all models that hold the same chemical."""
-    return F.concat(
-        F.lit("m[n["), name, F.lit("]f["), formula, F.lit("]ch["), charge.cast("string"),
-        F.lit("]co["), compartment, F.lit("]]"),
-    )
+    """Canonical metabolite text; equal in all models that hold the same chemical.
+
+    The frame of brackets is a fixed format. A part that a model does not state reads None (fixed value), so that
+    species without formula or charge keep a name of their own.
+    """
+    stated = [F.coalesce(part.cast("string"), F.lit("None")) for part in (name, formula, charge, compartment)]
+    return F.concat(F.lit("m[n["), stated[0], F.lit("]f["), stated[1], F.lit("]ch["), stated[2], F.lit("]co["),
+                    stated[3], F.lit("]]"))
 
 
 def decimal_text(stoich: Column) -> Column:

@@ -139,7 +139,7 @@ def nearest_of_each(df: DataFrame, v_col: str, models: list[Centres]) -> DataFra
     names = F.array(*[F.struct(F.lit(m.name[0]).alias("set_name"), F.lit(m.name[1]).cast("bigint").alias("rep"))
                       for m in models])
     pairs = F.arrays_zip(names.alias("n"), find(v_col).alias("c"))
-    return df.select("row_id", F.explode(pairs).alias("p")).select(
+    return df.select("row_id", F.explode_outer(pairs).alias("p")).select(
         F.col("p.n.set_name").alias("set_name"), F.col("p.n.rep").alias("rep"), "row_id",
         F.col("p.c.cluster").alias("cluster"), F.col("p.c.seed_label").alias("seed_label"))
 
@@ -179,5 +179,5 @@ def distances(df: DataFrame, v_col: str, centres: Centres, keys: list[str], out:
             [ids.take(pa.array(np.tile(np.arange(len(ids)), len(v)))), found.values], ["id", "distance"])
         return pa.ListArray.from_arrays(found.offsets, named)
 
-    return df.select(*keys, F.explode(measure(v_col)).alias("p")).select(
+    return df.select(*keys, F.explode_outer(measure(v_col)).alias("p")).select(
         *keys, F.col("p.id").alias(out), F.col("p.distance").alias("distance"))

@@ -35,8 +35,8 @@ def fit_moments(rows: DataFrame, group: str = "label", v: str = "v") -> tuple[di
     products = group_products(rows.select(group, centred(v).alias("v")), group, "v")
     names = sorted(means)
     spark = rows.sparkSession
-    offsets = spark.createDataFrame([(n, (means[n] - centre).tolist()) for n in names],
-                                    f"{group} string, m array<double>")
+    offsets = spark.createDataFrame(pa.table({
+        group: pa.array(names, pa.string()), "m": pa.array([means[n] - centre for n in names], pa.list_(pa.float64()))}))
     ridge = F.when(F.col("i") == F.col("j"), F.lit(RIDGE)).otherwise(F.lit(0.0))
     cov = F.col("xx") / F.col("n") - F.col("m")[F.col("i")] * F.col("m")[F.col("j")] + ridge
     # The offsets hold one vector per label: the size of a model, checked by bounded_rows above.

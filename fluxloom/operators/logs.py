@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxloom.session import settle
+
 LOSSES = ["loss", "reconstruction_loss", "divergence_loss", "stoicheometry_loss",
           "test_loss", "test_reconstruction_loss", "test_divergence_loss", "test_stoicheometry_loss"]
 
@@ -57,11 +59,12 @@ def grid_argmin(log: DataFrame, row: str, column: str, values: list, pick: str,
 
 
 def tail_average(log: DataFrame, last: int, columns: list[str] = LOSSES) -> DataFrame:
-    """Mean of the last evaluations of each run that has enough of them."""
-    # eval_n counts from 0 without gaps, so the tail needs the run's length only.
-    sizes = log.groupBy("run").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= last)
-    tail = log.join(sizes, "run").filter(F.col("eval_n") >= F.col("n") - last)
-    return tail.groupBy("run").agg(*[F.avg(c).alias(c) for c in columns])
+    """Mean of the last evaluations of each run that has enough of them; evaluations may be filtered or have gaps."""
+    # Spark keeps ``last`` rows per run and task before the shuffle of this rank.
+    from_end = Window.partitionBy("run").orderBy(F.col("eval_n").desc())
+    tail = log.withColumn("_from_end", F.row_number().over(from_end)).filter(F.col("_from_end") <= last)
+    means = tail.groupBy("run").agg(F.count(F.lit(1)).alias("_n"), *[F.avg(c).alias(c) for c in columns])
+    return means.filter(F.col("_n") == last).drop("_n")
 
 
 def loss_correction(log: DataFrame) -> DataFrame:
@@ -141,16 +144,17 @@ def ema_smooth(log: DataFrame, column: str, beta: float, out: str, block: int =
         .withColumn("_ys", smooth(F.col("_xs.x")))
         .withColumn("_x0", F.col("_xs.x")[0])
     )
+    blocks = settle(blocks, "blocks")  # read twice
     summary = blocks.groupBy("run").agg(
         F.sort_array(F.collect_list(F.struct(
             "_block", "_x0", F.element_at("_ys", -1).alias("end"), F.size("_ys").cast("bigint").alias("n")
         ))).alias("s"))
-    carried = summary.select("run", F.explode(F.arrays_zip(
+    carried = summary.select("run", F.explode_outer(F.arrays_zip(
         F.col("s._block").alias("_block"),
         carries(F.col("s._x0"), F.col("s.end"), F.col("s.n")).alias("_carry"))).alias("c")).select("run", "c.*")
     return (
         blocks.join(carried, ["run", "_block"])
-        .select("run", "_x0", "_carry", F.posexplode(F.arrays_zip(F.col("_xs.eval_n").alias("eval_n"),
+        .select("run", "_x0", "_carry", F.posexplode_outer(F.arrays_zip(F.col("_xs.eval_n").alias("eval_n"),
                                                                    F.col("_ys").alias("y"))).alias("_i", "_p"))
         .select("run", F.col("_p.eval_n").alias("eval_n"),
                 (F.col("_p.y") + F.pow(F.lit(keep), F.col("_i") + 1) * (F.col("_carry") - F.col("_x0"))).alias(out))

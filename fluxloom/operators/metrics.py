@@ -18,8 +18,6 @@ MAX_PAIRS = 100_000
 MAX_COLUMNS = 2_000
 # Counts that a task holds before it passes them on.
 HELD_COUNTS = 1_000_000
-# Contingency rows that the greedy match reads into one process; larger tables are matched in rounds.
-GREEDY_ROWS = 200_000
 PAIR = ["set_a", "rep_a", "set_b", "rep_b"]
 
 
@@ -55,10 +53,11 @@ def pair_counts(clusterings: DataFrame, pairs: list[tuple]) -> DataFrame:
     places = np.array([(at[a], at[b]) for a, b in pairs], dtype=np.int64).reshape(-1, 2)
     counted = rows.mapInArrow(_count_pairs(places, len(used)), "p int, a string, b string, n bigint").groupBy(
         "p", "a", "b").agg(F.sum("n").alias("n"))
-    # A local relation of known size: Catalyst broadcasts it.
-    named = clusterings.sparkSession.createDataFrame(
-        [(p, a[0], int(a[1]), b[0], int(b[1])) for p, (a, b) in enumerate(pairs)],
-        "p int, set_a string, rep_a bigint, set_b string, rep_b bigint")
+    # An Arrow table becomes a local relation, whose size Catalyst knows.
+    named = clusterings.sparkSession.createDataFrame(pa.table({
+        "p": pa.array(range(len(pairs)), pa.int32()),
+        "set_a": pa.array([a[0] for a, _ in pairs], pa.string()), "rep_a": pa.array([int(a[1]) for a, _ in pairs], pa.int64()),
+        "set_b": pa.array([b[0] for _, b in pairs], pa.string()), "rep_b": pa.array([int(b[1]) for _, b in pairs], pa.int64())}))
     return counted.join(named, "p").select(*PAIR, "a", "b", "n")
 
 
@@ -146,33 +145,39 @@ def ari(clusterings: DataFrame, pairs: list[tuple] | None = None) -> DataFrame:
     return ari_from_counts(pair_counts(clusterings, unordered(pairs)))
 
 
-def bootstrap_draws(spark, reps: dict[str, int], n: int, seed: int) -> DataFrame:
-    """``n`` draws with replacement of a repeat of either set, for every ordered pair of sets."""
+def bootstrap_draws(spark, reps: dict[str, list[int]], n: int, seed: int) -> DataFrame:
+    """``n`` draws with replacement of a repeat of either set, for every ordered pair of sets.
+
+    ``reps``: the sorted repeats of each set; a draw is a position among them.
+    """
     sets = sorted(reps)
-    names, sizes = F.array(*[F.lit(s) for s in sets]), F.array(*[F.lit(reps[s]) for s in sets])
+    names, sizes = F.array(*[F.lit(s) for s in sets]), F.array(*[F.lit(len(reps[s])) for s in sets])
+    held = F.array(*[F.array(*[F.lit(int(r)).cast("bigint") for r in reps[s]]) for s in sets])
     k = len(sets)
     at = spark.range(k * k * n).select(
         F.floor(F.col("id") / (k * n)).cast("int").alias("i"),
         F.pmod(F.floor(F.col("id") / n), F.lit(k)).cast("int").alias("j"), F.pmod("id", F.lit(n)).alias("draw_n"))
     drawn = at.select(F.get(names, "i").alias("set_a"), F.get(names, "j").alias("set_b"), "draw_n",
-                      F.get(sizes, "i").alias("n_a"), F.get(sizes, "j").alias("n_b"))
+                      F.get(sizes, "i").alias("n_a"), F.get(sizes, "j").alias("n_b"),
+                      F.get(held, "i").alias("reps_a"), F.get(held, "j").alias("reps_b"))
     return drawn.select(
         "set_a", "set_b", "draw_n",
-        draw_int(draw(seed, "set_a", "set_b", "draw_n", F.lit("a")), F.col("n_a")).alias("rep_a"),
-        draw_int(draw(seed, "set_a", "set_b", "draw_n", F.lit("b")), F.col("n_b")).alias("rep_b"))
+        F.get("reps_a", draw_int(draw(seed, "set_a", "set_b", "draw_n", F.lit("a")), F.col("n_a"))).alias("rep_a"),
+        F.get("reps_b", draw_int(draw(seed, "set_a", "set_b", "draw_n", F.lit("b")), F.col("n_b"))).alias("rep_b"))
 
 
 def bootstrap_ari(clusterings: DataFrame, n: int, seed: int) -> DataFrame:
     """Mean and population spread of the index over random pairs of two sets' clusterings.
 
-    Only the distinct drawn pairs are scored. Repeats of a set are numbered from 0.
+    Only the distinct drawn pairs are scored. Repeats of a set may have any numbers.
     """
-    reps: dict[str, int] = {}
-    for set_name, _ in list_clusterings(clusterings):
-        reps[set_name] = reps.get(set_name, 0) + 1
+    reps: dict[str, list[int]] = {}
+    for set_name, rep in list_clusterings(clusterings):
+        reps.setdefault(set_name, []).append(rep)
     draws = settle(bootstrap_draws(clusterings.sparkSession, reps, n, seed), "draws")
     wanted = bounded_rows(draws.select(*PAIR).distinct(), MAX_PAIRS, "list of drawn pairs")
-    scores = both_ways(ari(clusterings, [((r.set_a, r.rep_a), (r.set_b, r.rep_b)) for r in wanted]))
+    # Written before it is mirrored, else both sides would count.
+    scores = both_ways(settle(ari(clusterings, [((r.set_a, r.rep_a), (r.set_b, r.rep_b)) for r in wanted]), "scores"))
     return mean_std(draws.join(scores, PAIR))
 
 
@@ -187,7 +192,7 @@ def score_matrix(clusterings: DataFrame, score=ari_from_counts) -> DataFrame:
     ``score`` maps contingency rows to one ``score`` per pair.
     """
     pairs = unordered(itertools.combinations_with_replacement(list_clusterings(clusterings), 2))
-    return mean_std(both_ways(score(pair_counts(clusterings, pairs))))
+    return mean_std(both_ways(settle(score(pair_counts(clusterings, pairs)), "scores")))
 
 
 def rand_agreement(counts: DataFrame, pair: list[str] = PAIR) -> DataFrame:
@@ -196,31 +201,13 @@ def rand_agreement(counts: DataFrame, pair: list[str] = PAIR) -> DataFrame:
     return counts.groupBy(*pair).agg((same / F.sum("n")).alias("score"))
 
 
-def greedy_match(counts: DataFrame, rows_in_one_process: int = GREEDY_ROWS) -> DataFrame:
+def greedy_match(counts: DataFrame) -> DataFrame:
     """Give clusters labels, largest count first; a label is used once. A cluster with none left has null.
 
-    ``counts``: (cluster, label, n). Ties go to the least cluster, then the least label.
+    ``counts``: (cluster, label, n). Ties go to the least cluster, then the least label. The match is made in
+    rounds: an entry that is first for both its cluster and its label is final.
     """
-    stored = settle(counts.select("cluster", "label", "n"), "contingency")
-    if stored.count() <= rows_in_one_process:
-        return _greedy_here(stored, rows_in_one_process)
-    return _greedy_rounds(stored)
-
-
-def _greedy_here(counts: DataFrame, limit: int) -> DataFrame:
-    rows = bounded_rows(counts, limit, "contingency table")
-    label_of, used = {}, set()
-    for r in sorted(rows, key=lambda r: (-r["n"], r["cluster"], r["label"])):
-        if r["cluster"] not in label_of and r["label"] not in used:
-            label_of[r["cluster"]] = r["label"]
-            used.add(r["label"])
-    matched = [(c, label_of.get(c)) for c in sorted({r["cluster"] for r in rows})]
-    schema = counts.select("cluster", "label").schema
-    return counts.sparkSession.createDataFrame(matched, schema)
-
-
-def _greedy_rounds(counts: DataFrame) -> DataFrame:
-    """The same match in rounds: an entry that is first for both its cluster and its label is final."""
+    counts = settle(counts.select("cluster", "label", "n"), "contingency")
     order = F.struct((-F.col("n")).alias("m"), "cluster", "label")
     left, chosen = counts, None
     while True:

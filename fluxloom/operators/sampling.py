@@ -55,15 +55,20 @@ def chunk_table(samples: DataFrame, per_file: int) -> DataFrame:
         "file_name", "n_rows", size.alias("chunk_rows"), full.cast("bigint").alias("n_chunks"))
 
 
-def balanced_sample(samples: DataFrame, n: int, seed: int, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
-    """The same number of rows from every file: ``n // files``, or the smallest chunk if that is less."""
+def balanced_sample(samples: DataFrame, n: int, seed: int, bucket_rows: int = BUCKET_ROWS,
+                    trim: bool = False) -> DataFrame:
+    """One chunk of every file (`chunk_size`), where a file's part of ``n`` is ``n // files``.
+
+    A file with fewer rows than its part gives all of them. With ``trim`` every file gives only as many as the
+    smallest chunk has.
+    """
     per_file = settle(samples.groupBy("file_name").agg(F.count(F.lit(1)).alias("n_file")), "file-sizes")
     files = per_file.count()
     spf = max(1, n // max(1, files))
     act = chunk_size(F.col("n_file"), F.lit(spf))
-    take = per_file.agg(F.least(F.min(act), F.lit(spf)).alias("m")).first()["m"] or 0
-    ranked = rank_by_draw(samples, ["file_name"], draw(seed, *ROW_KEY), bucket_rows=bucket_rows, at_most=int(take))
-    return ranked.drop("rn", "n_rows")
+    most = per_file.agg(F.min(act) if trim else F.max(act)).first()[0] or 0
+    ranked = rank_by_draw(samples, ["file_name"], draw(seed, *ROW_KEY), bucket_rows=bucket_rows, at_most=int(most))
+    return ranked.filter(F.col("rn") <= chunk_size(F.col("n_rows"), F.lit(spf))).drop("rn", "n_rows")
 
 
 def epoch_rotation(chunks: DataFrame, epochs: int, seed: int) -> DataFrame:

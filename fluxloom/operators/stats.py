@@ -23,13 +23,15 @@ def totals(flux: DataFrame):
         F.count_distinct("file_name").alias("n_files"), F.count(F.lit(1)).alias("n_samples"))).scalar()
 
 
-def mean_and_spread(n, s, ss, ddof: int = 0):
-    """Mean and spread columns from count, sum and sum of squares; a spread of 0 is given as 1."""
-    mean = s / n
-    variance = F.greatest(ss / n - mean * mean, F.lit(0.0))
-    if ddof:
-        variance = F.greatest(F.try_divide(ss - n * mean * mean, n - ddof), F.lit(0.0))
-    return mean, F.when(F.coalesce(variance, F.lit(0.0)) == 0, F.lit(1.0)).otherwise(F.sqrt(variance))
+def mean_and_spread(n, cells, mean, variance, ddof: int = 0):
+    """Mean and spread over ``n`` samples, of which ``cells`` have the given mean and variance and the others are 0.
+
+    Squares of large values are never subtracted: the zeros are merged in closed form. A spread of 0, up to
+    rounding of the mean, is given as 1.
+    """
+    squares = cells * variance + mean * mean * cells * (n - cells) / n
+    variance, mean = F.try_divide(squares, n - ddof) if ddof else squares / n, mean * cells / n
+    return mean, F.when(F.coalesce(F.sqrt(variance), F.lit(0.0)) <= 1e-12 * F.abs(mean), F.lit(1.0)).otherwise(F.sqrt(variance))
 
 
 def flux_stats(flux: DataFrame, ddof: int = 0) -> DataFrame:
@@ -38,15 +40,16 @@ def flux_stats(flux: DataFrame, ddof: int = 0) -> DataFrame:
     A sample without the cell counts as 0, so N is the sample count and not the cell count.
     ``ddof=1`` gives the sample spread.
     """
-    mean, spread = mean_and_spread(F.col("n_samples"), F.col("s"), F.col("ss"), ddof)
+    mean, spread = mean_and_spread(F.col("n_samples"), F.col("_cells"), F.col("_mean"), F.col("_variance"), ddof)
     return (
-        flux.groupBy("reaction").agg(*flux_sums()).withColumn("n_samples", totals(flux)["n_samples"])
+        flux.groupBy("reaction").agg(*flux_moments()).withColumn("n_samples", totals(flux)["n_samples"])
         .select("reaction", "n_samples", mean.alias("mu"), spread.alias("sd"))
     )
 
 
-def flux_sums():
-    return F.sum("flux").alias("s"), F.sum(F.col("flux") * F.col("flux")).alias("ss")
+def flux_moments():
+    """Of the cells that are there: their number, mean and variance."""
+    return F.count("flux").alias("_cells"), F.avg("flux").alias("_mean"), F.var_pop("flux").alias("_variance")
 
 
 def reaction_dim(flux: DataFrame) -> DataFrame:
@@ -54,9 +57,9 @@ def reaction_dim(flux: DataFrame) -> DataFrame:
 
     Sums and the count of files come from one pass over the cells, the totals from one over the keys.
     """
-    mean, spread = mean_and_spread(F.col("n_samples"), F.col("s"), F.col("ss"))
+    mean, spread = mean_and_spread(F.col("n_samples"), F.col("_cells"), F.col("_mean"), F.col("_variance"))
     return (
-        flux.groupBy("reaction").agg(F.count_distinct("file_name").alias("n_files"), *flux_sums())
+        flux.groupBy("reaction").agg(F.count_distinct("file_name").alias("n_files"), *flux_moments())
         .withColumn("t", totals(flux)).withColumn("n_samples", F.col("t.n_samples"))
         .select("reaction", "n_files", (F.col("n_files") == F.col("t.n_files")).alias("is_core"), "n_samples",
                 mean.alias("mu"), spread.alias("sd"))
@@ -83,7 +86,8 @@ class Dictionary:
 
     def table(self, spark: SparkSession) -> DataFrame:
         """The layout as a table (reaction, at). Its size is known, so Catalyst broadcasts it only if small."""
-        return spark.createDataFrame([(r, i) for i, r in enumerate(self.reactions)], "reaction string, at int")
+        at = pa.array(range(len(self.reactions)), pa.int32())
+        return spark.createDataFrame(pa.table({"reaction": pa.array(self.reactions, pa.string()), "at": at}))
 
     def subset(self, reactions: list[str]) -> Dictionary:
         """Chosen reactions, in the given order; unknown ones are left out."""
@@ -158,5 +162,5 @@ def convert(v: Column, source: Dictionary, target: list[str]) -> Column:
 def explode_vectors(samples: DataFrame, dictionary: Dictionary, keys: list[str], v: str = "v",
                     out: str = "flux") -> DataFrame:
     """Dense vectors back to long rows, zeros included."""
-    cells = samples.select(*keys, F.posexplode(v).alias("at", out))
+    cells = samples.select(*keys, F.posexplode_outer(v).alias("at", out))  # outer: else v is made twice
     return cells.join(dictionary.table(samples.sparkSession), "at").select(*keys, "reaction", out)

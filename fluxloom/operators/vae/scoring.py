@@ -178,7 +178,7 @@ def stage_view(samples: DataFrame, scorer: Scorer, stages: tuple[str, ...] = STA
     """Rows at each stage: (keys, stage, v). Rows are restricted before they are scored."""
     kept = restrict_rows(samples, restrictions or {})
     scored = kept.withColumn("_stages", scorer.stages(v, row_key(seed, *keys), tuple(stages)))
-    return scored.select(*keys, F.explode("_stages").alias("s")).select(*keys, "s.stage", "s.v")
+    return scored.select(*keys, F.explode_outer("_stages").alias("s")).select(*keys, "s.stage", "s.v")
 
 
 def dataset_loss(losses: DataFrame, by: list[str] = (), with_stoich: bool = False) -> DataFrame:
@@ -194,5 +194,5 @@ def cross_model_loss(samples: DataFrame, scorers: dict[str, Scorer], test_set: s
     """Mean losses of every model on every test set, in one pass over the rows."""
     scored = F.array(*[F.struct(F.lit(name).alias("model"), s.row_losses(v, row_key(seed, *keys)).alias("l"))
                        for name, s in scorers.items()])
-    flat = samples.select(test_set, F.explode(scored).alias("s")).select(test_set, "s.model", "s.l.*")
+    flat = samples.select(test_set, F.explode_outer(scored).alias("s")).select(test_set, "s.model", "s.l.*")
     return dataset_loss(flat, ["model", test_set])

@@ -118,7 +118,7 @@ def dbscan_query(spark, sf):
 def pca_transform(spark, sf):
     rows = fx.emb(spark, sf)
     moved = cluster.Components(rows).transform(rows)
-    return moved.select("row_id", F.posexplode("pca").alias("component", "value"))
+    return moved.select("row_id", F.posexplode_outer("pca").alias("component", "value"))
 
 
 @query("pca_scree")

@@ -58,9 +58,8 @@ def random_chunks(spark, sf):
 @query("balanced_sample", f"""
 with {ranked(5)},
 spf as (select greatest(3000 // count(distinct file_name), 1) as spf from samples),
-act as (select min(least(ceil(n_rows / ceil(n_rows / spf)), n_rows)) as act from (select distinct file_name, n_rows
-        from ranked) t, spf)
-select file_name, sample_n from ranked, spf, act where rn <= least(act, spf)""")
+act as (select distinct file_name, ceil(n_rows / ceil(n_rows / spf)) as act from ranked, spf)
+select file_name, sample_n from ranked join act using (file_name) where rn <= act""")
 def balanced_sample(spark, sf):
     return sampling.balanced_sample(samples(spark, sf), 3000, seed=5)
 

@@ -63,7 +63,7 @@ def sql_model(shift: int = 0, sample: bool = False) -> str:
 
 
 def exploded(df, column, out="x"):
-    return df.select("row_id", F.posexplode(column).alias("i", out)).select(
+    return df.select("row_id", F.posexplode_outer(column).alias("i", out)).select(
         "row_id", F.col("i").cast("bigint").alias("i"), r6(F.col(out)).alias(out))
 
 
@@ -77,9 +77,11 @@ select row_id, i, {R6('mu')} as mu, {R6('mu + exp(0.5 * lv)')} as sampled from m
 def vae_encode(spark, sf):
     rows = fx.emb(spark, sf)
     # Unit noise makes the sampled form repeatable in SQL; the default noise is normal, by row key.
-    means = exploded(rows.withColumn("z", scorer().encode("v", key())), "z", "mu")
-    drawn = exploded(rows.withColumn("z", scorer(sample=True, eps="ones").encode("v", key())), "z", "sampled")
-    return means.join(drawn, ["row_id", "i"])
+    both = F.arrays_zip(scorer().encode("v", key()).alias("mu"),
+                        scorer(sample=True, eps="ones").encode("v", key()).alias("sampled"))
+    return rows.select("row_id", F.posexplode_outer(both).alias("i", "z")).select(
+        "row_id", F.col("i").cast("bigint").alias("i"), r6(F.col("z.mu")).alias("mu"),
+        r6(F.col("z.sampled")).alias("sampled"))
 
 
 @query("vae_decode", f"""
@@ -96,7 +98,7 @@ stages as (select 'pre' as stage, * from m0_in union all select 'emb', * from m0
 select row_id, label, stage, s.i as i, {R6('s.x')} as x from stages s join emb using (row_id) where split = 'test'""")
 def stage_view_query(spark, sf):
     view = stage_view(fx.emb(spark, sf), scorer(), restrictions={"split": "test"}, keys=["row_id", "label"])
-    return view.select("row_id", "label", "stage", F.posexplode("v").alias("i", "x")).select(
+    return view.select("row_id", "label", "stage", F.posexplode_outer("v").alias("i", "x")).select(
         "row_id", "label", "stage", F.col("i").cast("bigint").alias("i"), r6(F.col("x")).alias("x"))
 
 

@@ -20,7 +20,6 @@ from fluxloom.session import bounded_rows, settle
 from fluxloom.sources import flux_csv, sbml, tables
 
 KEYS = ["file_name", "sample_n"]
-DEFAULT_ROWS = 65_536
 
 
 @dataclass
@@ -39,13 +38,17 @@ class Dataset:
         kept = harmonise.select_reaction_set(self.dim, join)
         return stats.Dictionary.collect(kept).reactions
 
-    def sample(self, n: int = DEFAULT_ROWS, seed: int = 0) -> DataFrame:
-        """Dense rows (file_name, label, sample_n, row_id, v): as many from each file, ``n`` in all."""
-        keys = settle(sampling.sample_rows(self.flux), "samples")
-        drawn = settle(sampling.balanced_sample(keys, n, seed), "drawn")
-        cells = self.flux.join(drawn, KEYS, "left_semi")
-        rows = stats.dense_samples(cells, self.layout)
-        return rows.withColumn("row_id", F.xxhash64(*KEYS))
+    def sample(self, n: int | None = None, seed: int = 0) -> DataFrame:
+        """Dense rows (file_name, label, sample_n, row_id, v): all of them, or about ``n``, as many from each file."""
+        return self.dense(self.layout, n, seed).withColumn("row_id", F.concat_ws("/", *KEYS))
+
+    def dense(self, layout: stats.Dictionary, n: int | None, seed: int) -> DataFrame:
+        cells = self.flux
+        if n is not None:
+            keys = settle(sampling.sample_rows(self.flux), "samples")
+            drawn = settle(sampling.balanced_sample(keys, n, seed), "drawn")
+            cells = cells.join(drawn, KEYS, "left_semi")
+        return stats.dense_samples(cells, layout)
 
     def coefficients(self) -> SparseRows:
         return SparseRows.collect(self.stoich, self.layout.reactions)
@@ -63,8 +66,9 @@ def load(spark: SparkSession, path: str, models: str | None = None) -> Dataset:
         found = None
     if found is not None:
         species = settle(sbml.read_species(spark, models).distinct(), "species")
-        known = settle(found.join(sbml.canonical_names(found, species), ["model", "reaction_id"]), "models")
-        renames = known.select(F.col("model").alias("label"), F.col("reaction_id").alias("reaction"),
+        named = settle(sbml.canonical_names(found, species, sbml.read_reactions(spark, models)), "names")
+        known = settle(found.join(named, ["model", "reaction_id"]), "models")
+        renames = named.select(F.col("model").alias("label"), F.col("reaction_id").alias("reaction"),
                                F.col("reaction").alias("new_name")).distinct()
         flux = harmonise.collapse_duplicates(harmonise.rename_reactions(flux, renames))
         entries = known.join(species, ["model", "metabolite"]).select(
@@ -75,10 +79,10 @@ def load(spark: SparkSession, path: str, models: str | None = None) -> Dataset:
 
 
 def train(data: Dataset, folder: str, epochs: int = 1, batch_size: int = 64, n_emb: int = 128, n_lay: int = 5,
-          lr: float = 1e-4, join: str = "inner", n: int = DEFAULT_ROWS, seed: int = 0, test: Dataset | None = None,
-          test_size: int = 2048, beta_s: float = 0.0, use_beta_s_in_test_loss: bool = False, save_on: int = 10,
+          lr: float = 1e-4, join: str = "inner", n: int | None = None, seed: int = 0, test: Dataset | None = None,
+          test_size: int | None = None, beta_s: float = 0.0, use_beta_s_in_test_loss: bool = False, save_on: int = 10,
           save_losses_on: int = 1, lrelu_slope: float = 0.0, **model) -> tuple[Vae, DataFrame]:
-    """Fit a model to a balanced sample and store its versions and loss log under ``folder``.
+    """Fit a model to all rows (or a balanced sample of ``n``) and store its versions and loss log under ``folder``.
 
     The test set is laid out by the training reactions; what it lacks is 0.
     """
@@ -88,10 +92,7 @@ def train(data: Dataset, folder: str, epochs: int = 1, batch_size: int = 64, n_e
               seed=seed, **model)
     held_out = None
     if test is not None:
-        keys = settle(sampling.sample_rows(test.flux), "samples")
-        drawn = settle(sampling.balanced_sample(keys, test_size, seed), "drawn")
-        cells = test.flux.join(drawn, KEYS, "left_semi")
-        held_out = stats.dense_samples(cells, data.layout)
+        held_out = test.dense(data.layout, test_size, seed)
     coefficients = data.coefficients() if beta_s else None
     vae, log = fit(data.sample(n, seed), vae, epochs, batch_size, lr, seed, KEYS, data.layout.reactions,
                    held_out, coefficients=coefficients, beta_s=beta_s, with_stoich=use_beta_s_in_test_loss,
@@ -100,7 +101,7 @@ def train(data: Dataset, folder: str, epochs: int = 1, batch_size: int = 64, n_e
     return vae, log
 
 
-def process(data: Dataset, vae: Vae | None = None, stage: str = PRE, n: int = DEFAULT_ROWS, join: str = "inner",
+def process(data: Dataset, vae: Vae | None = None, stage: str = PRE, n: int | None = None, join: str = "inner",
             sample: bool = False, prep: str = "none", add_losses: bool = False, beta_s: float = 0.0,
             restrictions: dict | None = None, seed: int = 0) -> DataFrame:
     """Rows of a sample at a stage: (file_name, label, sample_n, v), with ``prep='pca'`` in components and
@@ -129,14 +130,14 @@ def process(data: Dataset, vae: Vae | None = None, stage: str = PRE, n: int = DE
 
 
 def ari_score(data: Dataset, vae: Vae | None = None, stages=STAGES, k: int | None = None, n: int = 64,
-              bootstrap_n: int = 128, rows: int = DEFAULT_ROWS, join: str = "inner", truth: str = "label",
+              bootstrap_n: int = 128, rows: int | None = None, join: str = "inner", truth: str = "label",
               seed: int = 0) -> DataFrame:
     """Bootstrapped agreement of k-means at each stage and of the true labels: (set_a, set_b, mean, std)."""
     found = []
     for stage in stages:
         view = settle(process(data, vae, stage, rows, join, seed=seed), "view")
         found.append(cluster.kmeans_repeats(view, stage, n, k or cluster.n_labels(view, truth), seed))
-        labels = view.select(F.lit("origional").alias("set_name"), F.lit(0).cast("bigint").alias("rep"), "row_id",
+        labels = view.select(F.lit("label").alias("set_name"), F.lit(0).cast("bigint").alias("rep"), "row_id",
                              F.col(truth).cast("string").alias("cluster"))
     sets = labels
     for each in found:
@@ -145,7 +146,7 @@ def ari_score(data: Dataset, vae: Vae | None = None, stages=STAGES, k: int | Non
 
 
 def wcss_score(data: Dataset, vae: Vae | None = None, stages=STAGES, max_k: int | None = None, n: int = 8,
-               rows: int = DEFAULT_ROWS, join: str = "inner", seed: int = 0) -> DataFrame:
+               rows: int | None = None, join: str = "inner", seed: int = 0) -> DataFrame:
     """Elbow curve per stage; by default up to as many clusters as there are files."""
     views = [process(data, vae, s, rows, join, seed=seed).select("row_id", F.lit(s).alias("stage"), "v") for s in stages]
     stacked = views[0]
@@ -167,7 +168,7 @@ def _matrix(predicted: DataFrame, classes: list[str], truth: str) -> DataFrame:
 
 
 def nearest_centroid_score(train_set: Dataset, test_set: Dataset, vae: Vae | None = None, stage: str = PRE,
-                           join: str = "inner", group: str = "label", rows: int = DEFAULT_ROWS, seed: int = 0) -> DataFrame:
+                           join: str = "inner", group: str = "label", rows: int | None = None, seed: int = 0) -> DataFrame:
     """Per test group, the share of rows predicted as each training group."""
     fitted, tested = _train_test_views(train_set, test_set, vae, stage, join, rows, seed)
     classes = sorted(r[0] for r in bounded_rows(fitted.select(group).distinct(), metrics.MAX_COLUMNS, "classes"))
@@ -175,7 +176,7 @@ def nearest_centroid_score(train_set: Dataset, test_set: Dataset, vae: Vae | Non
 
 
 def gmm_score(train_set: Dataset, test_set: Dataset, vae: Vae | None = None, stage: str = PRE, join: str = "inner",
-              rows: int = DEFAULT_ROWS, seed: int = 0) -> DataFrame:
+              rows: int | None = None, seed: int = 0) -> DataFrame:
     """The same by the densest of one Gaussian per training label."""
     fitted, tested = _train_test_views(train_set, test_set, vae, stage, join, rows, seed)
     model = gmm.Densities.fit(fitted)

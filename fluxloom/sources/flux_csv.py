@@ -16,8 +16,6 @@ from fluxloom.functions.text import model_name
 from fluxloom.operators.harmonise import SOURCE_COLUMNS
 from fluxloom.session import settle
 
-# Lines that open with a whole number and a comma are rows; any other line is a header.
-ROW_LINE = r"^-?[0-9]+,"
 # A comma outside double quotes.
 QUOTED_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
 # Fixed value: a saved row index without a name is read back under this one.
@@ -65,13 +63,26 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         text = spark.read.option("recursiveFileLookup", True).text(csv_glob(path))
     except AnalysisException as error:
         raise FileNotFoundError(f"'{path}' has no .csv files.") from error
-    return text.select("value", F.col("_metadata.file_path").alias("path")).filter(F.trim("value") != "")
+    return text.select("value", F.col("_metadata.file_path").alias("path"),
+                       F.col("_metadata.file_block_start").alias("block")).filter(F.trim("value") != "")
 
 
 def headers(lines: DataFrame) -> DataFrame:
-    """Column names of each file, index left out: (path, names)."""
-    tops = lines.filter(~F.col("value").rlike(ROW_LINE))
-    return tops.withColumn("cells", split_line(F.col("value"))).select("path", without_index("cells").alias("names"))
+    """The first line of each file and its column names, index left out: (path, header, names).
+
+    A file's first block is read by one task in order, so the least running number in it is the first line.
+    """
+    tops = lines.filter("block = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(
+        F.min_by("value", "at").alias("header"))
+    return tops.withColumn("cells", split_line(F.col("header"))).select(
+        "path", "header", without_index("cells").alias("names"))
+
+
+def row_number_of(index: Column) -> Column:
+    """Whole-number indexes as they are, also written as 3.0; any other index by a hash of its text."""
+    number = index.try_cast("double")
+    whole = F.when(number == F.floor(number), number.cast("bigint"))
+    return F.coalesce(index.try_cast("bigint"), whole, F.xxhash64(index))
 
 
 def header_union(spark: SparkSession, path: str) -> DataFrame:
@@ -86,16 +97,20 @@ def read(spark: SparkSession, path: str) -> DataFrame:
 
     Two passes over the text: headers first, then rows joined to the header of their file. The headers
     are settled, so they are broadcast only while measured to be small; above that the lines are
-    shuffled by file and AQE splits a file that holds too many of them. An empty cell is 0; text that
-    is not a number is an error.
+    shuffled by file and AQE splits a file that holds too many of them. The header is a file's first line, whatever
+    it looks like. An empty cell is 0; text that is not a number is an error, and so is a line with more or fewer
+    cells than the header. A row index may be any text (`row_number_of`).
     """
     lines = read_lines(spark, path)
     named = settle(headers(lines), "headers")
-    rows = lines.filter(F.col("value").rlike(ROW_LINE)).withColumn("cells", split_line(F.col("value"))).drop("value")
+    rows = lines.drop("block").join(named, "path").filter(F.col("value") != F.col("header"))
+    rows = rows.withColumn("cells", split_line(F.col("value")))
+    ragged = F.raise_error(F.concat(F.lit("a line of "), F.col("path"), F.lit(" has not as many cells as its header: "),
+                                    F.substring("value", 1, 80)))
+    even = F.when(F.size("cells") == F.size("names") + 1, without_index("cells")).otherwise(ragged)
     # Keys are made per line, before the line becomes thousands of cells.
-    keyed = rows.join(named, "path").select(
-        file_name_of(F.col("path")).alias("file_name"), F.col("cells")[0].cast("bigint").alias("sample_n"),
-        "names", without_index("cells").alias("cells"))
+    keyed = rows.select(file_name_of(F.col("path")).alias("file_name"), row_number_of(F.col("cells")[0]).alias("sample_n"),
+                        "names", even.alias("cells"))
     flat = keyed.withColumn("label", model_name(F.col("file_name"))).select(
         "file_name", "label", "sample_n",
         F.explode(F.arrays_zip(F.col("names").alias("reaction"), F.col("cells").alias("cell"))).alias("c"))

@@ -47,13 +47,29 @@ def read_coefficients(spark: SparkSession, path: str) -> DataFrame:
     )
 
 
-def canonical_names(coefficients: DataFrame, species: DataFrame) -> DataFrame:
-    """Reaction id -> canonical name, per model."""
-    part = F.concat("metabolite_name", F.lit("s["), decimal_text(F.col("stoich")), F.lit("]"))
-    return (
-        coefficients.join(species, ["model", "metabolite"]).groupBy("model", "reaction_id")
+def read_reactions(spark: SparkSession, path: str) -> DataFrame:
+    """Ids of all reactions of every model (model, reaction_id), those without metabolites too."""
+    return read_rows(spark, path, "reaction", "_id string").select("model", F.col("_id").alias("reaction_id")).distinct()
+
+
+def canonical_names(coefficients: DataFrame, species: DataFrame, reactions: DataFrame | None = None) -> DataFrame:
+    """Reaction id -> canonical name, per model.
+
+    A metabolite that the model does not list is an error. With the list of reactions, one without metabolites
+    gets the name of an empty list.
+    """
+    listed = species.select("model", "metabolite", "metabolite_name", F.lit(True).alias("known"))
+    unknown = F.raise_error(F.concat(F.lit("unknown species "), F.col("metabolite"), F.lit(" in model "), F.col("model")))
+    name = F.when(F.col("known"), F.col("metabolite_name")).otherwise(unknown)
+    part = F.concat(name, F.lit("s["), decimal_text(F.col("stoich")), F.lit("]"))
+    named = (
+        coefficients.join(listed, ["model", "metabolite"], "left").groupBy("model", "reaction_id")
         .agg(reaction_name(F.collect_list(part)).alias("reaction"))
     )
+    if reactions is None:
+        return named
+    empty = reaction_name(F.array().cast("array<string>"))
+    return reactions.join(named, ["model", "reaction_id"], "left").withColumn("reaction", F.coalesce("reaction", empty))
 
 
 def write(coefficients: DataFrame, species: DataFrame, path: str, parts: int = 1) -> None:

@@ -155,3 +155,20 @@ def test_every_nth_of_zero_is_empty(spark):
 def test_short_runs_have_no_tail(spark):
     found = logs.tail_average(log_of(spark, {0: range(10), 1: range(3)}), 4, ["loss"]).collect()
     assert [(r.run, r.loss) for r in found] == [(0, 7.5)]
+
+
+def test_tail_of_a_filtered_log(spark):
+    found = logs.tail_average(logs.every_nth(log_of(spark, {0: range(10)}), 2), 4, ["loss"]).collect()
+    assert [(r.run, r.loss) for r in found] == [(0, 5.0)]  # evaluations 2, 4, 6, 8
+
+
+def test_spread_of_a_large_constant_is_one(spark):
+    from fluxloom.operators import stats
+
+    cells = [("f", "l", i, "constant", 1000.1) for i in range(1000)] + [("f", "l", i, "half", 1000.1) for i in range(500)]
+    flux = spark.createDataFrame(cells, "file_name string, label string, sample_n bigint, reaction string, flux double")
+    for found in (stats.flux_stats(flux), stats.reaction_dim(flux)):
+        rows = {r.reaction: r for r in found.collect()}
+        assert rows["constant"].sd == 1.0 and rows["constant"].mu == pytest.approx(1000.1)
+        assert rows["half"].sd == pytest.approx(500.05) and rows["half"].mu == pytest.approx(500.05)
+    assert {r.reaction: r.sd for r in stats.flux_stats(flux, ddof=1).collect()}["half"] == pytest.approx(500.05 * (1000 / 999) ** 0.5)

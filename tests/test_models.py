@@ -236,10 +236,9 @@ def test_greedy_match_in_rounds_equals_one_by_one(spark, seed):
     counts = {c: ls for c, ls in counts.items() if ls}
     table = spark.createDataFrame([(c, l, n) for c, ls in counts.items() for l, n in ls.items()],
                                   "cluster string, label string, n bigint")
-    here = {r.cluster: r.label for r in metrics.greedy_match(table).collect()}
-    rounds = {r.cluster: r.label for r in metrics.greedy_match(table, rows_in_one_process=0).collect()}
-    assert here == rounds == greedy(counts)
-    assert None in here.values()  # more clusters than labels
+    rounds = {r.cluster: r.label for r in metrics.greedy_match(table).collect()}
+    assert rounds == greedy(counts)
+    assert None in rounds.values()  # more clusters than labels
 
 
 def test_prediction_rows_add_up_to_one(spark, sf):
@@ -257,3 +256,13 @@ def test_single_row_group_has_no_spread(spark):
 def test_fixture_split_uses_every_row(spark, sf):
     rows = fx.emb(spark, sf)
     assert rows.filter("split in ('train', 'test')").count() == rows.count()
+
+
+def test_bootstrap_draws_any_repeat_numbers(spark):
+    rows = [(s, rep, i, str((i + rep) % 3)) for s, reps in (("a", (1, 2)), ("b", (5,))) for rep in reps for i in range(12)]
+    sets = spark.createDataFrame(rows, "set_name string, rep bigint, row_id bigint, cluster string")
+    shifted = sets.withColumn("rep", F.when(F.col("set_name") == "a", F.col("rep") - 1).otherwise(F.lit(0)).cast("bigint"))
+    found, expected = ([tuple(r) for r in sorted(metrics.bootstrap_ari(s, 64, 3).collect())] for s in (sets, shifted))
+    assert found == expected and len(found) == 4
+    draws = metrics.bootstrap_draws(spark, {"a": [1, 2], "b": [5]}, 64, 3)
+    assert draws.count() == 4 * 64 and {r.rep_b for r in draws.filter("set_b = 'b'").collect()} == {5}

@@ -79,7 +79,7 @@ def test_train_then_score(spark, data, tmp_path):
 def test_ari_and_elbow(data):
     scores = {(r.set_a, r.set_b): r.mean for r in
               recipes.ari_score(data, stages=("pre",), n=2, bootstrap_n=8, rows=40).collect()}
-    assert scores[("pre", "origional")] == pytest.approx(1.0)
+    assert scores[("pre", "label")] == pytest.approx(1.0)
     curve = recipes.wcss_score(data, stages=("pre",), n=2, rows=40).orderBy("k").collect()
     assert [r.k for r in curve] == [1, 2] and curve[1].wcss < curve[0].wcss
 

@@ -61,10 +61,14 @@ def test_last_chunk_below_four_fifths_is_dropped(spark):
 
 def test_balanced_sample_takes_the_same_from_each_file(files):
     counts = Counter(r.file_name for r in sampling.balanced_sample(files, 400, seed=2, bucket_rows=50).collect())
-    assert set(counts.values()) == {1} and len(counts) == 4
+    sizes = Counter(r.file_name for r in files.collect())
+    assert min(sizes.values()) == 1  # a tiny file gives all it has, and takes nothing from the others
+    assert counts == {f: -(-k // -(-k // 100)) for f, k in sizes.items()}
+    trimmed = Counter(r.file_name for r in sampling.balanced_sample(files, 400, seed=2, trim=True).collect())
+    assert set(trimmed.values()) == {1} and len(trimmed) == 4
     large = files.filter("file_name in ('hot', 'mid')")
     counts = Counter(r.file_name for r in sampling.balanced_sample(large, 60, seed=2).collect())
-    assert set(counts.values()) == {23}  # 45 rows in chunks of 30 are two of 23
+    assert sorted(counts.values()) == [23, 30]  # 45 rows in chunks of 30 are two of 23
 
 
 def test_rotation_uses_every_chunk_once_per_cycle(files):

@@ -98,3 +98,40 @@ def test_grid_order_and_command_line(spark):
     assert [(r.run, r.lr, r.n) for r in rows] == [(0, .1, 1), (1, .1, 2), (2, .1, 3), (3, .2, 1), (4, .2, 2), (5, .2, 3)]
     line = grids.command_line(grid, {"lr": "float", "n": "int"}).filter("run = 0").first()
     assert line.arg_str == "--lr 1.0000e-01 -n 1"
+
+
+def cells_of(spark, folder, text):
+    (folder / "a_1.csv").write_text(text)
+    return {(r.sample_n, r.reaction): r.flux for r in flux_csv.read(spark, str(folder)).collect()}
+
+
+def test_header_is_the_first_line_whatever_the_index_looks_like(spark, tmp_path):
+    for at, (text, rows) in enumerate((
+            (",x,y\n0.0,1,2\n1.0,3,4\n", (0, 1)), (',x,y\n"0",1,2\n"1",3,4\n', (0, 1)), ("i,x,y\n0,1,2\n1,3,4\n", (0, 1)))):
+        folder = tmp_path / str(at)
+        folder.mkdir()
+        assert cells_of(spark, folder, text) == {
+            (rows[0], "x"): 1.0, (rows[0], "y"): 2.0, (rows[1], "x"): 3.0, (rows[1], "y"): 4.0}
+    (tmp_path / "named").mkdir()
+    named = cells_of(spark, tmp_path / "named", ",x\nfirst,1\nsecond,2\n")
+    assert sorted(named.values()) == [1.0, 2.0] and len({n for n, _ in named}) == 2
+
+
+@pytest.mark.parametrize("line", ["1,3,4,5", "1,3"])
+def test_ragged_lines_are_errors(spark, tmp_path, line):
+    with pytest.raises(Exception, match="not as many cells"):
+        cells_of(spark, tmp_path, f",x,y\n0,1,2\n{line}\n")
+
+
+def test_species_without_formula_or_charge_keep_their_names(spark):
+    species = spark.createDataFrame([("m", "A", "a", None, None, "c"), ("m", "B", "b", None, None, "c"), ("m", "C", "c", "C1", 0, "c")],
+                                    "model string, metabolite string, name string, formula string, charge bigint, compartment string")
+    species = species.withColumn("metabolite_name", text.metabolite_name(*map(F.col, ("name", "formula", "charge", "compartment"))))
+    entries = spark.createDataFrame([("m", "r1", "A", -1.0), ("m", "r1", "C", 1.0), ("m", "r2", "B", -1.0), ("m", "r2", "C", 1.0)],
+                                    "model string, reaction_id string, metabolite string, stoich double")
+    reactions = spark.createDataFrame([("m", "r1"), ("m", "r2"), ("m", "r3")], "model string, reaction_id string")
+    names = {r.reaction_id: r.reaction for r in sbml.canonical_names(entries, species, reactions).collect()}
+    assert len(set(names.values())) == 3 and names["r3"] == "r[]" and "f[None]ch[None]" in names["r1"]
+    strange = entries.union(spark.createDataFrame([("m", "r4", "?", 1.0)], entries.schema))
+    with pytest.raises(Exception, match="unknown species"):
+        sbml.canonical_names(strange, species).collect()
