@@ -12,15 +12,15 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 from pyspark import StorageLevel
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from fluxloom.functions.draws import draw
 from fluxloom.functions.vectors import row_blocks, to_lists, to_matrix
-from fluxloom.operators.sampling import sample_cap
 from fluxloom.session import BROADCAST_BYTES, TooLarge
 
-# Rows that the starting centres are chosen from; all rows take part in every iteration.
-START_ROWS = 4_000
+# Rounds that draw candidates for the starting centres, from all rows.
+START_ROUNDS = 3
 # Rows of partial sums that the driver adds up itself.
 DIRECT_ROWS = 2_000
 
@@ -34,18 +34,114 @@ class Fit:
     done: bool = False
 
 
-def start_centres(sample: np.ndarray, k: int, seed: int) -> np.ndarray:
-    """k-means++ on a sample: each next centre is drawn by squared distance to those before."""
+def start_centres(rows: DataFrame, specs: list[tuple[int, int]], key: str, v: str) -> tuple[list[np.ndarray], float]:
+    """Starting centres of every (k, seed) from all rows, and the mean variance of a column.
+
+    The first candidate is the row with the least draw of its key. Each round adds ``2 k`` rows, drawn without
+    replacement by squared distance to the candidates so far: a row's place in line is the logarithm of its draw by
+    its distance, so a task only hands on its first ``2 k``. At last every candidate is weighed by the rows nearest
+    to it, and k of them are chosen by k-means++ with these weights.
+    """
+    seeds = sorted({seed for _, seed in specs})
+    least = rows.agg(*[F.min(F.struct(draw(seed, key).alias("d"), F.col(v).alias("v"))).alias(f"s{i}")
+                       for i, seed in enumerate(seeds)]).first()
+    first = {seed: np.array(least[f"s{i}"]["v"], dtype=np.float64) for i, seed in enumerate(seeds)}
+    held = [first[seed][None, :] for _, seed in specs]
+    width = held[0].shape[1]
+    if sum((1 + START_ROUNDS * 2 * k) * width * 8 for k, _ in specs) > BROADCAST_BYTES:
+        raise TooLarge("the candidates of all fits are above the broadcast bound; fit them in turns")
+    hashed = rows.select(F.xxhash64(key).alias("h"), F.col(v).alias("v"))
+    wanted = F.array(*[F.lit(2 * k) for k, _ in specs])
+    inline = Window.partitionBy("fit").orderBy("place", "v")
+    for round_n in range(START_ROUNDS):
+        found = hashed.mapInArrow(_next_in_line(held, specs, round_n), "fit int, place double, v array<double>")
+        found = found.withColumn("rank", F.row_number().over(inline)).filter(F.col("rank") <= wanted[F.col("fit")])
+        table = found.select("fit", "v").toArrow().combine_chunks()
+        fit_of = table["fit"].to_numpy()
+        vectors = to_matrix(table["v"].combine_chunks(), width) if table.num_rows else np.zeros((0, width))
+        held = [np.concatenate([own, vectors[fit_of == i]]) for i, own in enumerate(held)]
+    total, squares, weights = 0, np.zeros((2, width)), [np.zeros(len(own)) for own in held]
+    for row in hashed.mapInArrow(_weigh(held), "fit int, sums array<double>").toLocalIterator():
+        if row["fit"] < 0:
+            total += row["sums"][0]
+            squares += np.array(row["sums"][1:]).reshape(2, width)
+        else:
+            weights[row["fit"]] += row["sums"]
+    variance = np.maximum(squares[1] / total - (squares[0] / total) ** 2, 0).mean()
+    return [_choose(own, w, k, seed) for own, w, (k, seed) in zip(held, weights, specs)], float(variance)
+
+
+def _choose(candidates: np.ndarray, weights: np.ndarray, k: int, seed: int) -> np.ndarray:
+    """k-means++ on weighted candidates. Rows with fewer than k different values give repeated centres."""
     rng = np.random.default_rng(seed)
-    centres = [sample[rng.integers(len(sample))]]
-    d2 = ((sample - centres[0]) ** 2).sum(axis=1)
+    centres = [candidates[rng.choice(len(candidates), p=weights / weights.sum())]]
+    d2 = ((candidates - centres[0]) ** 2).sum(axis=1)
     while len(centres) < k:
-        weight = d2 / d2.sum() if d2.sum() > 0 else None
-        centres.append(sample[rng.choice(len(sample), p=weight)])
-        d2 = np.minimum(d2, ((sample - centres[-1]) ** 2).sum(axis=1))
+        share = d2 * weights
+        if share.sum() == 0:
+            share = d2 if d2.sum() > 0 else weights
+        centres.append(candidates[rng.choice(len(candidates), p=share / share.sum())])
+        d2 = np.minimum(d2, ((candidates - centres[-1]) ** 2).sum(axis=1))
     return np.array(centres)
 
 
+def _distances(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    """Squared distances, taken about the first centre so that large offsets cancel before they are squared."""
+    x, m = x - centres[0], centres - centres[0]
+    return np.maximum((x**2).sum(axis=1)[:, None] - 2.0 * (x @ m.T) + (m**2).sum(axis=1), 0.0)
+
+
+def _next_in_line(held: list[np.ndarray], specs: list[tuple[int, int]], round_n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        best = [(np.zeros(0), np.zeros((0, m.shape[1]))) for m in held]
+        for batch in batches:
+            hashes = batch.column(0).to_numpy(zero_copy_only=False).astype(np.uint64)
+            rows = to_matrix(batch.column(1), held[0].shape[1])
+            for i, (own, (k, seed)) in enumerate(zip(held, specs)):
+                for part in row_blocks(len(rows), 2 * len(own)):
+                    near = _distances(rows[part], own).min(axis=1)
+                    u = (_mix(hashes[part] ^ _mix(np.uint64([seed * 64 + round_n]))) >> np.uint64(11)).astype(float) + 1.0
+                    with np.errstate(divide="ignore"):
+                        place = -np.log(u / 2.0**53) / near
+                    place = np.where(near > 0, place, np.inf)
+                    place = np.concatenate([best[i][0], place])
+                    vectors = np.concatenate([best[i][1], rows[part]])
+                    first = np.argsort(place, kind="stable")[: 2 * k]
+                    first = first[np.isfinite(place[first])]
+                    best[i] = place[first], vectors[first]
+        for i, (place, vectors) in enumerate(best):
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(np.full(len(place), i), pa.int32()), pa.array(place), to_lists(vectors)], ["fit", "place", "v"])
+
+    return run
+
+
+def _weigh(held: list[np.ndarray]):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        weights = [np.zeros(len(m)) for m in held]
+        total, squares = 0, np.zeros((2, held[0].shape[1]))
+        for batch in batches:
+            rows = to_matrix(batch.column(1), held[0].shape[1])
+            about = rows - held[0][0]
+            total, squares = total + len(rows), squares + np.array([about.sum(axis=0), (about**2).sum(axis=0)])
+            for own, w in zip(held, weights):
+                for part in row_blocks(len(rows), 2 * len(own)):
+                    w += np.bincount(_distances(rows[part], own).argmin(axis=1), minlength=len(own))
+        sums = [*weights, np.concatenate([[total], squares.ravel()])]
+        yield pa.RecordBatch.from_arrays(
+            [pa.array([*range(len(held)), -1], pa.int32()), pa.array(sums, pa.list_(pa.float64()))], ["fit", "sums"])
+
+    return run
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    """The finalizer of splitmix64: a uniform draw from a hash."""
+    with np.errstate(over="ignore"):
+        x = (x ^ (x >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        x = (x ^ (x >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        return x ^ (x >> np.uint64(31))
+
+
 def fit_many(rows: DataFrame, specs: list[tuple[int, int]], key: str, v: str = "v", max_iter: int = 100,
              tol: float = 1e-4) -> list[Fit]:
     """One fit per (k, seed).
@@ -53,12 +149,9 @@ def fit_many(rows: DataFrame, specs: list[tuple[int, int]], key: str, v: str = "
     A fit stops when the squared moves of its centres add up to at most ``tol`` times the mean variance
     of a column.
     """
-    sample = sample_cap(rows.select(key, v), START_ROWS, seed=0, keys=[key]).select(key, v).collect()  # START_ROWS at most
-    start = np.array([r[v] for r in sorted(sample, key=lambda r: r[key])], dtype=np.float64)
-    fits = [Fit(k, seed, start_centres(start, k, seed)) for k, seed in specs]
-    still = tol * float(start.var(axis=0).mean())
-    if sum(f.centres.nbytes for f in fits) > BROADCAST_BYTES:
-        raise TooLarge("the centres of all fits are above the broadcast bound; fit them in turns")
+    starts, variance = start_centres(rows, specs, key, v)
+    fits = [Fit(k, seed, centres) for (k, seed), centres in zip(specs, starts)]
+    still = tol * variance
     kept = rows.select(v).persist(StorageLevel.MEMORY_AND_DISK)
     tasks = kept.rdd.getNumPartitions()
     try:

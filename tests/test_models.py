@@ -266,3 +266,24 @@ def test_bootstrap_draws_any_repeat_numbers(spark):
     assert found == expected and len(found) == 4
     draws = metrics.bootstrap_draws(spark, {"a": [1, 2], "b": [5]}, 64, 3)
     assert draws.count() == 4 * 64 and {r.rep_b for r in draws.filter("set_b = 'b'").collect()} == {5}
+
+
+def test_starting_centres_come_from_all_rows(spark):
+    """Three rows far from 20,000 others: a start from a sample would miss them."""
+    rng = np.random.default_rng(0)
+    points = np.concatenate([rng.normal(size=(20_000, 2)), rng.normal(size=(3, 2)) + 1000])
+    rows = spark.createDataFrame([(i, p.tolist()) for i, p in enumerate(points)], "row_id bigint, v array<double>")
+    fits = lloyd.fit_many(rows.repartition(8), [(2, s) for s in range(4)], "row_id")
+    again = lloyd.fit_many(rows.repartition(3), [(2, s) for s in range(4)], "row_id")
+    for fit, other in zip(fits, again):
+        assert fit.cost < 50_000 and sorted(c.max() > 500 for c in fit.centres) == [False, True]
+        assert fit.cost == pytest.approx(other.cost)
+    starts, variance = lloyd.start_centres(rows, [(6, 1)], "row_id", "v")
+    assert len(np.unique(starts[0], axis=0)) == 6
+    assert variance == pytest.approx(points.var(axis=0).mean())
+
+
+def test_fewer_values_than_clusters(spark):
+    rows = spark.createDataFrame([(i, [float(i % 2)]) for i in range(8)], "row_id bigint, v array<double>")
+    (fit,) = lloyd.fit_many(rows, [(3, 0)], "row_id")
+    assert fit.cost == 0.0 and set(fit.centres.ravel()) <= {0.0, 1.0}
