@@ -75,6 +75,11 @@ def wcss_curve(stages: DataFrame, max_k: int, n: int = 1, seed: int = 0) -> Data
     return stages.sparkSession.createDataFrame(found, "stage string, k bigint, wcss double, wcss_std double")
 
 
+def identity_clustering(rows: DataFrame, label: str = "label") -> DataFrame:
+    """The clustering that the labels are."""
+    return rows.select("row_id", F.col(label).alias("cluster"))
+
+
 def kmeans_assign(rows: DataFrame, centres: Centres, out: str = "cluster") -> DataFrame:
     """Nearest of given centres with the squared distance; the sum of it is the WCSS."""
     return nearest(rows, "v", centres, out, d2="d2")

@@ -93,6 +93,27 @@ def unknown_in(requested: DataFrame, known: DataFrame) -> DataFrame:
     return requested.join(known.select("reaction").distinct(), "reaction", "left_anti")
 
 
+def rename_labels(rows: DataFrame, shown: DataFrame, label: str = "label") -> DataFrame:
+    """Rows with the ``display`` name of their label; labels without one are left out."""
+    return rows.join(shown.select(label, "display"), label)
+
+
+def align_rows(left: DataFrame, right: DataFrame, keys: list[str] = ROW_KEY) -> DataFrame:
+    """Columns of both tables by row key; all rows of the left one stay."""
+    return left.join(right, keys, "left")
+
+
+def count_labels(rows: DataFrame) -> DataFrame:
+    """Numbers of different labels and files. One narrow distinct, then a count; labels are not collected."""
+    return rows.select("label", "file_name").distinct().agg(
+        F.count_distinct("label").alias("n_labels"), F.count_distinct("file_name").alias("n_files"))
+
+
+def file_paths(files: DataFrame, folder: str) -> DataFrame:
+    """Path of every file name of a dataset."""
+    return files.withColumn("path", F.concat(F.lit(f"{folder.rstrip('/')}/"), F.col("file_name"), F.lit(".csv")))
+
+
 def restrict_rows(df: DataFrame, restrictions: dict[str, object]) -> DataFrame:
     """Keep rows equal to every given value; a column that the table lacks is skipped."""
     for column, value in restrictions.items():

@@ -58,6 +58,20 @@ def grid_argmin(log: DataFrame, row: str, column: str, values: list, pick: str,
     return best.select(row, *[F.coalesce(F.col(f"`{v}`"), F.lit(0.0)).alias(f"{column}_{v}") for v in values])
 
 
+def column_means(log: DataFrame, columns: list[str] = LOSSES) -> DataFrame:
+    return log.agg(*[F.avg(c).alias(c) for c in columns])
+
+
+def selected_sums(matrix: DataFrame, condition: str, columns: list[str]) -> DataFrame:
+    """Sums of the rows of a result matrix that a condition selects."""
+    return matrix.filter(condition).agg(*[F.sum(c).alias(c) for c in columns])
+
+
+def run_labels(args: DataFrame, columns: list[str], out: str = "label") -> DataFrame:
+    """A run's arguments joined by hyphens."""
+    return args.withColumn(out, F.concat_ws("-", *columns))
+
+
 def tail_average(log: DataFrame, last: int, columns: list[str] = LOSSES) -> DataFrame:
     """Mean of the last evaluations of each run that has enough of them; evaluations may be filtered or have gaps."""
     # Spark keeps ``last`` rows per run and task before the shuffle of this rank.

@@ -57,16 +57,13 @@ def rank_by_draw(df: DataFrame, group: list[str], draw: Column, out: str = "rn",
     return rank_in_buckets(sized, group, bucket, ["_draw"], out, at_most).drop("_draw", "_all")
 
 
-def dense_index(values: DataFrame, column: str, out: str, single_task_rows: int = 1_000_000,
-                partitions: int = 200) -> DataFrame:
+def dense_index(values: DataFrame, column: str, out: str, partitions: int = 200) -> DataFrame:
     """0-based index of the sorted distinct values of a column.
 
-    A small dictionary is numbered by one window. Above ``single_task_rows`` it is range-partitioned,
-    written, and numbered per range plus the counts of the lower ranges.
+    The dictionary is range-partitioned, written, and numbered per range plus the counts of the lower ranges; no
+    task holds all of it.
     """
-    distinct = settle(values.select(column).distinct(), "dictionary")
-    if distinct.count() <= single_task_rows:
-        return distinct.withColumn(out, F.row_number().over(Window.orderBy(column)).cast("bigint") - 1)
+    distinct = values.select(column).distinct()
     ranged = settle(
         distinct.repartitionByRange(partitions, column).withColumn("_range", F.spark_partition_id()), "dictionary"
     )

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from fluxloom.operators import classify, histogram, logs, metrics, stats
+from fluxloom.operators import classify, harmonise, histogram, logs, metrics, stats
 from fluxloom.plans import fixtures as fx
 from fluxloom.plans.register import R6, query, r6
 
@@ -38,10 +38,7 @@ def flux_stats_subset(spark, sf):
 with {fx.FLUX}
 select count(distinct label) as n_labels, count(distinct file_name) as n_files from flux""")
 def distinct_labels(spark, sf):
-    flux = fx.flux(spark, sf)
-    # One narrow distinct, then a count; the labels are not collected.
-    return flux.select("label", "file_name").distinct().agg(
-        F.count_distinct("label").alias("n_labels"), F.count_distinct("file_name").alias("n_files"))
+    return harmonise.count_labels(fx.flux(spark, sf))
 
 
 @query("group_centroids", f"""
@@ -74,7 +71,7 @@ def macro_mean_std(spark, sf):
 with {fx.LOSS_LOG}
 select {', '.join(f"{R6(f'avg({c})')} as {c}" for c in logs.LOSSES)} from loss_log""")
 def column_means(spark, sf):
-    return fx.loss_log(spark, sf).agg(*[r6(F.avg(c)).alias(c) for c in logs.LOSSES])
+    return logs.column_means(fx.loss_log(spark, sf)).select(*[r6(F.col(c)).alias(c) for c in logs.LOSSES])
 
 
 @query("group_min", f"""
@@ -268,4 +265,4 @@ from (select epoch, round(sum(loss), 4) as loss, round(sum(test_loss), 4) as tes
 def select_and_sum(spark, sf):
     matrix = fx.loss_log(spark, sf).groupBy("epoch").agg(
         F.round(F.sum("loss"), 4).alias("loss"), F.round(F.sum("test_loss"), 4).alias("test_loss"))
-    return matrix.filter("epoch = 0").agg(F.sum("loss").alias("loss"), F.sum("test_loss").alias("test_loss"))
+    return logs.selected_sums(matrix, "epoch = 0", ["loss", "test_loss"])

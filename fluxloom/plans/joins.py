@@ -119,7 +119,7 @@ def label_rename_join(spark, sf):
     shown = fx.table(spark, sf, "nation").select(
         F.concat(F.lit("model"), F.col("n_nationkey").cast("string")).alias("label"), F.col("n_name").alias("display"))
     totals = fx.flux(spark, sf).groupBy("label").agg(F.sum("flux").alias("total"))
-    return totals.join(shown, "label").select("label", "display", "total")
+    return H.rename_labels(totals, shown).select("label", "display", "total")
 
 
 @query("row_align_join", f"""
@@ -130,7 +130,7 @@ def row_align_join(spark, sf):
     flux = fx.flux_table(spark, sf)
     totals = flux.groupBy(*H.ROW_KEY).agg(F.sum("flux").alias("total"))
     tops = flux.filter("flux > 0").groupBy(*H.ROW_KEY).agg(F.max("flux").alias("top"))
-    return totals.join(tops, H.ROW_KEY, "left")
+    return H.align_rows(totals, tops)
 
 
 @query("param_grid", f"""

@@ -95,7 +95,7 @@ def kmeans_assign(spark, sf):
 
 @query("identity_clustering", f"with {fx.EMB} select row_id, label as cluster from emb")
 def identity_clustering(spark, sf):
-    return fx.emb(spark, sf).select("row_id", F.col("label").alias("cluster"))
+    return cluster.identity_clustering(fx.emb(spark, sf))
 
 
 @query("dbscan", f"""

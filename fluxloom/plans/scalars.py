@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.functions import ranges, text
 from fluxloom.functions.draws import draw
-from fluxloom.operators import distance, grids, logs, sampling, stats
+from fluxloom.operators import distance, grids, harmonise, logs, sampling, stats
 from fluxloom.operators.harmonise import ROW_KEY
 from fluxloom.plans import fixtures as fx
 from fluxloom.plans.aggregates import STATS_SQL
@@ -114,8 +114,7 @@ def format_param(spark, sf):
 @query("dataset_paths", f"""
 with {FILES} select file_name, n_lines, 'data/samples/' || file_name || '.csv' as path from files""")
 def dataset_paths(spark, sf):
-    path = F.concat_ws("/", F.lit("data"), F.lit("samples"), F.concat("file_name", F.lit(".csv")))
-    return files(spark, sf).withColumn("path", path)
+    return harmonise.file_paths(files(spark, sf), "data/samples")
 
 
 @query("join_labels", f"""
@@ -123,7 +122,7 @@ with {fx.RUN_ARGS}
 select run, cast(n_emb as varchar) || '-' || cast(n_lay as varchar) || '-' || cast(batch_size as varchar) as label
 from run_args""")
 def join_labels(spark, sf):
-    return fx.run_args(spark, sf).select("run", F.concat_ws("-", "n_emb", "n_lay", "batch_size").alias("label"))
+    return logs.run_labels(fx.run_args(spark, sf), ["n_emb", "n_lay", "batch_size"]).select("run", "label")
 
 
 @query("parse_boolean", """

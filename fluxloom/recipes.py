@@ -80,7 +80,7 @@ def load(spark: SparkSession, path: str, models: str | None = None) -> Dataset:
 
 def train(data: Dataset, folder: str, epochs: int = 1, batch_size: int = 64, n_emb: int = 128, n_lay: int = 5,
           lr: float = 1e-4, join: str = "inner", n: int | None = None, seed: int = 0, test: Dataset | None = None,
-          test_size: int | None = None, beta_s: float = 0.0, use_beta_s_in_test_loss: bool = False, save_on: int = 10,
+          test_size: int | None = None, beta_s: float = 0.0, test_beta_s: float | None = None, use_beta_s_in_test_loss: bool = False, save_on: int = 10,
           save_losses_on: int = 1, lrelu_slope: float = 0.0, **model) -> tuple[Vae, DataFrame]:
     """Fit a model to all rows (or a balanced sample of ``n``) and store its versions and loss log under ``folder``.
 
@@ -94,8 +94,11 @@ def train(data: Dataset, folder: str, epochs: int = 1, batch_size: int = 64, n_e
     if test is not None:
         held_out = test.dense(data.layout, test_size, seed)
     coefficients = data.coefficients() if beta_s else None
+    # The test set's own models, in the layout of the training set.
+    weight = beta_s if test_beta_s is None else test_beta_s
+    own = SparseRows.collect(test.stoich, data.layout.reactions) if test is not None and weight else None
     vae, log = fit(data.sample(n, seed), vae, epochs, batch_size, lr, seed, KEYS, data.layout.reactions,
-                   held_out, coefficients=coefficients, beta_s=beta_s, with_stoich=use_beta_s_in_test_loss,
+                   held_out, coefficients=coefficients, test_coefficients=own, beta_s=beta_s, test_beta_s=test_beta_s, with_stoich=use_beta_s_in_test_loss,
                    save_on=save_on, save_losses_on=save_losses_on, folder=folder)
     tables.append_log(log, f"{folder.rstrip('/')}/losses")
     return vae, log

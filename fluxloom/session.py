@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 import zipfile
@@ -32,9 +33,24 @@ def shared_dir(spark: SparkSession) -> str:
     return folder
 
 
+_owned: set[str] = set()
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A new path in this application's part of the shared folder."""
-    return f"{shared_dir(spark)}/fluxloom/{spark.sparkContext.applicationId}/{tag}-{uuid.uuid4().hex}"
+    """A new path in this application's part of the shared folder, which goes when the driver's Python ends."""
+    root = f"{shared_dir(spark)}/fluxloom/{spark.sparkContext.applicationId}"
+    if root not in _owned:
+        _owned.add(root)
+        atexit.register(_remove, spark._jvm, spark.sparkContext._jsc.hadoopConfiguration(), root)
+    return f"{root}/{tag}-{uuid.uuid4().hex}"
+
+
+def _remove(jvm, configuration, root: str) -> None:
+    try:
+        path = jvm.org.apache.hadoop.fs.Path(root)
+        path.getFileSystem(configuration).delete(path, True)
+    except Exception as error:  # the JVM may be gone already; the folder then stays, and is named
+        print(f"not removed: {root} ({type(error).__name__})")
 
 
 def settle(df: DataFrame, tag: str = "settled", partition_by: list[str] | None = None) -> DataFrame:

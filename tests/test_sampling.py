@@ -35,7 +35,7 @@ def test_rank_is_the_same_for_any_bucket_size(files, bucket_rows):
 
 def test_dense_index_by_ranges_equals_one_window(spark):
     values = spark.createDataFrame([(f"k{i * 7919 % 1000:04d}",) for i in range(3000)], "k string")
-    ranged = dense_index(values, "k", "i", single_task_rows=10, partitions=7).collect()
+    ranged = dense_index(values, "k", "i", partitions=7).collect()
     assert sorted((r.k, r.i) for r in ranged) == [(f"k{i:04d}", i) for i in range(1000)]
 
 

@@ -135,3 +135,23 @@ def test_species_without_formula_or_charge_keep_their_names(spark):
     strange = entries.union(spark.createDataFrame([("m", "r4", "?", 1.0)], entries.schema))
     with pytest.raises(Exception, match="unknown species"):
         sbml.canonical_names(strange, species).collect()
+
+
+def test_run_folders_are_read(spark, tmp_path):
+    for run, lines in (("a b", ["loss,test_loss", "3.0,4.0", "2.0,"]), ("c", ["test_loss,other,loss", "1,9,5"]), ("d", [])):
+        (tmp_path / run).mkdir()
+        if lines:
+            (tmp_path / run / "losses.csv").write_text("\n".join(lines) + "\n")
+    found = tables.read_run_logs(spark, str(tmp_path), ["loss", "test_loss", "epoch"])
+    assert sorted(map(tuple, found.collect())) == [
+        ("a b", 0, 3.0, 4.0, None), ("a b", 1, 2.0, None, None), ("c", 0, 5.0, 1.0, None)]
+    args = spark.createDataFrame([("c",), ("d",)], "run string")
+    assert sorted(map(tuple, tables.unreadable_runs(found, args).collect())) == [("a b", "arguments"), ("d", "log")]
+
+
+def test_stage_tables_as_csv(spark, tmp_path):
+    view = spark.createDataFrame([("f", 0, [1.5, -2.0]), ("g", 1, [0.0, 3.0])], "file_name string, sample_n bigint, v array<double>")
+    tables.write_stage(view.coalesce(1), str(tmp_path / "out"), ["emb0", "a,b"], ["file_name", "sample_n"])
+    read = spark.read.option("header", True).option("inferSchema", True).csv(str(tmp_path / "out"))
+    assert read.columns == ["file_name", "sample_n", "emb0", "a,b"]
+    assert sorted(map(tuple, read.collect())) == [("f", 0, 1.5, -2.0), ("g", 1, 0.0, 3.0)]
