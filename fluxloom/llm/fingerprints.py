@@ -31,7 +31,7 @@ from fluxloom.llm.common import SPACE
 from fluxloom.session import bounded_rows, settle
 
 # Documents in a block, about: what one task sorts at a time.
-BLOCK_ROWS = 2048
+BLOCK_ROWS = 512
 # Boundaries of blocks are quantiles of the key; a finer cut than this is not needed for any number of tasks.
 MAX_BLOCKS = 100_000
 
