@@ -13,6 +13,8 @@
    are aligned like the others.
 5. Components of all links are the classes; a class is named by its least document id.
 
+Before any alignment, 1,024 bits per text (`order_minhash.parities`) rule out pairs that differ in too many k-mers.
+
 So no link between different texts with a band in common is lost. A pair at the threshold misses all bands with
 probability (1 - t**length) ** tables, below 0.2 % with the defaults.
 
@@ -27,17 +29,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from fluxloom.llm.common import slices, texts_of
-from fluxloom.llm.order_minhash import Sketch, bands, kmers, mix, occurrences, similar
+from fluxloom.llm.order_minhash import Sketch, bands, kmers, numbered, parities, similar
 from fluxloom.operators.dbscan import components
 from fluxloom.session import settle
 
 
 def sign(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", text: str = "text") -> DataFrame:
-    """(id, node, n, bands) of every row with a text, written."""
+    """(id, node, n, bands, bits) of every row with a text, written."""
     rows = docs.filter(F.col(text).isNotNull()).select(
         F.col(key).alias("id"), F.md5(F.col(text).cast("binary")).alias("node"), F.col(text).alias("text"))
 
@@ -45,14 +47,22 @@ def sign(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", text:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, counts = kmers(texts_of(part), sketch.k)
-                found = bands(hashes, counts, sketch).view(np.int64)
+                labelled = numbered(hashes, counts)
+                found = bands(labelled, counts, sketch).view(np.int64)
+                bits = pa.array(list(parities(labelled, counts)), pa.list_(pa.int64()))
                 lists = [row if n else row[:0] for row, n in zip(found, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
-                    [part.column(0), part.column(1), pa.array(counts), pa.array(lists, pa.list_(pa.int64()))],
-                    ["id", "node", "n", "bands"])
+                    [part.column(0), part.column(1), pa.array(counts), pa.array(lists, pa.list_(pa.int64())), bits],
+                    ["id", "node", "n", "bands", "bits"])
 
     kind = rows.schema["id"].dataType.simpleString()
-    return settle(rows.mapInArrow(run, f"id {kind}, node string, n bigint, bands array<bigint>"), "signed")
+    return settle(rows.mapInArrow(run, f"id {kind}, node string, n bigint, bands array<bigint>, bits array<bigint>"), "signed")
+
+
+def _possible(share: float, n: str, bits: str, other_n: str, other_bits: str) -> Column:
+    """Not ruled out: texts at the threshold differ in so few k-mers, and bits differ in no more places than k-mers do."""
+    apart = sum((F.bit_count(F.col(bits)[i].bitwiseXOR(F.col(other_bits)[i])) for i in range(16)), F.lit(0))
+    return apart <= F.lit(1 - 2 * share / (1 + share)) * (F.col(n) + F.col(other_n)) + F.lit(1e-9)
 
 
 def _texts(docs: DataFrame, nodes: DataFrame, first: DataFrame, key: str, text: str) -> DataFrame:
@@ -90,13 +100,13 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
     """Pairs of the rest's nodes with different roots that the threshold does not rule out."""
     share = sketch.threshold
     rows = texts.join(rest.select("node", "root"), "node").select("node", "root", "text")
+    of = rest.select("node", "bits")
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for part in slices(batch, "text"):
                 hashes, counts = kmers(texts_of(part), sketch.k)
-                owner = np.repeat(np.arange(part.num_rows), counts)
-                labelled = mix(hashes ^ mix(occurrences(hashes, owner).astype(np.uint64)))
+                labelled = numbered(hashes, counts)
                 ends = np.cumsum(counts)
                 lists = [labelled[e - n : e].view(np.int64) for e, n in zip(ends, counts, strict=True)]
                 yield pa.RecordBatch.from_arrays(
@@ -114,12 +124,12 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
               .withColumn("at", F.row_number().over(ordered) + F.col("n") - F.col("common"))  # unique ones come first
               .filter(F.col("at") <= F.col("n") - F.ceil(F.lit(share) * F.col("n") - F.lit(1e-9)) + 1)
               .filter("r0 <> r1").select("gram", "node", "root", "n", "at"))
-    placed = settle(placed, "prefixes")
-    other = placed.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "at")])
+    placed = settle(placed.join(of, "node"), "prefixes")
+    other = placed.select("gram", *[F.col(c).alias(f"{c}_b") for c in ("node", "root", "n", "at", "bits")])
     common = F.least(F.col("n") - F.col("at"), F.col("n_b") - F.col("at_b")) + 1
     need = F.lit(share / (1 + share)) * (F.col("n") + F.col("n_b")) - F.lit(1e-9)
     pairs = placed.join(other, "gram").filter((F.col("node") < F.col("node_b")) & (F.col("root") != F.col("root_b"))
-                                              & (common >= need))
+                                              & (common >= need) & _possible(share, "n", "bits", "n_b", "bits_b"))
     return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
@@ -128,13 +138,15 @@ def classes(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", tex
     and the class's least id. Node and root are null where the text is."""
     signed = sign(docs, sketch, key, text)
     first = settle(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"),
-                                              F.first("bands").alias("bands")), "nodes")
-    members = first.select("node", "n", F.posexplode("bands").alias("table", "band"))
+                                              F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
+    members = first.select("node", "n", "bits", F.posexplode("bands").alias("table", "band"))
     full = members.groupBy("table", "band").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", "table").alias("h"), "node", "n")).alias("hub"))
-    full = full.filter("m > 1").select("table", "band", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"))
+        F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", "table").alias("h"), "node", "n", "bits")).alias("hub"))
+    full = full.filter("m > 1").select("table", "band", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"),
+                                       F.col("hub.bits").alias("bits_b"))
     members = settle(members.join(full, ["table", "band"]), "members")
     near = F.least("n", "n_b") >= F.lit(sketch.threshold) * F.greatest("n", "n_b") - F.lit(1e-9)
+    near = near & _possible(sketch.threshold, "n", "bits", "n_b", "bits_b")
     pairs = settle(members.filter((F.col("node") != F.col("b")) & near)
                    .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
     nodes = members.select("node").distinct()
@@ -144,7 +156,8 @@ def classes(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", tex
     roots = settle(components(nodes.withColumnRenamed("node", "pid"), links).withColumnRenamed("pid", "node"), "roots")
     mixed = (members.join(roots, "node").groupBy("table", "band")
              .agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("table", "band"))
-    rest = members.join(mixed, ["table", "band"], "left_semi").select("node").distinct().join(roots, "node")
+    rest = members.join(mixed, ["table", "band"], "left_semi").groupBy("node").agg(
+        F.first("bits").alias("bits")).join(roots, "node")
     more = settle(align(_rest_pairs(rest, texts, sketch), texts, sketch), "links")
     if not more.isEmpty():
         roots = settle(components(nodes.withColumnRenamed("node", "pid"), links.union(more))

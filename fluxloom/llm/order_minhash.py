@@ -72,7 +72,24 @@ def occurrences(hashes: np.ndarray, owner: np.ndarray) -> np.ndarray:
     return found
 
 
-def bands(hashes: np.ndarray, counts: np.ndarray, sketch: Sketch) -> np.ndarray:
+def numbered(hashes: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """Hashes of k-mers and their occurrence numbers: different within a text."""
+    owner = np.repeat(np.arange(len(counts)), counts)
+    return mix(hashes ^ mix(occurrences(hashes, owner).astype(np.uint64)))
+
+
+def parities(labelled: np.ndarray, counts: np.ndarray) -> np.ndarray:
+    """1,024 bits per text: a bit tells whether an odd number of numbered k-mers falls on it.
+
+    A k-mer that only one of two texts has flips one bit, so their bits differ in no more places than their k-mers do:
+    a bound that rules out pairs before they are aligned.
+    """
+    owner = np.repeat(np.arange(len(counts)), counts)
+    cells = np.bincount(owner * 1024 + (labelled >> np.uint64(54)).astype(np.int64), minlength=len(counts) * 1024)
+    return np.packbits((cells & 1).astype(np.uint8)).view(np.int64).reshape(len(counts), 16)
+
+
+def bands(labelled: np.ndarray, counts: np.ndarray, sketch: Sketch) -> np.ndarray:
     """One row of hashes per text, a hash per table. Rows of texts without words mean nothing."""
     out = np.zeros((len(counts), sketch.tables), np.uint64)
     full = np.flatnonzero(counts)
@@ -80,7 +97,6 @@ def bands(hashes: np.ndarray, counts: np.ndarray, sketch: Sketch) -> np.ndarray:
         return out
     starts = (np.cumsum(counts) - counts)[full]
     owner = np.repeat(np.arange(len(full)), counts[full])
-    labelled = mix(hashes ^ mix(occurrences(hashes, owner).astype(np.uint64)))
     none = np.uint64(0xFFFFFFFFFFFFFFFF)
     for t in range(sketch.tables):
         drawn = mix(labelled ^ np.uint64((sketch.seed << 32) + 7919 * t))
