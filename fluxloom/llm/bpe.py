@@ -66,9 +66,12 @@ class Vocabulary:
         return self._encoding._encode_single_piece(word.encode("utf-8", "surrogatepass"))
 
     @property
-    def tokens(self) -> dict[int, bytes]:
+    def tokens(self) -> np.ndarray:
+        """Bytes by id; None where there is no token."""
         if "_tokens" not in self.__dict__:
-            self._tokens = {rank: token for token, rank in self.ranks.items()}
+            self._tokens = np.full(max(self.ranks.values(), default=-1) + 1, None, object)
+            for token, rank in self.ranks.items():
+                self._tokens[rank] = token
         return self._tokens
 
 
@@ -195,7 +198,13 @@ def decode(coded: DataFrame, vocab: Vocabulary) -> DataFrame:
         for batch in batches:
             for start in range(0, batch.num_rows, DECODE_ROWS):
                 part = batch.slice(start, DECODE_ROWS)
-                out = [b"".join([tokens[i] for i in ids.as_py()]) if ids.is_valid else None for ids in part.column(1)]
+                lists = part.column(1)
+                flat = lists.flatten().to_numpy(zero_copy_only=False).astype(np.int64)
+                if len(flat) and flat.min() < 0:
+                    raise ValueError("negative ids")
+                pieces = tokens[flat].tolist()
+                ends = np.cumsum(lists.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))
+                out = [b"".join(pieces[a:b]) for a, b in zip([0, *ends[:-1]], ends, strict=True)]
                 yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(out, pa.binary())],
                                                  ["row", "ids", "bytes"])
 
