@@ -121,7 +121,8 @@ def _links(df: DataFrame, order: list[int]) -> DataFrame:
 
 def _signatures(side: str, shape: Shape) -> Column:
     """Array of (tuple, signature) from a document's collected bins, in order of tuples."""
-    bins = F.array_sort(F.transform(F.filter("bins", lambda b: b[f"h_{side}"].isNotNull()), lambda b: F.struct(
+    held = F.filter("bins", lambda b: b[f"h_{side}"].isNotNull() & (b["bin"] < shape.tuples * shape.width))
+    bins = F.array_sort(F.transform(held, lambda b: F.struct(
         b["bin"].alias("bin"), F.floor(b["bin"] / shape.width).cast("int").alias("t"), b[f"p_{side}"].alias("p"),
         b[f"h_{side}"].alias("h"))))
 
@@ -157,6 +158,24 @@ def _cell(at: Column, h: Column, of: int) -> Column:
     return F.struct(at.alias("at"), h.alias("h"), F.lit(of).alias("of"))
 
 
+# Digits of a digest that one number of 64 bits holds, with the sign to spare.
+_DIGITS = 13
+
+
+def _digest_cells(text: Column) -> Column:
+    """A text's digest as cells of no text (0), a few digits each: numbers, unlike strings, are aggregated by hashing."""
+    digest = F.sha2(text, 256)
+    return F.array(*[_cell(F.lit(-1 - j), F.conv(F.substring(digest, 1 + at, _DIGITS), 16, 10).cast("bigint"), 0)
+                     for j, at in enumerate(range(0, 64, _DIGITS))])
+
+
+def _digest(shape: Shape) -> Column:
+    """The digest from the bins after those of the k-mers."""
+    parts = F.array_sort(F.filter("bins", lambda b: b["bin"] >= shape.tuples * shape.width))
+    return F.lower(F.concat(*[F.lpad(F.hex(parts[j]["h_own"]), min(_DIGITS, 64 - at), "0")
+                              for j, at in enumerate(range(0, 64, _DIGITS))]))
+
+
 def compare(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Shape = Shape()) -> DataFrame:
     """Fingerprints of every text and of its edited text, their likeness, and that to the next text.
 
@@ -179,29 +198,32 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Sha
 
     own, other = kmers(F.col("text"), shape.k), kmers(F.col("edited"), shape.k)
     rows = rows.select(
-        "block", "key", F.col("at").alias("row"), "n_chars", F.sha2("edited", 256).alias("edited_sha256"),
-        _let(own, lambda a: _let(other, lambda b: cut(a, b))).alias("cells"))
+        "block", "key", F.col("at").alias("row"), "n_chars",
+        F.concat(_digest_cells(F.col("edited")), _let(own, lambda a: _let(other, lambda b: cut(a, b)))).alias("cells"))
     # The document's facts ride on its first cell only; the other cells stay narrow.
-    cells = rows.select("block", "key", "row", "n_chars", "edited_sha256", F.posexplode_outer("cells").alias("i", "cell"))
-    facts = lambda c: F.when(F.coalesce("i", F.lit(0)) == 0, F.col(c)).alias(c)
-    cells = cells.select("block", "row", facts("key"), facts("n_chars"), facts("edited_sha256"), "cell.*")
+    cells = rows.select("block", "key", "row", "n_chars", F.posexplode_outer("cells").alias("i", "cell"))
+    facts = lambda c: F.when(F.col("i") == 0, F.col(c)).alias(c)
+    cells = cells.select("block", "row", facts("key"), facts("n_chars"), "cell.*")
     same = Window.partitionBy("block", "row", "h").orderBy("at", "of").rowsBetween(Window.unboundedPreceding, 0)
     bins = shape.tuples * shape.width
 
     # Shared cells come first, so their numbers are the same on both sides.
     number = F.sum((F.col("of").bitwiseAND(1) > 0).cast("int")).over(same)
     edited_number = F.sum((F.col("of").bitwiseAND(2) > 0).cast("int")).over(same)
-    cells = cells.withColumn("h", F.xxhash64("h", F.when(F.col("of") == 2, edited_number).otherwise(number)))
-    cells = cells.withColumn("bin", F.when(F.col("of").isNotNull(), F.pmod(F.shiftrightunsigned("h", 7), F.lit(bins)).cast("int")))
-    own, other = (F.when(F.col("of").bitwiseAND(mark) > 0, F.col("h")) for mark in (1, 2))
+    cells = cells.withColumn("h", F.when(F.col("of") == 0, F.col("h")).otherwise(
+        F.xxhash64("h", F.when(F.col("of") == 2, edited_number).otherwise(number))))
+    cells = cells.withColumn("bin", F.when(F.col("of") == 0, F.lit(bins - 1) - F.col("at")).otherwise(
+        F.pmod(F.shiftrightunsigned("h", 7), F.lit(bins))).cast("int"))
+    own = F.when(F.col("of") != 2, F.col("h"))
+    other = F.when(F.col("of") >= 2, F.col("h"))
     found = cells.groupBy("block", "row", "bin").agg(
-        F.max("key").alias("key"), F.max("n_chars").alias("n_chars"), F.max("edited_sha256").alias("edited_sha256"),
+        F.max("key").alias("key"), F.max("n_chars").alias("n_chars"),
         F.min(own).alias("h_own"), F.min_by("at", own).alias("p_own"),
         F.min(other).alias("h_edited"), F.min_by("at", other).alias("p_edited"))
     found = found.groupBy("block", "row").agg(
-        F.max("key").alias("key"), F.max("n_chars").alias("n_chars"), F.max("edited_sha256").alias("edited_sha256"),
-        F.collect_list(F.when(F.col("bin").isNotNull(), F.struct("bin", "h_own", "p_own", "h_edited", "p_edited"))).alias("bins"))
-    found = found.select("block", "row", "key", "n_chars", "edited_sha256",
+        F.max("key").alias("key"), F.max("n_chars").alias("n_chars"),
+        F.collect_list(F.struct("bin", "h_own", "p_own", "h_edited", "p_edited")).alias("bins"))
+    found = found.select("block", "row", "key", "n_chars", _digest(shape).alias("edited_sha256"),
                          written(_signatures("own", shape)).alias("fingerprint"),
                          written(_signatures("edited", shape)).alias("edited_fingerprint"))
     found = found.withColumn("next", F.lead("fingerprint").over(Window.partitionBy("block").orderBy("row")))
@@ -209,7 +231,9 @@ def compare(docs: DataFrame, key: str = "doc_id", text: str = "text", shape: Sha
     if order:
         heads = found.filter("row = 1").select(F.col("block").alias("next"), F.col("fingerprint").alias("head"))
         heads = settle(heads.join(_links(docs, order), "next").select("block", "head"), "heads")
-        found = found.join(heads, "block", "left").withColumn("next", F.coalesce("next", "head"))
+        # One row of a block lacks its next one; the others need not meet the heads.
+        last = found.filter("next is null").join(heads, "block").withColumn("next", F.col("head")).drop("head")
+        found = found.filter("next is not null").unionByName(last)
     return found.select(
         "key", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint",
         likeness(F.col("fingerprint"), F.col("edited_fingerprint")).alias("near_edited"),
