@@ -6,7 +6,10 @@ then documents of three tenths of its words a second time.
 
 Documents of a source stand in the order of an md5 draw of seed and key. Their running word count cuts that order
 into blocks of ``block_words``; the last, partial pass takes the documents that end before the target, and then,
-three times, the largest document that fits into the gap that is left and is not yet taken ``cap`` times.
+three times, the largest document that fits into the gap that is left and is not yet taken ``cap`` times. If documents
+still fit, as behind one that is longer than the gap, rounds go on until none does: the largest that fits, then, of the
+least often taken that fit, all in the order of the draw that end before the target. A round halves the gap or takes the
+last of those.
 The block quotas of all sources are then divided over the output shards: a node of a binary tree with quotas K gives
 its left half a multivariate hypergeometric draw from K, the right half the rest, down to single shards. So every
 block goes to one shard, every shard gets its share of every source, and all quotas hold exactly. A source's blocks
@@ -62,6 +65,7 @@ class Mix:
     seed: int = SEED
     block_words: int = BLOCK_WORDS
     shard_words: int = SHARD_WORDS
+    fill: bool = True  # False leaves what the closing documents do not fill
 
 
 def words(text: Column) -> Column:
@@ -115,25 +119,23 @@ def assign(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "
                         "units", "step", "shift")
     units = keyed.groupBy("source", "draw").agg(F.sum("size").alias("size"))
     units = units.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    units = units.withColumn("bucket", F.substr("draw", F.lit(1), F.col("digits")))
-    below = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    offsets = (units.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-               .select(F.col("source").alias("s"), F.col("bucket").alias("b"),
-                       F.coalesce(F.sum("words").over(below), F.lit(0)).alias("offset")))
-    inside = Window.partitionBy("source", "bucket").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
-    units = (units.withColumn("before", F.coalesce(F.sum("size").over(inside), F.lit(0)))
-             .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
-             .withColumn("before", F.col("before") + F.col("offset")))
-    units = settle(units.drop("offset", "bucket", "digits"), "places")
+    units = settle(_running(units, "size", "before"), "places")
     whole = (F.col("before") + F.col("size") <= F.col("part")) & (F.col("part") > 0)
     units = units.withColumn("times", F.col("passes") + whole.cast("int"))
-    units = _close_gaps(units, mix)
+    units = _close_gaps(units, mix).withColumn("spots", F.array().cast("array<bigint>"))
+    if mix.fill:
+        units = _fill_gaps(units, mix)
 
     # Each time it is taken, a key stands in a block; the block's permuted place tells its shard.
     block = F.least(F.floor(F.col("before") / F.lit(block_words)), F.col("blocks") - 1)
-    taken = (units.filter("times > 0")
-             .withColumn("time", F.explode(F.sequence(F.lit(0), F.col("times") - 1)))
-             .withColumn("unit", F.least(F.col("time") * F.col("blocks") + block, F.col("units") - 1))
+    taken = units.filter("times > 0").withColumn("block", block)
+    none = F.array().cast("array<bigint>")
+    passed = F.when(F.col("times") > F.size("spots"), F.transform(
+        F.sequence(F.lit(0), F.col("times") - F.size("spots") - 1), lambda t: t * F.col("blocks") + F.col("block")))
+    filled = F.transform("spots", lambda at: F.col("passes") * F.col("blocks") + F.floor(
+        (at - F.col("passes") * F.col("source_size")) / F.lit(block_words)))
+    taken = (taken.withColumn("unit", F.explode(F.concat(F.coalesce(passed.cast("array<bigint>"), none), filled)))
+             .withColumn("unit", F.least("unit", F.col("units") - 1))
              .withColumn("place", (F.col("unit") * F.col("step") + F.col("shift")) % F.col("units")))
     shards = _shards(plan, levels, mix.seed).select(F.col("source").alias("s"), F.col("place").alias("p"), "shard")
     taken = (taken.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")))
@@ -146,6 +148,19 @@ def assign(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "
                     F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards")))
 
 
+def _running(units: DataFrame, of: str, name: str) -> DataFrame:
+    """Adds the sum of a column over the earlier keys of the source, by bucket of the draw."""
+    units = units.withColumn("bucket", F.substr("draw", F.lit(1), F.col("digits")))
+    below = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = (units.groupBy("source", "bucket").agg(F.sum(of).alias("words"))
+               .select(F.col("source").alias("s"), F.col("bucket").alias("b"),
+                       F.coalesce(F.sum("words").over(below), F.lit(0)).alias("offset")))
+    inside = Window.partitionBy("source", "bucket").orderBy("draw").rowsBetween(Window.unboundedPreceding, -1)
+    return (units.withColumn(name, F.coalesce(F.sum(of).over(inside), F.lit(0)))
+            .join(offsets, F.col("source").eqNullSafe(F.col("s")) & (F.col("bucket") == F.col("b"))).drop("s", "b")
+            .withColumn(name, F.col(name) + F.col("offset")).drop("offset", "bucket"))
+
+
 def _close_gaps(units: DataFrame, mix: Mix) -> DataFrame:
     """One more time for the largest key that still fits, per source and round. Only a row per source is collected."""
     spark = units.sparkSession
@@ -180,6 +195,41 @@ def _close_gaps(units: DataFrame, mix: Mix) -> DataFrame:
     return with_extra(units)
 
 
+def _fill_gaps(units: DataFrame, mix: Mix) -> DataFrame:
+    """One more time for keys that still fit, in rounds until none does. ``spots`` holds the words of the source taken
+    before each of these times, which places them in its blocks. Only a row per source is collected."""
+    spark = units.sparkSession
+    more = (F.col("times") < int(mix.cap)) & (F.col("size") > 0)
+    while True:
+        gaps = (units.filter(F.col("part") > 0).groupBy("source").agg(
+            F.max("target").alias("target"), F.sum(F.col("times") * F.col("size")).alias("taken"))
+                .select(F.col("source").alias("s"), "taken", (F.col("target") - F.col("taken")).alias("gap")))
+        fits = (units.filter(more).select("source", "times", "size", "draw")
+                .join(gaps, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("gap")))
+                .groupBy("source").agg(F.first("taken").alias("taken"), F.first("gap").alias("gap"),
+                                       F.min("times").alias("least"), F.max(F.struct("size", "draw")).alias("best")))
+        rows = bounded_rows(fits, MAX_SOURCES, "the table of sources")
+        if not rows:
+            return units
+        state = spark.createDataFrame(pa.table({
+            "s": pa.array([r["source"] for r in rows], pa.string()), "best": [r["best"]["draw"] for r in rows],
+            "taken": pa.array([r["taken"] + r["best"]["size"] for r in rows], pa.int64()),
+            "gap": pa.array([r["gap"] - r["best"]["size"] for r in rows], pa.float64()),
+            "least": pa.array([r["least"] for r in rows], pa.int32())}))
+        best = F.coalesce(F.col("draw") == F.col("best"), F.lit(False))
+        open_now = more & ~best & (F.col("times") == F.col("least")) & (F.col("size") <= F.col("gap"))
+        turn = units.join(state, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+        turn = turn.withColumn("wanted", F.when(open_now, F.col("size")).otherwise(F.lit(0)))
+        turn = _running(turn, "wanted", "reach")
+        spot = F.when(best, F.col("taken") - F.col("size")).when(
+            (F.col("wanted") > 0) & (F.col("reach") + F.col("wanted") <= F.col("gap")), F.col("taken") + F.col("reach"))
+        turn = turn.withColumn("spot", spot.cast("bigint"))
+        turn = (turn.withColumn("times", F.col("times") + F.col("spot").isNotNull().cast("int"))
+                .withColumn("spots", F.when(F.col("spot").isNotNull(), F.concat("spots", F.array("spot")))
+                            .otherwise(F.col("spots"))))
+        units = settle(turn.select(*units.columns), "fill")
+
+
 def mix(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text",
         source: str = "source") -> DataFrame:
     """The mixed rows, with ``shard`` and ``place``: shards come together, each in its shuffled order."""

@@ -161,8 +161,9 @@ select s.doc_id, s.size, w.source_size, w.target::double as target, (s.size * w.
 from sized s join done w on w.source is not distinct from s.source and w.draw = s.draw
 """)
 def op8(spark, sf_dir):
-    """How often each document is taken, from the shards that the operator gives it."""
-    rows = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
+    """How often each document is taken, from the shards that the operator gives it. Its SQL ends with the closing
+    documents, so the query does too."""
+    rows = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), mixing.Mix(fill=False))
     return rows.select("row.doc_id", "size", "source_size", "target",
                        (F.col("size") * F.size("shards")).alias("taken"))
 

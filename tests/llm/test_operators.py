@@ -349,6 +349,27 @@ def test_mix_comes_near_its_targets_in_every_shard(spark):
     assert max(totals) < 1.5 * min(totals)
 
 
+def test_mix_fills_behind_a_document_longer_than_the_target(spark):
+    first = min(range(10_000, 11_000), key=lambda i: hashlib.md5(f"8|{i}".encode()).hexdigest())
+    rows = [(i, " ".join(["w"] * (20 + i * 7 % 300)), "abc"[i % 3]) for i in range(1500)]
+    rows.append((first, "w " * 400_000, "b"))  # weight 1 of 6: the target is far below this document
+    docs = spark.createDataFrame(rows, "doc_id long, text string, source string")
+    mix = mixing.Mix(share=0.4, block_words=500, shard_words=40_000)
+    found = mixing.assign(docs, mix).select("row.doc_id", "row.source", "size", "target", "shards").collect()
+    taken = Counter()
+    for row in found:
+        taken[row["source"]] += row["size"] * len(row["shards"])
+    for row in found:
+        assert len(row["shards"]) <= 2 and taken[row["source"]] <= row["target"]
+        assert len(row["shards"]) == 2 or row["size"] > row["target"] - taken[row["source"]]
+    of_b = [row for row in found if row["source"] == "b"]
+    assert not next(row for row in of_b if row["doc_id"] == first)["shards"]
+    assert taken["b"] == pytest.approx(of_b[0]["target"], rel=0.001) or all(
+        len(row["shards"]) == 2 for row in of_b if row["doc_id"] != first)
+    shards = Counter(shard for row in of_b for shard in row["shards"])
+    assert len(shards) > 2 and max(shards.values()) < 3 * min(shards.values())
+
+
 # ---- op9
 
 def test_fingerprints_of_messy_rows(messy, empty, spark):
