@@ -10,13 +10,15 @@
    reaches the threshold t share most k-mers, so if each orders its k-mers from rare to frequent, they share one among
    the first n - ceil(t n) + 1 (prefix filter), standing early enough in both (positional filter). The k-mers of the
    rest are counted, and only nodes whose prefix holds a k-mer that another node has too are joined on it. These pairs
-   are aligned like the others.
+   are aligned like the others. Nodes of at most ``short / t`` k-mers always belong to the rest, whether they share a
+   band or not: bands of few k-mers miss too often, and texts of less than ``length`` have bands of fewer minima.
 5. Components of all links are the classes; a class is named by its least document id.
 
 Before any alignment, 1,024 bits per text (`order_minhash.parities`) rule out pairs that differ in too many k-mers.
 
-So no link between different texts with a band in common is lost. A pair at the threshold misses all bands with
-probability (1 - t**length) ** tables, below 0.2 % with the defaults.
+So no link between different texts with a band in common is lost, and none with a text of at most ``short`` k-mers. With
+the defaults a longer pair at the threshold misses all bands with probability 0.003 at 40 k-mers; this falls with
+the length to (1 - t**length) ** tables = 0.002.
 
 Null texts are alike to nothing, not to each other. Texts without words are alike only if they are equal. Texts with
 fewer than k words are alike only if their words are. Repeated ids with different texts are different rows; rows that repeat id
@@ -149,15 +151,16 @@ def classes(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", tex
     near = near & _possible(sketch.threshold, "n", "bits", "n_b", "bits_b")
     pairs = settle(members.filter((F.col("node") != F.col("b")) & near)
                    .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
-    nodes = members.select("node").distinct()
+    short = first.filter((F.col("n") > 0) & (F.col("n") <= sketch.short / sketch.threshold)).select("node")
+    nodes = members.select("node").union(short).distinct()
     texts = settle(_texts(docs, nodes, first, key, text), "texts")
     links = settle(align(pairs, texts, sketch), "links")
 
     roots = settle(components(nodes.withColumnRenamed("node", "pid"), links).withColumnRenamed("pid", "node"), "roots")
     mixed = (members.join(roots, "node").groupBy("table", "band")
              .agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("table", "band"))
-    rest = members.join(mixed, ["table", "band"], "left_semi").groupBy("node").agg(
-        F.first("bits").alias("bits")).join(roots, "node")
+    rest = members.join(mixed, ["table", "band"], "left_semi").select("node").union(short).distinct()
+    rest = first.select("node", "bits").join(rest, "node", "left_semi").join(roots, "node")
     more = settle(align(_rest_pairs(rest, texts, sketch), texts, sketch), "links")
     if not more.isEmpty():
         roots = settle(components(nodes.withColumnRenamed("node", "pid"), links.union(more))

@@ -29,6 +29,7 @@ class Sketch:
     length: int = 5
     seed: int = 7
     threshold: float = 0.8
+    short: int = 40  # k-mers up to which a text's pairs are found without bands
 
 
 def mix(x: np.ndarray) -> np.ndarray:
