@@ -33,7 +33,8 @@ from fluxloom.llm.common import slices, texts_of
 
 # Fixed lists of HTML: elements without an end, elements whose content is not text, elements that break a block.
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = "script style template noscript iframe object svg math textarea select title canvas audio video"
+RAW = "script style template noscript iframe textarea title"  # these run to the end of the page if they are not closed
+CLOSED = "object svg math select canvas audio video"
 BLOCKS = frozenset("""address article aside blockquote body br button caption center dd details dialog dir div dl dt
     fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol
     optgroup option p pre section summary table tbody td tfoot th thead title tr ul""".split())
@@ -42,7 +43,8 @@ ENDS_P = BLOCKS - {"br", "button", "body", "html", "head", "option", "optgroup",
 
 _token = re.compile(
     r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW.replace(' ', '|')})\b(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>(?:.*?</(?P=raw)\s*+>|.*\Z)"
+    rf"|<(?P<raw>{RAW.replace(' ', '|')})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>(?:.*?</(?P=raw)\s*+>|.*\Z)"
+    rf"|<(?P<closed>{CLOSED.replace(' ', '|')})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?</(?P=closed)\s*+>"
     r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
     r"|<[/!?a-zA-Z][^>]*+(?:>|\Z)"
     r"|[^<]++|<", re.DOTALL | re.IGNORECASE)
@@ -105,7 +107,7 @@ def tokens(page: str, features: dict[str, float], seen: Counter | None = None) -
     for m in _token.finditer(page):
         name = m["name"]
         if name is None:
-            if m["raw"] or m[0][:1] == "<" and len(m[0]) > 1:
+            if m["raw"] or m["closed"] or m[0][:1] == "<" and len(m[0]) > 1:
                 out.append(None)
                 continue
             text = html.unescape(m[0])
@@ -139,7 +141,8 @@ def tokens(page: str, features: dict[str, float], seen: Counter | None = None) -
         if score >= DECISIVE and (sign == 0 or sign < 0 and name in ("article", "main")):
             number += 1
             container, sign = number, 1
-        elif score <= -DECISIVE and sign >= 0 and name not in ("html", "body"):
+        # Inside of content, a word of a class alone does not turn a heading or a paragraph into something else.
+        elif score <= -DECISIVE and (sign == 0 and name not in ("html", "body") or sign > 0 and name in PARTS):
             number += 1
             container, sign = number, -1
         open_names[name] += 1

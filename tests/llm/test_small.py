@@ -150,6 +150,17 @@ def test_main_text_of_layouts():
     assert main_text.content("plain &lt;b&gt; text", weights) == "plain <b> text"
 
 
+def test_main_text_goes_on_after_media_and_marked_headings():
+    weights = main_text.learn()
+    for tag in ("<video-js></video-js>", "<svg-icon></svg-icon>", "<title-bar>", "<select-box>", "<video src='x'>", "<object>",
+                "<select>", "<video><p>none</p></video>", "<svg><text>none</text></svg>"):
+        page = f"<html><body><article><p>one two three</p>{tag}<p>four five six</p></article></body></html>"
+        assert main_text.content(page, weights) == "one two three four five six"
+    for name in ("related", "comments", "share"):
+        page = f'<article><p>one two three</p><h2 class="{name}">four</h2><p id="{name}">five six</p></article>'
+        assert main_text.content(page, weights) == "one two three four five six"
+
+
 def test_main_text_is_the_best_run():
     """Without containers the region is the best-scoring run, as a search over all runs finds it."""
     weights = main_text.Weights({}, -2.0, {-1: -1.0, 0: 1.0, 1: 1.0})
