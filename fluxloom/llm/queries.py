@@ -2,12 +2,14 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import wraps
 
 from pyspark.sql import functions as F
 
-from fluxloom.llm import bpe, fingerprints, kneser_ney, languages, main_text, mixing, near_duplicates, pii, quality, risk_rules
+from fluxloom.llm import (bpe, fingerprints, infill, kneser_ney, languages, main_text, merkle, mixing, near_duplicates, pii,
+                          quality, risk_rules, url_filter)
 from fluxloom.llm.common import held_out, single_threaded, table
 from fluxloom.session import ship_package
 
@@ -224,3 +226,151 @@ def op10(spark, sf_dir):
     profiles = languages.learn(docs.filter("not held_out"))
     found = languages.identify(docs.select("doc_id", "held_out", "text"), profiles)
     return found.select("row.doc_id", "row.held_out", "lang_pred", "score")
+
+
+@query("op11_infill", """
+with cut as (
+    select doc_id, coalesce(text, '') as text, sha256('42:' || coalesce(doc_id::varchar, '')) as h,
+        regexp_extract_all(coalesce(text, ''), '[\\x20\\x09-\\x0D]*[^\\x20\\x09-\\x0D]+|[\\x20\\x09-\\x0D]+') as units
+    from documents),
+drawn as (
+    select *, len(units)::bigint as n, ('0x' || h[1:8])::bigint as h1, ('0x' || h[9:16])::bigint as h2,
+        ('0x' || h[17:24])::bigint as h3, ('0x' || h[25:32])::bigint as h4 from cut),
+placed as (
+    select *, least(h1 % (n + 1), h2 % (n + 1)) as a, greatest(h1 % (n + 1), h2 % (n + 1)) as b,
+        case when text = '' or contains(text, '<P>') or contains(text, '<S>') or contains(text, '<M>') or h3 % 100 >= 50
+            then 'plain' when h4 % 100 < 80 then 'spm' else 'psm' end as form from drawn),
+blocks as (
+    select *, coalesce(array_to_string(units[1:a], ''), '') as prefix, coalesce(array_to_string(units[a + 1:b], ''), '') as middle,
+        coalesce(array_to_string(units[b + 1:n], ''), '') as suffix from placed)
+select doc_id, n, form, case when form <> 'plain' then length(prefix)::bigint end as prefix_chars,
+    case when form <> 'plain' then length(middle)::bigint end as middle_chars,
+    sha256(case form when 'plain' then text when 'psm' then '<P>' || prefix || '<S>' || suffix || '<M>' || middle
+        else '<S>' || suffix || '<P>' || prefix || '<M>' || middle end) as output_sha256,
+    sha256(text) as restored_sha256
+from blocks
+""")
+def op11(spark, sf_dir):
+    """Every text rearranged, and rebuilt from its output and form."""
+    found = infill.rearrange(table(spark, sf_dir, "documents").select("doc_id", "text"))
+    found = infill.restore(found.select(F.col("row.doc_id"), "n", "form", "prefix_chars", "middle_chars", "output"))
+    return found.select("doc_id", "n", "form", "prefix_chars", "middle_chars",
+                        F.sha2(F.col("output").cast("binary"), 256).alias("output_sha256"),
+                        F.sha2(F.col("restored").cast("binary"), 256).alias("restored_sha256"))
+
+
+def _glob_regex(glob: str) -> str:
+    plain = "".join({"**": ".*", "*": "[^/]*"}.get(piece) or re.escape(piece) for piece in re.findall(r"\*\*|\*|[^*]+", glob))
+    return f"(?s)\\A{plain}\\z"
+
+
+def _globs_sql() -> str:
+    """The verdict of the globs beside the host rules, the most literal first."""
+    others = [rule for rule in url_filter.Filters().ordered if rule[1] is None]
+    tests = " ".join(f"when regexp_matches('.' || host || path, '{_glob_regex(glob)}') then '{verdict}'"
+                     for verdict, _, glob in others)
+    return f"case {tests} else 'allow' end"
+
+
+@query("op12_url_filters", f"""
+with parts as (
+    select page_id, coalesce(case when position('://' in url) > 0 then substr(url, position('://' in url) + 3) end, '') as rest
+    from pages),
+cut as (
+    select page_id, regexp_extract(rest, '^[^/?#]*') as given, substr(rest, length(regexp_extract(rest, '^[^/?#]*')) + 1) as after
+    from parts),
+named as (
+    select page_id, translate(given, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') as host,
+        regexp_extract(after, '^[^?#]*') as path from cut),
+rules (verdict, h, p) as (values {', '.join(str(rule) for rule in url_filter.HOST_RULES)}),
+fitting as (
+    select n.*, r.h || r.p as rule, r.verdict,
+        row_number() over (partition by page_id, host, path order by length(r.h || r.p) desc nulls last) as best
+    from (select distinct * from named) n left join rules r on ('.' || n.host) like ('%.' || r.h) and starts_with(n.path, r.p))
+select n.page_id, n.host, n.path, f.rule, coalesce(f.verdict, {_globs_sql().replace('host', 'n.host').replace('path', 'n.path')}) as verdict
+from named n join fitting f on f.page_id is not distinct from n.page_id and f.host = n.host and f.path = n.path and f.best = 1
+""")
+def op12(spark, sf_dir):
+    """Host, path and verdict of every page."""
+    found = url_filter.judge(table(spark, sf_dir, "pages").select("page_id", "url"))
+    return found.select("row.page_id", "host", "path", "rule", "verdict")
+
+
+def _levels_sql(base: str, name: str, levels: int) -> str:
+    """Nodes of every level of the trees over ``base`` (tree, pos, d, n), the tops, and the siblings on every level."""
+    steps = [f"{name}0 as (select tree, pos, d, n from {base})"]
+    for level in range(1, levels + 1):
+        steps.append(f"""{name}{level} as (
+    select tree, pos // 16 as pos, sha256(string_agg(d, '' order by pos)) as d, max((n + 15) // 16) as n
+    from {name}{level - 1} where n > 1 group by tree, pos // 16)""")
+    steps.append(f"{name}_tops as (" + " union all ".join(
+        f"select tree, d from {name}{level} where n = 1" for level in range(levels + 1)) + ")")
+    for level in range(levels):
+        size = 16**level
+        steps.append(f"""{name}_run{level} as (
+    select b.tree, b.pos, coalesce(string_agg(x.d, '' order by x.pos) filter (where x.pos < b.pos // {size}), '') as l,
+        coalesce(string_agg(x.d, '' order by x.pos) filter (where x.pos > b.pos // {size}), '') as r
+    from {base} b join {name}{level} x on x.tree = b.tree and x.pos // 16 = b.pos // {size * 16} and x.n > 1
+    group by b.tree, b.pos)""")
+    return ",\n".join(steps)
+
+
+def _crc32_sql(text: str) -> str:
+    """The checksum of an ASCII text, bit by bit."""
+    bits = f"flatten(list_transform(range(1, length({text}) + 1), lambda i: " \
+        f"list_transform(range(0, 8), lambda j: (ord(({text})[i])::bigint >> j) & 1)))"
+    step = "xor(crc >> 1, case when (xor(crc, bit) & 1) = 1 then 3988292384 else 0 end)"
+    return f"xor(list_reduce({bits}, lambda crc, bit: {step}, 4294967295::bigint), 4294967295)"
+
+
+LEVELS, TOP_LEVELS = 4, 2  # of the SQL: trees of up to 65,536 leaves and 256 sources
+
+
+def _merkle_sql() -> str:
+    field = "coalesce(strlen({0}::varchar)::varchar || ':' || {0}::varchar, '-')"
+    head = " || ".join(field.format(c) for c in ("doc_id", "source", "lang", "n_chars"))
+    lower = "translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+    steps = [(f"r{i}.l", f"r{i}.r") for i in range(LEVELS)] + [(f"u{i}.l", f"u{i}.r") for i in range(TOP_LEVELS)]
+    proof = " || ".join(f"coalesce({left} || {right}, '')" for left, right in steps)
+    folds, start = [], "start"
+    for i, (left, right) in enumerate(steps):
+        folds.append(f"folded{i} as (select *, case when l{i} is null then {start} else sha256(l{i} || {start} || r{i}) end as f{i} "
+                     f"from {f'folded{i - 1}' if i else 'joined'})")
+        start = f"f{i}"
+    sides = ", ".join(f"{left} as l{i}, {right} as r{i}" for i, (left, right) in enumerate(steps))
+    joins = " ".join(f"left join t_run{i} r{i} on r{i}.tree = p.tree and r{i}.pos = p.pos" for i in range(LEVELS))
+    joins += " join tops s on s.name = p.tree " + " ".join(
+        f"left join s_run{i} u{i} on u{i}.pos = s.pos" for i in range(TOP_LEVELS))
+    return f"""
+with rows as (
+    select doc_id, coalesce('1' || source, '0') as tree, sha256({head} || {field.format('text')}) as d,
+        sha256({head} || {field.format(lower)}) as lowered, {_crc32_sql('doc_id::varchar')} % 5 = 0 as tampered from documents),
+placed as (
+    select *, row_number() over (partition by tree order by doc_id nulls first, d) - 1 as pos,
+        count(*) over (partition by tree) as n from rows),
+{_levels_sql('placed', 't', LEVELS)},
+tops as (
+    select tree as name, 0 as tree, d, row_number() over (order by encode(tree)) - 1 as pos, count(*) over () as n from t_tops),
+{_levels_sql('tops', 's', TOP_LEVELS)},
+joined as (
+    select p.doc_id, p.d as leaf, s.d as subroot, w.d as root, sha256({proof}) as proof_sha256, {sides},
+        case when p.tampered then p.lowered else p.d end as start
+    from placed p {joins} join s_tops w on true),
+{', '.join(folds)}
+select doc_id, leaf, subroot, root, proof_sha256, {start} as folded_root, {start} = root as verified from folded{len(steps) - 1}
+"""
+
+
+@query("op13_merkle", _merkle_sql())
+def op13(spark, sf_dir):
+    """Leaf, subroot, root and proof of every document, and what a partly tampered copy folds to."""
+    docs = table(spark, sf_dir, "documents").select("doc_id", "source", "lang", "n_chars", "text")
+    values = ["doc_id", "source", "lang", "n_chars", "text"]
+    lowered = merkle.leaf(*[F.translate("text", url_filter.UPPER, url_filter.LOWER) if name == "text" else F.col(name)
+                            for name in values])
+    tampered = F.crc32(F.col("doc_id").cast("string").cast("binary")) % 5 == 0
+    found = merkle.prove(merkle.manifest(docs, values, claim=F.when(tampered, lowered)))
+    found = found.withColumn("folded_root", merkle.fold(F.coalesce("claim", "leaf"), F.col("proof")))
+    return found.select(F.col("key").alias("doc_id"), "leaf", "subroot", "root",
+                        merkle.proof_digest(F.col("proof")).alias("proof_sha256"), "folded_root",
+                        (F.col("folded_root") == F.col("root")).alias("verified"))
