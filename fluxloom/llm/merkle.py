@@ -180,7 +180,7 @@ def _down(levels: Levels, tops: DataFrame) -> DataFrame:
     for at in reversed(range(len(levels.blocks))):
         above = tops.filter(F.col("level") == at).drop("level").withColumn("at", F.lit(0).cast("bigint"))
         if found is not None:
-            above = above.unionByName(found.drop("digest"))
+            above = above.unionByName(settle(found.drop("digest"), "proofs"))  # so that its size is known to joins
         found = _proofs(levels.blocks[at], above, levels.shape)
     return found
 
