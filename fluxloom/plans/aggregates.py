@@ -128,12 +128,11 @@ def grid_argmin_pivot(spark, sf):
 
 @query("tail_average", f"""
 with {fx.LOSS_LOG}, kept as (
-    select *, row_number() over (partition by run order by eval_n desc) as from_end from loss_log where eval_n % 3 <> 1)
+    select *, row_number() over (partition by run order by eval_n desc) as from_end from loss_log)
 select run, {R6('avg(loss)')} as loss, {R6('avg(test_loss)')} as test_loss
 from kept where from_end <= 128 group by 1 having count(*) = 128""")
 def tail_average(spark, sf):
-    gaps = fx.loss_log(spark, sf).filter("eval_n % 3 <> 1")  # a log with gaps
-    tail = logs.tail_average(gaps, 128, ["loss", "test_loss"])
+    tail = logs.tail_average(fx.loss_log(spark, sf), 128, ["loss", "test_loss"])
     return tail.select("run", r6(F.col("loss")).alias("loss"), r6(F.col("test_loss")).alias("test_loss"))
 
 
