@@ -5,19 +5,19 @@ cut off goes to the other sources by weight. A source whose target is 1.3 times
 then documents of three tenths of its words a second time.
 
 Documents of a source stand in the order of an md5 draw of seed and key. Their running word count cuts that order
-into blocks of ``block_words``; the last, partial pass takes the documents that end before the target, and then,
-three times, the largest document that fits into the gap that is left and is not yet taken ``cap`` times. If documents
-still fit, as behind one that is longer than the gap, rounds go on until none does: the largest that fits, then, of the
-least often taken that fit, all in the order of the draw that end before the target. A round halves the gap or takes the
-last of those.
+into blocks of ``block_words``; the last, partial pass takes the documents that end before the target. The gap that is
+left, as behind a document longer than it, is filled in rounds by documents that are not yet taken ``cap`` times: the largest
+that fits, then, of the least often taken that fit, all in the order of the draw that end before the target. A round
+halves the gap or takes the last of those. When none fits any more, the smallest is taken if the target is missed by
+less with it than without.
 The block quotas of all sources are then divided over the output shards: a node of a binary tree with quotas K gives
 its left half a multivariate hypergeometric draw from K, the right half the rest, down to single shards. So every
 block goes to one shard, every shard gets its share of every source, and all quotas hold exactly. A source's blocks
 go to its shards in permuted order; inside a shard documents are sorted by a second draw.
 
 All draws depend on seeds, keys and tree nodes only: reruns agree, lost tasks repeat their results. Running sums are
-computed per leading digits of the draw (`functions/draws.py`), so no task holds a source. Text is shuffled only by
-`mix`, to its shard.
+computed per leading digits of the draw (`functions/draws.py`), so no task holds a source. Words are counted once, in the
+pass that writes sizes by source and draw. Text is shuffled only by `mix`, to its shard.
 
 Null texts and texts without words have size 0; they are taken as their place in the order says. Null sources are a
 source of their own, after all others. A null key is a key. Rows of a source that repeat a key are taken together.
@@ -47,8 +47,6 @@ BLOCK_WORDS = 16_384
 SHARD_WORDS = 4_000_000
 # Documents in a bucket of the running sums, at most.
 BUCKET_ROWS = 16_384
-# Documents that fill the gap between a source's last whole document and its target.
-CLOSING = 3
 # Sources are labels, not data.
 MAX_SOURCES = 100_000
 # numpy draws hypergeometric numbers from fewer than 1e9 items; larger mixes use larger blocks.
@@ -65,7 +63,6 @@ class Mix:
     seed: int = SEED
     block_words: int = BLOCK_WORDS
     shard_words: int = SHARD_WORDS
-    fill: bool = True  # False leaves what the closing documents do not fill
 
 
 def words(text: Column) -> Column:
@@ -105,11 +102,12 @@ def assign(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "
            source: str = "source") -> DataFrame:
     """Every row as ``row``, with size, source_size, target and ``shards``: one entry for each time it is taken."""
     spark = docs.sparkSession
-    keyed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), words(F.col(text)).alias("size"),
+    keyed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(text).alias("text"),
                         draw(mix.seed, F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("draw"))
-    sources = bounded_rows(
-        keyed.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")),
-        MAX_SOURCES, "the table of sources")
+    keys = settle(keyed.groupBy("source", "draw").agg(F.sum(words(F.col("text"))).alias("size"),
+                                                      F.count(F.lit(1)).alias("rows")), "sizes")
+    sources = bounded_rows(keys.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")),
+                           MAX_SOURCES, "the table of sources")
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
     plan, block_words, levels = _plan(sources, mix)
     plan = spark.createDataFrame(plan)
@@ -117,14 +115,11 @@ def assign(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "
     # A key's place in its source: words before it, by bucket of the draw.
     small = plan.select(F.col("source").alias("s"), "digits", "source_size", "target", "passes", "part", "blocks",
                         "units", "step", "shift")
-    units = keyed.groupBy("source", "draw").agg(F.sum("size").alias("size"))
-    units = units.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s")
-    units = settle(_running(units, "size", "before"), "places")
+    units = keys.join(small, F.col("source").eqNullSafe(F.col("s"))).drop("s")
+    units = _running(units, "size", "before")
     whole = (F.col("before") + F.col("size") <= F.col("part")) & (F.col("part") > 0)
-    units = units.withColumn("times", F.col("passes") + whole.cast("int"))
-    units = _close_gaps(units, mix).withColumn("spots", F.array().cast("array<bigint>"))
-    if mix.fill:
-        units = _fill_gaps(units, mix)
+    units = units.withColumn("times", F.col("passes") + whole.cast("int")).withColumn("spots", F.array().cast("array<bigint>"))
+    units = _fill_gaps(settle(units, "places"), mix)
 
     # Each time it is taken, a key stands in a block; the block's permuted place tells its shard.
     block = F.least(F.floor(F.col("before") / F.lit(block_words)), F.col("blocks") - 1)
@@ -141,11 +136,13 @@ def assign(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "
     taken = (taken.join(shards, F.col("source").eqNullSafe(F.col("s")) & (F.col("place") == F.col("p")))
              .groupBy("source", "draw").agg(F.sort_array(F.collect_list("shard")).alias("shards")))
 
-    facts = (keyed.join(small.select("s", "source_size", "target"), F.col("source").eqNullSafe(F.col("s"))).drop("s"))
-    taken = taken.select(F.col("source").alias("s"), F.col("draw").alias("d"), "shards")
-    return (facts.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d")), "left")
-            .select("row", "size", "source_size", "target", "draw",
-                    F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards")))
+    taken = units.join(taken.select(F.col("source").alias("s"), F.col("draw").alias("d"), "shards"),
+                       F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d")), "left")
+    taken = taken.select(F.col("source").alias("s"), F.col("draw").alias("d"), "rows", F.col("size").alias("all"),
+                         "source_size", "target", "shards")
+    return (keyed.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d")))
+            .select("row", F.when(F.col("rows") == 1, F.col("all")).otherwise(words(F.col("text"))).alias("size"),
+                    "source_size", "target", "draw", F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards")))
 
 
 def _running(units: DataFrame, of: str, name: str) -> DataFrame:
@@ -161,45 +158,23 @@ def _running(units: DataFrame, of: str, name: str) -> DataFrame:
             .withColumn(name, F.col(name) + F.col("offset")).drop("offset", "bucket"))
 
 
-def _close_gaps(units: DataFrame, mix: Mix) -> DataFrame:
-    """One more time for the largest key that still fits, per source and round. Only a row per source is collected."""
+def _fill_gaps(units: DataFrame, mix: Mix) -> DataFrame:
+    """One more time for keys that still fit, in rounds until none does, then for the smallest if that is nearer. ``spots``
+    holds the words of the source taken before each of these times, which places them in its blocks. Only a row per source
+    is collected."""
     spark = units.sparkSession
-    rows = bounded_rows(
-        units.filter(F.col("part") > 0).groupBy("source").agg(
-            F.max("target").alias("target"), F.sum(F.col("times") * F.col("size")).alias("taken")),
-        MAX_SOURCES, "the table of sources")
-    state = {row["source"]: [row["target"], row["taken"]] for row in rows}
-    extra: dict[tuple, int] = {}
-
-    def with_extra(units: DataFrame) -> DataFrame:
-        if not extra:
-            return units
-        more = spark.createDataFrame(pa.table({
-            "s": pa.array([k[0] for k in extra], pa.string()), "d": [k[1] for k in extra],
-            "more": pa.array(list(extra.values()), pa.int32())}))
-        joined = units.join(more, F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d")), "left")
-        return joined.withColumn("times", F.col("times") + F.coalesce("more", F.lit(0))).drop("s", "d", "more")
-
-    for _ in range(CLOSING):
-        if not state:
-            break
-        gaps = spark.createDataFrame(pa.table({
-            "s": pa.array(list(state), pa.string()), "gap": [target - taken for target, taken in state.values()]}))
-        fits = (with_extra(units).filter((F.col("times") < int(mix.cap)) & (F.col("size") > 0))
-                .join(gaps, F.col("source").eqNullSafe(F.col("s")) & (F.col("size") <= F.col("gap")))
-                .groupBy("source").agg(F.max(F.struct("size", "draw")).alias("best")))
-        for row in bounded_rows(fits, MAX_SOURCES, "the table of sources"):
-            key = (row["source"], row["best"]["draw"])
-            extra[key] = extra.get(key, 0) + 1
-            state[row["source"]][1] += row["best"]["size"]
-    return with_extra(units)
+    more = (F.col("times") < int(mix.cap)) & (F.col("size") > 0) & (F.col("part") > 0)
 
+    def state_of(columns: dict[str, pa.Array]) -> DataFrame:
+        return spark.createDataFrame(pa.table(columns))
+
+    def with_spots(turn: DataFrame, spot: Column) -> DataFrame:
+        turn = turn.withColumn("spot", spot.cast("bigint"))
+        turn = (turn.withColumn("times", F.col("times") + F.col("spot").isNotNull().cast("int"))
+                .withColumn("spots", F.when(F.col("spot").isNotNull(), F.concat("spots", F.array("spot")))
+                            .otherwise(F.col("spots"))))
+        return settle(turn.select(*units.columns), "fill")
 
-def _fill_gaps(units: DataFrame, mix: Mix) -> DataFrame:
-    """One more time for keys that still fit, in rounds until none does. ``spots`` holds the words of the source taken
-    before each of these times, which places them in its blocks. Only a row per source is collected."""
-    spark = units.sparkSession
-    more = (F.col("times") < int(mix.cap)) & (F.col("size") > 0)
     while True:
         gaps = (units.filter(F.col("part") > 0).groupBy("source").agg(
             F.max("target").alias("target"), F.sum(F.col("times") * F.col("size")).alias("taken"))
@@ -210,24 +185,30 @@ def _fill_gaps(units: DataFrame, mix: Mix) -> DataFrame:
                                        F.min("times").alias("least"), F.max(F.struct("size", "draw")).alias("best")))
         rows = bounded_rows(fits, MAX_SOURCES, "the table of sources")
         if not rows:
-            return units
-        state = spark.createDataFrame(pa.table({
+            break
+        state = state_of({
             "s": pa.array([r["source"] for r in rows], pa.string()), "best": [r["best"]["draw"] for r in rows],
             "taken": pa.array([r["taken"] + r["best"]["size"] for r in rows], pa.int64()),
             "gap": pa.array([r["gap"] - r["best"]["size"] for r in rows], pa.float64()),
-            "least": pa.array([r["least"] for r in rows], pa.int32())}))
+            "least": pa.array([r["least"] for r in rows], pa.int32())})
         best = F.coalesce(F.col("draw") == F.col("best"), F.lit(False))
         open_now = more & ~best & (F.col("times") == F.col("least")) & (F.col("size") <= F.col("gap"))
         turn = units.join(state, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
         turn = turn.withColumn("wanted", F.when(open_now, F.col("size")).otherwise(F.lit(0)))
         turn = _running(turn, "wanted", "reach")
-        spot = F.when(best, F.col("taken") - F.col("size")).when(
-            (F.col("wanted") > 0) & (F.col("reach") + F.col("wanted") <= F.col("gap")), F.col("taken") + F.col("reach"))
-        turn = turn.withColumn("spot", spot.cast("bigint"))
-        turn = (turn.withColumn("times", F.col("times") + F.col("spot").isNotNull().cast("int"))
-                .withColumn("spots", F.when(F.col("spot").isNotNull(), F.concat("spots", F.array("spot")))
-                            .otherwise(F.col("spots"))))
-        units = settle(turn.select(*units.columns), "fill")
+        units = with_spots(turn, F.when(best, F.col("taken") - F.col("size")).when(
+            (F.col("wanted") > 0) & (F.col("reach") + F.col("wanted") <= F.col("gap")), F.col("taken") + F.col("reach")))
+
+    least = (units.filter(more).join(gaps, F.col("source").eqNullSafe(F.col("s"))).groupBy("source").agg(
+        F.min(F.struct("size", "draw")).alias("least"), F.first("taken").alias("taken"), F.first("gap").alias("gap"))
+             .filter(F.col("least.size") - F.col("gap") < F.col("gap")))
+    rows = bounded_rows(least, MAX_SOURCES, "the table of sources")
+    if not rows:
+        return units
+    state = state_of({"s": pa.array([r["source"] for r in rows], pa.string()), "best": [r["least"]["draw"] for r in rows],
+                      "taken": pa.array([r["taken"] for r in rows], pa.int64())})
+    turn = units.join(state, F.col("source").eqNullSafe(F.col("s")), "left").drop("s")
+    return with_spots(turn, F.when(F.col("draw") == F.col("best"), F.col("taken")))
 
 
 def mix(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "text",

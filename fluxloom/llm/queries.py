@@ -95,21 +95,6 @@ def op1(spark, sf_dir):
                         "n_repeat_words", "base_failed", "kept")
 
 
-def _closing(given: str, out: str) -> str:
-    """One more document per source: the largest that fits into what its target leaves."""
-    return f"""
-{out}_gap as (
-    select source, max(target) - sum(times * size) as gap
-    from {given} where part > 0 group by source),
-{out}_fit as (
-    select w.source, w.draw from {given} w join {out}_gap g on g.source is not distinct from w.source
-    where w.times < 2 and w.size > 0 and w.size <= g.gap
-    qualify row_number() over (partition by w.source order by w.size desc, w.draw desc) = 1),
-{out} as (
-    select w.* replace (w.times + (f.draw is not null)::int as times)
-    from {given} w left join {out}_fit f on f.source is not distinct from w.source and f.draw = w.draw),"""
-
-
 @query("op6_byte_bpe")
 def op6(spark, sf_dir):
     """Ids of every document and what they decode to, as digests."""
@@ -128,7 +113,7 @@ def op7(spark, sf_dir):
 
 
 @query("op8_mixing", """
-with sized as (
+with recursive sized as (
     select doc_id, source, coalesce(len(regexp_extract_all(text, '[^\\x20\\x09-\\x0D]+')), 0)::bigint as size,
         md5('8|' || coalesce(doc_id::varchar, 'null')) as draw
     from documents),
@@ -137,15 +122,15 @@ sources as (
         [3.0, 1.0, 2.0][((row_number() over (order by source nulls last) - 1) % 3 + 1)::int]::double as weight,
         row_number() over (order by source nulls last) as place
     from sized group by source),
-filled as (  -- sources that reach their cap do so in order of cap / weight
+capped as (  -- sources that reach their cap do so in order of cap / weight
     select *, 1.5 * sum(source_size) over () - coalesce(sum(2.0 * source_size) over before, 0) as rest,
         sum(weight) over () - coalesce(sum(weight) over before, 0) as open_weight,
         2.0 * source_size / weight as reach, row_number() over (order by 2.0 * source_size / weight, place) as rank
     from sources
     window before as (order by 2.0 * source_size / weight, place rows between unbounded preceding and 1 preceding)),
-level as (select rest / open_weight as level from filled where reach >= rest / open_weight order by rank limit 1),
+level as (select rest / open_weight as level from capped where reach >= rest / open_weight order by rank limit 1),
 goals as (
-    select source, source_size, round(least(2.0 * source_size, weight * level), 6) as target from filled, level),
+    select source, source_size, round(least(2.0 * source_size, weight * level), 6) as target from capped, level),
 parts as (
     select *, case when source_size > 0 then floor(target / source_size) else 0 end as passes from goals),
 keys as (
@@ -154,18 +139,41 @@ placed as (
     select *, coalesce(sum(size) over (partition by source order by draw
         rows between unbounded preceding and 1 preceding), 0) as before from keys),
 wanted as (
-    select p.*, g.source_size, g.target, g.passes, g.target - g.passes * g.source_size as part,
+    select p.source, p.draw, p.size, g.source_size, g.target, part,
         (g.passes + (part > 0 and p.before + p.size <= part)::int)::int as times
-    from placed p join parts g on g.source is not distinct from p.source),
-""" + _closing("wanted", "first") + _closing("first", "second") + _closing("second", "third") + """
-done as (select * from third)
+    from placed p join (select *, target - passes * source_size as part from parts) g
+        on g.source is not distinct from p.source),
+rounds as (
+    select 0 as round, * from wanted
+    union all
+    select round + 1, source, draw, size, source_size, target, part,
+        times + (best or wanted > 0 and reach + wanted <= gap - best_size)::int as times
+    from (
+        select *, coalesce(sum(wanted) over (partition by source order by draw
+            rows between unbounded preceding and 1 preceding), 0) as reach
+        from (
+            select *, case when fits and not best and times = least and size <= gap - best_size then size else 0 end as wanted
+            from (
+                select *, fits and row_number() over (partition by source order by fits desc, size desc, draw desc) = 1 as best,
+                    max(case when fits then size end) over (partition by source) as best_size,
+                    min(case when fits then times end) over (partition by source) as least
+                from (
+                    select *, part > 0 and times < 2 and size > 0 and size <= gap as fits
+                    from (select *, target - sum(times * size) over (partition by source) as gap from rounds)))))
+    where best_size is not null),
+filled as (select * from rounds qualify round = max(round) over (partition by source)),
+done as (
+    select source, draw, source_size, target,
+        (times + (open and row_number() over (partition by source order by open desc, size, draw) = 1
+            and size - gap < gap)::int) as times
+    from (select *, part > 0 and times < 2 and size > 0 as open,
+            target - sum(times * size) over (partition by source) as gap from filled))
 select s.doc_id, s.size, w.source_size, w.target::double as target, (s.size * w.times)::bigint as taken
 from sized s join done w on w.source is not distinct from s.source and w.draw = s.draw
 """)
 def op8(spark, sf_dir):
-    """How often each document is taken, from the shards that the operator gives it. Its SQL ends with the closing
-    documents, so the query does too."""
-    rows = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"), mixing.Mix(fill=False))
+    """How often each document is taken, from the shards that the operator gives it."""
+    rows = mixing.assign(table(spark, sf_dir, "documents").select("doc_id", "text", "source"))
     return rows.select("row.doc_id", "size", "source_size", "target",
                        (F.col("size") * F.size("shards")).alias("taken"))
 
