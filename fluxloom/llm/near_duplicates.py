@@ -36,7 +36,6 @@ from pyspark.sql import functions as F
 
 from fluxloom.llm.common import slices, texts_of
 from fluxloom.llm.order_minhash import Sketch, bands, kmers, numbered, parities, similar
-from fluxloom.operators.dbscan import components
 from fluxloom.session import settle
 
 
@@ -135,6 +134,30 @@ def _rest_pairs(rest: DataFrame, texts: DataFrame, sketch: Sketch) -> DataFrame:
     return pairs.select(F.col("node").alias("a"), F.col("node_b").alias("b")).distinct()
 
 
+def connected(links: DataFrame) -> DataFrame:
+    """(node, root) of every node of the links (a, b): the least node of its component.
+
+    In a round every node steps to its least neighbour and to that one's step. Links are carried over to where their ends have
+    gone, and those inside a node are dropped, so they shrink: a cloud whose nodes are all linked to each other is read once.
+    """
+    edges = settle(links.select("a", "b").filter("a <> b").distinct(), "edges")
+    found = edges.select(F.col("a").alias("node")).union(edges.select("b")).distinct()
+    found = settle(found.withColumn("root", F.col("node")), "roots")
+    while not edges.isEmpty():
+        near = edges.union(edges.select("b", "a")).groupBy(F.col("a").alias("v")).agg(F.min("b").alias("least"))
+        near = settle(near.select("v", F.least("v", "least").alias("up")), "near")
+        step = settle(near.join(near.select(F.col("v").alias("up"), F.col("up").alias("to")), "up").select("v", "to"), "steps")
+        ends = (edges.join(step.select(F.col("v").alias("a"), F.col("to").alias("x")), "a")
+                .join(step.select(F.col("v").alias("y"), F.col("to").alias("z")), F.col("b") == F.col("y")).select("x", "z"))
+        further = step.select(F.col("to").alias("x")).distinct().join(
+            step.select(F.col("v").alias("x"), F.col("to").alias("z")), "x")  # nodes that others went to may have gone on
+        ends = ends.union(further).filter("x <> z")
+        edges = settle(ends.select(F.least("x", "z").alias("a"), F.greatest("x", "z").alias("b")).distinct(), "edges")
+        moved = found.join(step, F.col("root") == F.col("v"), "left")
+        found = settle(moved.select("node", F.coalesce("to", "root").alias("root")), "roots")
+    return found
+
+
 def classes(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """(id, node, root, class_id) of every row, once per different (id, node): its text, a text that stands for its class,
     and the class's least id. Node and root are null where the text is."""
@@ -156,15 +179,19 @@ def classes(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", tex
     texts = settle(_texts(docs, nodes, first, key, text), "texts")
     links = settle(align(pairs, texts, sketch), "links")
 
-    roots = settle(components(nodes.withColumnRenamed("node", "pid"), links).withColumnRenamed("pid", "node"), "roots")
+    found = connected(links).withColumnRenamed("node", "at")
+    roots = nodes.join(found, F.col("node") == F.col("at"), "left").select("node", F.coalesce("root", "node").alias("root"))
+    roots = settle(roots, "roots")
     mixed = (members.join(roots, "node").groupBy("table", "band")
              .agg(F.min("root").alias("r0"), F.max("root").alias("r1")).filter("r0 <> r1").select("table", "band"))
     rest = members.join(mixed, ["table", "band"], "left_semi").select("node").union(short).distinct()
     rest = first.select("node", "bits").join(rest, "node", "left_semi").join(roots, "node")
     more = settle(align(_rest_pairs(rest, texts, sketch), texts, sketch), "links")
-    if not more.isEmpty():
-        roots = settle(components(nodes.withColumnRenamed("node", "pid"), links.union(more))
-                       .withColumnRenamed("pid", "node"), "roots")
+    of = roots.select(F.col("node").alias("at"), "root")
+    ends = (more.join(of.withColumnRenamed("root", "x"), F.col("a") == F.col("at")).drop("at")
+            .join(of.withColumnRenamed("root", "y"), F.col("b") == F.col("at")).select(F.col("x").alias("a"), F.col("y").alias("b")))
+    merged = connected(ends).select(F.col("node").alias("old"), F.col("root").alias("new"))
+    roots = roots.join(merged, F.col("root") == F.col("old"), "left").select("node", F.coalesce("new", "root").alias("root"))
 
     named = first.select("node", "id").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
     names = named.groupBy("root").agg(F.min("id").alias("class_id"))
