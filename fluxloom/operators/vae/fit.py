@@ -1,4 +1,9 @@
-"""Data-parallel fitting. Tasks compute gradient sums of a batch; the driver holds weights and Adam moments."""
+"""Data-parallel fitting. Tasks compute gradient sums of a batch; the driver holds weights and Adam moments.
+
+Normalisation uses the statistics of the whole batch: for every normalised layer there is one pass over the batch's rows whose
+sums are added up before the next pass goes through that layer, on the way forward and again on the way back
+(`batch_steps`). So a fit does not depend on how rows fall into files, tasks and Arrow batches.
+"""
 
 from __future__ import annotations
 
@@ -7,28 +12,36 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from fluxloom.functions.draws import draw
 from fluxloom.functions.vectors import to_lists, to_matrix
+from fluxloom.operators.ranking import rank_by_draw
 from fluxloom.operators.sampling import shuffled_batches
 from fluxloom.operators.vae.model import Vae, save
-from fluxloom.operators.vae.network import BN_MOMENTUM, backward, batch_stats, forward
+from fluxloom.operators.vae.network import BN_MOMENTUM, batch_stats, train_backward, train_forward
 from fluxloom.operators.vae.scoring import Scorer, dataset_loss, row_key
-from fluxloom.session import settle
+from fluxloom.session import scratch_path, settle
 
 # Values per row of the gradient table: sums of one stretch of the gradient meet in one task.
 SLOT = 65_536
+# Bytes of vectors in a store: the batches that are read together. Their number follows the data, not the batch size.
+STORE_BYTES = 1 << 30
+# A chunk of a file, as the rotation of samples names it.
+CHUNK = ["file_name", "chunk"]
 
 
-def batch_sums(scorer: Scorer, v: np.ndarray, keys: np.ndarray, rng: np.random.Generator):
-    """Sums over rows: the four losses, the gradient, and the weighted normalisation statistics."""
+def batch_steps(scorer: Scorer, v: np.ndarray, keys: np.ndarray):
+    """Sums over some rows of a batch: a generator that yields those of each normalised layer, forward and back, and is sent the
+    sums of the whole batch. It yields last: number of rows, the four losses, the gradient, and the weighted statistics."""
     vae = scorer.vae
     x = (scorer.to_model(v) - vae.v_mu) / vae.v_std
-    y, enc = forward(vae.encoder, x, vae.lrelu_slope, vae.dropout_p, rng)
+    y, enc = yield from train_forward(vae.encoder, x, vae.lrelu_slope, vae.dropout_p, keys, 1)
     mu, log_var, std = vae.split_latent(y)
     eps = scorer.noise(keys, len(v))
-    x_out, dec = forward(vae.decoder, mu + std * eps, vae.lrelu_slope, vae.dropout_p, rng)
+    x_out, dec = yield from train_forward(vae.decoder, mu + std * eps, vae.lrelu_slope, vae.dropout_p, keys, 1 + len(vae.encoder))
     rec = ((x - x_out) ** 2).sum()
     div = 0.5 * (np.exp(log_var) + mu**2 - log_var - 1.0).sum()
     d_out, s = 2.0 * (x_out - x), 0.0
@@ -39,30 +52,61 @@ def batch_sums(scorer: Scorer, v: np.ndarray, keys: np.ndarray, rng: np.random.G
         d_model = np.zeros_like(x)
         d_model[:, scorer.placed] = d_data[:, scorer.taken]
         d_out = d_out + d_model * vae.v_std
-    g_dec, dz = backward(vae.decoder, dec, d_out)
+    g_dec, dz = yield from train_backward(vae.decoder, dec, d_out)
     d_log_var = dz * eps * 0.5 * std + 0.5 * (np.exp(log_var) - 1.0)
     if vae.legacy_vae:
         d_log_var = d_log_var / np.exp(log_var)
-    g_enc, _ = backward(vae.encoder, enc, np.concatenate([dz + mu, d_log_var], axis=1))
+    g_enc, _ = yield from train_backward(vae.encoder, enc, np.concatenate([dz + mu, d_log_var], axis=1))
     stats = [len(v) * t for t in batch_stats(vae.encoder, enc) + batch_stats(vae.decoder, dec)]
-    return np.concatenate([[len(v), rec + div + s, rec, div, s], *[g.ravel() for g in [*g_enc, *g_dec]],
-                           *[t.ravel() for t in stats]])
+    yield np.concatenate([[len(v), rec + div + s, rec, div, s], *[g.ravel() for g in [*g_enc, *g_dec]],
+                          *[t.ravel() for t in stats]])
+
+
+def local_sums(scorer: Scorer, v: np.ndarray, keys: np.ndarray, known: list[np.ndarray]) -> np.ndarray:
+    """What the rows add to the next total, where ``known`` holds the totals so far."""
+    steps = batch_steps(scorer, v, keys)
+    found = next(steps)
+    for total in known:
+        found = steps.send(total)
+    return found
+
+
+def passes(vae: Vae) -> int:
+    """Passes over a batch: one, and two more for every normalised layer."""
+    return 1 + 2 * sum(layer.gamma is not None for layer in [*vae.encoder, *vae.decoder])
 
 
-def sum_over_batch(batch: DataFrame, scorer: Scorer, seed: int, step: int) -> np.ndarray:
-    """Add up ``batch_sums`` of all rows of a batch.
+def batch_sums(scorer: Scorer, v: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """The last sums, of a batch that is here as a whole."""
+    known: list[np.ndarray] = []
+    for _ in range(passes(scorer.vae)):
+        known.append(local_sums(scorer, v, keys, known))
+    return known[-1]
 
-    Each task adds its own rows. The sums are cut into slots, each slot is added in one task, and the
-    driver receives one vector of the size of the model.
+
+def sum_over_batch(batch: DataFrame, scorer: Scorer) -> np.ndarray | None:
+    """`batch_sums` of the rows (v, k) of a batch, wherever they are; nothing if there are none.
+
+    Each task adds its own rows, pass by pass. The sums are cut into slots, each slot is added in one task, and the driver receives
+    one vector per pass, at most of the size of the model.
     """
+    known: list[np.ndarray] = []
+    for _ in range(passes(scorer.vae)):
+        total = _one_pass(batch, scorer, list(known))
+        if total is None:
+            return None
+        known.append(total)
+    return known[-1]
+
+
+def _one_pass(batch: DataFrame, scorer: Scorer, known: list[np.ndarray]) -> np.ndarray | None:
     def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = None
         for b in batches:
             if not b.num_rows:
                 continue
             keys = b.column("k").to_numpy(zero_copy_only=False)
-            rng = np.random.default_rng([seed, step, int(keys.min()) & 0xFFFFFFFF])
-            part = batch_sums(scorer, to_matrix(b.column("v"), scorer.width), keys, rng)
+            part = local_sums(scorer, to_matrix(b.column("v"), scorer.width), keys, known)
             total = part if total is None else total + part
         if total is not None:
             for slot, start in enumerate(range(0, len(total), SLOT)):
@@ -83,6 +127,8 @@ def sum_over_batch(batch: DataFrame, scorer: Scorer, seed: int, step: int) -> np
     size = sum(p.size for p in scorer.vae.params())
     sums = batch.mapInArrow(local, schema).repartition(max(1, min(200, -(-size // SLOT))), "slot")
     table = sums.mapInArrow(add, schema).toArrow().sort_by("slot")  # one row per slot: the size of the model
+    if not table.num_rows:
+        return None
     return table["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False).copy()
 
 
@@ -129,28 +175,79 @@ LOG_SCHEMA = ("eval_n bigint, epoch bigint, batch bigint, loss double, reconstru
               "test_divergence_loss double, test_stoicheometry_loss double")
 
 
+class Batches:
+    """The rows of a fit, written once as stores: folders of many batches, as many as the data's bytes ask for. A store's files
+    are sorted by batch, so a batch is found by row-group statistics, and it is held while its steps run.
+
+    Without ``turns`` a batch has ``batch_size`` rows of a seeded shuffle of all (`shuffled_batches`). With ``turns``
+    (`sampling.epoch_rotation`: epoch, file_name, chunk) an epoch's rows are those of the chunks whose turn it is. Every
+    chunk is cut into as many parts as an epoch has batches, in seeded order, so a batch has its share of each
+    chunk and about ``batch_size`` rows, and no epoch writes anything.
+    """
+
+    def __init__(self, train: DataFrame, keys: list[str], batch_size: int, seed: int, turns: DataFrame | None = None,
+                 store_bytes: int | None = None):
+        self.turns = None if turns is None else settle(turns.select("epoch", *CHUNK), "turns")
+        if turns is None:
+            rows = shuffled_batches(train.select(*keys, "v"), batch_size, seed, keys)
+            self.keep = [*keys, "v", "batch"]
+            self.n = None
+        else:
+            columns = [*keys, *[c for c in CHUNK if c not in keys]]
+            sizes = settle(train.groupBy(*CHUNK).agg(F.count(F.lit(1)).alias("rows")), "chunk-sizes")
+            epochs = self.turns.join(sizes, CHUNK).groupBy("epoch").agg(F.sum("rows").alias("rows"))
+            self.n = max(1, -(-(epochs.agg(F.max("rows")).first()[0] or 0) // batch_size))
+            ranked = rank_by_draw(train.select(*columns, "v"), CHUNK, draw(seed, *keys))
+            part = F.floor((F.col("rn") - 1) * self.n / F.col("n_rows")).cast("bigint")
+            rows = ranked.withColumn("batch", part).drop("rn", "n_rows")
+            self.keep = [*columns, "v", "batch"]
+        extent = train.agg(F.count(F.lit(1)).alias("rows"), F.sum(F.size("v") * 8).alias("bytes")).first()
+        batches = self.n or max(1, -(-extent["rows"] // batch_size))
+        stores = max(1, -(-(extent["bytes"] or 0) // (store_bytes or STORE_BYTES)))
+        self.per_store = max(1, -(-batches // stores))
+        self.n = batches
+        rows = rows.select(*self.keep, F.floor(F.col("batch") / self.per_store).alias("store"))
+        rows = rows.hint("rebalance", F.col("store")).sortWithinPartitions("store", "batch")
+        self.stored = settle(rows, "batches", ["store"])
+
+    def epoch(self, epoch: int, seed: int, turn: int | None = None) -> Iterator[tuple[int, DataFrame]]:
+        """(batch, its rows) in the seeded order of the epoch: stores one after the other, their batches mixed."""
+        rng = np.random.default_rng([seed, epoch])
+        for store in rng.permutation(-(-self.n // self.per_store)):
+            rows = self.stored.filter(F.col("store") == int(store))
+            if self.turns is not None:
+                now = self.turns.filter(F.col("epoch") == (epoch if turn is None else turn)).select(*CHUNK)
+                rows = rows.join(now, CHUNK, "left_semi")
+            rows = rows.persist(StorageLevel.MEMORY_AND_DISK)
+            first = int(store) * self.per_store
+            for batch in first + rng.permutation(min(self.per_store, self.n - first)):
+                yield int(batch), rows.filter(F.col("batch") == int(batch))
+            rows.unpersist()
+
+
 def fit(train: DataFrame, vae: Vae, epochs: int, batch_size: int, lr: float, seed: int, keys: list[str],
         reactions: list[str] | None = None, test: DataFrame | None = None, eps: str = "normal",
         coefficients=None, beta_s: float = 0.0, test_beta_s: float | None = None, with_stoich: bool = False,
         save_losses_on: int = 1, save_on: int = 0, save_test_min: bool = True, folder: str | None = None,
-        test_coefficients=None) -> tuple[Vae, DataFrame]:
+        test_coefficients=None, turns: DataFrame | None = None, reload_on: int = 1,
+        store_bytes: int | None = None) -> tuple[Vae, DataFrame]:
     """Fit ``vae`` in place to rows (keys, v); returns it with the loss log.
 
-    Rows are written once, partitioned by batch, and a step reads the folder of its batch only. Batches
-    keep their rows; every epoch visits them in another seeded order. A lost task repeats its part of
-    the sum from those files, so a step is never half done. With ``folder`` given, versions are stored
-    every ``save_on`` epochs, at the end, and at each new least test loss.
+    Rows are written once as stores of batches (`Batches`). With ``turns``, rows need file_name and chunk, and every ``reload_on``
+    epochs the sample becomes the next turn's; 0 keeps the first. A lost task repeats its part of a sum from the
+    stores' files, so a step is never half done. With ``folder`` given, versions are stored every ``save_on`` epochs, at the end,
+    and at each new least test loss. Every evaluation is added to the log as it is made, ``<folder>/losses``, so a fit
+    that ends early leaves its log; that of an earlier fit in the folder is replaced.
     """
     spark = train.sparkSession
     scorer = Scorer(vae, reactions, sample=True, eps=eps, coefficients=coefficients, beta_s=beta_s)
     tester = Scorer(vae, reactions, sample=True, eps=eps, coefficients=test_coefficients or coefficients,
                     beta_s=beta_s if test_beta_s is None else test_beta_s)
-    keyed = shuffled_batches(train.select(*keys, "v"), batch_size, seed, keys)
-    # AQE cuts large batches into files of its target size; each file is a task of the batch's step.
-    stored = settle(keyed.hint("rebalance", F.col("batch")), "batches", ["batch"])
-    n_batches = stored.agg(F.max("batch")).first()[0] + 1
+    batches = Batches(train, keys, batch_size, seed, turns, store_bytes)
     held_out = None if test is None else settle(test.select(*keys, "v"), "test")
-    adam, log, step, least = Adam(lr, vae.weight_decay), [], 0, np.inf
+    adam, evaluations, step, least = Adam(lr, vae.weight_decay), 0, 0, np.inf
+    losses = f"{folder.rstrip('/')}/losses" if folder else scratch_path(spark, "losses")
+    spark.createDataFrame([], LOG_SCHEMA).write.mode("overwrite").parquet(losses)
 
     def test_losses(at: int) -> list[float]:
         if held_out is None:
@@ -159,14 +256,17 @@ def fit(train: DataFrame, vae: Vae, epochs: int, batch_size: int, lr: float, see
         return [float(x) for x in dataset_loss(scored, with_stoich=with_stoich).first()]
 
     for epoch in range(epochs):
-        order = np.random.default_rng([seed, epoch]).permutation(n_batches)
         best_here = np.inf
-        for i, batch in enumerate(order):
-            rows = stored.filter(F.col("batch") == int(batch)).select("v", row_key(seed + step, *keys).alias("k"))
-            train_losses = apply_sums(vae, adam, sum_over_batch(rows, scorer, seed, step))
+        for i, (batch, rows) in enumerate(batches.epoch(epoch, seed, epoch // reload_on if reload_on else 0)):
+            sums = sum_over_batch(rows.select("v", row_key(seed + step, *keys).alias("k")), scorer)
+            if sums is None:  # no row of this turn falls into the batch
+                continue
+            train_losses = apply_sums(vae, adam, sums)
             if save_losses_on and i % save_losses_on == 0:
                 tested = test_losses(step)
-                log.append((len(log), epoch, int(batch), *map(float, train_losses), *tested))
+                row = (evaluations, epoch, batch, *map(float, train_losses), *tested)
+                spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(losses)
+                evaluations += 1
                 best_here = min(best_here, tested[0])
             step += 1
         if folder and save_on and epoch % save_on == 0:
@@ -176,6 +276,4 @@ def fit(train: DataFrame, vae: Vae, epochs: int, batch_size: int, lr: float, see
             save(spark, vae, folder, epoch, test_min=True)
     if folder:
         save(spark, vae, folder, epochs - 1)
-    return vae, spark.createDataFrame(log, LOG_SCHEMA)
-
-
+    return vae, spark.read.schema(LOG_SCHEMA).parquet(losses)

@@ -42,6 +42,15 @@ class Dataset:
         """Dense rows (file_name, label, sample_n, row_id, v): all of them, or about ``n``, as many from each file."""
         return self.dense(self.layout, n, seed).withColumn("row_id", F.concat_ws("/", *KEYS))
 
+    def rotation(self, n: int, epochs: int, seed: int = 0) -> tuple[DataFrame, DataFrame]:
+        """Dense rows with the chunk that each belongs to, and the chunk that every file serves in every epoch."""
+        samples = settle(sampling.sample_rows(self.flux), "samples")
+        files = samples.select("file_name").distinct().count()
+        per_file = max(1, n // max(1, files))
+        chunks = settle(sampling.random_chunks(samples, per_file, seed), "chunks")
+        turns = sampling.epoch_rotation(sampling.chunk_table(samples, per_file), epochs, seed)
+        return self.sample(None, seed).join(chunks, KEYS), turns
+
     def dense(self, layout: stats.Dictionary, n: int | None, seed: int) -> DataFrame:
         cells = self.flux
         if n is not None:
@@ -81,9 +90,10 @@ def load(spark: SparkSession, path: str, models: str | None = None) -> Dataset:
 def train(data: Dataset, folder: str, epochs: int = 1, batch_size: int = 64, n_emb: int = 128, n_lay: int = 5,
           lr: float = 1e-4, join: str = "inner", n: int | None = None, seed: int = 0, test: Dataset | None = None,
           test_size: int | None = None, beta_s: float = 0.0, test_beta_s: float | None = None, use_beta_s_in_test_loss: bool = False, save_on: int = 10,
-          save_losses_on: int = 1, lrelu_slope: float = 0.0, **model) -> tuple[Vae, DataFrame]:
+          save_losses_on: int = 1, lrelu_slope: float = 0.0, reload_on: int = 1, **model) -> tuple[Vae, DataFrame]:
     """Fit a model to all rows (or a balanced sample of ``n``) and store its versions and loss log under ``folder``.
 
+    Every ``reload_on`` epochs the sample is drawn anew: each file gives its next unused chunk; 0 keeps the first sample.
     The test set is laid out by the training reactions; what it lacks is 0.
     """
     reactions = data.reactions(join)
@@ -97,10 +107,10 @@ def train(data: Dataset, folder: str, epochs: int = 1, batch_size: int = 64, n_e
     # The test set's own models, in the layout of the training set.
     weight = beta_s if test_beta_s is None else test_beta_s
     own = SparseRows.collect(test.stoich, data.layout.reactions) if test is not None and weight else None
-    vae, log = fit(data.sample(n, seed), vae, epochs, batch_size, lr, seed, KEYS, data.layout.reactions,
-                   held_out, coefficients=coefficients, test_coefficients=own, beta_s=beta_s, test_beta_s=test_beta_s, with_stoich=use_beta_s_in_test_loss,
-                   save_on=save_on, save_losses_on=save_losses_on, folder=folder)
-    tables.append_log(log, f"{folder.rstrip('/')}/losses")
+    rows, turns = data.rotation(n, epochs, seed) if n is not None and reload_on else (data.sample(n, seed), None)
+    vae, log = fit(rows, vae, epochs, batch_size, lr, seed, KEYS, data.layout.reactions, held_out, coefficients=coefficients,
+                   test_coefficients=own, beta_s=beta_s, test_beta_s=test_beta_s, with_stoich=use_beta_s_in_test_loss,
+                   save_on=save_on, save_losses_on=save_losses_on, folder=folder, turns=turns, reload_on=reload_on)
     return vae, log
 
 

@@ -4,11 +4,13 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
+from fluxloom.operators.sampling import epoch_rotation
 from fluxloom.operators.vae import Scorer, SparseRows, Vae
 from fluxloom.operators.vae import model as store
-from fluxloom.operators.vae.fit import Adam, batch_sums, fit
+from fluxloom.operators.vae.fit import Adam, Batches, apply_sums, batch_sums, fit
 from fluxloom.operators.vae.network import forward, layer_sizes, normals
 from fluxloom.operators.vae.scoring import dataset_loss, row_key, stage_view
+from fluxloom.session import settle
 
 NAMES = [f"r{i}" for i in range(6)]
 
@@ -33,7 +35,8 @@ def test_sizes_fall_evenly():
     assert layer_sizes(4, 64, 3) == [4, 34, 64]
 
 
-@pytest.mark.parametrize("how", [{}, {"legacy_vae": True}, {"batch_norm": True, "n_lay": 4}])
+@pytest.mark.parametrize("how", [{}, {"legacy_vae": True}, {"batch_norm": True, "n_lay": 4},
+                                 {"batch_norm": True, "n_lay": 5, "dropout_p": 0.3}])
 def test_gradient_equals_differences(how):
     rng = np.random.default_rng(3)
     vae = Vae(**{"n_in": 6, "n_emb": 2, "n_lay": 3, "reaction_names": NAMES, "v_mu": rng.normal(size=6),
@@ -48,7 +51,7 @@ def test_gradient_equals_differences(how):
     keys = np.arange(40)
 
     def run():
-        return batch_sums(scorer, v, keys, np.random.default_rng(0))
+        return batch_sums(scorer, v, keys)
 
     sums, at = run(), 5
     for p in vae.params():
@@ -70,9 +73,9 @@ def test_sums_over_tasks_equal_one_batch(spark, rows):
     vae = Vae(6, 2, 3, reaction_names=NAMES, seed=1)
     scorer = Scorer(vae, NAMES, sample=True)
     keyed = rows.select("v", F.col("row_id").alias("k"))
-    found = sum_over_batch(keyed, scorer, 0, 0)
+    found = sum_over_batch(keyed, scorer)
     v, keys = values(rows, "v"), np.arange(40)
-    assert np.allclose(found, batch_sums(scorer, v, keys, np.random.default_rng(0)))
+    assert np.allclose(found, batch_sums(scorer, v, keys))
 
 
 def test_encode_decode_and_passthrough(rows):
@@ -81,11 +84,11 @@ def test_encode_decode_and_passthrough(rows):
     assert s.missing == 1
     v = values(rows, "v")
     x = np.stack([v[:, 5], v[:, 1], np.zeros(len(v)), v[:, 2]], axis=1)
-    y, _ = forward(vae.encoder, (x - 1) / 2, 0.01)
+    y = forward(vae.encoder, (x - 1) / 2, 0.01)
     coded = rows.withColumn("z", s.encode("v", row_key(0, "row_id")))
     assert np.allclose(values(coded, "z"), y[:, :2])
     rebuilt = values(coded.withColumn("r", s.decode("z", "v")), "r")
-    out = forward(vae.decoder, y[:, :2], 0.01)[0] * 2 + 1
+    out = forward(vae.decoder, y[:, :2], 0.01) * 2 + 1
     assert np.allclose(rebuilt[:, [5, 1, 2]], out[:, [0, 1, 3]])
     assert np.allclose(rebuilt[:, [0, 3, 4]], v[:, [0, 3, 4]])
 
@@ -105,7 +108,7 @@ def test_batch_of_rows_is_the_mean_of_row_losses(rows):
     s = Scorer(vae, NAMES, eps="ones")
     found = rows.withColumn("l", s.row_losses("v", row_key(0, "row_id"))).select("l.*")
     x, mu, log_var, std = vae.latent(values(rows, "v"))
-    out = forward(vae.decoder, mu + std, 0.01)[0]
+    out = forward(vae.decoder, mu + std, 0.01)
     rec = ((x - out) ** 2).sum() / len(x)
     div = 0.5 * (np.exp(log_var) + mu**2 - log_var - 1).sum() / len(x)
     mean = dataset_loss(found).first()
@@ -147,6 +150,76 @@ def test_fit_lowers_the_loss_and_repeats(spark, rows, tmp_path):
     run(epochs=1, batch_size=40, lr=0.02, seed=1, vae={"batch_norm": True, "dropout_p": 0.2, "weight_decay": 0.1})
 
 
+@pytest.mark.parametrize("files,batch", [(1, 10_000), (7, 10_000), (3, 4)])
+def test_fit_does_not_depend_on_files_or_arrow_batches(spark, rows, files, batch):
+    """Normalisation over the whole batch and dropout by row: equal to one batch in numpy, however the rows are dealt."""
+    vae = Vae(6, 2, 4, reaction_names=NAMES, seed=1, batch_norm=True, dropout_p=0.2)
+    plain = Vae(6, 2, 4, reaction_names=NAMES, seed=1, batch_norm=True, dropout_p=0.2)
+    scorer, v = Scorer(plain, NAMES, sample=True), values(rows, "v")
+    adam, adam_losses = Adam(0.02), []
+    for step in range(3):
+        keys = values(rows.select("row_id", row_key(1 + step, "row_id").alias("k")), "k")
+        adam_losses.append(apply_sums(plain, adam, batch_sums(scorer, v, keys)))
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", batch)
+    try:
+        dealt = settle(rows.repartition(files), "dealt")
+        _, log = fit(dealt, vae, 3, 40, 0.02, 1, ["row_id"], NAMES)
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    assert np.allclose([r.loss for r in log.orderBy("eval_n").collect()], [x[0] for x in adam_losses], rtol=1e-9)
+    for a, b in zip(vae.params(), plain.params()):
+        assert np.allclose(a, b, rtol=1e-7, atol=1e-9)
+    for a, b in zip([*vae.encoder, *vae.decoder], [*plain.encoder, *plain.decoder]):
+        assert all(np.allclose(x, y) for x, y in zip(a.stats(), b.stats()))
+
+
+def chunked(spark):
+    """Three files of 2, 3 and 5 chunks of 8, 6 and 7 rows."""
+    found = [(f"f{f}", s, s // size, data(80, seed=f)[s].tolist()) for f, (n, size) in enumerate(((2, 8), (3, 6), (5, 7)))
+             for s in range(n * size)]
+    return spark.createDataFrame(found, "file_name string, sample_n bigint, chunk bigint, v array<double>")
+
+
+def test_rows_of_an_epoch_are_those_of_the_rotation(spark):
+    rows = settle(chunked(spark), "chunked")
+    sizes = spark.createDataFrame([("f0", 2), ("f1", 3), ("f2", 5)], "file_name string, n_chunks bigint")
+    turns = settle(epoch_rotation(sizes, 6, 3), "turns")
+    batches = Batches(rows, ["file_name", "sample_n"], 5, 1, turns, store_bytes=700)
+    assert batches.per_store < batches.n  # several stores
+    served = {(r.epoch, r.file_name): r.chunk for r in turns.collect()}
+    every = rows.collect()
+    for epoch in range(6):
+        parts = [(batch, [(r.file_name, r.sample_n) for r in part.collect()]) for batch, part in batches.epoch(epoch, 9)]
+        assert sorted(batch for batch, _ in parts) == list(range(batches.n))
+        assert max(len(own) for _, own in parts) <= 5 + 3
+        assert sorted(k for _, own in parts for k in own) == sorted(
+            (r.file_name, r.sample_n) for r in every if served[epoch, r.file_name] == r.chunk)
+    held = [[r.sample_n for _, part in batches.epoch(e, 9, turn=0) for r in part.collect()] for e in (0, 3)]
+    assert sorted(held[0]) == sorted(held[1])  # a sample that is not reloaded
+
+
+def test_stores_follow_bytes_and_a_killed_fit_leaves_its_log(spark, rows, tmp_path, monkeypatch):
+    for size in (40, 4, 1):
+        stored = Batches(rows, ["row_id"], size, 1, store_bytes=1 << 20)
+        assert stored.n == 40 // size and stored.stored.select("store").distinct().count() == 1
+        assert len(stored.stored.inputFiles()) <= 8
+    assert Batches(rows, ["row_id"], 4, 1, store_bytes=640).stored.select("store").distinct().count() == 3
+    from fluxloom.operators.vae import fit as module
+
+    whole, calls = module.apply_sums, []
+
+    def killed(*given):
+        calls.append(1)
+        if len(calls) == 4:
+            raise KeyboardInterrupt
+        return whole(*given)
+
+    monkeypatch.setattr(module, "apply_sums", killed)
+    with pytest.raises(KeyboardInterrupt):
+        fit(rows, Vae(6, 2, 3, reaction_names=NAMES), 2, 10, 0.01, 1, ["row_id"], NAMES, folder=str(tmp_path))
+    assert [r.eval_n for r in spark.read.parquet(f"{tmp_path}/losses").orderBy("eval_n").collect()] == [0, 1, 2]
+
+
 def test_newest_version_is_by_number(spark, tmp_path):
     for seed, epoch in ((1, 9), (2, 31)):
         store.save(spark, Vae(6, 2, 3, seed=seed, batch_norm=True), str(tmp_path), epoch)
