@@ -1,19 +1,26 @@
 """Density clustering (DBSCAN) with exact results.
 
-Equal vectors are one weighted point, so a hot group of copies costs one row. Points are placed in grid
-cells of side eps along their widest axes; only the same and adjacent cells can hold neighbours. A cell
-is cut into blocks of bounded size and a task compares two blocks. Tasks emit neighbour counts, then a
-spanning forest of the core points they saw, so output is linear in the block size, never all pairs.
+Equal vectors are one weighted point, so a hot group of copies costs one row. Two bounds say which points can be neighbours:
+
+- Points are placed in grid cells of side eps along their widest axes; only the same and adjacent cells can hold neighbours.
+- Points go to the nearest of some pivots, points drawn from the table. Between the groups of two pivots lies their bisecting
+  plane. The least distances of either group to it, added up, are a lower bound of all distances between them; groups further
+  apart than eps are not compared. This holds in any number of dimensions, where a grid on a few axes does not cut.
+
+A part (cell and pivot) is cut into blocks of bounded size and a task compares two blocks. Tasks emit neighbour counts, then
+a spanning forest of the core points they saw, so output is linear in the block size, never all pairs.
 """
 
 from __future__ import annotations
 
 import itertools
+from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from fluxloom.functions.vectors import to_matrix
 from fluxloom.operators.distance import within
@@ -22,6 +29,9 @@ from fluxloom.session import settle
 
 BLOCK_ROWS = 2_000
 MAX_AXES = 3
+# Pivots: some per block, so that most groups are smaller than a block; their number bounds what tasks hold.
+PIVOTS_PER_BLOCK = 4
+MAX_PIVOTS = 4_096
 
 
 def dbscan(rows: DataFrame, key: str, v: str, eps: float, min_samples: int, out: str = "cluster",
@@ -60,26 +70,29 @@ def block_pairs(points: DataFrame, eps: float, block_rows: int) -> tuple[DataFra
     ).collect()  # at most MAX_AXES rows
     cell = F.array(*[F.floor((F.col("v")[r["i"]] - r["lo"]) / eps).cast("bigint") for r in widest],
                    *([] if widest else [F.lit(0).cast("bigint")]))
-    celled = points.withColumn("cell", cell)
-    cells = settle(
-        celled.groupBy("cell").agg(F.ceil(F.count(F.lit(1)) / block_rows).cast("bigint").alias("n_blocks")), "cells")
+    pivots = draw_pivots(points, block_rows)
+    grouped = nearest_pivot(points.withColumn("cell", cell), pivots)
+    parts = settle(grouped.groupBy("cell", "pivot").agg(
+        F.ceil(F.count(F.lit(1)) / block_rows).cast("bigint").alias("n_blocks")), "parts")
     blocked = settle(
-        celled.join(cells, "cell")
-        .withColumn("block", block_id(F.col("cell"), F.pmod(F.xxhash64("pid"), F.col("n_blocks"))))
-        .drop("cell", "n_blocks"), "blocked")
-    # Every unordered pair of adjacent cells once: offsets that are zero or begin with a positive step.
-    steps = [o for o in itertools.product((-1, 0, 1), repeat=max(1, len(widest))) if o >= (0,) * len(o)]
+        grouped.join(parts, ["cell", "pivot"])
+        .withColumn("block", block_id(F.col("cell"), F.col("pivot"), F.pmod(F.xxhash64("pid"), F.col("n_blocks"))))
+        .drop("cell", "pivot", "n_blocks"), "blocked")
+    near_pivots = settle(pivot_pairs(grouped, pivots, eps), "pivot-pairs")
+    steps = itertools.product((-1, 0, 1), repeat=max(1, len(widest)))
     offsets = F.explode(F.array(*[F.array(*[F.lit(x).cast("bigint") for x in o]) for o in steps])).alias("offset")
     near = (
-        cells.select("cell", "n_blocks", offsets)
+        parts.join(near_pivots, "pivot").select("cell", "pivot", "n_blocks", F.col("other").alias("other_pivot"), offsets)
         .withColumn("other", F.zip_with("cell", "offset", lambda a, b: a + b))
-        .join(cells.select(F.col("cell").alias("other"), F.col("n_blocks").alias("n_other")), "other")
+        .join(parts.select(F.col("cell").alias("other"), F.col("pivot").alias("other_pivot"),
+                           F.col("n_blocks").alias("n_other")), ["other", "other_pivot"])
     )
     listed = (
         near.withColumn("i", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_blocks") - 1)))
         .withColumn("j", F.explode(F.sequence(F.lit(0).cast("bigint"), F.col("n_other") - 1)))
-        .filter((F.col("cell") != F.col("other")) | (F.col("i") <= F.col("j")))
-        .select(block_id(F.col("cell"), F.col("i")).alias("first"), block_id(F.col("other"), F.col("j")).alias("second"))
+        .select(block_id(F.col("cell"), F.col("pivot"), F.col("i")).alias("first"),
+                block_id(F.col("other"), F.col("other_pivot"), F.col("j")).alias("second"))
+        .filter("first <= second")  # every pair of blocks once
     )
     sides = F.array(F.struct(F.col("first").alias("block"), F.lit(0).alias("side")),
                     F.struct(F.col("second").alias("block"), F.lit(1).alias("side")))
@@ -91,8 +104,59 @@ def block_pairs(points: DataFrame, eps: float, block_rows: int) -> tuple[DataFra
     return blocked, settle(pairs, "pairs")
 
 
-def block_id(cell, number):
-    return F.concat_ws("|", F.concat_ws(",", cell.cast("array<string>")), number.cast("string"))
+def block_id(cell, pivot, number):
+    return F.concat_ws("|", F.concat_ws(",", cell.cast("array<string>")), pivot.cast("string"), number.cast("string"))
+
+
+def draw_pivots(points: DataFrame, block_rows: int) -> np.ndarray:
+    """Points drawn by a hash of their id: some for every block, at most ``MAX_PIVOTS``."""
+    wanted = min(MAX_PIVOTS, PIVOTS_PER_BLOCK * -(-points.count() // block_rows))
+    drawn = points.orderBy(F.xxhash64("pid"), "pid").limit(wanted).select("v").toArrow()
+    return to_matrix(drawn["v"].combine_chunks()) if drawn.num_rows else np.zeros((0, 1))
+
+
+def _squares(matrix: np.ndarray, pivots: np.ndarray) -> tuple[np.ndarray, float]:
+    """Squared distances of rows and pivots, and a bound of their rounding."""
+    middle = pivots.mean(axis=0)
+    matrix, pivots = matrix - middle, pivots - middle
+    own, their = (matrix**2).sum(axis=1), (pivots**2).sum(axis=1)
+    return own[:, None] + their[None, :] - 2.0 * matrix @ pivots.T, 1e-12 * (own.max(initial=0) + their.max(initial=0))
+
+
+def nearest_pivot(points: DataFrame, pivots: np.ndarray) -> DataFrame:
+    """Adds the number of the nearest pivot, written."""
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            squares, _ = _squares(to_matrix(batch.column("v")), pivots)
+            yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(squares.argmin(axis=1).astype(np.int32))],
+                                             [*batch.schema.names, "pivot"])
+
+    return settle(points.mapInArrow(run, T.StructType([*points.schema, T.StructField("pivot", T.IntegerType())])), "grouped")
+
+
+def pivot_pairs(grouped: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame:
+    """(pivot, other) of the groups that may hold neighbours of each other, both ways round, and of each with itself."""
+    def margins(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        apart, rounding = _squares(pivots, pivots)
+        apart = np.sqrt(np.maximum(apart, 0.0))
+        least = np.full(apart.shape, np.inf, np.float64)
+        for batch in batches:
+            squares, slack = _squares(to_matrix(batch.column("v")), pivots)
+            own = batch.column("pivot").to_numpy()
+            for pivot in np.unique(own):
+                mine = squares[own == pivot]
+                to_plane = (mine - mine[:, [pivot]]).min(axis=0) - 4.0 * (slack + rounding)
+                with np.errstate(divide="ignore", invalid="ignore"):
+                    found = np.where(apart[pivot] > 0, to_plane / (2.0 * apart[pivot]), 0.0)
+                least[pivot] = np.minimum(least[pivot], np.maximum(found, 0.0))
+        first, second = np.nonzero(least <= eps)
+        yield pa.record_batch({"pivot": pa.array(first.astype(np.int32)), "other": pa.array(second.astype(np.int32)),
+                               "margin": pa.array(least[first, second])})
+
+    found = grouped.select("v", "pivot").mapInArrow(margins, "pivot int, other int, margin double")
+    found = settle(found.groupBy("pivot", "other").agg(F.min("margin").alias("margin")), "margins")
+    back = found.select(F.col("pivot").alias("other"), F.col("other").alias("pivot"), F.col("margin").alias("back"))
+    return found.join(back, ["pivot", "other"]).filter(F.col("margin") + F.col("back") <= eps).select("pivot", "other")
 
 
 def compare(blocked: DataFrame, pairs: DataFrame, fn, schema: str) -> DataFrame:

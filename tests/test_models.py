@@ -7,7 +7,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from fluxloom.operators import classify, cluster, gmm, lloyd, metrics
-from fluxloom.operators.dbscan import dbscan
+from fluxloom.operators.dbscan import block_pairs, dbscan
 from fluxloom.operators.distance import Centres, nearest, nearest_in_turns, nearest_rows, within
 from fluxloom.operators.moments import group_products, group_sums
 from fluxloom.plans import fixtures as fx
@@ -57,6 +57,34 @@ def test_dbscan_equals_brute_force(rows, eps, least, block_rows):
     assert [r.cluster for r in found] == brute_dbscan(arrays(rows)[0], eps, least).tolist()
 
 
+def test_pivots_prune_clustered_rows_in_many_dimensions(spark):
+    """Unit vectors of 64 axes in 30 tight groups: a grid on three axes cuts little, pivots leave few pairs of blocks."""
+    draw = np.random.default_rng(4)
+    centres = draw.normal(size=(30, 64))
+    x = centres[draw.integers(0, 30, 1500)] + 0.03 * draw.normal(size=(1500, 64))
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id bigint, v array<double>").repartition(4)
+    blocked, pairs = block_pairs(df.select(F.col("row_id").alias("pid"), "v", F.lit(1).alias("w")), 0.2, 20)
+    blocks = blocked.select("block").distinct().count()
+    compared = pairs.select("pair").distinct().count()
+    assert blocks >= 75 and compared < 0.15 * blocks * (blocks + 1) / 2
+    found = dbscan(df, "row_id", "v", 0.2, 5, block_rows=20).orderBy("row_id").collect()
+    assert [r.cluster for r in found] == brute_dbscan(x, 0.2, 5).tolist()
+
+
+@pytest.mark.parametrize("eps", [1e-6, 0.1, 0.5, 2.0])
+def test_no_neighbours_are_pruned(spark, eps):
+    """Every pair within eps meets in a pair of blocks, far from 0 and at near ties too."""
+    draw = np.random.default_rng(7)
+    x = 1000.0 + np.concatenate([draw.normal(size=(150, 5)), draw.integers(0, 3, (60, 5))])
+    df = spark.createDataFrame([(i, v.tolist(), 1) for i, v in enumerate(x)], "pid bigint, v array<double>, w bigint")
+    blocked, pairs = block_pairs(df, eps, 9)
+    of = {r.pid: r.block for r in blocked.collect()}
+    kept = {r.pair for r in pairs.collect()}
+    near = np.argwhere(((x[:, None] - x[None]) ** 2).sum(-1) <= eps**2)
+    assert all("~".join(sorted((of[i], of[j]))) in kept for i, j in near)
+
+
 def test_dbscan_counts_copies(spark):
     """Most rows are copies of one vector; they weigh in as rows but are compared once."""
     x = np.concatenate([np.zeros((40, 2)), [[0.3, 0.0], [0.6, 0.0], [9.0, 9.0]]])
