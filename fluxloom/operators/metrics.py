@@ -16,8 +16,8 @@ from fluxloom.session import TooLarge, bounded_rows, settle
 MAX_CLUSTERINGS = 10_000
 MAX_PAIRS = 100_000
 MAX_COLUMNS = 2_000
-# Counts that a task holds before it passes them on.
-HELD_COUNTS = 1_000_000
+# Counts that a task holds from batch to batch.
+HELD_COUNTS = 16_000_000
 PAIR = ["set_a", "rep_a", "set_b", "rep_b"]
 
 
@@ -62,37 +62,63 @@ def pair_counts(clusterings: DataFrame, pairs: list[tuple]) -> DataFrame:
 
 
 def _count_pairs(places: np.ndarray, width: int):
-    """Counts per (pair, label, label) of a task's rows; held counts are passed on when they grow too many."""
+    """Counts per (pair, label, label) of a task's rows.
+
+    Every label of every clustering has a number in the task. For one clustering and all its partners together, the numbers
+    of a batch are counted in one pass into a table of its labels by all labels; nothing is sorted or looped over per pair.
+    Tables are held from batch to batch while they are small, else passed on after each.
+    """
+    partners = [places[places[:, 0] == i, 1] for i in range(width)]
+    pair_of = np.full((width, width), -1, dtype=np.int64)
+    pair_of[places[:, 0], places[:, 1]] = np.arange(len(places))
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        codes: dict[str, int] = {}
-        held: dict[tuple[int, int, int], int] = {}
-
-        def flush():
-            names = pa.array(list(codes), pa.string())
-            keys = np.array(list(held), dtype=np.int64).reshape(-1, 3)
-            out = pa.RecordBatch.from_arrays(
-                [pa.array(keys[:, 0].astype(np.int32)), names.take(pa.array(keys[:, 1])),
-                 names.take(pa.array(keys[:, 2])), pa.array(list(held.values()), pa.int64())], ["p", "a", "b", "n"])
-            held.clear()
-            return out
+        number: dict[tuple[int, str], int] = {}  # (clustering, label) -> number among all
+        owner, local, names = [], [], []  # per number: clustering, place among its labels, label
+        size = [0] * width
+        held: dict[int, np.ndarray] = {}
+
+        def emit(i: int, table: np.ndarray) -> pa.RecordBatch:
+            own, other = np.nonzero(table)
+            mine = np.array([names[g] for g in range(len(names)) if owner[g] == i], dtype=object)
+            labels = np.array(names, dtype=object)
+            return pa.RecordBatch.from_arrays(
+                [pa.array(pair_of[i, np.array(owner)[other]].astype(np.int32)), pa.array(mine[own], pa.string()),
+                 pa.array(labels[other], pa.string()), pa.array(table[own, other], pa.int64())], ["p", "a", "b", "n"])
 
         for batch in batches:
             at, cluster = batch.column("at"), batch.column("cluster").flatten().dictionary_encode()
-            lookup = np.array([codes.setdefault(c, len(codes)) for c in cluster.dictionary.to_pylist()], dtype=np.int64)
             rows = np.repeat(np.arange(len(at)), at.value_lengths().to_numpy(zero_copy_only=False))
+            places_at, text = at.flatten().to_numpy(), cluster.dictionary.to_pylist()
+            cells = places_at.astype(np.int64) * max(1, len(text)) + cluster.indices.to_numpy(zero_copy_only=False)
+            seen, back = np.unique(cells, return_inverse=True)
+            for cell in seen.tolist():
+                i, label = cell // len(text), text[cell % len(text)]
+                if (i, label) not in number:
+                    number[i, label] = len(names)
+                    owner.append(i)
+                    local.append(size[i])
+                    names.append(label)
+                    size[i] += 1
             labels = np.full((len(at), width), -1, dtype=np.int64)
-            labels[rows, at.flatten().to_numpy()] = lookup[cluster.indices.to_numpy(zero_copy_only=False)]
-            base = len(codes)
-            for p, (i, j) in enumerate(places):
-                both = (labels[:, i] >= 0) & (labels[:, j] >= 0)
-                seen, n = np.unique(labels[both, i] * base + labels[both, j], return_counts=True)
-                for code, count in zip(seen.tolist(), n.tolist()):
-                    key = (p, code // base, code % base)
-                    held[key] = held.get(key, 0) + count
-            if len(held) > HELD_COUNTS:
-                yield flush()
-        if held:
-            yield flush()
+            labels[rows, places_at] = np.array(
+                [number[c // len(text), text[c % len(text)]] for c in seen.tolist()], dtype=np.int64)[back]
+            total, place = len(names), np.array(local, dtype=np.int64)
+            hold = total * sum(n for n, others in zip(size, partners) if len(others)) <= HELD_COUNTS
+            for i, others in enumerate(partners):
+                if not len(others) or not size[i]:
+                    continue
+                both = (labels[:, [i]] >= 0) & (labels[:, others] >= 0)
+                keys = place[labels[:, [i]]] * total + labels[:, others]
+                table = np.bincount(keys[both], minlength=size[i] * total).reshape(size[i], total)
+                if i in held:  # with fewer labels then
+                    table[:held[i].shape[0], :held[i].shape[1]] += held.pop(i)
+                if hold:
+                    held[i] = table
+                else:
+                    yield emit(i, table)
+        for i, table in held.items():
+            yield emit(i, table)
 
     return run
 

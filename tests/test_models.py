@@ -1,8 +1,12 @@
 """Clustering, classifiers, densities and scores against plain numpy."""
 
 import itertools
+import time
+from collections import Counter
 
 import numpy as np
+import pyarrow as pa
+import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
@@ -236,6 +240,43 @@ def test_ari_is_symmetric_and_one_for_equals(spark):
     assert {(r.set_a, r.set_b): round(r.score, 9) for r in ways.collect()}[("b", "a")] == round(found[("a", "b")], 9)
 
 
+@pytest.mark.parametrize("held", [16_000_000, 0])
+def test_pair_counts_equal_plain_ones(spark, monkeypatch, held):
+    """Clusterings with labels of their own, rows that some lack, and labels that come only in later batches."""
+    monkeypatch.setattr(metrics, "HELD_COUNTS", held)
+    draw = np.random.default_rng(8)
+    sets = [("a", 0), ("a", 1), ("b", 0), ("c", 3)]
+    rows = [(name, rep, i, str(draw.integers(0, 3 + i // 20)) if name != "c" else f"x{i % 2}")
+            for name, rep in sets for i in range(80) if draw.random() < 0.9]
+    pairs = [(sets[0], sets[2]), (sets[0], sets[0]), (sets[1], sets[3]), (sets[2], sets[3]), (sets[1], sets[2])]
+    clusterings = spark.createDataFrame(rows, "set_name string, rep bigint, row_id bigint, cluster string")
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 9)
+    try:
+        found = metrics.pair_counts(clusterings, pairs).collect()
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+    of = {s: {i: c for name, rep, i, c in rows if (name, rep) == s} for s in sets}
+    plain = Counter((*a, *b, of[a][i], of[b][i]) for a, b in pairs for i in of[a] if i in of[b])
+    assert {tuple(r)[:6]: r.n for r in found} == plain and len(found) == len(plain)
+
+
+def test_many_clusterings_are_counted_together():
+    """193 clusterings, all pairs: one pass per clustering and batch."""
+    draw = np.random.default_rng(9)
+    rows, width = 400, 193
+    places = np.array([(i, j) for i in range(width) for j in range(i, width)])
+    at = pa.array([list(range(width))] * rows, pa.list_(pa.int32()))
+    labels = draw.integers(0, 8, (rows, width))
+    batch = pa.RecordBatch.from_arrays([at, pa.array(labels.astype(str).tolist(), pa.list_(pa.string()))], ["at", "cluster"])
+    start = time.perf_counter()
+    found = pa.Table.from_batches(list(metrics._count_pairs(places, width)(iter([batch] * 3))))
+    assert time.perf_counter() - start < 20
+    assert found["n"].to_numpy().sum() == 3 * rows * len(places)
+    one = found.filter(pa.compute.equal(found["p"], int(np.flatnonzero((places == (5, 9)).all(1))[0])))
+    plain = Counter(zip(labels[:, 5].astype(str), labels[:, 9].astype(str), strict=True))
+    assert {(r["a"], r["b"]): r["n"] for r in one.to_pylist()} == {k: 3 * n for k, n in plain.items()}
+
+
 def test_other_scores_fit_the_matrix(spark):
     both = sets(spark, a=[[0, 0, 1, 1]], b=[[0, 1, 1, 1], [0, 0, 1, 1]])
     found = {(r.set_a, r.set_b): (r.mean, r.std) for r in metrics.score_matrix(both, metrics.rand_agreement).collect()}
