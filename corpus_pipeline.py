@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from fluxloom.llm import bpe, languages, mixing, near_duplicates, pii
-from fluxloom.llm.common import single_threaded, table
+from fluxloom.llm.common import bounded_batches, single_threaded, table
 from fluxloom.session import settle, ship_package
 
 # SQL has neither random vectors, alignments, random fields nor byte pair merges.
@@ -22,11 +22,16 @@ MIN_COSINE = 0.06
 JUDGED_CHARS = 100
 
 
+def _prepare(spark: SparkSession) -> None:
+    single_threaded()
+    bounded_batches(spark)
+    ship_package(spark)
+
+
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows in one of the languages that the labelled rows teach. Texts without a letter go, and those of some length
     that are like no language."""
-    single_threaded()
-    ship_package(spark)
+    _prepare(spark)
     found = languages.identify(docs, languages.learn(docs))
     strange = (F.col("score") < MIN_COSINE) & (F.length("row.text") >= JUDGED_CHARS)
     kept = found.filter((F.col("lang_pred") != languages.UNDETERMINED) & ~strange)
@@ -35,15 +40,13 @@ def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFra
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The row with the least id of every class of near duplicates."""
-    single_threaded()
-    ship_package(spark)
+    _prepare(spark)
     return near_duplicates.representatives(docs)
 
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows, with every span of personal data replaced by its kind."""
-    single_threaded()
-    ship_package(spark)
+    _prepare(spark)
     found = pii.detect(docs)
     columns = [F.col("redacted").alias(c) if c == "text" else
                F.length("redacted").cast(found.schema["row"].dataType["n_chars"].dataType).alias(c) if c == "n_chars" else
@@ -53,15 +56,13 @@ def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) ->
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mixture takes them, shard by shard in shuffled order."""
-    single_threaded()
-    ship_package(spark)
+    _prepare(spark)
     return mixing.mix(docs).select("row.*")
 
 
 def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their ids, and the text that the ids decode to."""
-    single_threaded()
-    ship_package(spark)
+    _prepare(spark)
     vocab = bpe.public_vocabulary()
     found = bpe.decode(bpe.encode(docs, vocab), vocab)
     return found.select("row.*", F.decode("bytes", "UTF-8").alias("text"), "ids",

@@ -14,6 +14,9 @@ from pyspark.sql import functions as F
 WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
+# Bytes of an Arrow batch where whole tables pass through Python.
+BATCH_BYTES = 8 << 20
+
 # Characters of text that one numpy pass of a task works on.
 SLICE_CHARS = 1 << 20
 
@@ -34,6 +37,12 @@ def single_threaded() -> None:
         os.environ.setdefault(name, "1")
 
 
+def bounded_batches(spark: SparkSession) -> None:
+    """Let Arrow batches end at ``BATCH_BYTES``, so that a worker's memory does not follow the length of texts: 10,000 texts,
+    Spark's default, may be of any size, and a batch is held by the executor and by its Python worker at once."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
+
+
 def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
     """Cuts a batch into runs of rows whose texts hold about ``chars`` bytes (one row at least). No row is cut."""
     column_at = batch.schema.get_field_index(column)
