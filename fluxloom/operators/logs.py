@@ -16,6 +16,8 @@ LOSSES = ["loss", "reconstruction_loss", "divergence_loss", "stoicheometry_loss"
 
 # Evaluations of one run that are folded in one array; longer runs take more arrays.
 FOLD_ROWS = 4096
+# Blocks whose maps are folded in one row.
+FOLD_BLOCKS = 1_000
 
 
 def attach_run_args(log: DataFrame, args: DataFrame) -> DataFrame:
@@ -128,8 +130,8 @@ def ema_smooth(log: DataFrame, column: str, beta: float, out: str, block: int =
     """Exponential moving average along each run: y0 = x0, y = y_prev (1 - beta) + beta x.
 
     Blocks of a run are smoothed in parallel, each as if it began the run. The recurrence is linear, so
-    the true value is ``local + (1 - beta)^(i + 1) * (carry - x0)``, with the carry from the block before.
-    Carries need one small summary per block.
+    the true value is ``local + (1 - beta)^(i + 1) * (carry - x0)``, with the carry from the block before. So a block
+    maps the carry linearly, and carries come from a tree of such maps (`_carries`).
     """
     if not 0 < beta <= 1:
         raise ValueError("beta is above 0 and at most 1")
@@ -140,17 +142,6 @@ def ema_smooth(log: DataFrame, column: str, beta: float, out: str, block: int =
         return pa.array([pd.Series(x.values.to_numpy(zero_copy_only=False)).ewm(alpha=beta, adjust=False).mean()
                          .to_numpy() for x in xs], pa.list_(pa.float64()))
 
-    @F.arrow_udf("array<double>")
-    def carries(first: pa.Array, end: pa.Array, size: pa.Array) -> pa.Array:
-        out = []
-        for x0, last, n in zip(first.to_pylist(), end.to_pylist(), size.to_pylist()):
-            row, carry = [], x0[0]
-            for a, b, k in zip(x0, last, n):
-                row.append(carry)
-                carry = b + keep**k * (carry - a)
-            out.append(row)
-        return pa.array(out, pa.list_(pa.float64()))
-
     blocks = (
         log.select("run", "eval_n", F.col(column).cast("double").alias("x"))
         .groupBy("run", F.floor(F.col("eval_n") / block).alias("_block"))
@@ -159,22 +150,61 @@ def ema_smooth(log: DataFrame, column: str, beta: float, out: str, block: int =
         .withColumn("_x0", F.col("_xs.x")[0])
     )
     blocks = settle(blocks, "blocks")  # read twice
-    summary = blocks.groupBy("run").agg(
-        F.sort_array(F.collect_list(F.struct(
-            "_block", "_x0", F.element_at("_ys", -1).alias("end"), F.size("_ys").cast("bigint").alias("n")
-        ))).alias("s"))
-    carried = summary.select("run", F.explode_outer(F.arrays_zip(
-        F.col("s._block").alias("_block"),
-        carries(F.col("s._x0"), F.col("s.end"), F.col("s.n")).alias("_carry"))).alias("c")).select("run", "c.*")
+    slope, end = F.pow(F.lit(keep), F.size("_ys")), F.element_at("_ys", -1)
+    maps = blocks.select("run", F.col("_block").alias("at"), slope.alias("m"), (end - slope * F.col("_x0")).alias("c"), end.alias("e"))
+    carried = _carries(maps, FOLD_BLOCKS).select("run", F.col("at").alias("_block"), F.col("carry").alias("_carry"))
     return (
         blocks.join(carried, ["run", "_block"])
         .select("run", "_x0", "_carry", F.posexplode_outer(F.arrays_zip(F.col("_xs.eval_n").alias("eval_n"),
                                                                    F.col("_ys").alias("y"))).alias("_i", "_p"))
         .select("run", F.col("_p.eval_n").alias("eval_n"),
-                (F.col("_p.y") + F.pow(F.lit(keep), F.col("_i") + 1) * (F.col("_carry") - F.col("_x0"))).alias(out))
+                (F.col("_p.y") + F.pow(F.lit(keep), F.col("_i") + 1) * (F.coalesce("_carry", "_x0") - F.col("_x0"))).alias(out))
     )
 
 
+def _carries(maps: DataFrame, fan: int) -> DataFrame:
+    """(run, at, carry): what comes into each block of a run; null into the first.
+
+    ``maps``: (run, at, m, c, e); a block turns a carry x into m x + c, and no carry into e. ``fan`` neighbouring blocks are one map on
+    the next level, whose carries are found in the same way, so a row holds ``fan`` maps however long a run is.
+    """
+    @F.arrow_udf("struct<m:double,c:double,e:double>")
+    def compose(m: pa.Array, c: pa.Array, e: pa.Array) -> pa.Array:
+        out = []
+        for ms, cs, es in zip(m.to_pylist(), c.to_pylist(), e.to_pylist()):
+            slope, offset, value = 1.0, 0.0, es[0]
+            for at, (a, b) in enumerate(zip(ms, cs)):
+                slope, offset = slope * a, offset * a + b
+                value = value if at == 0 else a * value + b
+            out.append({"m": slope, "c": offset, "e": value})
+        return pa.array(out, pa.struct([("m", pa.float64()), ("c", pa.float64()), ("e", pa.float64())]))
+
+    @F.arrow_udf("array<double>")
+    def scan(m: pa.Array, c: pa.Array, e: pa.Array, start: pa.Array) -> pa.Array:
+        out = []
+        for ms, cs, es, carry in zip(m.to_pylist(), c.to_pylist(), e.to_pylist(), start.to_pylist()):
+            row = []
+            for a, b, alone in zip(ms, cs, es):
+                row.append(carry)
+                carry = alone if carry is None else a * carry + b
+            out.append(row)
+        return pa.array(out, pa.list_(pa.float64()))
+
+    last = maps.agg(F.max("at")).first()[0] or 0
+    groups = maps.groupBy("run", F.floor(F.col("at") / fan).alias("up")).agg(
+        F.sort_array(F.collect_list(F.struct("at", "m", "c", "e"))).alias("s"))
+    if last >= fan:
+        groups = settle(groups, "maps")
+        above = groups.select("run", F.col("up").alias("at"), compose(F.col("s.m"), F.col("s.c"), F.col("s.e")).alias("f"))
+        starts = _carries(settle(above.select("run", "at", "f.*"), "composed"), fan)
+        groups = groups.join(starts.select("run", F.col("at").alias("up"), F.col("carry").alias("start")), ["run", "up"])
+    else:
+        groups = groups.withColumn("start", F.lit(None).cast("double"))
+    found = scan(F.col("s.m"), F.col("s.c"), F.col("s.e"), F.col("start"))
+    return groups.select("run", F.explode_outer(F.arrays_zip(F.col("s.at").alias("at"), found.alias("carry"))).alias("p")).select(
+        "run", "p.*")
+
+
 def runs_side_by_side(log: DataFrame, runs: list, columns: list[str]) -> DataFrame:
     """One row per evaluation, columns ``run{i}_{c}``. The runs are named, so no extra scan finds them."""
     wide = log.groupBy("eval_n").pivot("run", runs).agg(*[F.first(c).alias(c) for c in columns])

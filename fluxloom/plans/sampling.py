@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators import logs, sampling
 from fluxloom.operators.harmonise import ROW_KEY
+from fluxloom.operators.vae.fit import CHUNK, Batches
 from fluxloom.plans import fixtures as fx
 from fluxloom.plans.joins import RUNS
 from fluxloom.plans.register import R6, query, r6
@@ -79,6 +80,35 @@ def epoch_rotation(spark, sf):
     return sampling.epoch_rotation(sampling.chunk_table(samples(spark, sf), 45), 12, seed=9)
 
 
+@query("sample_reload", f"""
+with {CHUNKS},
+kept as (select file_name, count(distinct chunk) as n_chunks from chunks group by 1),
+turns as (select file_name, e as epoch, e // n_chunks as cycle, e % n_chunks as pos from kept, generate_series(0, 2) t(e)),
+perm as (
+  select file_name, cycle, chunk,
+         row_number() over (partition by file_name, cycle
+           order by md5('9|' || file_name || '|' || cast(cycle as varchar) || '|' || cast(chunk as varchar))) - 1 as pos
+  from (select distinct t.file_name, t.cycle, c.chunk from turns t join chunks c using (file_name)) t),
+served as (select epoch, file_name, chunk from turns join perm using (file_name, cycle, pos)),
+filled as (select file_name, chunk, count(*) as n from chunks group by 1, 2),
+batches as (select cast(ceil(max(n) / 64.0) as bigint) as n_batches
+            from (select epoch, sum(n) as n from served join filled using (file_name, chunk) group by 1)),
+parts as (
+  select file_name, sample_n, chunk,
+         ((row_number() over (partition by file_name, chunk
+             order by md5('2|' || file_name || '|' || cast(sample_n as varchar))) - 1) * n_batches) // n as batch
+  from chunks join filled using (file_name, chunk), batches)
+select cast(epoch as bigint) as epoch, cast(batch as bigint) as batch, file_name, sample_n
+from served join parts using (file_name, chunk)""")
+def sample_reload(spark, sf):
+    """The rows that a fit sees in three epochs when its sample is drawn anew for each, batch by batch."""
+    keys = samples(spark, sf)
+    rows = sampling.random_chunks(keys, 45, seed=3).withColumn("v", F.array(F.lit(0.0)))
+    turns = sampling.epoch_rotation(sampling.chunk_table(keys, 45), 3, seed=9)
+    batches = Batches(rows, ROW_KEY, 64, 2, turns)
+    return batches.stored.join(batches.turns, CHUNK).select("epoch", "batch", *ROW_KEY)
+
+
 @query("sample_cap", f"""
 with {SAMPLES}
 select file_name, sample_n from samples

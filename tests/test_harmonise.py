@@ -134,6 +134,22 @@ def test_ema_is_the_same_for_any_block(spark, beta):
             assert found[(run, i)] == pytest.approx(y)
 
 
+def test_ema_carries_come_from_a_tree(spark, monkeypatch):
+    """Blocks of 3 evaluations, maps of 2 blocks in a row: many levels, and runs with gaps as long as several blocks."""
+    monkeypatch.setattr(logs, "FOLD_BLOCKS", 2)
+    spans = {0: range(50), 1: [*range(5), *range(31, 40), 70], 2: range(2)}
+    log = spark.createDataFrame([(run, n, float(n)) for run, span in spans.items() for n in span],
+                                "run bigint, eval_n bigint, loss double")
+    found = logs.ema_smooth(log, "loss", 0.3, "y", 3).orderBy("run", "eval_n").collect()
+    assert [(r.run, r.eval_n) for r in found] == [(run, n) for run, span in spans.items() for n in span]
+    for run, span in spans.items():
+        expected, at = [], None
+        for n in span:
+            at = float(n) if at is None else at * 0.7 + 0.3 * n
+            expected.append(at)
+        assert [r.y for r in found if r.run == run] == pytest.approx(expected)
+
+
 def test_running_best_is_the_same_for_any_block(spark):
     xs = {0: np.random.default_rng(1).normal(size=41)}
     found = sorted(r.eval_n for r in logs.running_best(log_of(spark, xs), "loss", block=4).collect())
