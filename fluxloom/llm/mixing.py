@@ -102,10 +102,13 @@ def assign(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "
            source: str = "source") -> DataFrame:
     """Every row as ``row``, with size, source_size, target and ``shards``: one entry for each time it is taken."""
     spark = docs.sparkSession
-    keyed = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(text).alias("text"),
-                        draw(mix.seed, F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("draw"))
-    keys = settle(keyed.groupBy("source", "draw").agg(F.sum(words(F.col("text"))).alias("size"),
-                                                      F.count(F.lit(1)).alias("rows")), "sizes")
+    rows = docs.select(F.struct("*").alias("row"), F.col(source).alias("source"), F.col(text).alias("text"),
+                       draw(mix.seed, F.coalesce(F.col(key).cast("string"), F.lit("null"))).alias("draw"),
+                       F.xxhash64(text).alias("print"))  # tells apart the texts of rows that repeat a key
+    sizes = settle(rows.groupBy("source", "draw", "print").agg(
+        F.first(words(F.col("text"))).alias("size"), F.count(F.lit(1)).alias("rows")), "sizes")
+    keyed = rows.drop("text")
+    keys = sizes.groupBy("source", "draw").agg(F.sum(F.col("size") * F.col("rows")).alias("size"))
     sources = bounded_rows(keys.groupBy("source").agg(F.sum("size").alias("source_size"), F.count(F.lit(1)).alias("n")),
                            MAX_SOURCES, "the table of sources")
     sources.sort(key=lambda r: (r["source"] is None, r["source"] or ""))
@@ -138,11 +141,12 @@ def assign(docs: DataFrame, mix: Mix = Mix(), key: str = "doc_id", text: str = "
 
     taken = units.join(taken.select(F.col("source").alias("s"), F.col("draw").alias("d"), "shards"),
                        F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d")), "left")
-    taken = taken.select(F.col("source").alias("s"), F.col("draw").alias("d"), "rows", F.col("size").alias("all"),
-                         "source_size", "target", "shards")
-    return (keyed.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d")))
-            .select("row", F.when(F.col("rows") == 1, F.col("all")).otherwise(words(F.col("text"))).alias("size"),
-                    "source_size", "target", "draw", F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards")))
+    taken = taken.select(F.col("source").alias("s"), F.col("draw").alias("d"), "source_size", "target", "shards")
+    facts = sizes.join(taken, F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d"))).select(
+        "s", "d", F.col("print").alias("p"), "size", "source_size", "target", "shards")
+    return (keyed.join(facts, F.col("source").eqNullSafe(F.col("s")) & (F.col("draw") == F.col("d")) & (F.col("print") == F.col("p")))
+            .select("row", "size", "source_size", "target", "draw",
+                    F.coalesce("shards", F.array().cast("array<bigint>")).alias("shards")))
 
 
 def _running(units: DataFrame, of: str, name: str) -> DataFrame:
