@@ -9,7 +9,8 @@ word. A word is the first 56 bits of its hash.
    how many words follow it once, twice, more often. These arrays are the model's files. Second words are handed on by
    ranges of their hash, with the number of different words before them, and merged the same way.
 3. Discounts follow from the counts of counts, which are the only numbers that reach the driver.
-4. Workers map the files of all ranges (`shelf`) and look up the sorted hashes of a slice of texts in them.
+4. Workers look up the sorted hashes of a slice of texts range by range. Files are mapped when a slice needs them, and
+   a bounded number stays open (`shelf.Shelf`), however many ranges there are.
 
 p(w | v) = max(c(vw) - D(c), 0) / c(v) + back(v) p(w); p(w) is the same formula over the number of different words before
 w, with the uniform 1 / (V + 1) below it. The unknown word has the uniform's share. A word v that never stood before
@@ -51,8 +52,9 @@ HELD_TOKENS = 3_000_000
 _word = re.compile(WORD)
 _lower = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
-PAIR_KINDS = [np.uint64, np.uint32, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32]
-WORD_KINDS = [np.uint64, np.uint64, np.uint32]
+# Arrays of a range's files, as `train` writes them.
+KINDS = {"pairs": [np.uint64, np.uint32, np.uint64, np.uint64, np.uint32, np.uint32, np.uint32],
+         "words": [np.uint64, np.uint64, np.uint32]}
 
 
 def tokens(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
@@ -256,29 +258,29 @@ class Reader:
 
     def __init__(self, model: Model):
         self.model = model
-        self.pairs = [shelf.mapped(f"{model.path}/pairs-{i}", PAIR_KINDS) for i in range(model.ranges)]
-        self.words = [shelf.mapped(f"{model.path}/words-{i}", WORD_KINDS) for i in range(model.ranges)]
+        self.files = shelf.Shelf()
 
-    def _find(self, files: list, at_key: int, columns: list[int], of: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
-        """Columns at sorted-by-range keys; zero where a key is not held."""
+    def _find(self, name: str, at_key: int, columns: list[int], of: np.ndarray, keys: np.ndarray) -> list[np.ndarray]:
+        """Columns of the files ``name`` at keys of the ranges ``of``; zero where a key is not held."""
         out = [np.zeros(len(keys), np.float64) for _ in columns]
         order = np.lexsort((keys, of))
-        cuts = np.searchsorted(of[order], np.arange(self.model.ranges + 1))
-        for i in np.flatnonzero(np.diff(cuts)):
-            rows, held = order[cuts[i] : cuts[i + 1]], files[i][at_key]
+        ranges, cuts = np.unique(of[order], return_index=True)
+        for i, rows in zip(ranges, np.split(order, cuts[1:]), strict=False):
+            arrays = self.files.get(f"{self.model.path}/{name}-{i}", KINDS[name])
+            held = arrays[at_key]
             if not len(held):
                 continue
             place = np.minimum(np.searchsorted(held, keys[rows]), len(held) - 1)
             hit = held[place] == keys[rows]
             for values, column in zip(out, columns, strict=True):
-                values[rows[hit]] = files[i][column][place[hit]]
+                values[rows[hit]] = arrays[column][place[hit]]
         return out
 
     def score(self, found: np.ndarray, before: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """Base log10 probability, the model's, and whether the token is known, of every token."""
         m = self.model
         word, back = np.unique(found, return_inverse=True)
-        count, kinds = self._find(self.words, 0, [1, 2], _range(word, m.ranges).astype(np.int64), word)
+        count, kinds = self._find("words", 0, [1, 2], _range(word, m.ranges).astype(np.int64), word)
         base = np.log10((count + 1) / (m.n_tokens + m.n_words + 1))
         d = np.array(m.word_discounts)
         left = (d[1:] * m.word_levels).sum() / m.n_pairs if m.n_pairs else 1.0
@@ -287,11 +289,11 @@ class Reader:
             single = single + np.maximum(kinds - d[np.minimum(kinds, 3).astype(np.int64)], 0) / m.n_pairs
         single = np.broadcast_to(single, len(word))
         head, at_head = np.unique(before, return_inverse=True)
-        total, n1, n2, n3 = self._find(self.pairs, 2, [3, 4, 5, 6], _range(head, m.ranges).astype(np.int64), head)
+        total, n1, n2, n3 = self._find("pairs", 2, [3, 4, 5, 6], _range(head, m.ranges).astype(np.int64), head)
         d = np.array(m.pair_discounts)
         rest = np.where(total > 0, (d[1] * n1 + d[2] * n2 + d[3] * n3) / np.maximum(total, 1), 1.0)
         key, first, at_key = np.unique(pair_key(before, found), return_index=True, return_inverse=True)
-        (c,) = self._find(self.pairs, 0, [1], _range(before[first], m.ranges).astype(np.int64), key)
+        (c,) = self._find("pairs", 0, [1], _range(before[first], m.ranges).astype(np.int64), key)
         own = np.maximum(c - d[np.minimum(c, 3).astype(np.int64)], 0)[at_key] / np.maximum(total, 1)[at_head]
         return base[back], np.log10(own + rest[at_head] * single[back]), (count > 0)[back]
 

@@ -7,12 +7,16 @@ import os
 import shutil
 import tempfile
 import uuid
+from collections import OrderedDict
 
 import numpy as np
 from pyarrow import fs
 
 _ALIGN = 64
 
+# Files that a worker keeps open at once: systems allow 256 to 1,024 a process.
+OPEN_FILES = 128
+
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
     """The file system of a path or URI, as Spark writes them, and the path in it."""
@@ -42,22 +46,42 @@ _local: dict[str, str] = {}
 
 
 def mapped(path: str, kinds: list) -> list[np.ndarray]:
-    """The arrays of a file, mapped. A file on a store that cannot be mapped is copied once per worker, and removed
-    when the worker ends. A file that no task wrote holds nothing."""
+    """The arrays of a file, cut out of one map of it, which ends with the last of them. A file on a store that cannot be
+    mapped is copied once per worker, and removed when the worker ends. A file that no task wrote holds nothing."""
     system, place = _open(path)
-    if system.get_file_info(place).type == fs.FileType.NotFound:
-        return [np.zeros(0, kind) for kind in kinds]
     if not isinstance(system, fs.LocalFileSystem):
         if path not in _local:
+            if system.get_file_info(place).type == fs.FileType.NotFound:
+                return [np.zeros(0, kind) for kind in kinds]
             folder = tempfile.mkdtemp(prefix="shelf-")
             atexit.register(shutil.rmtree, folder, True)
             _local[path] = os.path.join(folder, "arrays")
             fs.copy_files(place, _local[path], source_filesystem=system, destination_filesystem=fs.LocalFileSystem())
         place = _local[path]
-    header = np.fromfile(place, np.int64, len(kinds))
+    try:
+        whole = np.asarray(np.memmap(place, np.uint8, "r"))
+    except FileNotFoundError:
+        return [np.zeros(0, kind) for kind in kinds]
     arrays, at = [], _ALIGN
-    for kind, n in zip(kinds, header, strict=True):
-        arrays.append(np.memmap(place, kind, "r", at, (int(n),)) if n else np.zeros(0, kind))
+    for kind, n in zip(kinds, whole[:_ALIGN].view(np.int64), strict=False):
         size = int(n) * np.dtype(kind).itemsize
+        arrays.append(whole[at : at + size].view(kind))
         at += size + -size % _ALIGN
     return arrays
+
+
+class Shelf:
+    """Files opened when they are asked for, of which the ``limit`` used last stay open."""
+
+    def __init__(self, limit: int = OPEN_FILES):
+        self.limit = limit
+        self._held: OrderedDict[str, list[np.ndarray]] = OrderedDict()
+
+    def get(self, path: str, kinds: list) -> list[np.ndarray]:
+        if path in self._held:
+            self._held.move_to_end(path)
+        else:
+            while len(self._held) >= self.limit:
+                self._held.popitem(last=False)
+            self._held[path] = mapped(path, kinds)
+        return self._held[path]
