@@ -35,19 +35,18 @@ from fluxloom.llm.common import slices, texts_of
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 RAW = "script style template noscript iframe textarea title"  # these run to the end of the page if they are not closed
 CLOSED = "object svg math select canvas audio video"
+CLOSED_NAMES = frozenset(CLOSED.split())
 BLOCKS = frozenset("""address article aside blockquote body br button caption center dd details dialog dir div dl dt
     fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hgroup hr html legend li main menu nav ol
     optgroup option p pre section summary table tbody td tfoot th thead title tr ul""".split())
 # Opening one of these ends an open paragraph.
 ENDS_P = BLOCKS - {"br", "button", "body", "html", "head", "option", "optgroup", "td", "th", "tr", "tbody", "title", "caption"}
 
-_token = re.compile(
-    r"<!--.*?(?:-->|\Z)"
-    rf"|<(?P<raw>{RAW.replace(' ', '|')})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>(?:.*?</(?P=raw)\s*+>|.*\Z)"
-    rf"|<(?P<closed>{CLOSED.replace(' ', '|')})(?=[\s/>])(?:[^>\"']|\"[^\"]*\"|'[^']*')*+(?<!/)>.*?</(?P=closed)\s*+>"
-    r"|<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>"
-    r"|<[/!?a-zA-Z][^>]*+(?:>|\Z)"
-    r"|[^<]++|<", re.DOTALL | re.IGNORECASE)
+_tag = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>(?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
+# A tag whose quotes do not end is read up to the next end of a tag.
+_broken_tag = re.compile(r"<(?P<close>/?)(?P<name>[a-zA-Z][^\s/>]*+)(?P<attributes>[^>]*+)>")
+_other = re.compile(r"<!--.*?(?:-->|\Z)|<[/!?a-zA-Z][^>]*+(?:>|\Z)|[^<]++|<", re.DOTALL)
+_ends = {name: re.compile(rf"</{name}\s*+>", re.IGNORECASE) for name in f"{RAW} {CLOSED}".split()}
 _attribute = re.compile(r"\b(?:class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.IGNORECASE)
 _name_part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 
@@ -55,6 +54,11 @@ _name_part = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|[0-9]+")
 PARTS = frozenset("""address article aside button center details dialog div fieldset figure footer form header label
     legend main menu nav section""".split())
 
+# Inside content these need no more than one word of a class to be something else, and words that name adverts are
+# enough on any element. Headings, paragraphs, cells and inline elements need two words.
+LISTS = frozenset("dl ol table ul".split())
+ADVERTS = frozenset(".ad .ads .adsense .advert .advertisement .advertising .sponsor .sponsored".split())
+
 # An element is decisive for the words in it if its log-odds reach this.
 DECISIVE = 0.7
 # Log-odds of a feature count this much at most, so that one word of a class can outweigh another.
@@ -90,6 +94,42 @@ class Run:
     marked: bool
 
 
+def pieces(page: str) -> Iterator[re.Match | str | None]:
+    """Tags, texts, and None for all that is neither, in order. Every character is read a bounded number of times: the end
+    of an element is searched again only after it was found, and so are the ends of quotes."""
+    at, unclosed, quotes = 0, set(), True
+    while at < len(page):
+        found = None
+        if page[at] == "<" and page[at + 1 : at + 2] not in ("!", "?"):
+            found = _tag.match(page, at) if quotes else _broken_tag.match(page, at)
+            if found is None and quotes:
+                found = _broken_tag.match(page, at)
+                quotes = found is None
+        if found is None:
+            found = _other.match(page, at)
+            text = found[0]
+            yield None if text[0] == "<" and len(text) > 1 else text
+            at = found.end()
+            continue
+        at, name = found.end(), found["name"].lower()
+        if name in _ends and not found["close"] and not found["attributes"].endswith("/") and name not in unclosed:
+            end = _ends[name].search(page, at)
+            if end or name not in CLOSED_NAMES:
+                at = end.end() if end else len(page)
+                yield None
+                continue
+            unclosed.add(name)
+        yield found
+
+
+def _set_apart(name: str, own: list[str], features: dict[str, float]) -> bool:
+    """Whether an element inside content is a part of its own, given that its features are against it."""
+    if name in PARTS or not ADVERTS.isdisjoint(own):
+        return True
+    words = sum(features.get(feature, 0.0) for feature in own[1:])
+    return words <= -DECISIVE if name in LISTS else words <= -1.5 * LIMIT
+
+
 def tokens(page: str, features: dict[str, float], seen: Counter | None = None) -> list[Run | None]:
     """Runs of text and tags (None) in order. ``seen`` counts words by element feature and mark, for learning."""
     out: list[Run | None] = []
@@ -104,27 +144,26 @@ def tokens(page: str, features: dict[str, float], seen: Counter | None = None) -
             if last[0] == name:
                 return
 
-    for m in _token.finditer(page):
-        name = m["name"]
-        if name is None:
-            if m["raw"] or m["closed"] or m[0][:1] == "<" and len(m[0]) > 1:
-                out.append(None)
-                continue
-            text = html.unescape(m[0])
+    for piece in pieces(page):
+        if piece is None:
+            out.append(None)
+            continue
+        if isinstance(piece, str):
+            text = html.unescape(piece)
             words = len(text.split())
             _, container, sign, _, ancestors = stack[-1]
-            marked = "mark" in open_names and open_names["mark"] > 0
+            marked = open_names["mark"] > 0
             out.append(Run(text, words, container, sign, block, marked))
             if seen is not None and words:
                 for feature in set(ancestors):
                     seen[feature, marked] += words
                 seen["", marked] += words
             continue
-        name = name.lower()
+        name, attributes = piece["name"].lower(), piece["attributes"]
         if name != "mark":
             out.append(None)
         block += name in BLOCKS
-        if m["close"]:
+        if piece["close"]:
             if open_names[name]:
                 pop(name)
             continue
@@ -132,17 +171,16 @@ def tokens(page: str, features: dict[str, float], seen: Counter | None = None) -
             pop("p")
         if name == "li" and open_names["li"] and stack[-1][0] == "li":
             pop("li")
-        if name in VOID or m["attributes"].endswith("/"):
+        if name in VOID or attributes.endswith("/"):
             continue
         _, container, sign, inside, ancestors = stack[-1]
-        own = _features(name, m["attributes"], inside)
+        own = _features(name, attributes, inside)
         score = sum(features.get(feature, 0.0) for feature in own) if name in PARTS or len(own) > 1 else 0.0
         # Content within content is the same container; only an article comes back inside of other things.
         if score >= DECISIVE and (sign == 0 or sign < 0 and name in ("article", "main")):
             number += 1
             container, sign = number, 1
-        # Inside of content, a word of a class alone does not turn a heading or a paragraph into something else.
-        elif score <= -DECISIVE and (sign == 0 and name not in ("html", "body") or sign > 0 and name in PARTS):
+        elif score <= -DECISIVE and (sign == 0 and name not in ("html", "body") or sign > 0 and _set_apart(name, own, features)):
             number += 1
             container, sign = number, -1
         open_names[name] += 1
@@ -208,6 +246,8 @@ LAYOUTS = (
     '<div role="banner">#</div><div role="contentinfo" class="copyright legal">#</div><div role="navigation">#</div>'
     '<div class="search login tags pagination ads sponsor adsense advertisement notification warning disclaimer">#</div>'
     '<div class="side rail links menu footer header masthead skip">#</div></body>',
+    '<body><div class="hdr site-header topbar">#</div><article><h1>@</h1><p>@</p><p>@</p></article><div id="disqus_thread">#</div>'
+    '<div id="gdpr" class="privacy cookies overlay">#</div><div class="ftr site-footer bottom">#</div></body>',
     '<body><article class="post"><h1>@</h1><div class="byline meta">#</div><div class="body"><p>@</p><section><h2>@</h2>'
     '<p>@</p></section><section><div>@</div></section></div><footer>#</footer></article></body>',
 )

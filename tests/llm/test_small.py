@@ -3,11 +3,13 @@
 import itertools
 import math
 import random
+import resource
+import time
 
 import numpy as np
 import pytest
 
-from fluxloom.llm import bpe, languages, main_text, mixing, order_minhash, pii, quality
+from fluxloom.llm import bpe, languages, main_text, mixing, order_minhash, pii, quality, shelf
 
 
 def longest_common(a, b):
@@ -161,6 +163,33 @@ def test_main_text_goes_on_after_media_and_marked_headings():
         assert main_text.content(page, weights) == "one two three four five six"
 
 
+def test_main_text_leaves_out_parts_inside_an_article():
+    weights = main_text.learn()
+    for part in ('<ul class="share social"><li>x</li></ul>', '<p class="advert sponsored">x</p>', '<span class="ad">x</span>',
+                 '<table class="navigation menu"><tr><td>x</td></tr></table>', '<ol class="comments"><li>x</li></ol>',
+                 '<p class="ad">x y</p>', '<aside>x</aside>', '<div class="cookie notice">x</div>', "<form><label>x</label></form>",
+                 '<ul id="comments"><li><p>x</p><p>y</p></li></ul>'):
+        page = f"<body><nav><a>n</a></nav><article><h1>t</h1><p>one two three</p>{part}<p>four five six</p></article></body>"
+        assert main_text.content(page, weights) == "t one two three four five six", part
+    for part in ('<h2 class="header">x</h2>', '<p class="text">x</p>', "<ul><li>x</li></ul>", '<span class="name">x</span>',
+                 '<table class="data"><tr><th class="header">x</th></tr></table>', "<b>x</b>"):
+        page = f"<body><nav><a>n</a></nav><article><h1>t</h1><p>one two three</p>{part}<p>four five six</p></article></body>"
+        assert main_text.content(page, weights) == "t one two three x four five six", part
+    for part in ('<div id="disqus_thread">x y</div>', '<div id="gdpr">x y</div>', '<div class="hdr">x y</div>', '<div class="ftr">x y</div>'):
+        assert main_text.content(f"<body><article><p>one two three</p></article>{part}</body>", weights) == "one two three", part
+
+
+def test_pages_without_ends_are_read_in_linear_time():
+    weights = main_text.learn()
+    for part in ("<video>", "<object><svg>", "<a \"'>", "<a '\">x", "<!--", "<script>", "</video ", "<p class='x", "<<", "<div>"):
+        start = time.process_time()
+        main_text.content("<article><p>one two</p>" + part * 40_000, weights)
+        assert time.process_time() - start < 4, part
+    page = "<article><p>one two</p><p title='a>b'>three</p>" + "<video>" * 40_000 + "four</article>"
+    assert main_text.content(page, weights) == "one two three four"
+    assert main_text.content("<article><p>one</p><p title=\"a>two</p><p class='x'>three</p></article>", weights) == "one two three"
+
+
 def test_main_text_is_the_best_run():
     """Without containers the region is the best-scoring run, as a search over all runs finds it."""
     weights = main_text.Weights({}, -2.0, {-1: -1.0, 0: 1.0, 1: 1.0})
@@ -235,3 +264,20 @@ def test_pretokens_cover_every_text():
         assert b"".join(vocab.tokens[ids].tolist()).decode() == text
 
 
+
+
+def test_readers_keep_few_files_open(tmp_path):
+    """Two thousand files of arrays under a limit of 256 open files, read in any order, missing ones as empty."""
+    kinds = [np.uint64, np.uint32]
+    for i in range(2000):
+        shelf.write(f"{tmp_path}/words-{i}", [np.arange(i % 5, dtype=np.uint64) + np.uint64(i), np.arange(3, dtype=np.uint32)])
+    limits = resource.getrlimit(resource.RLIMIT_NOFILE)
+    resource.setrlimit(resource.RLIMIT_NOFILE, (256, limits[1]))
+    try:
+        held = shelf.Shelf()
+        for i in [*range(2000), *range(1999, 0, -7), 3]:
+            keys, values = held.get(f"{tmp_path}/words-{i}", kinds)
+            assert keys.tolist() == [i + k for k in range(i % 5)] and values.tolist() == [0, 1, 2]
+        assert [len(a) for a in held.get(f"{tmp_path}/words-2000", kinds)] == [0, 0]
+    finally:
+        resource.setrlimit(resource.RLIMIT_NOFILE, limits)
