@@ -36,30 +36,29 @@ def query(name: str, sql: str | None = None):
 
 
 def _rules_sql() -> str:
-    """The chosen cutoff of every rule as a column, null where none is safe, and the verdict."""
+    """The step of the path that each family takes, null where none is safe, and the verdict."""
     risk = risk_rules.Risk()
-    each, tests = risk.total_risk / len(risk.rules), len(risk.rules)
-    fails, picks, verdicts = [], [], []
-    for r, rule in enumerate(risk.rules):
-        ratio = f"(case when {rule.bottom} > 0 then {rule.top}::double / {rule.bottom} else 0 end)"
-        sign = ">" if rule.sign > 0 else "<"
-        for c, cutoff in enumerate(rule.grid):
-            fails.append(f"count(*) filter (where {ratio} {sign} {cutoff}) as k{r}_{c}")
-        tail = "list_sum(list_transform(range(0, k{0} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) " \
-            f"- lgamma(n - i + 1) + i * ln({each}) + (n - i) * ln(1 - {each}))))"
-        picks.append("coalesce(" + ", ".join(
-            f"case when {tail.format(f'{r}_{c}')} <= {risk.delta} / (strata * {tests}) then {cutoff} end"
-            for c, cutoff in enumerate(rule.grid)) + f")::double as cutoff{r}")
-        verdicts.append(f"coalesce({ratio} {sign} cutoff{r}, false)")
+    p, path = risk.total_risk, risk_rules.settings(risk.rules)
+    ratios = [f"(case when {r.bottom} > 0 then {r.top}::double / {r.bottom} else 0 end) {'>' if r.sign > 0 else '<'}" for r in risk.rules]
+    steps = [" or ".join(f"{ratio} {cutoff}" for ratio, cutoff in zip(ratios, step, strict=True)) for step in path]
+    fails = ", ".join(f"count(*) filter (where {step}) as k{i}" for i, step in enumerate(steps))
+    sums = ", ".join(f"sum(k{i})::bigint as k{i}" for i in range(len(path)))
+    tail = "list_sum(list_transform(range(0, k{0} + 1), lambda i: exp(lgamma(n + 1) - lgamma(i + 1) " \
+        f"- lgamma(n - i + 1) + i * ln({p}) + (n - i) * ln(1 - {p}))))"
+    safe = " ".join(f"when {tail.format(i)} <= {risk.delta} / families then {i}" for i in range(len(path)))
+    verdict = " ".join(f"when {i} then {step}" for i, step in enumerate(steps))
     return f"""
 judged as (
-    select lang, count(*) as n, {', '.join(fails)} from facts join labels using (doc_id)
+    select lang, count(*) as n, {fails} from facts join labels using (doc_id)
     where quality = 1 and not base_failed group by lang),
+sized as (select *, n < ceil(ln({risk.delta} / (count(*) over () + 1)) / ln(1 - {p})) as pooled from judged),
+families as (
+    select pooled, case when not pooled then lang end as lang, sum(n)::bigint as n, {sums} from sized group by 1, 2),
 chosen as (
-    select lang, {', '.join(picks)} from (select *, count(*) over () as strata from judged))
+    select pooled, lang, case {safe} end as step from (select *, count(*) over () as families from families))
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed,
-    not (base_failed or {' or '.join(verdicts)}) as kept
-from facts f left join chosen c on c.lang is not distinct from f.lang
+    not (base_failed or coalesce(case case when c.pooled is null then p.step else c.step end {verdict} end, false)) as kept
+from facts f left join chosen c on not c.pooled and c.lang is not distinct from f.lang left join chosen p on p.pooled
 """
 
 

@@ -1,20 +1,24 @@
 """Quality rules with controlled risk, in DataFrame operations only.
 
 Base facts of a text come from its words (`common.WORD`) and lines. A rule is a ratio of such facts with an upper or
-lower cutoff. Cutoffs are not guessed: in every stratum (the language), the labelled good documents judge every
-candidate of a fixed grid. A candidate that k of n good documents fail is safe if
+lower cutoff. Cutoffs are not guessed: a fixed path of settings, each a cutoff for every rule, goes from loose to strict,
+and in every stratum (the language) the labelled good documents judge the settings. A setting that k of n good documents
+fail is safe if
 
-    P(Binomial(n, risk) <= k) <= delta / tests,
+    P(Binomial(n, risk) <= k) <= delta / families,
 
-the exact (Clopper-Pearson) test of "it falsely rejects more than ``risk`` of the good documents". Candidates of one
-rule in one stratum are tested from the loosest to the strictest until the first fails (k never falls, so the safe
-ones come first): such a fixed sequence needs no correction. ``tests`` is the number of rules times strata
-(Bonferroni), so with probability 1 - delta all chosen cutoffs keep the promise at once. ``risk`` is ``total_risk`` divided by the number of rules, so a stratum loses at most ``total_risk`` of
-its good documents to all rules. Of a rule's safe candidates the strictest is used. A stratum with too few labels has
-no safe candidate; its documents are judged by the base rules alone. Documents without a stratum form one of their own.
+the exact (Clopper-Pearson) test of "it falsely rejects more than ``risk`` of the good documents", by all rules together.
+No rule gets looser along the path, so k never falls and the safe settings come first: such a fixed sequence needs no
+correction. The strictest safe one is used.
 
-Facts are counted in one pass over the texts and written (a few numbers per row). The labelled rows are joined once; counts per stratum and candidate are aggregated before they are shuffled, and only
-(stratum, rule, cutoff) rows come back. Repeated words and lines are found inside a row, by sorting the row's own
+A stratum with so few good labels that no setting could pass, even if none failed, has no test of its own. All such
+strata are pooled into one family, and so are strata without labels: their setting is the strictest one that is safe for
+their good documents together. Which strata are pooled depends on the numbers of labels only, not on what the rules find.
+``families`` is the number of strata with a test of their own, and one for the pool (Bonferroni), so with probability
+1 - delta all chosen settings keep the promise at once. Where no setting is safe, the base rules judge alone.
+
+Facts are counted in one pass over the texts and written (a few numbers per row). The labelled rows are joined once; counts per stratum and setting are aggregated before they are shuffled, and
+only one row per family comes back. Repeated words and lines are found inside a row, by sorting the row's own
 hashes: no word is shuffled.
 
 A null or empty text has no words: all counts are 0 and it fails the base rules. Ratios of texts without words are
@@ -24,7 +28,9 @@ it is joined. Empty labels: only base rules. Columns of the input cannot clash,
 
 from __future__ import annotations
 
+import math
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -39,7 +45,8 @@ SYMBOLS = "#*$%&|<>"
 
 @dataclass(frozen=True)
 class Rule:
-    """Rejects where ratio * sign > cutoff * sign; candidates are the grid, strictest first."""
+    """Rejects where ratio * sign > cutoff * sign; the grid holds the cutoffs of the path's settings, strictest first. A
+    rule with a shorter grid keeps its loosest cutoff in the settings beyond."""
 
     name: str
     top: str
@@ -48,7 +55,7 @@ class Rule:
     grid: tuple[float, ...]
 
 
-# Candidate cutoffs, strictest first. They are a family fixed before any label is seen, as the correction demands.
+# The path of settings, strictest first. It is fixed before any label is seen, as the test demands.
 RULES = (
     Rule("symbols", "n_symbols", "word_chars", 1, (0.02, 0.04, 0.06, 0.08, 0.1, 0.15, 0.2)),
     Rule("shouting", "n_marks", "n_words", 1, (0.1, 0.2, 0.3, 0.4, 0.5, 0.75)),
@@ -139,34 +146,52 @@ def _tail(n: Column, k: Column, risk: float) -> Column:
                        start, add, lambda state: state["sum"])
 
 
+def settings(rules: tuple[Rule, ...]) -> list[list[float]]:
+    """The cutoffs of all rules at every step of the path, strictest first."""
+    return [[rule.grid[min(step, len(rule.grid) - 1)] for rule in rules] for step in range(max(len(rule.grid) for rule in rules))]
+
+
+def enough(risk: Risk, families: int) -> int:
+    """The least number of good labels that can pass a test, if no document fails."""
+    return math.ceil(math.log(risk.delta / families) / math.log(1 - risk.total_risk))
+
+
+def breaks(rule: Rule, cutoff: float | Column) -> Column:
+    return ratio(rule) * rule.sign > F.lit(cutoff) * rule.sign
+
+
 def cutoffs(counted: DataFrame, labels: DataFrame, risk: Risk = Risk(), key: str = "doc_id",
             label: str = "quality") -> DataFrame:
-    """The strictest safe cutoff of every rule in every stratum: stratum, and an array ``cutoffs`` in order of rules."""
+    """The setting of every family, as an array ``cutoffs`` in order of rules (nulls: none is safe): one row per ``stratum``
+    with a test of its own, and a row with ``pooled`` true for all others together, if any of them has labels."""
     good = labels.filter(F.col(label) == 1).select(F.col(key).alias("labelled"))
     held = counted.join(good, F.col("key") == F.col("labelled")).filter(~base_failed())
-    candidates = [(rule, cutoff) for rule in risk.rules for cutoff in rule.grid]
-    failing = [F.sum((ratio(rule) * rule.sign > cutoff * rule.sign).cast("bigint")).alias(f"k{i}")
-               for i, (rule, cutoff) in enumerate(candidates)]
-    judged = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *failing)
-    judged = settle(judged, "strata")
-    each = risk.total_risk / len(risk.rules)
-    level = risk.delta / max(1, judged.count() * len(risk.rules))
-    chosen = []
-    for rule in risk.rules:
-        tests = [F.when(_tail(F.col("n"), F.col(f"k{i}"), each) <= level, F.lit(cutoff))
-                 for i, (owner, cutoff) in enumerate(candidates) if owner is rule]
-        chosen.append(F.coalesce(*tests))
-    return judged.select("stratum", F.array(*chosen).alias("cutoffs"))
+    path = settings(risk.rules)
+    failing = [F.sum(reduce(Column.__or__, map(breaks, risk.rules, step)).cast("bigint")).alias(f"k{i}")
+               for i, step in enumerate(path)]
+    judged = settle(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n"), *failing), "strata")
+    own = F.col("n") >= enough(risk, judged.count() + 1)
+    families = judged.groupBy(F.when(own, F.col("stratum")).alias("stratum"), (~own).alias("pooled")).agg(
+        *[F.sum(c).alias(c) for c in ("n", *(f"k{i}" for i in range(len(path))))])
+    families = settle(families, "families")
+    level = risk.delta / max(1, families.count())
+    safe = [F.when(_tail(F.col("n"), F.col(f"k{i}"), risk.total_risk) <= level, F.array(*map(F.lit, step)))
+            for i, step in enumerate(path)]
+    none = F.array(*[F.lit(None).cast("double") for _ in risk.rules])
+    return families.select("stratum", "pooled", "n", F.coalesce(*safe, none).alias("cutoffs"))
 
 
 def judge(docs: DataFrame, labels: DataFrame, risk: Risk = Risk(), key: str = "doc_id", text: str = "text",
           stratum: str = "lang", label: str = "quality") -> DataFrame:
-    """Facts of every document, whether the base rules or a safe cutoff reject it, and the rules that do."""
+    """Facts of every document, whether the base rules or its family's setting reject it, and the rules that do."""
     counted = settle(facts(docs, key, text, stratum), "facts")
-    chosen = cutoffs(counted, labels, risk, key, label).select(F.col("stratum").alias("of"), "cutoffs")
-    judged = counted.join(chosen, F.col("stratum").eqNullSafe(F.col("of")), "left")
+    chosen = settle(cutoffs(counted, labels, risk, key, label), "settings")
+    pool = chosen.filter("pooled").first()  # one row at most
+    others = F.array(*[F.lit(c).cast("double") for c in (pool["cutoffs"] if pool else [None] * len(risk.rules))])
+    own = chosen.filter("not pooled").select(F.col("stratum").alias("of"), "cutoffs")
+    judged = counted.join(own, F.col("stratum").eqNullSafe(F.col("of")), "left").withColumn(
+        "cutoffs", F.coalesce("cutoffs", others))
     broken = F.array_compact(F.array(*[
-        F.when(ratio(rule) * rule.sign > F.col("cutoffs")[i] * rule.sign, F.lit(rule.name))
-        for i, rule in enumerate(risk.rules)]))
+        F.when(breaks(rule, F.col("cutoffs")[i]), F.lit(rule.name)) for i, rule in enumerate(risk.rules)]))
     return (judged.withColumn("base_failed", base_failed()).withColumn("rules", broken)
             .withColumn("kept", ~F.col("base_failed") & (F.size("rules") == 0)).drop("of", "cutoffs"))

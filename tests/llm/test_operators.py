@@ -94,6 +94,56 @@ def test_cutoffs_are_exact_binomial_bounds(spark):
     assert few == [None]
 
 
+def test_settings_keep_their_promise_in_every_family(spark):
+    """Two rules, eight strata with a test of their own and six pooled ones: chosen are the strictest settings whose exact
+    tail is small enough, and their true rates of false rejection, known from the draws, stay below the risk."""
+    risk = risk_rules.Risk(total_risk=0.05, delta=0.05, rules=(
+        risk_rules.Rule("symbols", "n_symbols", "word_chars", 1, (0.02, 0.04, 0.06, 0.08, 0.1)),
+        risk_rules.Rule("shouting", "n_marks", "n_words", 1, (0.1, 0.2, 0.4))))
+    draw, rows, top = np.random.default_rng(7), [], {}
+    for at, n in enumerate([900, 700, 500, 400, 300, 250, 200, 150, 30, 25, 20, 15, 10, 5]):
+        name = f"s{at}"
+        top[name] = 0.04 + 0.008 * at  # ratios are even between 0 and this, and in a hundredth of all documents high
+        low = draw.uniform(0, top[name], n)
+        marks = np.where(draw.uniform(size=n) < 0.01, 0.5, 0.05)
+        rows += [(len(rows) + i, name, 1000, 1_000_000, int(s * 1_000_000), 0, int(m * 1000), 0, 1)
+                 for i, (s, m) in enumerate(zip(low, marks, strict=True))]
+    counted = spark.createDataFrame(rows, "key long, stratum string, n_words long, word_chars long, n_symbols long, "
+                                          "n_repeat_words long, n_marks long, n_dup_lines long, n_lines long")
+    labels = spark.createDataFrame([(i, 1) for i in range(len(rows))], "doc_id long, quality int")
+    found = risk_rules.cutoffs(counted, labels, risk).collect()
+    assert sorted(row["stratum"] for row in found if not row["pooled"]) == sorted(f"s{i}" for i in range(8))
+    assert [row["n"] for row in found if row["pooled"]] == [105]
+    path = risk_rules.settings(risk.rules)
+    assert path[2:] == [[0.06, 0.4], [0.08, 0.4], [0.1, 0.4]]
+    for row in found:
+        own = [r for r in rows if (r[1] in {f"s{i}" for i in range(8, 14)} if row["pooled"] else r[1] == row["stratum"])]
+        n, best = len(own), None
+        for symbols, marks in reversed(path):
+            k = sum(r[4] / r[3] > symbols or r[6] / r[2] > marks for r in own)
+            if sum(math.comb(n, i) * 0.05**i * 0.95 ** (n - i) for i in range(k + 1)) > 0.05 / 9:
+                break
+            best = [symbols, marks]
+        assert row["cutoffs"] == (best or [None, None])
+        if best and not row["pooled"]:
+            assert 1 - min(1, best[0] / top[row["stratum"]]) * (1 if best[1] < 0.05 else 0.99) <= 0.05
+    assert sum(row["cutoffs"][0] is not None for row in found) >= 4
+
+
+def test_small_strata_take_the_setting_of_their_pool(spark):
+    """A stratum with few labels and one without any are judged by the pool; one with enough by its own."""
+    risk = risk_rules.Risk(total_risk=0.05, rules=(risk_rules.Rule("symbols", "n_symbols", "word_chars", 1, (0.0001, 0.1)),))
+    words = " ".join(f"word{i}" for i in range(60))
+    rows = [(i, f"{words} {'#' if i < 200 else ''}", "big") for i in range(400)]
+    rows += [(i, words, f"small{i % 3}") for i in range(400, 700)]
+    rows += [(700, f"{words} #", "big"), (701, f"{words} #", "small1"), (702, f"{words} #", "unlabelled"), (703, f"{words} #", None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1) for i in range(700) if i < 400 or i % 5 < 2], "doc_id long, quality int")
+    kept = by(risk_rules.judge(docs, labels, risk).filter("key >= 699").collect(), "key")
+    assert [kept[i]["kept"] for i in (699, 700, 701, 702, 703)] == [True, True, False, False, False]
+    assert kept[702]["rules"] == ["symbols"]
+
+
 def test_rules_without_rows_or_labels(messy, empty, spark):
     labels = spark.createDataFrame([], "doc_id long, quality int")
     assert risk_rules.judge(empty, labels).collect() == []
