@@ -61,12 +61,13 @@ def scan_header_union(spark, sf):
 
 
 @query("scan_head_n", f"""
-with {SAMPLES},
+with {WIDE},
 first as (select file_name, sample_n from samples
           qualify row_number() over (partition by file_name order by sample_n) <= 25)
-select file_name, label, sample_n, reaction, flux from flux join first using (file_name, sample_n)""")
+select file_name, regexp_replace(file_name, '_100$', '') as label, sample_n, reaction, flux
+from wide join first using (file_name, sample_n)""")
 def scan_head_n(spark, sf):
-    return flux_csv.head(fx.flux_table(spark, sf), 25).select("file_name", "label", "sample_n", "reaction", "flux")
+    return flux_csv.read_head(spark, written_csv(spark, sf), 25).select("file_name", "label", "sample_n", "reaction", "flux")
 
 
 SPECIES = """species as (

@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 from fluxloom.functions.text import model_name
 from fluxloom.operators.harmonise import SOURCE_COLUMNS
 from fluxloom.session import settle
+from fluxloom.sources.heads import first_lines
 
 # A comma outside double quotes.
 QUOTED_SPLIT = r',(?=(?:[^"]*"[^"]*")*[^"]*$)'
@@ -63,19 +64,21 @@ def read_lines(spark: SparkSession, path: str) -> DataFrame:
         text = spark.read.option("recursiveFileLookup", True).text(csv_glob(path))
     except AnalysisException as error:
         raise FileNotFoundError(f"'{path}' has no .csv files.") from error
-    return text.select("value", F.col("_metadata.file_path").alias("path"),
-                       F.col("_metadata.file_block_start").alias("block")).filter(F.trim("value") != "")
+    return text.select("value", F.col("_metadata.file_path").alias("path")).filter(F.trim("value") != "")
 
 
-def headers(lines: DataFrame) -> DataFrame:
-    """The first line of each file and its column names, index left out: (path, header, names).
+def top_lines(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """The first lines of each file (`heads.first_lines`); a folder without .csv files is an error."""
+    try:
+        return first_lines(spark, csv_glob(path), n)
+    except FileNotFoundError as error:
+        raise FileNotFoundError(f"'{path}' has no .csv files.") from error
 
-    A file's first block is read by one task in order, so the least running number in it is the first line.
-    """
-    tops = lines.filter("block = 0").withColumn("at", F.monotonically_increasing_id()).groupBy("path").agg(
-        F.min_by("value", "at").alias("header"))
-    return tops.withColumn("cells", split_line(F.col("header"))).select(
-        "path", "header", without_index("cells").alias("names"))
+
+def headers(tops: DataFrame) -> DataFrame:
+    """The first line of each file and its column names, index left out: (path, header, names)."""
+    return tops.filter("at = 0").withColumn("cells", split_line(F.col("value"))).select(
+        "path", F.col("value").alias("header"), without_index("cells").alias("names"))
 
 
 def row_number_of(index: Column) -> Column:
@@ -86,8 +89,8 @@ def row_number_of(index: Column) -> Column:
 
 
 def header_union(spark: SparkSession, path: str) -> DataFrame:
-    """Every column name of the folder with the number of files that have it."""
-    names = headers(read_lines(spark, path)).select(
+    """Every column name of the folder with the number of files that have it. Reads the first line of every file only."""
+    names = headers(top_lines(spark, path, 1)).select(
         file_name_of(F.col("path")).alias("file_name"), F.explode("names").alias("reaction")).distinct()
     return names.groupBy("reaction").agg(F.count(F.lit(1)).alias("n_files"))
 
@@ -95,15 +98,19 @@ def header_union(spark: SparkSession, path: str) -> DataFrame:
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Long rows (file_name, label, sample_n, reaction, flux) of all files.
 
-    Two passes over the text: headers first, then rows joined to the header of their file. The headers
-    are settled, so they are broadcast only while measured to be small; above that the lines are
+    One pass over the text: headers are read from the first bytes of the files, then rows are joined to the header of
+    their file. The headers are settled, so they are broadcast only while measured to be small; above that the lines are
     shuffled by file and AQE splits a file that holds too many of them. The header is a file's first line, whatever
     it looks like. An empty cell is 0; text that is not a number is an error, and so is a line with more or fewer
     cells than the header. A row index may be any text (`row_number_of`).
     """
     lines = read_lines(spark, path)
-    named = settle(headers(lines), "headers")
-    rows = lines.drop("block").join(named, "path").filter(F.col("value") != F.col("header"))
+    named = settle(headers(top_lines(spark, path, 1)), "headers")
+    return cells_of(lines.join(named, "path").filter(F.col("value") != F.col("header")))
+
+
+def cells_of(rows: DataFrame) -> DataFrame:
+    """Long rows of lines (path, value) that know the names of their columns."""
     rows = rows.withColumn("cells", split_line(F.col("value")))
     ragged = F.raise_error(F.concat(F.lit("a line of "), F.col("path"), F.lit(" has not as many cells as its header: "),
                                     F.substring("value", 1, 80)))
@@ -166,6 +173,16 @@ def write(flux: DataFrame, path: str, rows_per_part: int = 10_000) -> None:
     )
 
 
+def read_head(spark: SparkSession, path: str, n: int) -> DataFrame:
+    """Long rows of the first n samples of each file, from the first bytes of the files.
+
+    Of a file of parts, each sorted by its index as `write` leaves them, these are the n least of the first n of every part.
+    """
+    tops = settle(top_lines(spark, path, n + 1), "tops")
+    named = settle(headers(tops), "headers")
+    return head(cells_of(tops.filter("at > 0").join(named, "path").filter(F.col("value") != F.col("header"))), n)
+
+
 def head(flux: DataFrame, n: int) -> DataFrame:
     """Cells of the first n samples of each file."""
     order = Window.partitionBy("file_name").orderBy("sample_n")

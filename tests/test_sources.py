@@ -1,11 +1,13 @@
 """Files as they come from elsewhere: plain folders, quotes, gaps and errors."""
 
+import io
+
 import pytest
 from pyspark.sql import functions as F
 
 from fluxloom.functions import text
 from fluxloom.operators import grids
-from fluxloom.sources import flux_csv, sbml, tables
+from fluxloom.sources import flux_csv, heads, sbml, tables
 
 
 def cells(df):
@@ -29,8 +31,39 @@ def test_plain_folder_of_wide_files(spark, tmp_path):
     assert union == {"a,b": 1, "R1": 2, "R2": 1}
 
 
+class Counted(io.BytesIO):
+    taken = 0
+
+    def read(self, size=-1):
+        found = super().read(size)
+        self.taken += len(found)
+        return found
+
+
+def test_heads_read_the_first_bytes_only(spark, tmp_path):
+    body = b",a,b\r\n0,1,2\r\n\n1,3,4\r5,5,6\n  \n" + b"6,7,8\n" * 200_000
+    for first_read in (1, 2, 3, 7, 64):
+        for n, lines in ((1, [",a,b"]), (3, [",a,b", "0,1,2", "1,3,4"]), (5, [",a,b", "0,1,2", "1,3,4", "5,5,6", "6,7,8"])):
+            stream = Counted(body)
+            assert heads.top(stream, n, first_read) == lines and stream.taken < 300
+    stream = Counted(body)
+    assert heads.top(stream, 2) == [",a,b", "0,1,2"] and stream.taken == heads.FIRST_READ < len(body) / 10
+    assert heads.top(Counted(b""), 3) == [] and heads.top(Counted(b"\n \n"), 3) == []
+    assert heads.top(Counted("\ufeffi,é".encode()), 3) == ["i,é"]
+    (tmp_path / "a b+c_1.csv").write_bytes(body)
+    (tmp_path / "x_1.csv").write_text('i,"q,r"\n')
+    (tmp_path / "y_1.csv").write_text("")
+    found = heads.first_lines(spark, f"{tmp_path}/*.csv", 300).collect()
+    assert len(found) == 301 and {r.value for r in found if r.at == 299} == {"6,7,8"}
+    with_text = {r.path: r.value for r in flux_csv.read_lines(spark, str(tmp_path)).filter("value like 'i,%'").collect()}
+    assert with_text == {r.path: r.value for r in found if r.value.startswith("i,")}
+    assert cells(flux_csv.read_head(spark, str(tmp_path), 2)) == {
+        ("a b+c_1", "a b+c", 0, "a"): 1.0, ("a b+c_1", "a b+c", 0, "b"): 2.0,
+        ("a b+c_1", "a b+c", 1, "a"): 3.0, ("a b+c_1", "a b+c", 1, "b"): 4.0}
+
+
 def test_folder_without_csv_is_an_error(spark, tmp_path):
-    for fn in (flux_csv.read, flux_csv.discover):
+    for fn in (flux_csv.read, flux_csv.discover, flux_csv.header_union):
         with pytest.raises(FileNotFoundError):
             fn(spark, str(tmp_path))
 
