@@ -4,18 +4,23 @@ from __future__ import annotations
 
 import atexit
 import os
+import resource
 import shutil
 import tempfile
 import uuid
-from collections import OrderedDict
 
 import numpy as np
 from pyarrow import fs
 
 _ALIGN = 64
 
-# Files that a worker keeps open at once: systems allow 256 to 1,024 a process.
-OPEN_FILES = 128
+# Files that a worker keeps open at once: a quarter of what its system allows, and well below the usual limit of maps.
+MAX_OPEN_FILES = 16_384
+
+
+def open_files() -> int:
+    allowed = resource.getrlimit(resource.RLIMIT_NOFILE)[0]
+    return MAX_OPEN_FILES if allowed == resource.RLIM_INFINITY else max(1, min(allowed // 4, MAX_OPEN_FILES))
 
 
 def _open(path: str) -> tuple[fs.FileSystem, str]:
@@ -71,17 +76,18 @@ def mapped(path: str, kinds: list) -> list[np.ndarray]:
 
 
 class Shelf:
-    """Files opened when they are asked for, of which the ``limit`` used last stay open."""
+    """Files opened when they are asked for, of which at most ``limit`` stay open. Readers go through the files in the same
+    order again and again, so the file used last is the one to close: those before it will be asked for sooner."""
 
-    def __init__(self, limit: int = OPEN_FILES):
-        self.limit = limit
-        self._held: OrderedDict[str, list[np.ndarray]] = OrderedDict()
+    def __init__(self, limit: int | None = None):
+        self.limit = open_files() if limit is None else limit
+        self._held: dict[str, list[np.ndarray]] = {}
+        self._last = ""
 
     def get(self, path: str, kinds: list) -> list[np.ndarray]:
-        if path in self._held:
-            self._held.move_to_end(path)
-        else:
-            while len(self._held) >= self.limit:
-                self._held.popitem(last=False)
+        if path not in self._held:
+            if len(self._held) >= self.limit:
+                del self._held[self._last]
             self._held[path] = mapped(path, kinds)
+        self._last = path
         return self._held[path]

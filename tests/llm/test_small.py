@@ -275,6 +275,7 @@ def test_readers_keep_few_files_open(tmp_path):
     resource.setrlimit(resource.RLIMIT_NOFILE, (256, limits[1]))
     try:
         held = shelf.Shelf()
+        assert held.limit == 64
         for i in [*range(2000), *range(1999, 0, -7), 3]:
             keys, values = held.get(f"{tmp_path}/words-{i}", kinds)
             assert keys.tolist() == [i + k for k in range(i % 5)] and values.tolist() == [0, 1, 2]
