@@ -56,7 +56,30 @@ def gmm_fit_per_label(spark, sf):
                       r6(F.col("cov")).alias("cov"))
 
 
-@query("gmm_classify")
+# Rows of a covariance beside those of the unit matrix; every step takes the first row out of the rest. What is left
+# beside it are the factors: pivots, and combinations of columns that do not vary together.
+@query("gmm_classify", f"""
+with recursive {fx.EMB},
+mean as (select label, i, avg(x) as m from cells where split = 'train' group by 1, 2),
+centred as (select row_id, label, i, x - m as x from cells join mean using (label, i) where split = 'train'),
+cov as (select a.label as label, a.i as i, b.i as j, avg(a.x * b.x) + max(case when a.i = b.i then 0.000001 else 0 end) as c
+        from centred a join centred b on a.row_id = b.row_id group by 1, 2, 3),
+lines as (select label, i, list(c order by j) || list(case when i = j then 1::double else 0::double end order by j) as line
+          from cov group by 1, 2),
+steps(label, k, m) as (
+  select label, 1, list(line order by i) from lines group by 1
+  union all
+  select label, k + 1,
+         list_transform(m[2:], lambda r: list_transform(list_zip(r, m[1]), lambda z: z[1] - r[k] / m[1][k] * z[2]))
+  from steps where len(m) > 1),
+factors as (select label, m[1][k] as head, m[1][len(m[1]) // 2 + 1:] as w from steps),
+apart as (select row_id, c.label as label, list(x - m order by i) as diff
+          from cells join (select label, i, m from mean) c using (i) group by 1, 2),
+scored as (select row_id, label as pred, sum(ln(head) + pow(list_dot_product(w, diff), 2) / head) as s
+           from apart join factors using (label) group by 1, 2)
+select row_id, label, split, pred from emb join (
+  select row_id, pred, row_number() over (partition by row_id order by s, pred) as rn from scored) t using (row_id)
+where rn = 1""")
 def gmm_classify(spark, sf):
     model = gmm.Densities.fit(train_rows(spark, sf))
     return model.classify(fx.emb(spark, sf)).select("row_id", "label", "split", "pred")
@@ -114,16 +137,66 @@ def dbscan_query(spark, sf):
     return dbscan(fx.emb(spark, sf), "row_id", "v", eps=1.15, min_samples=5).select("row_id", "cluster")
 
 
-@query("pca_transform")
+# Jacobi rotations of the covariance: in a turn every column p is paired with one other, q, as in a tournament, and all
+# pairs are turned at once by the angles that clear their products. Twelve tournaments clear all of them.
+SWEEPS = "12 * (len(a) - 1)"
+COMPONENTS = f"""{fx.EMB},
+mean as (select i, avg(x) as m from cells group by 1),
+centred as (select row_id, i, x - m as x from cells join mean using (i)),
+cov as (select a.i as i, b.i as j, sum(a.x * b.x) as c from centred a join centred b on a.row_id = b.row_id group by 1, 2),
+turns(t, a, v) as (
+  select 0, list(line order by i), list(unit order by i) from (
+    select i, list(c order by j) as line, list(case when i = j then 1::double else 0::double end order by j) as unit
+    from cov group by 1) l
+  union all
+  select t + 1,
+         list_transform(
+           list_transform(list_zip(a, q, c, s), lambda z: list_transform(list_zip(z[1], a[z[2]]), lambda y: z[3] * y[1] + z[4] * y[2])),
+           lambda r: list_transform(list_zip(r, q, c, s), lambda y: y[3] * y[1] + y[4] * r[y[2]])),
+         list_transform(list_zip(v, q, c, s), lambda z: list_transform(list_zip(z[1], v[z[2]]), lambda y: z[3] * y[1] + z[4] * y[2]))
+  from (
+    select t, a, v, q, list_transform(tangent, lambda x: 1 / sqrt(1 + x * x)) as c,
+           list_transform(list_zip(tangent, q), lambda z, p:
+             case when p < z[2] then -z[1] else z[1] end / sqrt(1 + z[1] * z[1])) as s
+    from (
+      select t, a, v, q, list_transform(list_zip(q, tau), lambda z, p:
+               case when a[least(p, z[1])][greatest(p, z[1])] = 0 then 0::double
+                    else (case when z[2] >= 0 then 1 else -1 end) / (abs(z[2]) + sqrt(1 + z[2] * z[2])) end) as tangent
+      from (
+        select t, a, v, q, list_transform(list_zip(q, a), lambda z, p:
+                 case when p < z[1] then (a[z[1]][z[1]] - z[2][p]) / (2 * z[2][z[1]])
+                      else (z[2][p] - a[z[1]][z[1]]) / (2 * a[z[1]][p]) end) as tau
+        from (
+          select t, a, v, list_transform(range(0, len(a)), lambda p:
+                   case when p = len(a) - 1 then t % (len(a) - 1) when p = t % (len(a) - 1) then len(a) - 1
+                        else (2 * (t % (len(a) - 1)) - p + len(a) - 1) % (len(a) - 1) end + 1) as q
+          from turns where t < {SWEEPS}) paired) angled) slopes) rotations),
+axes as (select generate_subscripts(v, 1) as i, unnest(v) as axis, a from turns where t = {SWEEPS}),
+parts as (
+  select a[i][i] / sum(a[i][i]) over () as ratio, row_number() over (order by a[i][i] desc) - 1 as component,
+         case when list_max(axis) >= -list_min(axis) then axis else list_transform(axis, lambda x: -x) end as axis
+  from axes)"""
+
+
+@query("pca_transform", f"""
+with recursive {COMPONENTS},
+moved as (select row_id, list(x order by i) as x from centred group by 1)
+select row_id, component, {R6('list_dot_product(x, axis)')} as value
+from moved, parts where component < (select count(*) from emb)""")
 def pca_transform(spark, sf):
     rows = fx.emb(spark, sf)
-    moved = cluster.Components(rows).transform(rows)
-    return moved.select("row_id", F.posexplode_outer("pca").alias("component", "value"))
+    moved = cluster.Components(rows).transform(rows).select("row_id", F.posexplode_outer("pca").alias("component", "value"))
+    return moved.select("row_id", F.col("component").cast("bigint").alias("component"), r6(F.col("value")).alias("value"))
 
 
-@query("pca_scree")
+@query("pca_scree", f"""
+with recursive {COMPONENTS}
+select component, {R6('ratio')} as ratio,
+       {R6('coalesce(sum(ratio) over (order by component rows between unbounded preceding and 1 preceding), 0)')} as cumulative
+from parts where component < (select count(*) from emb)""")
 def pca_scree(spark, sf):
-    return cluster.Components(fx.emb(spark, sf)).scree(spark)
+    found = cluster.Components(fx.emb(spark, sf)).scree(spark)
+    return found.select("component", r6(F.col("ratio")).alias("ratio"), r6(F.col("cumulative")).alias("cumulative"))
 
 
 # --- comparing clusterings ------------------------------------------------------------------------
