@@ -81,8 +81,7 @@ select row_id, label, split, pred from emb join (
   select row_id, pred, row_number() over (partition by row_id order by s, pred) as rn from scored) t using (row_id)
 where rn = 1""")
 def gmm_classify(spark, sf):
-    model = gmm.Densities.fit(train_rows(spark, sf))
-    return model.classify(fx.emb(spark, sf)).select("row_id", "label", "split", "pred")
+    return gmm.classify(train_rows(spark, sf), fx.emb(spark, sf)).select("row_id", "label", "split", "pred")
 
 
 @query("kmeans_cluster")

@@ -192,8 +192,8 @@ def gmm_score(train_set: Dataset, test_set: Dataset, vae: Vae | None = None, sta
               rows: int | None = None, seed: int = 0) -> DataFrame:
     """The same by the densest of one Gaussian per training label."""
     fitted, tested = _train_test_views(train_set, test_set, vae, stage, join, rows, seed)
-    model = gmm.Densities.fit(fitted)
-    return _matrix(model.classify(tested), model.labels, "label")
+    classes = sorted(r[0] for r in bounded_rows(fitted.select("label").distinct(), metrics.MAX_COLUMNS, "classes"))
+    return _matrix(gmm.classify(fitted, tested), classes, "label")
 
 
 def loss_scoring(log: DataFrame, args: DataFrame, average_over: int = 128, by_epoch: bool = False) -> DataFrame:

@@ -10,12 +10,12 @@ import pyarrow.compute
 import pytest
 from pyspark.sql import functions as F
 
-from fluxloom.operators import classify, cluster, gmm, lloyd, metrics
+from fluxloom.operators import classify, cluster, gmm, lloyd, metrics, tiles
 from fluxloom.operators.dbscan import block_pairs, dbscan
 from fluxloom.operators.distance import Centres, nearest, nearest_in_turns, nearest_rows, within
 from fluxloom.operators.moments import group_products, group_sums
 from fluxloom.plans import fixtures as fx
-from fluxloom.session import TooLarge
+from fluxloom.session import TooLarge, settle
 
 
 def blobs(seed=0, n=150, d=3, k=4, spread=0.4):
@@ -126,6 +126,33 @@ def test_gaussians_per_label(rows):
     assert [r.pred for r in found] == [model.labels[k] for k in expected.argmax(axis=1)]
 
 
+@pytest.mark.parametrize("side, turn_bytes", [(1, 1), (2, 40), (512, 100)])
+def test_gaussians_in_turns_equal_the_direct_path(rows, side, turn_bytes):
+    direct = gmm.Densities.fit(rows).classify(rows).select("row_id", "pred").orderBy("row_id").collect()
+    turns = gmm.classify_in_turns(rows, rows, side=side, turn_bytes=turn_bytes)
+    assert turns.select("row_id", "pred").orderBy("row_id").collect() == direct
+    assert turns.columns == [*rows.columns, "pred"]
+
+
+def test_inverse_factors_of_tiles(spark):
+    rng = np.random.default_rng(5)
+    x = rng.normal(size=(90, 11)) @ rng.normal(size=(11, 11)) + 1e3
+    rows = spark.createDataFrame([("a" if i % 3 else "b", v.tolist()) for i, v in enumerate(x)],
+                                 "label string, v array<double>").repartition(4)
+    for side in (4, 5, 20):
+        means, cov, _ = gmm._moments(rows, "label", "v", side)
+        table = tiles.whiten(settle(cov), "label", 11, side).collect()
+        for name, mine in (("a", x[np.arange(90) % 3 > 0]), ("b", x[np.arange(90) % 3 == 0])):
+            w = np.zeros((11, 11))
+            for r in table:
+                if r["label"] == name:
+                    tile = np.frombuffer(r["tile"]).reshape(min(side, 11 - r["i"] * side), -1)
+                    w[r["i"] * side : r["i"] * side + tile.shape[0], r["j"] * side : r["j"] * side + tile.shape[1]] = tile
+            expected = np.linalg.inv(np.linalg.cholesky(np.cov(mine.T, ddof=0) + 1e-6 * np.eye(11)))
+            assert np.allclose(w, expected, rtol=1e-6, atol=1e-9)
+            assert np.allclose(means[name], mine.mean(axis=0))
+
+
 def test_mixture_of_two(rows):
     assert gmm.fit_mixture(rows, "l0", 2).getK() == 2
 
