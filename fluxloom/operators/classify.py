@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from fluxloom.operators.cluster import fitting_input
-from fluxloom.operators.distance import Centres, nearest
+from fluxloom.operators.distance import nearest_given
 from fluxloom.operators.harmonise import ROW_KEY
 from fluxloom.operators.moments import group_sums
 
@@ -31,9 +31,8 @@ def centroids(rows: DataFrame, group: str, v: str = "v") -> DataFrame:
 
 
 def nearest_centroid(train: DataFrame, test: DataFrame, group: str, v: str = "v", out: str = "pred") -> DataFrame:
-    """Predict the group of the nearest training mean; ties go to the least group."""
-    model = Centres.collect(centroids(train, group, v), group, "v")
-    return nearest(test, v, model, out)
+    """Predict the group of the nearest training mean; ties go to the least group. Any number of groups."""
+    return nearest_given(test, v, centroids(train, group, v), group, "v", out)
 
 
 def _fit_and_predict(classifier, train: DataFrame, test: DataFrame, group: str, v: str, out: str) -> DataFrame:

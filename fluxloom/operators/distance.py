@@ -145,7 +145,7 @@ def nearest_of_each(df: DataFrame, v_col: str, models: list[Centres]) -> DataFra
 
 
 def nearest_in_turns(df: DataFrame, v_col: str, centres: DataFrame, id_col: str, c_col: str,
-                     out: str = "cluster", turn_rows: int | None = None) -> DataFrame:
+                     out: str = "cluster", turn_rows: int | None = None, d2: str | None = None) -> DataFrame:
     """Nearest centre when the centres together exceed the broadcast bound.
 
     The centres are cut into parts that each fit; the rows are scored against one part at a time and the
@@ -164,7 +164,21 @@ def nearest_in_turns(df: DataFrame, v_col: str, centres: DataFrame, id_col: str,
         scored = nearest(best, v_col, Centres.collect(part, "id", "c"), "_id", d2="_d2")
         found = F.struct(F.col("_d2").alias("d2"), F.col("_id").alias("id"))
         best = settle(scored.withColumn("_best", F.least("_best", found)).drop("_d2", "_id"), "nearest")
-    return best.withColumn(out, F.col("_best.id")).drop("_best")
+    found = best.withColumn(out, F.col("_best.id"))
+    if d2:
+        found = found.withColumn(d2, F.col("_best.d2"))
+    return found.drop("_best")
+
+
+def nearest_given(df: DataFrame, v_col: str, centres: DataFrame, id_col: str, c_col: str, out: str = "cluster",
+                  d2: str | None = None, limit: int = BROADCAST_BYTES) -> DataFrame:
+    """Nearest of the centres of a table: at once while they are within the bound, else in turns. Equal results."""
+    stored = settle(centres.select(id_col, c_col), "centres")
+    size = stored.agg(F.count(F.lit(1)).alias("n"), F.max(F.size(c_col)).alias("width")).first()
+    if size["n"] <= MAX_CENTRES and size["n"] * (size["width"] or 0) * 8 <= limit:
+        return nearest(df, v_col, Centres.collect(stored, id_col, c_col), out, d2)
+    turn_rows = max(1, min(MAX_CENTRES, limit // (8 * size["width"])) // 2)
+    return nearest_in_turns(df, v_col, stored, id_col, c_col, out, turn_rows, d2)
 
 
 def distances(df: DataFrame, v_col: str, centres: Centres, keys: list[str], out: str = "centre") -> DataFrame:

@@ -43,7 +43,7 @@ def group_tiles(rows: DataFrame, group: str, v: str = "v", side: int = SIDE, ord
         rows = rows.sortWithinPartitions(group)
     keys = [group, "i", "j"]
     partial = rows.mapInArrow(_partial(group, v, side), f"{group} string, i int, j int, n bigint, tile binary")
-    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(_add, partial.schema)
+    return partial.repartition(*keys).sortWithinPartitions(*keys).mapInArrow(add_tiles, partial.schema)
 
 
 def _partial(group: str, v: str, side: int):
@@ -77,7 +77,7 @@ def _partial(group: str, v: str, side: int):
     return run
 
 
-def _add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+def add_tiles(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     """Adds up the tiles of a place, which stand together. Works on any table of (keys, n, tile)."""
     held, names = None, None
 

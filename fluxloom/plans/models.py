@@ -6,7 +6,6 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators import classify, cluster, gmm, metrics
 from fluxloom.operators.dbscan import dbscan
-from fluxloom.operators.distance import Centres
 from fluxloom.plans import fixtures as fx
 from fluxloom.plans.aggregates import ONE
 from fluxloom.plans.register import R6, query, r6
@@ -110,8 +109,7 @@ dist as (select row_id, cast(cluster as bigint) as cluster, list_distance(v, c)
 select row_id, cluster, {R6('d * d')} as d2 from dist
 qualify row_number() over (partition by row_id order by d, cluster) = 1""")
 def kmeans_assign(spark, sf):
-    centres = Centres.collect(
-        fx.seed_rows(spark, sf).filter(ONE).withColumn("cluster", F.col("cluster").cast("bigint")), "cluster", "c")
+    centres = fx.seed_rows(spark, sf).filter(ONE).withColumn("cluster", F.col("cluster").cast("bigint"))
     return cluster.kmeans_assign(fx.emb(spark, sf), centres).select("row_id", "cluster", r6(F.col("d2")).alias("d2"))
 
 

@@ -116,9 +116,9 @@ def train(data: Dataset, folder: str, epochs: int = 1, batch_size: int = 64, n_e
 
 def process(data: Dataset, vae: Vae | None = None, stage: str = PRE, n: int | None = None, join: str = "inner",
             sample: bool = False, prep: str = "none", add_losses: bool = False, beta_s: float = 0.0,
-            restrictions: dict | None = None, seed: int = 0) -> DataFrame:
-    """Rows of a sample at a stage: (file_name, label, sample_n, v), with ``prep='pca'`` in components and
-    with the four losses of each row if asked."""
+            restrictions: dict | None = None, seed: int = 0, components: int | None = None) -> DataFrame:
+    """Rows of a sample at a stage: (file_name, label, sample_n, v), with ``prep='pca'`` in components (all, or the
+    leading ``components``) and with the four losses of each row if asked."""
     if prep not in ("none", "pca"):
         raise ValueError("prep is 'none' or 'pca'")
     rows = harmonise.restrict_rows(data.sample(n, seed), restrictions or {})
@@ -133,7 +133,7 @@ def process(data: Dataset, vae: Vae | None = None, stage: str = PRE, n: int | No
             view = view.withColumn("v", stats.convert(F.col("v"), source, chosen))
     if prep == "pca":
         view = settle(view, "view")
-        view = cluster.Components(view).transform(view, out="v")
+        view = cluster.Components(view, k=components).transform(view, out="v")
     if add_losses and vae is not None:
         scorer = Scorer(vae, source.reactions, sample=True, beta_s=beta_s,
                         coefficients=data.coefficients() if beta_s else None)

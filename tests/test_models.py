@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.operators import classify, cluster, gmm, lloyd, metrics, tiles
 from fluxloom.operators.dbscan import block_pairs, dbscan
-from fluxloom.operators.distance import Centres, nearest, nearest_in_turns, nearest_rows, within
+from fluxloom.operators.distance import Centres, nearest, nearest_given, nearest_in_turns, nearest_rows, within
 from fluxloom.operators.moments import group_products, group_sums
 from fluxloom.plans import fixtures as fx
 from fluxloom.session import TooLarge, settle
@@ -171,6 +171,40 @@ def test_components_equal_svd(rows):
     assert np.allclose([r.cumulative for r in scree], np.r_[0, np.cumsum(s**2 / (s**2).sum())[:-1]])
 
 
+@pytest.mark.parametrize("d, k, n", [(40, 3, 300), (40, 40, 300), (60, 25, 20), (30, 5, 8)])
+def test_leading_components_equal_svd(spark, d, k, n):
+    rng = np.random.default_rng(d + k)
+    x = rng.normal(size=(n, d)) * np.linspace(3, 0.5, d) + 100
+    rows = spark.createDataFrame([(v.tolist(),) for v in x], "v array<double>").repartition(3)
+    centred = x - x.mean(axis=0)
+    axes, ratio = cluster.leading(rows, x.mean(axis=0), k, block=4)
+    _, s, vt = np.linalg.svd(centred, full_matrices=False)
+    s = np.r_[s, np.zeros(max(0, k - len(s)))]
+    assert axes.shape == (d, k) and np.allclose(axes.T @ axes, np.eye(k), atol=1e-10)
+    assert np.allclose(ratio, (s**2 / (s**2).sum())[:k], atol=1e-9)
+    real = int((s[:k] > 1e-6).sum())
+    assert np.allclose(np.abs((centred @ axes)[:, :real]), np.abs(centred @ vt.T[:, :real]), atol=1e-6)
+
+
+def test_wide_components_take_the_other_path(rows, monkeypatch):
+    plain = cluster.Components(rows, k=2)
+    monkeypatch.setattr(cluster, "BROADCAST_BYTES", 71)  # three columns have 72 bytes of moments
+    monkeypatch.setattr(cluster, "PCA", None)
+    wide = cluster.Components(rows, k=2)
+    assert np.allclose(wide.axes, plain.axes) and np.allclose(wide.ratio, plain.ratio)
+    monkeypatch.setattr(cluster, "SPACE_BYTES", 71)
+    with pytest.raises(TooLarge):
+        cluster.Components(rows, k=2)
+
+
+def test_nearest_given_goes_in_turns_beyond_the_bound(spark, rows):
+    x, _ = blobs(9, n=60)
+    table = spark.createDataFrame([(f"c{i:02d}", v.tolist()) for i, v in enumerate(x)], "id string, c array<double>")
+    plain, turns = (nearest_given(rows, "v", table, "id", "c", "cluster", "d2", limit).select("row_id", "cluster", "d2")
+                    for limit in (1 << 20, 300))
+    assert sorted(plain.collect()) == sorted(turns.collect())
+
+
 def brute_cost(x, centres):
     return ((x[:, None, :] - centres[None]) ** 2).sum(axis=2).min(axis=1).sum()
 
