@@ -16,11 +16,6 @@ from fluxloom.session import settle, ship_package
 # SQL has neither random vectors, alignments, random fields nor byte pair merges.
 ORACLE_SQL = None
 
-# Cosines of a text in none of the learned languages scatter around 0 by 1 / sqrt(dimensions), about 0.03. Short texts
-# are too near to that in any language, so they are judged by their letters alone.
-MIN_COSINE = 0.06
-JUDGED_CHARS = 100
-
 
 def _prepare(spark: SparkSession) -> None:
     single_threaded()
@@ -29,13 +24,10 @@ def _prepare(spark: SparkSession) -> None:
 
 
 def known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Rows in one of the languages that the labelled rows teach. Texts without a letter go, and those of some length
-    that are like no language."""
+    """Rows in one of the languages that the labelled rows teach. Texts without a letter go, and those that are less like their
+    language than texts of their length are."""
     _prepare(spark)
-    found = languages.identify(docs, languages.learn(docs))
-    strange = (F.col("score") < MIN_COSINE) & (F.length("row.text") >= JUDGED_CHARS)
-    kept = found.filter((F.col("lang_pred") != languages.UNDETERMINED) & ~strange)
-    return kept.select("row.*")
+    return languages.known(docs, languages.learn(docs)).filter("known").select("row.*")
 
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -19,12 +19,12 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxloom.llm.common import SLICE_CHARS, slices, texts_of
-from fluxloom.session import bounded_rows
+from fluxloom.session import bounded_rows, settle
 
 UNDETERMINED = "und"
 DIMENSIONS = 1024
@@ -202,3 +202,27 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(judge, schema)
+
+
+def known(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "lang", quantile: float = 0.01,
+          share: float = 0.5) -> DataFrame:
+    """`identify` with ``known``: whether a text is in one of the learned languages at all.
+
+    The cosine of a text with its language grows with its length and differs between languages, so the bar is learned
+    too, from all rows that have a language and are taken for it: per language and length (a class per doubling),
+    ``share`` of the ``quantile`` of their scores. Shorter texts' bars hold for longer ones, where they are higher or there are
+    no own. Texts without a letter are not known; those of a language shorter than all its labelled texts are.
+    """
+    found = settle(identify(docs, profiles, text), "languages")
+    size = F.floor(F.log2(F.length(F.col("row")[text]) + F.lit(1)))
+    found = found.withColumn("size", F.coalesce(size, F.lit(0)).cast("int"))
+    own = found.filter((F.col("lang_pred") == F.col("row")[lang]) & (F.col("lang_pred") != UNDETERMINED))
+    low = own.groupBy("lang_pred", "size").agg(F.percentile_approx("score", quantile).alias("low"))  # languages x 31 rows at most
+    by_size = Window.partitionBy("lang_pred").orderBy("size")
+    until = F.coalesce(F.lead("size").over(by_size) - 1, F.lit(31))
+    bars = low.select(F.col("lang_pred").alias("of"), "size", until.alias("until"), (F.max("low").over(by_size) * share).alias("bar"))
+    bars = bars.select("of", F.explode(F.sequence("size", "until")).alias("at"), "bar")
+    bars = settle(bars, "bars")  # so that the join knows how small they are, and leaves the texts where they stand
+    judged = found.join(bars, (F.col("lang_pred") == F.col("of")) & (F.col("size") == F.col("at")), "left")
+    enough = F.col("score") >= F.coalesce("bar", F.lit(0.0))
+    return judged.select("row", "lang_pred", "score", ((F.col("lang_pred") != UNDETERMINED) & enough).alias("known"))

@@ -580,14 +580,53 @@ def test_stages_on_messy_rows(messy, empty, sf):
         assert (current.count() > 0) == (docs is messy)
 
 
+def plain_bars(rows, names, scores):
+    """The bar of a language and a text: half of the least 1 % of the scores of texts of its length class or a shorter one."""
+    held = {}
+    for row, name, score in zip(rows, names, scores, strict=True):
+        if name != "und" and name == row["lang"]:
+            held.setdefault((name, int(math.log2(len(row["text"]) + 1))), []).append(score)
+    low = {key: sorted(own)[max(0, math.ceil(0.01 * len(own)) - 1)] for key, own in held.items()}
+    return lambda name, text: max([x / 2 for (of, size), x in low.items() if of == name and size <= math.log2(len(text) + 1)],
+                                  default=0.0)
+
+
+def test_unlearned_languages_are_not_known(spark, sf, documents):
+    rng = np.random.default_rng(3)
+    letters = list("abcdefghijklmnopqrstuvwxyz")
+    planted = [" ".join("".join(rng.choice(letters, rng.integers(2, 9))) for _ in range(n)) for n in (100, 200, 400, 1000) * 10]
+    planted += ["wszyscy ludzie rodza sie wolni i rowni pod wzgledem swej godnosci i swych praw sa oni obdarzeni rozumem " * 4,
+                "kaikki ihmiset syntyvat vapaina ja tasavertaisina arvoltaan ja oikeuksiltaan heille on annettu jarki " * 4,
+                "", "12 34", None]
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    foreign = spark.createDataFrame([(10**6 + i, text) for i, text in enumerate(planted)], "doc_id bigint, text string")
+    both = docs.unionByName(foreign, allowMissingColumns=True)
+    found = languages.known(both, languages.learn(both)).select("row.*", "lang_pred", "score", "known").collect()
+    assert len(found) == len(documents) + len(planted)
+    assert not [r for r in found if r["doc_id"] >= 10**6 and r["known"]]
+    assert sum(r["known"] for r in found) >= len(documents) - 2
+    rows = [r for r in found if r["text"] is not None]
+    bars = plain_bars(rows, [r["lang_pred"] for r in rows], [r["score"] for r in rows])
+    assert all(r["known"] == (r["lang_pred"] != "und" and r["score"] >= bars(r["lang_pred"], r["text"])) for r in rows)
+
+
+def test_known_without_labels_or_rows(spark):
+    empty = spark.createDataFrame([], "text string, lang string, row string, known int")
+    assert languages.known(empty, languages.learn(empty)).count() == 0
+    rows = spark.createDataFrame([("und", "abc", "x"), (None, "abc", "y"), ("en", "the", None)], "lang string, text string, bar string")
+    found = languages.known(rows, languages.learn(rows)).collect()
+    assert len(found) == 3 and all(r["known"] for r in found if r["lang_pred"] != "und")
+
+
 def test_pipeline_equals_its_definition(spark, sf, documents):
     """Every stage against plain code: only kept languages, least of each class, redacted, taken by the mixture, encoded."""
     found = corpus_pipeline.run(spark, sf).collect()
     learned = languages.learn(spark.read.parquet(f"{sf}/documents.parquet"))
     names, scores = learned.predict([row["text"] for row in documents])
+    bars = plain_bars(documents, names, scores)
     kept = [row for row, name, score in zip(documents, names, scores, strict=True)
-            if name != "und" and not (score < corpus_pipeline.MIN_COSINE and len(row["text"]) >= corpus_pipeline.JUDGED_CHARS)]
-    assert len(kept) >= len(documents) - 1
+            if name != "und" and score >= bars(name, row["text"])]
+    assert len(kept) >= len(documents) - 2
     classes = plain_classes([(row["doc_id"], row["text"]) for row in kept])
     kept = [row for row in kept if classes[row["doc_id"], row["text"]] == row["doc_id"]]
     model = pii.train()
