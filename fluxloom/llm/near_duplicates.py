@@ -164,16 +164,19 @@ def classes(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", tex
     signed = sign(docs, sketch, key, text)
     first = settle(signed.groupBy("node").agg(F.min("id").alias("id"), F.first("n").alias("n"),
                                               F.first("bands").alias("bands"), F.first("bits").alias("bits")), "nodes")
-    members = first.select("node", "n", "bits", F.posexplode("bands").alias("table", "band"))
+    # Bits are 128 bytes that do not compress: they meet pairs, not all bands of all nodes.
+    members = first.select("node", "n", F.posexplode("bands").alias("table", "band"))
     full = members.groupBy("table", "band").agg(
-        F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", "table").alias("h"), "node", "n", "bits")).alias("hub"))
-    full = full.filter("m > 1").select("table", "band", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"),
-                                       F.col("hub.bits").alias("bits_b"))
+        F.count(F.lit(1)).alias("m"), F.min(F.struct(F.xxhash64("node", "table").alias("h"), "node", "n")).alias("hub"))
+    full = full.filter("m > 1").select("table", "band", F.col("hub.node").alias("b"), F.col("hub.n").alias("n_b"))
     members = settle(members.join(full, ["table", "band"]), "members")
     near = F.least("n", "n_b") >= F.lit(sketch.threshold) * F.greatest("n", "n_b") - F.lit(1e-9)
-    near = near & _possible(sketch.threshold, "n", "bits", "n_b", "bits_b")
-    pairs = settle(members.filter((F.col("node") != F.col("b")) & near)
-                   .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "pairs")
+    met = settle(members.filter((F.col("node") != F.col("b")) & near)
+                 .select(F.least("node", "b").alias("a"), F.greatest("node", "b").alias("b")).distinct(), "met")
+    own = first.select(F.col("node").alias("a"), "n", "bits")
+    other = first.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b"))
+    pairs = settle(met.join(own, "a").join(other, "b").filter(_possible(sketch.threshold, "n", "bits", "n_b", "bits_b"))
+                   .select("a", "b"), "pairs")
     short = first.filter((F.col("n") > 0) & (F.col("n") <= sketch.short / sketch.threshold)).select("node")
     nodes = members.select("node").union(short).distinct()
     texts = settle(_texts(docs, nodes, first, key, text), "texts")
