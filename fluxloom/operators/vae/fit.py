@@ -7,6 +7,7 @@ sums are added up before the next pass goes through that layer, on the way forwa
 
 from __future__ import annotations
 
+import copy
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
@@ -22,13 +23,18 @@ from fluxloom.operators.ranking import rank_by_draw
 from fluxloom.operators.sampling import shuffled_batches
 from fluxloom.operators.vae.model import Vae, save
 from fluxloom.operators.vae.network import BN_MOMENTUM, batch_stats, train_backward, train_forward
-from fluxloom.operators.vae.scoring import Scorer, dataset_loss, row_key
+from fluxloom.operators.vae.scoring import Scorer, row_key
 from fluxloom.session import scratch_path, settle
 
 # Values per row of the gradient table: sums of one stretch of the gradient meet in one task.
 SLOT = 65_536
 # Bytes of vectors in a store: the batches that are read together. Their number follows the data, not the batch size.
 STORE_BYTES = 1 << 30
+# Up to so many values a model's sums go from the tasks that hold rows of the batch straight to the driver.
+DIRECT = 16_384
+# Evaluations that share a pass over the test rows: at most so many, and models of so many bytes.
+EVALUATIONS = 64
+EVALUATION_BYTES = 64 << 20
 # A chunk of a file, as the rotation of samples names it.
 CHUNK = ["file_name", "chunk"]
 
@@ -88,7 +94,8 @@ def sum_over_batch(batch: DataFrame, scorer: Scorer) -> np.ndarray | None:
     """`batch_sums` of the rows (v, k) of a batch, wherever they are; nothing if there are none.
 
     Each task adds its own rows, pass by pass. The sums are cut into slots, each slot is added in one task, and the driver receives
-    one vector per pass, at most of the size of the model.
+    one vector per pass, at most of the size of the model. Sums of a model of at most ``DIRECT`` values are added on the driver, one
+    vector per task that has rows: a shuffle of so little only takes time.
     """
     known: list[np.ndarray] = []
     for _ in range(passes(scorer.vae)):
@@ -125,13 +132,43 @@ def _one_pass(batch: DataFrame, scorer: Scorer, known: list[np.ndarray]) -> np.n
 
     schema = "slot int, sums array<double>"
     size = sum(p.size for p in scorer.vae.params())
-    sums = batch.mapInArrow(local, schema).repartition(max(1, min(200, -(-size // SLOT))), "slot")
+    sums = batch.mapInArrow(local, schema)
+    if size <= DIRECT:
+        parts = sums.toArrow()["sums"]
+        return sum(row.values.to_numpy(zero_copy_only=False) for row in parts) if len(parts) else None
+    sums = sums.repartition(max(1, min(200, -(-size // SLOT))), "slot")
     table = sums.mapInArrow(add, schema).toArrow().sort_by("slot")  # one row per slot: the size of the model
     if not table.num_rows:
         return None
     return table["sums"].combine_chunks().flatten().to_numpy(zero_copy_only=False).copy()
 
 
+def mean_losses(rows: DataFrame, keys: list[str], models: list[tuple[Scorer, int]], with_stoich: bool = False) -> list[list[float]]:
+    """The four mean losses of the rows (keys, v) by each of some models with its seed, as `scoring.dataset_loss` has them, in one pass."""
+    seeds = F.array(*[row_key(seed, *keys) for _, seed in models])
+
+    def local(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros((len(models), 5))
+        for batch in batches:
+            own = batch.column("k").flatten().to_numpy(zero_copy_only=False).reshape(batch.num_rows, len(models))
+            for at, (scorer, _) in enumerate(models):
+                for v, k in scorer._blocks(batch.column("v"), pa.array(own[:, at])):
+                    total[at] += [len(v), *scorer.losses(v, k).sum(axis=0)]
+        yield pa.record_batch({"model": pa.array(np.arange(len(models), dtype=np.int32)),
+                               **{c: pa.array(x) for c, x in zip("nlrds", total.T.copy())}})
+
+    sums = rows.select("v", seeds.alias("k")).mapInArrow(local, "model int, n double, l double, r double, d double, s double")
+    found = {r["model"]: r for r in sums.groupBy("model").agg(*[F.sum(c).alias(c) for c in "nlrds"]).collect()}
+    if not found or not found[0]["n"]:
+        raise ValueError("the test set has no rows")
+    out = []
+    for at in range(len(models)):
+        r = found[at]
+        total = r["l"] if with_stoich else r["l"] - r["s"]
+        out.append([total / r["n"], r["r"] / r["n"], r["d"] / r["n"], r["s"] / r["n"]])
+    return out
+
+
 @dataclass
 class Adam:
     """Adam with the weight decay added to the gradient."""
@@ -236,8 +273,9 @@ def fit(train: DataFrame, vae: Vae, epochs: int, batch_size: int, lr: float, see
     Rows are written once as stores of batches (`Batches`). With ``turns``, rows need file_name and chunk, and every ``reload_on``
     epochs the sample becomes the next turn's; 0 keeps the first. A lost task repeats its part of a sum from the
     stores' files, so a step is never half done. With ``folder`` given, versions are stored every ``save_on`` epochs, at the end,
-    and at each new least test loss. Every evaluation is added to the log as it is made, ``<folder>/losses``, so a fit
-    that ends early leaves its log; that of an earlier fit in the folder is replaced.
+    and at each new least test loss. An evaluation keeps the model of its step, and up to ``EVALUATIONS`` of them, an epoch's at
+    most, share one pass over the test rows; then they are added to the log, ``<folder>/losses``. A fit that ends by an error adds those it
+    has, so it leaves its log; that of an earlier fit in the folder is replaced.
     """
     spark = train.sparkSession
     scorer = Scorer(vae, reactions, sample=True, eps=eps, coefficients=coefficients, beta_s=beta_s)
@@ -248,27 +286,41 @@ def fit(train: DataFrame, vae: Vae, epochs: int, batch_size: int, lr: float, see
     adam, evaluations, step, least = Adam(lr, vae.weight_decay), 0, 0, np.inf
     losses = f"{folder.rstrip('/')}/losses" if folder else scratch_path(spark, "losses")
     spark.createDataFrame([], LOG_SCHEMA).write.mode("overwrite").parquet(losses)
-
-    def test_losses(at: int) -> list[float]:
-        if held_out is None:
-            return [0.0] * 4
-        scored = held_out.select(tester.row_losses("v", row_key(seed + at, *keys)).alias("l")).select("l.*")
-        return [float(x) for x in dataset_loss(scored, with_stoich=with_stoich).first()]
+    model_bytes = 8 * sum(p.size for p in vae.params())
+    together = max(1, min(EVALUATIONS, EVALUATION_BYTES // max(1, model_bytes)))
+    waiting: list[tuple[Scorer | None, int, tuple]] = []  # model at its step, seed of its noise, and its part of the log
+
+    def add_to_log() -> float:
+        """Evaluates the models that wait; returns their least test loss."""
+        tested = [[0.0] * 4] * len(waiting)
+        if held_out is not None and waiting:
+            tested = mean_losses(held_out, keys, [(model, at) for model, at, _ in waiting], with_stoich)
+        rows = [(*row, *map(float, t)) for (_, _, row), t in zip(waiting, tested)]
+        waiting.clear()
+        if rows:
+            spark.createDataFrame(rows, LOG_SCHEMA).coalesce(1).write.mode("append").parquet(losses)
+        return min((t[0] for t in tested), default=np.inf)
 
     for epoch in range(epochs):
         best_here = np.inf
-        for i, (batch, rows) in enumerate(batches.epoch(epoch, seed, epoch // reload_on if reload_on else 0)):
-            sums = sum_over_batch(rows.select("v", row_key(seed + step, *keys).alias("k")), scorer)
-            if sums is None:  # no row of this turn falls into the batch
-                continue
-            train_losses = apply_sums(vae, adam, sums)
-            if save_losses_on and i % save_losses_on == 0:
-                tested = test_losses(step)
-                row = (evaluations, epoch, batch, *map(float, train_losses), *tested)
-                spark.createDataFrame([row], LOG_SCHEMA).coalesce(1).write.mode("append").parquet(losses)
-                evaluations += 1
-                best_here = min(best_here, tested[0])
-            step += 1
+        try:
+            for i, (batch, rows) in enumerate(batches.epoch(epoch, seed, epoch // reload_on if reload_on else 0)):
+                sums = sum_over_batch(rows.select("v", row_key(seed + step, *keys).alias("k")), scorer)
+                if sums is None:  # no row of this turn falls into the batch
+                    continue
+                train_losses = apply_sums(vae, adam, sums)
+                if save_losses_on and i % save_losses_on == 0:
+                    now = None
+                    if held_out is not None:
+                        now = copy.copy(tester)
+                        now.vae = copy.deepcopy(vae)
+                    waiting.append((now, seed + step, (evaluations, epoch, batch, *map(float, train_losses))))
+                    evaluations += 1
+                    if len(waiting) == together:
+                        best_here = min(best_here, add_to_log())
+                step += 1
+        finally:
+            best_here = min(best_here, add_to_log())
         if folder and save_on and epoch % save_on == 0:
             save(spark, vae, folder, epoch)
         if folder and save_test_min and held_out is not None and best_here < least:
