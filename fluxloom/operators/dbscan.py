@@ -7,8 +7,11 @@ Equal vectors are one weighted point, so a hot group of copies costs one row. Tw
   plane. The least distances of either group to it, added up, are a lower bound of all distances between them; groups further
   apart than eps are not compared. This holds in any number of dimensions, where a grid on a few axes does not cut.
 
-A part (cell and pivot) is cut into blocks of bounded size and a task compares two blocks. Tasks emit neighbour counts, then
-a spanning forest of the core points they saw, so output is linear in the block size, never all pairs.
+A part (cell and pivot) is cut into blocks of bounded size. Blocks are written once, on shelves of bounded size, and shelves are
+dealt to lanes, a fixed number. A task has two lanes: it reads their shelves two at a time and compares the blocks that may hold
+neighbours, so vectors are not shuffled to every block that they meet. It returns a count per point, then a spanning forest of the core
+points of its lanes. Each point is in as many tasks as there are lanes, so what is shuffled and written grows with the points, not
+with the pairs of blocks.
 """
 
 from __future__ import annotations
@@ -18,20 +21,25 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+import pyarrow.dataset as ds
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from fluxloom.functions.vectors import to_matrix
 from fluxloom.operators.distance import within
 from fluxloom.operators.ranking import dense_index
-from fluxloom.session import settle
+from fluxloom.session import settle, write
+from fluxloom.sources.heads import file_system
 
 BLOCK_ROWS = 2_000
 MAX_AXES = 3
 # Pivots: some per block, so that most groups are smaller than a block; their number bounds what tasks hold.
 PIVOTS_PER_BLOCK = 4
 MAX_PIVOTS = 4_096
+# Bytes of vectors on a shelf, of which a task holds two, and lanes: two make a task, so 12 make 78 tasks.
+SHELF_BYTES = 16 << 20
+LANES = 12
 
 
 def dbscan(rows: DataFrame, key: str, v: str, eps: float, min_samples: int, out: str = "cluster",
@@ -44,11 +52,14 @@ def dbscan(rows: DataFrame, key: str, v: str, eps: float, min_samples: int, out:
     points = settle(
         rows.groupBy(F.col(v).alias("v")).agg(F.count(F.lit(1)).alias("w"), F.min(key).alias("pid")), "points")
     blocked, pairs = block_pairs(points, eps, block_rows)
-    counts = compare(blocked, pairs, _count_neighbours(eps), "pid bigint, n bigint").groupBy("pid").agg(
-        F.sum("n").alias("n"))
-    flagged = settle(
-        blocked.join(counts, "pid").withColumn("core", F.col("n") >= min_samples).drop("n"), "core")
-    links = settle(compare(flagged, pairs, _links(eps), "a bigint, b bigint, border boolean"), "links")
+    shelves = shelf_number(blocked)
+    work = tiles(pairs, shelves)
+    stored = write(on_shelves(blocked, shelves), "shelves", ["shelf"])
+    counts = work(_count_neighbours(stored, eps), "pid bigint, n bigint").groupBy("pid").agg(F.sum("n").alias("n"))
+    counted = blocked.join(counts, "pid").withColumn("core", F.col("n") >= min_samples).drop("n")
+    stored = write(on_shelves(counted, shelves), "core", ["shelf"])
+    flagged = rows.sparkSession.read.parquet(stored)
+    links = settle(work(_links(stored, eps), "a bigint, b bigint, border boolean"), "links")
     parts = components(flagged.filter("core").select("pid"), links.filter("NOT border").select("a", "b"))
     numbers = dense_index(parts, "root", "number")
     cores = settle(parts.join(numbers, "root").select("pid", F.col("number").alias(out)), "clusters")
@@ -159,74 +170,124 @@ def pivot_pairs(grouped: DataFrame, pivots: np.ndarray, eps: float) -> DataFrame
     return found.join(back, ["pivot", "other"]).filter(F.col("margin") + F.col("back") <= eps).select("pivot", "other")
 
 
-def compare(blocked: DataFrame, pairs: DataFrame, fn, schema: str) -> DataFrame:
-    """Bring the two blocks of each pair together in a task. A group holds two blocks at most."""
-    return blocked.join(pairs, "block").drop("block").groupBy("pair").applyInArrow(fn, schema)
+def shelf_number(blocked: DataFrame) -> Column:
+    """The shelf of a block: as many shelves as bytes ask for, and a lane at least while there are blocks for it."""
+    extent = blocked.agg(F.countDistinct("block").alias("blocks"), F.sum(F.size("v") * 8).alias("bytes")).first()
+    n = max(1, min(LANES, extent["blocks"]), -(-(extent["bytes"] or 0) // SHELF_BYTES))
+    return F.pmod(F.xxhash64("block"), F.lit(n))
+
+
+def on_shelves(blocked: DataFrame, shelf: Column) -> DataFrame:
+    return blocked.withColumn("shelf", shelf).hint("rebalance", F.col("shelf")).sortWithinPartitions("shelf", "block")
+
+
+def tiles(pairs: DataFrame, shelf: Column):
+    """Runs a function on the pairs of blocks of every tile (two lanes): rows (x, y, first, second), shelves and blocks."""
+    listed = pairs.filter("side = 0").select(F.col("block").alias("first"), F.substring_index("pair", "~", -1).alias("second"))
+    listed = listed.withColumn("block", F.col("first")).withColumn("x", shelf)
+    listed = listed.withColumn("block", F.col("second")).withColumn("y", shelf).drop("block")
+    lanes = F.col("x") % LANES, F.col("y") % LANES
+    listed = listed.withColumn("tile", F.least(*lanes) * LANES + F.greatest(*lanes))
+    # The number of partitions is named: rows are few and small, their work is not.
+    dealt = listed.repartition(LANES * (LANES + 1) // 2, "tile")
+    return lambda fn, schema: dealt.groupBy("tile").applyInArrow(fn, schema)
+
+
+class Shelf:
+    """Points of a shelf, its blocks one after the other: ``of`` has the slice of each."""
+
+    def __init__(self, path: str, number: int):
+        system, place = file_system(f"{path}/shelf={number}")
+        table = ds.dataset(place, filesystem=system, format="parquet").to_table().sort_by("block").combine_chunks()
+        self.pid, self.w = table["pid"].to_numpy(), table["w"].to_numpy()
+        self.matrix = to_matrix(table["v"].combine_chunks())
+        self.core = table["core"].to_numpy() if "core" in table.column_names else None
+        blocks = table["block"].to_numpy()
+        starts = np.flatnonzero(np.r_[True, blocks[1:] != blocks[:-1]])
+        self.of = {blocks[a]: slice(a, b) for a, b in zip(starts, np.r_[starts[1:], len(blocks)])}
+
+
+def _compared(path: str, pairs: pa.Table) -> Iterator[tuple[int, Shelf, slice, int, Shelf, slice]]:
+    """Both sides of the pairs of blocks, shelf by shelf; two shelves are held at a time."""
+    held: dict[int, Shelf] = {}
+    rows = pairs.select(["x", "y", "first", "second"]).sort_by([("x", "ascending"), ("y", "ascending")])
+    for x, y, first, second in zip(*[c.to_pylist() for c in rows.columns]):
+        held = {k: shelf for k, shelf in held.items() if k in (x, y)}
+        for k in (x, y):
+            if k not in held:
+                held[k] = Shelf(path, k)
+        yield x, held[x], held[x].of[first], y, held[y], held[y].of[second]
+
+
+def _count_neighbours(path: str, eps: float):
+    def run(pairs: pa.Table) -> pa.Table:
+        found: dict[int, tuple[np.ndarray, np.ndarray]] = {}
+        for x, a, i, y, b, j in _compared(path, pairs):
+            for k, shelf in ((x, a), (y, b)):
+                if k not in found:
+                    found[k] = shelf.pid, np.zeros(len(shelf.pid), np.int64)
+            close = within(a.matrix[i], b.matrix[j], eps)
+            found[x][1][i] += close @ b.w[j]
+            if (x, i) != (y, j):
+                found[y][1][j] += a.w[i] @ close
+        pid, n = (np.concatenate(parts) for parts in zip(*found.values()))
+        return pa.table({"pid": pa.array(pid[n > 0]), "n": pa.array(n[n > 0])})
 
-
-def _sides(table: pa.Table):
-    """Ids, vectors and further columns of both sides; one block compared with itself gives it twice."""
-    side = table.column("side").to_numpy()
-    first, second = np.flatnonzero(side == 0), np.flatnonzero(side == 1)
-    matrix = to_matrix(table.column("v").combine_chunks())
-    pid = table.column("pid").to_numpy()
-    return pid, matrix, first, (second if len(second) else first), not len(second)
+    return run
 
 
-def _count_neighbours(eps: float):
-    def run(table: pa.Table) -> pa.Table:
-        pid, matrix, a, b, same = _sides(table)
-        w = table.column("w").to_numpy()
-        close = within(matrix[a], matrix[b], eps)
-        ids, n = [pid[a]], [close @ w[b]]
-        if not same:
-            ids.append(pid[b])
-            n.append(w[a] @ close)
-        ids, n = np.concatenate(ids), np.concatenate(n)
-        return pa.table({"pid": pa.array(ids[n > 0]), "n": pa.array(n[n > 0].astype(np.int64))})
+def _links(path: str, eps: float):
+    def run(pairs: pa.Table) -> pa.Table:
+        first: dict[int, int] = {}  # where the points of a shelf start
+        pids, parent = [], np.zeros(0, np.int64)
+        left, right = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for x, a, i, y, b, j in _compared(path, pairs):
+            for k, shelf in ((x, a), (y, b)):
+                if k not in first:
+                    first[k] = len(parent)
+                    pids.append(shelf.pid)
+                    parent = np.concatenate([parent, np.arange(len(parent), len(parent) + len(shelf.pid))])
+            sides = [(x, a, i, y, b, j)] if (x, i) == (y, j) else [(x, a, i, y, b, j), (y, b, j, x, a, i)]
+            # A border point has fewer than min_samples neighbours, so these stay few.
+            for _, s, own, _, t, other in sides:
+                edge, core = own.start + np.flatnonzero(~s.core[own]), other.start + np.flatnonzero(t.core[other])
+                if len(edge) and len(core):
+                    p, q = np.nonzero(within(s.matrix[edge], t.matrix[core], eps))
+                    left.append(s.pid[edge[p]])
+                    right.append(t.pid[core[q]])
+            p, q = i.start + np.flatnonzero(a.core[i]), j.start + np.flatnonzero(b.core[j])
+            one, two = find(parent, first[x] + p), find(parent, first[y] + q)
+            if len(p) and len(q) and not (one[0] == one).all() & (one[0] == two).all():  # else they are linked already
+                g, h = np.nonzero(within(a.matrix[p], b.matrix[q], eps) & (one[:, None] != two))
+                unite(parent, one[g], two[h])
+        pid, roots = np.concatenate(pids), find(parent, np.arange(len(parent)))
+        linked = np.flatnonzero(roots != np.arange(len(parent)))
+        borders = sum(map(len, left))
+        return pa.table({"a": pa.array(np.concatenate([*left, pid[linked]])),
+                         "b": pa.array(np.concatenate([*right, pid[roots[linked]]])),
+                         "border": pa.array(np.arange(borders + len(linked)) < borders)})
 
     return run
 
 
-def _links(eps: float):
-    def run(table: pa.Table) -> pa.Table:
-        pid, matrix, a, b, same = _sides(table)
-        core = table.column("core").to_numpy()
-        close = within(matrix[a], matrix[b], eps)
-        left, right, border = [], [], []
-        # A border point has fewer than min_samples neighbours, so these stay few.
-        for x, y, hit in ((a, b, close), *(() if same else ((b, a, close.T),))):
-            i, j = np.nonzero(hit[~core[x]][:, core[y]])
-            left.append(pid[x][~core[x]][i])
-            right.append(pid[y][core[y]][j])
-            border.append(np.ones(len(i), dtype=bool))
-        ca, cb = a[core[a]], b[core[b]]
-        for i, j in forest(close[core[a]][:, core[b]], pid[ca], pid[cb]):
-            left.append(i)
-            right.append(j)
-            border.append(np.zeros(len(i), dtype=bool))
-        return pa.table({"a": pa.array(np.concatenate(left).astype(np.int64)),
-                         "b": pa.array(np.concatenate(right).astype(np.int64)),
-                         "border": pa.array(np.concatenate(border))})
+def find(parent: np.ndarray, x: np.ndarray) -> np.ndarray:
+    """Roots of some points; those points then stand right below them."""
+    up = parent[x]
+    while (parent[up] != up).any():
+        up = parent[up]
+    parent[x] = up
+    return up
 
-    return run
 
-
-def forest(close: np.ndarray, left: np.ndarray, right: np.ndarray):
-    """Links that join the points of each component of a two-sided graph: each to the component's least id."""
-    todo = close.any(axis=1)
-    while todo.any():
-        rows = np.zeros(len(left), dtype=bool)
-        rows[np.flatnonzero(todo)[0]] = True
-        while True:  # grow by alternating sides until nothing is added
-            cols = close[rows].any(axis=0)
-            grown = close[:, cols].any(axis=1)
-            if (grown == rows).all():
-                break
-            rows = grown
-        todo &= ~rows
-        members = np.unique(np.concatenate([left[rows], right[cols]]))
-        yield members[1:], np.full(len(members) - 1, members[0])
+def unite(parent: np.ndarray, x: np.ndarray, y: np.ndarray) -> None:
+    """Join the trees of x and y, pair by pair: the greater root goes below the least."""
+    while True:
+        x, y = find(parent, x), find(parent, y)
+        apart = x != y
+        if not apart.any():
+            return
+        x, y = x[apart], y[apart]
+        np.minimum.at(parent, np.maximum(x, y), np.minimum(x, y))
 
 
 def components(nodes: DataFrame, edges: DataFrame) -> DataFrame:

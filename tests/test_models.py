@@ -417,3 +417,22 @@ def test_fewer_values_than_clusters(spark):
     rows = spark.createDataFrame([(i, [float(i % 2)]) for i in range(8)], "row_id bigint, v array<double>")
     (fit,) = lloyd.fit_many(rows, [(3, 0)], "row_id")
     assert fit.cost == 0.0 and set(fit.centres.ravel()) <= {0.0, 1.0}
+
+
+def test_dbscan_writes_by_points_not_by_pairs_of_blocks(spark, monkeypatch):
+    """All rows near each other, in many blocks: links are a few per row, though every block meets every other."""
+    from fluxloom.operators import dbscan as module
+
+    written = {}
+
+    def seen(df, tag, *given):
+        written[tag] = settle(df, tag, *given)
+        return written[tag]
+
+    monkeypatch.setattr(module, "settle", seen)
+    x = np.random.default_rng(5).normal(size=(300, 3))
+    df = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(x)], "row_id bigint, v array<double>")
+    found = dbscan(df, "row_id", "v", 50.0, 5, block_rows=5).collect()
+    assert {r.cluster for r in found} == {0}
+    assert written["pairs"].select("pair").distinct().count() > 1500
+    assert written["links"].count() <= 300 * module.LANES
