@@ -230,3 +230,24 @@ def test_newest_version_is_by_number(spark, tmp_path):
         store.load(spark, str(tmp_path), 5)
     with pytest.raises(FileNotFoundError):
         store.load(spark, str(tmp_path / "none"))
+
+
+def test_evaluations_share_passes_and_equal_single_ones(spark, rows, monkeypatch):
+    """Losses of a pass over several models are those of one model at a time, and a fit makes few passes."""
+    from fluxloom.operators.vae import fit as module
+
+    models = [(Scorer(Vae(6, 2, 3, reaction_names=NAMES, seed=s), NAMES, sample=True), s) for s in (1, 2, 3)]
+    found = module.mean_losses(rows.select("row_id", "v"), ["row_id"], models)
+    for (scorer, seed), losses in zip(models, found):
+        plain = dataset_loss(rows.select(scorer.row_losses("v", row_key(seed, "row_id")).alias("l")).select("l.*")).first()
+        assert np.allclose(losses, list(plain), rtol=1e-12)
+    whole, passes = module.mean_losses, []
+
+    def counted(rows, keys, models, *given):
+        passes.append(len(models))
+        return whole(rows, keys, models, *given)
+
+    monkeypatch.setattr(module, "mean_losses", counted)
+    monkeypatch.setattr(module, "EVALUATIONS", 3)
+    _, log = fit(rows, Vae(6, 2, 3, reaction_names=NAMES, seed=1), 1, 10, 0.01, 1, ["row_id"], NAMES, test=rows)
+    assert passes == [3, 1] and log.count() == 4
