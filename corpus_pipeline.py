@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.llm import bpe, languages, mixing, near_duplicates, pii
 from fluxloom.llm.common import bounded_batches, single_threaded, table
-from fluxloom.session import settle, ship_package
+from fluxloom.session import settle, settle_alone, ship_package
 
 # SQL has neither random vectors, alignments, random fields nor byte pair merges.
 ORACLE_SQL = None
@@ -56,7 +56,8 @@ def token_ids(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """All rows with their ids, and the text that the ids decode to."""
     _prepare(spark)
     vocab = bpe.public_vocabulary()
-    found = bpe.decode(bpe.encode(docs, vocab), vocab)
+    # Written between, so that a task feeds one Python worker and not two at once, which would then stay with the executor.
+    found = bpe.decode(settle(bpe.encode(docs, vocab), "ids"), vocab)
     return found.select("row.*", F.decode("bytes", "UTF-8").alias("text"), "ids",
                         F.size("ids").cast("bigint").alias("n_tokens"))
 
@@ -71,9 +72,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents")
-    for at, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if at < len(STAGES) - 1:
-            docs = settle(docs, "stage")
-    return docs
+    def after(stages: list) -> DataFrame:
+        """What the last of the stages returns. A written stage leaves nothing behind that only it has read."""
+        *earlier, (_, stage) = stages
+        docs = settle_alone(spark, lambda: after(earlier), "stage") if earlier else table(spark, sf_dir, "documents")
+        return stage(spark, docs, sf_dir)
+
+    return after(STAGES)

@@ -19,6 +19,8 @@ BATCH_BYTES = 8 << 20
 
 # Characters of text that one numpy pass of a task works on.
 SLICE_CHARS = 1 << 20
+# Rows of it at most: short texts must not make it tall.
+SLICE_ROWS = 1 << 11
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -44,12 +46,12 @@ def bounded_batches(spark: SparkSession) -> None:
 
 
 def slices(batch: pa.RecordBatch, column: str, chars: int = SLICE_CHARS) -> Iterator[pa.RecordBatch]:
-    """Cuts a batch into runs of rows whose texts hold about ``chars`` bytes (one row at least). No row is cut."""
+    """Cuts a batch into runs of at most `SLICE_ROWS` rows whose texts hold about ``chars`` bytes (one row at least). No row is cut."""
     column_at = batch.schema.get_field_index(column)
     lengths = pa.compute.binary_length(batch.column(column_at)).fill_null(0).to_pylist()
     start = total = 0
     for at, length in enumerate(lengths):
-        if at > start and total + length > chars:
+        if at > start and (total + length > chars or at - start == SLICE_ROWS):
             yield batch.slice(start, at - start)
             start, total = at, 0
         total += length

@@ -19,7 +19,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -33,8 +33,9 @@ SEED = 20
 MAX_LANGUAGES = 4096
 # Below this many possible trigrams they are counted in a table, above by sorting.
 TABLE_CELLS = 1 << 22
-# Trigrams multiplied at once.
-TRIGRAM_BLOCK = 8192
+# Trigrams multiplied at once, and counts of them by row.
+TRIGRAM_BLOCK = 4096
+COUNT_CELLS = 1 << 21
 
 
 @dataclass
@@ -108,9 +109,10 @@ class Encoder:
             present, column = np.unique(keys, return_inverse=True)
         vectors = np.stack([self.letter(int(c)) for c in alphabet])
         first, second = np.roll(vectors, 2, 1), np.roll(vectors, 1, 1)
-        for start in range(0, len(present), TRIGRAM_BLOCK):
-            block = present[start : start + TRIGRAM_BLOCK]
-            here = slice(None) if len(block) == len(present) else (column >= start) & (column < start + TRIGRAM_BLOCK)
+        step = max(64, min(TRIGRAM_BLOCK, COUNT_CELLS // len(rows)))
+        for start in range(0, len(present), step):
+            block = present[start : start + step]
+            here = slice(None) if len(block) == len(present) else (column >= start) & (column < start + step)
             cells = owner[here] * len(block) + column[here] - start
             counts = np.bincount(cells, minlength=len(rows) * len(block)).reshape(len(rows), len(block))
             trigrams = first[block // (n * n)] * second[block // n % n] * vectors[block % n]
@@ -188,6 +190,11 @@ def _sums(held: dict[str, np.ndarray]) -> pa.RecordBatch:
 
 def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFrame:
     """Every row as a struct ``row``, with ``lang_pred`` and ``score``. The row's own columns cannot clash with them."""
+    return _judged(docs.select(F.struct("*").alias("row"), F.col(text).alias("text")), profiles)
+
+
+def _judged(rows: DataFrame, profiles: Profiles) -> DataFrame:
+    """(row, text) with the text's ``lang_pred`` and ``score`` in its place."""
 
     def judge(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         profiles.encoder = Encoder(profiles.encoder.dimensions, profiles.encoder.seed)
@@ -198,7 +205,6 @@ def identify(docs: DataFrame, profiles: Profiles, text: str = "text") -> DataFra
                     [part.column(0), pa.array(names, pa.string()), pa.array(scores, pa.float64())],
                     ["row", "lang_pred", "score"])
 
-    rows = docs.select(F.struct("*").alias("row"), F.col(text).alias("text"))
     schema = T.StructType([rows.schema["row"], T.StructField("lang_pred", T.StringType()),
                            T.StructField("score", T.DoubleType())])
     return rows.mapInArrow(judge, schema)
@@ -212,17 +218,22 @@ def known(docs: DataFrame, profiles: Profiles, text: str = "text", lang: str = "
     too, from all rows that have a language and are taken for it: per language and length (a class per doubling),
     ``share`` of the ``quantile`` of their scores. Shorter texts' bars hold for longer ones, where they are higher or there are
     no own. Texts without a letter are not known; those of a language shorter than all its labelled texts are.
+    The table is judged twice, for the bars and by them: a written copy of its texts would take the disk of the input once more.
     """
-    found = settle(identify(docs, profiles, text), "languages")
-    size = F.floor(F.log2(F.length(F.col("row")[text]) + F.lit(1)))
-    found = found.withColumn("size", F.coalesce(size, F.lit(0)).cast("int"))
-    own = found.filter((F.col("lang_pred") == F.col("row")[lang]) & (F.col("lang_pred") != UNDETERMINED))
+    def size_of(of: Column) -> Column:
+        return F.coalesce(F.floor(F.log2(F.length(of) + F.lit(1))), F.lit(0)).cast("int")
+
+    labelled = docs.filter(F.col(lang).isNotNull()).select(
+        F.struct(F.col(lang).alias("lang"), size_of(F.col(text)).alias("size")).alias("row"), F.col(text).alias("text"))
+    own = _judged(labelled, profiles).select("row.*", "lang_pred", "score")
+    own = own.filter((F.col("lang_pred") == F.col("lang")) & (F.col("lang_pred") != UNDETERMINED))
     low = own.groupBy("lang_pred", "size").agg(F.percentile_approx("score", quantile).alias("low"))  # languages x 31 rows at most
     by_size = Window.partitionBy("lang_pred").orderBy("size")
     until = F.coalesce(F.lead("size").over(by_size) - 1, F.lit(31))
     bars = low.select(F.col("lang_pred").alias("of"), "size", until.alias("until"), (F.max("low").over(by_size) * share).alias("bar"))
     bars = bars.select("of", F.explode(F.sequence("size", "until")).alias("at"), "bar")
     bars = settle(bars, "bars")  # so that the join knows how small they are, and leaves the texts where they stand
+    found = identify(docs, profiles, text).withColumn("size", size_of(F.col("row")[text]))
     judged = found.join(bars, (F.col("lang_pred") == F.col("of")) & (F.col("size") == F.col("at")), "left")
     enough = F.col("score") >= F.coalesce("bar", F.lit(0.0))
     return judged.select("row", "lang_pred", "score", ((F.col("lang_pred") != UNDETERMINED) & enough).alias("known"))

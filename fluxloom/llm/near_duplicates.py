@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from fluxloom.llm.common import slices, texts_of
 from fluxloom.llm.order_minhash import Sketch, bands, kmers, numbered, parities, similar
-from fluxloom.session import settle
+from fluxloom.session import settle, settle_alone
 
 
 def sign(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", text: str = "text") -> DataFrame:
@@ -215,7 +215,7 @@ def classify(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", te
 
 def representatives(docs: DataFrame, sketch: Sketch = Sketch(), key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row of every class with all its columns: that with the least id, then text; one of those that repeat both."""
-    found = settle(classes(docs, sketch, key, text), "classes")
+    found = settle_alone(docs.sparkSession, lambda: classes(docs, sketch, key, text), "classes")
     least = F.min(F.struct(F.col("id").isNull().alias("last"), "id", "node")).alias("least")
     chosen = found.filter("node is not null").groupBy("root").agg(least).select("least.id", "least.node")
     chosen = chosen.unionByName(found.filter("node is null").select("id", "node"))
