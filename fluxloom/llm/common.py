@@ -15,10 +15,10 @@ WORD = r"[^\x20\x09-\x0D]+"
 SPACE = r"[\x20\x09-\x0D]+"
 
 # Bytes of an Arrow batch where whole tables pass through Python.
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 2 << 20
 
 # Characters of text that one numpy pass of a task works on.
-SLICE_CHARS = 1 << 20
+SLICE_CHARS = 1 << 18
 # Rows of it at most: short texts must not make it tall.
 SLICE_ROWS = 1 << 11
 
